@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file; every machine of a cluster has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
