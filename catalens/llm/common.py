@@ -8,9 +8,12 @@ from types import ModuleType
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalens.shared import materialize
+
 SLICE = 256
 
 
@@ -34,6 +37,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def keyed(docs: DataFrame, strict: bool = True) -> DataFrame:
+    """Add _file and _row, the place of each row in its Parquet file: a key that no re-run changes.
+
+    ``docs`` must read files directly; with ``strict`` off it comes back as it is if it doesn't.
+    """
+    try:
+        return docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        if strict:
+            raise
+        return docs
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` itself where it reads files directly, else a written copy."""
+    return docs if "_row" in keyed(docs, strict=False).columns else materialize(docs, "documents")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

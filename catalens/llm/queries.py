@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalens.llm import fingerprint, langid, packing, sharding
+from catalens.llm import fingerprint, langid, linedup, mixing, packing, sharding, simhash
 from catalens.llm.common import table, tokenizer
 
 
@@ -22,15 +23,58 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents")).drop("_file", "_row")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.without_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars"), "text")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, within=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+# Lines of 20 or more characters; one edit apart means equal but for one character put in, left out or changed.
+OP7_SQL = """
+WITH lines AS (
+  SELECT doc_id, pos, string_split(text, chr(10))[pos] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL)
+), firsts AS (
+  SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM lines WHERE length(line) >= 20 GROUP BY line
+), near AS (
+  SELECT DISTINCT b.line
+  FROM firsts a JOIN firsts b ON a.first < b.first AND abs(a.n - b.n) <= 1
+  WHERE levenshtein(a.line, b.line) <= 4 AND (
+    (a.n = b.n AND len(list_filter(range(1, a.n + 1), lambda i: substring(a.line, i, 1) <> substring(b.line, i, 1))) = 1)
+    OR (a.n + 1 = b.n AND len(list_filter(range(1, b.n + 1), lambda i: substring(b.line, 1, i - 1) || substring(b.line, i + 1) = a.line)) > 0)
+    OR (b.n + 1 = a.n AND len(list_filter(range(1, a.n + 1), lambda i: substring(a.line, 1, i - 1) || substring(a.line, i + 1) = b.line)) > 0))
+), judged AS (
+  SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND ((l.doc_id, l.pos) <> f.first OR n.line IS NOT NULL) AS dropped
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+), docs AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_dropped, 0) AS n_dropped, length(x.text) AS n_chars, x.text
+FROM documents d LEFT JOIN docs x USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+}
