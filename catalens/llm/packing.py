@@ -39,7 +39,7 @@ WINDOW = 2048
 SMALLEST = 256
 STEP_WINDOWS = 8
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 # --- Token ids -------------------------------------------------------------
@@ -62,7 +62,8 @@ def plain_characters() -> tuple[frozenset[int], str]:
 class Encoder:
     """Token ids of whole texts as little-endian bytes; words are looked up in a bounded cache.
 
-    Texts with characters outside ``plain_characters`` are given to the tokenizer whole.
+    Texts with characters outside ``plain_characters``, or with the string of an added
+    token, are given to the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -78,21 +79,39 @@ class Encoder:
         plain, pattern = plain_characters()
         self.words = re.compile(pattern).findall
         self.odd = re.compile("[^" + "".join(f"\\u{c:04x}" for c in sorted(plain)) + "]").search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], self.kind).tobytes()
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: many words are encoded as one text and cut where words end."""
+        out: list[bytes] = []
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+            if len(ends) != len(group):
+                out += self.whole(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, then the end id."""
-        cut = [None if t and self.odd(t) else self.words(t.lower()) if t else [] for t in texts]
+        cut = [None if t and (self.odd(t) or any(s in t for s in self.added)) else self.words(t.lower()) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list({w for words in cut if words for w in words} - cache.keys())
-        cache.update(zip(new, self.whole(new)))
+        new = list(set().union(*filter(None, cut)) - cache.keys())
+        cache.update(zip(new, self.each(new)))
         odd = [i for i, words in enumerate(cut) if words is None]
         rest = dict(zip(odd, self.whole([texts[i].encode("utf-8", "replace").decode() for i in odd])))
         get = cache.__getitem__
