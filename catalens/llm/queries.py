@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import fingerprint, langid, linedup, mixing, packing, sharding, simhash
+from catalens.llm import ann, fingerprint, html, langid, linedup, mixing, packing, sharding, simhash, toxicity
 from catalens.llm.common import table, tokenizer
 
 
@@ -31,6 +31,18 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.without_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars"), "text")
@@ -46,7 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
+    "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html": op8_html,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
