@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SHARED = "/tmp/checkpoints/catalens"
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str] | None] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,13 +35,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of ``spark``; results that read them must have been written."""
-    mine = [p for s, p in _written if s is spark]
-    for path in mine:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _written[:] = [(s, p) for s, p in _written if s is not spark]
+def written() -> int:
+    """How many intermediate tables there are so far."""
+    return len(_written)
+
+
+def release(first: int, last: int) -> None:
+    """Delete the intermediate tables written between two counts; what reads them must have been written."""
+    for k in range(first, last):
+        if _written[k] is not None:
+            spark, path = _written[k]
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _written[k] = None
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
