@@ -33,15 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import ship, slices
+from catalens.llm.common import keyed, scanned, ship, slices
 from catalens.llm.components import components
-from catalens.shared import materialize
+from catalens.shared import materialize, numbered
 
 BLOCK = 4096
 SAMPLE = 20_000
 SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.004
 HOT_BROADCAST = 50_000
+BROADCAST_DROPS = 500_000
 
 
 # --- Fingerprints ----------------------------------------------------------
@@ -57,13 +58,17 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(found) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())]
 
 
-def simhash(text: str | None, words: int) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def simhash(text: str | None, words: int, seed: int = SEED, distinct: bool = False) -> int:
+    """The fingerprint as a signed 64-bit number; ``distinct`` counts each shingle once."""
     parts = shingles(text, words)
+    return majority(set(parts) if distinct else parts, seed)
+
+
+def majority(parts, seed: int) -> int:
     if not parts:
         return 0
     one = xxhash.xxh64_intdigest
-    h = np.array([one(s, SEED) for s in parts], np.uint64)
+    h = np.array([one(s, seed) for s in parts], np.uint64)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -128,7 +133,7 @@ def cost(sample: np.ndarray, n: int, bits: list[int], threshold: int) -> float:
 def allocate(sample: np.ndarray, n: int, within: int) -> list[tuple[list[int], int]]:
     """Partitions and their thresholds of least estimated cost; thresholds of -1 are left out."""
     best: tuple[float, list] = (float("inf"), [])
-    for m in range(2, 7):
+    for m in range(2, 9):
         groups = grouped_bits(sample, m)
         total = within - m + 1
         # state: the sum of (threshold + 1) so far; the last sum must be total + m
@@ -151,53 +156,74 @@ def allocate(sample: np.ndarray, n: int, within: int) -> list[tuple[list[int], i
 # --- Probing ---------------------------------------------------------------
 
 
-def stars(fps: np.ndarray, within: int) -> list[tuple[int, int]]:
-    """Components of distinct ``fps`` (unsigned) under links of up to ``within`` bits, as (smallest, other)."""
-    if len(fps) <= 48:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= within
-        if near.sum() == len(fps):
+def stars(nodes: np.ndarray, bits: np.ndarray, limits: list[tuple[slice, int]]) -> list[tuple[int, int]]:
+    """Components of a bucket as (smallest node, other).
+
+    ``bits`` has a row of 64-bit numbers a node; two nodes are linked if for each
+    (columns, most) of ``limits`` at most ``most`` bits of those columns differ.
+    """
+
+    def near(one, rest):
+        ok = None
+        for cols, most in limits:
+            d = np.bitwise_count(rest[:, cols] ^ one[cols]).sum(1, dtype=np.int16) <= most
+            ok = d if ok is None else ok & d
+        return ok
+
+    order = np.argsort(nodes)
+    nodes, bits, out = nodes[order], bits[order], []
+    if len(nodes) <= 48:
+        ok = None
+        for cols, most in limits:
+            d = np.bitwise_count(bits[:, None, cols] ^ bits[None, :, cols]).sum(2, dtype=np.int16) <= most
+            ok = d if ok is None else ok & d
+        if ok.sum() == len(nodes):
             return []
-    left, out = np.sort(fps.view(np.int64)).view(np.uint64), []
-    while len(left) > 1:
-        root, todo, left = left[0], [left[0]], left[1:]
-        while todo and len(left):
-            near = np.bitwise_count(left ^ todo.pop()) <= within
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                todo.extend(found)
-                out.extend((int(root.view(np.int64)), int(x)) for x in found.view(np.int64))
+    while len(nodes) > 1:
+        root, todo, nodes, left = int(nodes[0]), [bits[0]], nodes[1:], bits[1:]
+        bits = left
+        while todo and len(nodes):
+            ok = near(todo.pop(), bits)
+            if ok.any():
+                out.extend((root, int(x)) for x in nodes[ok])
+                todo.extend(bits[ok])
+                nodes, bits = nodes[~ok], bits[~ok]
     return out
 
 
-def links(distinct: DataFrame, within: int) -> DataFrame:
-    """(a, b): enough verified connections of fingerprints (column fp) to give their components."""
-    spark = distinct.sparkSession
-    n = distinct.count()
+def links(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int = 0) -> DataFrame:
+    """(a, b): enough verified connections of ``items`` (node, fp, ``also``) to give their components.
+
+    Linked items differ in at most ``within`` bits of fp, and in at most ``wide``
+    of the columns ``also`` together, if there are any.
+    """
+    n = items.count()
     share = min(1.0, SAMPLE / max(1, n))
-    chosen = distinct.filter(F.pmod(F.xxhash64(F.lit(17), "fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").collect()
-    sample = np.array(sorted(r[0] for r in chosen)[: 2 * SAMPLE], np.int64).view(np.uint64)
-    plan = allocate(sample, n, within) if n > 1 else []
-    keeps = np.array([m for g, t in plan for m in masks_of(g, t)], np.uint64)
+    chosen = items.filter(F.pmod(F.xxhash64(F.lit(17), "node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").limit(2 * SAMPLE).collect()
+    sample = np.array(sorted(r[0] for r in chosen), np.int64).view(np.uint64)
+    plan = allocate(sample, n, within) if n > 1 and len(sample) > 1 else [([*range(64)], 0)] if within == 0 else [(g, 0) for g in np.array_split(range(64), within + 1)]
+    keeps = np.array([m for g, t in plan for m in masks_of([int(x) for x in g], t)], np.uint64)
+    carried = ["node", "fp", *also]
+    limits = [(slice(0, 1), within)] + ([(slice(1, 1 + len(also)), wide)] if also else [])
 
     def keys(batches):
         for b in slices(batches, 4096):
-            fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            cols = [b.column(c) for c in carried]
+            fp = cols[1].to_numpy(zero_copy_only=False).astype(np.int64)
             for k, m in enumerate(keeps):
                 value = (fp.view(np.uint64) & m).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(value), pa.array(fp)], ["mask", "value", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(value), *cols], ["mask", "value", *carried])
 
-    dealt = distinct.select("fp").mapInArrow(keys, "mask int, value long, fp long")
+    longs = ", ".join(f"{c} long" for c in carried)
+    dealt = items.select(*carried).mapInArrow(keys, f"mask int, value long, {longs}")
     hot = materialize(dealt.groupBy("mask", "value").count().filter(F.col("count") > BLOCK), "hot")
-    if (n_hot := hot.count()) <= HOT_BROADCAST:
-        hot = F.broadcast(hot)
-    if n_hot:
+    if n_hot := hot.count():
+        hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
         dealt = dealt.join(hot, ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
-        mine = F.pmod(F.xxhash64(F.lit(23), "fp"), F.col("blocks")).cast("int")
-        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("mask", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("mask", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *carried)
     else:
-        dealt = dealt.select("mask", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp")
+        dealt = dealt.select("mask", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), *carried)
     key = ["mask", "value", "x", "y"]
 
     def search(batches):
@@ -205,44 +231,80 @@ def links(distinct: DataFrame, within: int) -> DataFrame:
         at = None
 
         def flush():
-            return stars(np.concatenate(held).view(np.uint64), within) if sum(map(len, held)) > 1 else []
+            if sum(map(len, held)) < 2:
+                return []
+            all_ = np.concatenate(held)
+            return stars(all_[:, 0], all_[:, 1:].view(np.uint64), limits)
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in key]
-            fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(fp):
+            if not b.num_rows:
                 continue
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in key]
+            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in carried], axis=1)
             cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             out: list[tuple[int, int]] = []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
                 k = tuple(int(c[s]) for c in cols)
                 if k != at:
                     out += flush()
                     held, at = [], k
-                held.append(fp[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-        out = flush()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+                held.append(rows[s:e])
+            yield batch(out)
+        yield batch(flush())
 
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
 
 
-def classes(rows: DataFrame, within: int = 4) -> DataFrame:
-    """Add component_id to ``rows`` (doc_id, fp), a written table."""
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = materialize(components(links(distinct, within)), "components")
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    known = members.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "rep")
-    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    whole = materialize(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return rows.join(whole, "fp")
+def classes(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int = 0) -> DataFrame:
+    """(node, root) for every item of a component of two or more; ``items`` is a written table."""
+    roots = materialize(components(links(items, within, also, wide)), "components")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, within: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    return classes(rows, within).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    items = materialize(rows.groupBy(F.col("fp").alias("node")).agg(F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "items")
+    known = classes(items, within).join(items, "node").select("node", "root", "rep")
+    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = known.join(least, "root").select("node", "component_id")
+    whole = materialize(items.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, within: int = 8, wide: int = 24) -> DataFrame:
+    """``docs`` without the near copies of an earlier row (by id, then place in the files).
+
+    Candidates are found by a fingerprint of distinct word pairs, which moves
+    little when words are replaced; they are verified by 128 bits of SimHash over
+    distinct five-word shingles, where ``wide`` differing bits are what texts of a
+    Jaccard similarity of 0.8 stay under but for one in ten.
+    """
+    docs = scanned(docs)
+
+    def run(batches):
+        for b in slices(batches):
+            out: list[tuple[int, int, int]] = []
+            for t in b.column("text").to_pylist():
+                five = set(shingles(t, 5))
+                out.append((simhash(t, 2, SEED, True), majority(five, 1), majority(five, 2)))
+            cols = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("_file"), b.column("_row"), b.column("doc_id"), *cols], ["_file", "_row", "doc_id", "fp", "b1", "b2"])
+
+    keys = ["fp", "b1", "b2"]
+    rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_file long, _row long, doc_id long, fp long, b1 long, b2 long")
+    rows = materialize(rows, "fingerprints")
+    items = materialize(numbered(rows.select(*keys).distinct(), keys, "node"), "items")
+    roots = classes(items, within, ("b1", "b2"), wide)
+    named = materialize(items.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("root")), "named")
+    placed = materialize(rows.join(named, keys).select("_file", "_row", "doc_id", "root"), "placed")
+    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    drops = materialize(placed.join(firsts, "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first")).select("_file", "_row"), "drops")
+    drops = F.broadcast(drops) if drops.count() <= BROADCAST_DROPS else drops
+    return keyed(docs).join(drops, ["_file", "_row"], "left_anti").select(*docs.columns)
 
 
 ship(__name__)
