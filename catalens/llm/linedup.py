@@ -7,13 +7,15 @@ line number); duplicates are taken out of their documents, the earliest stays.
 1. Equal lines are grouped by a 128-bit hash; a row stands for each line.
 2. Two lines within one edit share a half (pigeonhole, by exact length), so only
    lines that share a half with another line go on. Nothing is lost by this.
-3. Those emit their deletion neighbourhood as hashed keys. A key hashes what is
+3. Of those, only lines that agree with another one apart from one of ``PARTS``
+   stretches go on: the neighbourhood of coarse deletions, as lossless.
+4. Those emit their deletion neighbourhood as hashed keys. A key hashes what is
    before the character's stretch of ``STRETCH`` characters, the stretch without
    the character, and what is after, so a line costs far less than its square.
    Lines that give the same key at the same place differ in that one character:
    all are joined to the earliest of them, without pairs. Keys of one deletion
    are joined with the keys of undeleted lines for insertions.
-4. Joined lines are read again and the edit distance is verified.
+5. The edit distance of joined lines is verified.
 
 Defined cases: a null text stays null; an empty text stays empty; lines end at
 LF only; shorter lines are never touched; a document that loses all lines has an
@@ -31,6 +33,7 @@ from catalens.llm.common import keyed, scanned
 from catalens.shared import materialize, numbered
 
 LEAST = 20
+PARTS = 16
 STRETCH = 64
 BROADCAST_LINES = 200_000
 LINE = ["h1", "h2"]
@@ -51,6 +54,16 @@ def halves() -> Column:
     return F.array(*out)
 
 
+def stretches() -> Column:
+    """Keys of a line without one of ``PARTS`` stretches, as one of its length and as the longer of a pair."""
+    out = []
+    for n in ("len", "(len - 1)"):
+        for j in range(PARTS):
+            start, end = f"cast(floor({j} * {n} / {PARTS}) AS int)", f"cast(floor({j + 1} * {n} / {PARTS}) AS int)"
+            out.append(F.expr(f"xxhash64({n}, {j}, substring(line, 1, {start}), right(line, {n} - {end}))"))
+    return F.array(*out)
+
+
 def neighbourhood(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys of one deletion (key, at, ord) and of none (key, ord)."""
     b = STRETCH
@@ -82,24 +95,31 @@ def duplicates(docs: DataFrame) -> DataFrame:
     )
     keys = distinct.select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = keys.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in LINE]).filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("key")
-    some = materialize(keys.join(shared, "key", "left_semi").select(*LINE).distinct().join(distinct.select(*LINE, "first"), LINE), "candidates")
-    n_some = some.count()
-    pick = F.broadcast(some) if n_some <= BROADCAST_LINES else some
-    texts = lines.select(*LINE, "line", "len", place.alias("here")).join(pick, LINE).filter(F.col("here") == F.col("first")).drop("here")
-    ordered = numbered(texts.select("*", "first.*"), ["doc_id", "th", "_file", "_row", "pos"], "ord").select(*LINE, "line", "len", "ord")
-    ordered = materialize(ordered, "candidates")
-    deleted, whole = neighbourhood(ordered)
+    some = keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct().join(distinct.select(*LINE, "first"), LINE)
+    some = numbered(some.select(*LINE, "first", "first.*"), ["doc_id", "th", "_file", "_row", "pos"], "ord").select(*LINE, "first", "ord")
+    texts = lines.select(*LINE, "line", "len", place.alias("here")).join(small(some), LINE).filter(F.col("here") == F.col("first"))
+    texts = materialize(texts.select(*LINE, "line", "len", "ord"), "candidates")
+    parts = texts.select("ord", F.explode(stretches()).alias("key"))
+    alike = parts.groupBy("key").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low <> high").select("key")
+    close = materialize(texts.join(small(materialize(parts.join(alike.hint("merge"), "key", "left_semi").select("ord").distinct(), "alike")), "ord", "left_semi"), "close")
+    # Joins of exploded rows are merge joins: the planner takes their size for that of the few lines they come from.
+    deleted, whole = neighbourhood(close)
     firsts = deleted.groupBy("key", "at").agg(F.min("ord").alias("a"), F.max("ord").alias("last")).filter("a <> last").select("key", "at", "a")
-    swapped = deleted.join(firsts, ["key", "at"]).filter("ord <> a").select("a", F.col("ord").alias("b"))
-    longer = deleted.join(whole.withColumnRenamed("ord", "other"), "key").filter("ord <> other").select(F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b"))
-    pairs = materialize(swapped.unionByName(longer).distinct(), "pairs")
-    one, two = (ordered.select(F.col("ord").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b"))
-    near = pairs.join(one, "a").join(two, "b").filter("levenshtein(line_a, line_b, 1) BETWEEN 0 AND 1").select(F.col("b").alias("ord")).distinct().join(ordered.select("ord", *LINE), "ord").select(*LINE, F.lit(True).alias("near"))
-    judged = distinct.join(near, LINE, "left").filter("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    judged = materialize(judged, "judged")
+    swapped = deleted.join(firsts.hint("merge"), ["key", "at"]).filter("ord <> a").select("a", F.col("ord").alias("b"))
+    longer = deleted.join(whole.withColumnRenamed("ord", "other").hint("merge"), "key").filter("ord <> other").select(F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b"))
+    one = close.select(F.col("ord").alias("a"), F.col("line").alias("earlier"))
+    two = close.select(F.col("ord").alias("b"), F.col("line").alias("later"), *LINE)
+    near = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
+    near = materialize(near.select(*LINE, F.lit(True).alias("near")).distinct(), "near")
+    judged = distinct.join(small(near), LINE, "left").filter("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("_file", "_row", "pos", *LINE, place.alias("here")).join(judged, LINE).filter("near OR here <> first").select("_file", "_row", "pos")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` marked to be broadcast where they are few; beyond that both sides are dealt out."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else rows
+
+
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text``, and _lines and _dropped, their numbers."""
     docs = scanned(docs)
