@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from catalens.operators import queries as catalog
+from catalens.plans import queries as statements
+from catalens.streaming import snapshots
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog.QUERIES | statements.QUERIES | {
+    "stream_event_counts": lambda spark, sf_dir: snapshots.event_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("CAST(start AS timestamp_ntz) AS start", "event_type", "n", "round(total, 4) AS total"),
+}
+ORACLES: dict[str, str] = catalog.ORACLES | statements.ORACLES | {
+    "stream_event_counts": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their value by nation."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    joined = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+    return QUERIES["qry_session"](spark, sf_dir)
