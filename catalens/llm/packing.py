@@ -283,7 +283,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, smallest: int =
 
     spot = "array<struct<rel:int,length:int,sequence_id:bigint,offset:bigint,tier:int,step_group:bigint>>"
     rests = (
-        tok.select("row", "doc_id", "doc_tokens", "rest_sum", "rest").join(spots, "row")
+        tok.select("row", "doc_id", "doc_tokens", "rest_sum", "rest").join(spots.hint("merge"), "row")
         .mapInArrow(sums, f"row long, doc_id long, doc_tokens long, spots {spot}, crcs array<long>")
         .select("doc_id", "doc_tokens", F.explode(F.arrays_zip("spots", "crcs")).alias("p"))
         .select(
