@@ -118,7 +118,7 @@ def scope(option: list[str] | None, configured: str | None) -> list[str]:
 
 def names_from_files(spark: SparkSession, root: str) -> DataFrame:
     """(schema, table, column) that a dictionary's files tell: columns from CREATE TABLE blocks, other files names only."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(root).select("value", F.input_file_name().alias("f"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql").select("value", F.input_file_name().alias("f"))
     at = files.select("value", F.regexp_extract("f", r"/([^/]+)/(tables|views)/([^/]+)\.sql$", 1).alias("schema"), F.regexp_extract("f", r"/(tables|views)/", 1).alias("kind"), F.regexp_extract("f", r"/([^/]+)\.sql$", 1).alias("table"))
     at = at.filter((F.col("kind") != "") & ~F.col("schema").rlike("^[_.]"))
     block = F.regexp_extract("value", r"(?s)CREATE TABLE [^\n]*\(\n(.*?)\n\)", 1)
