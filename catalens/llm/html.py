@@ -31,6 +31,8 @@ BROADCAST_HOSTS = 20_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 SKIPPED = frozenset("head nav footer aside form script style noscript iframe svg button select option textarea template title dialog menu canvas object embed audio video map".split())
@@ -47,7 +49,7 @@ ENDS = {
 }
 #: Words of a class, id or role that mark what is no main text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner promo promoted promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification notifications popup modal overlay "
+    "ad ads adsbygoogle advert adverts advertisement advertising adbox adslot banner promo promoted promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification notifications popup modal overlay "
     "newsletter subscribe subscription share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager nav navbar navigation navigations menu menus menubar topbar toolbar header masthead footer "
     "sidebar sidebars aside widget widgets login signin signup search searchbox copyright legal skip complementary contentinfo alert alertdialog dialog".split()
 )
@@ -66,10 +68,11 @@ class Node:
 
 def attributes(raw: str) -> tuple[frozenset, str, bool]:
     """Words of class, id and role; the generalised class; whether the element is hidden."""
+    hidden = bool(HIDDEN.search(raw))
     if "=" not in raw:
-        return frozenset(), "", False
+        return frozenset(), "", hidden
     words: set[str] = set()
-    name, hidden = "", False
+    name = ""
     for key, value in ATTRIBUTE.findall(raw):
         key, value = key.lower(), value.strip("\"'")
         if key == "style":
@@ -171,7 +174,10 @@ def judged(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         n.marked = inside
         drop = n.tag in SKIPPED or (n.tag == "header" and not inside)
         if not drop and n.words and n.tag not in ("html", "body", "main"):
-            drop = bool(n.words & TALK) or (n.tag != "article" and bool(n.words & MARKS) and n.text < 0.7 * whole and not (n.tag in ("h1", "h2") or (n.tag == "header" and inside and not n.words & (MARKS - {"header"}))))
+            marks = n.words & MARKS
+            # an article's own head ("entry-header") is part of it
+            marks = frozenset() if marks == {"header"} and (inside or n.words & GOOD) else marks
+            drop = bool(n.words & TALK) or (bool(marks) and n.tag not in ("article", "h1", "h2") and n.text < 0.7 * whole)
         n.skip = n.skip or p.skip or drop
     for node, text in items:
         if text and not node.skip and not node.link:
@@ -249,7 +255,7 @@ def extract(page: str | None, path: str | None) -> str:
         return ""
     if path is not None and path != own.path:
         found = [n for n in nodes if n.path == path and not n.skip]
-        if found and 2 * sum(n.good for n in found) >= own.good:
+        if found and 4 * sum(n.good for n in found) >= own.good:
             return text_under(items, {id(n) for n in found})
     return text_under(items, {id(own)})
 

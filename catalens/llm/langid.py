@@ -62,8 +62,9 @@ def presence(text: str | None, fold_table: np.ndarray) -> np.ndarray | None:
     space = a == 32
     if space.all():
         return None
-    a = a[~(space & np.concatenate(([True], space[:-1])))]
     a = np.concatenate((np.array([32], np.uint32), a, np.array([32], np.uint32)))
+    space = a == 32
+    a = a[~(space & np.concatenate(([False], space[:-1])))]
     out = np.zeros(DIM, bool)
     h = np.zeros(len(a), np.uint32)
     for n in range(1, ORDERS + 1):

@@ -91,7 +91,7 @@ def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK
     room = {k: (end // period * slots[k] + sum(a < end % period for a in mine[k])) * block for k in counts}
     names = sorted(counts, key=lambda k: (k is not None, str(k)))
     sources = spark.createDataFrame([(i, k, found[k][0], counts[k], slots[k], room[k]) for i, k in enumerate(names)], "_s int, _name string, _base long, _n long, _slots long, _room long")
-    places = spark.createDataFrame([(names.index(k), j, a) for k in names for j, a in enumerate(mine[k])], "_s int, _j long, _slot long")
+    places = spark.createDataFrame([(i, j, a) for i, k in enumerate(names) for j, a in enumerate(mine[k])], "_s int, _j long, _slot long")
     used = (
         ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_rank", F.col("idx") - F.col("_base"))

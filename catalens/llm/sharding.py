@@ -71,25 +71,30 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     item = F.pmod(F.xxhash64(F.lit(3), "group"), F.lit(PARCELS * shards))
     owners = spark.createDataFrame([(r["group"],) for r in heavy], "group long")
     parcels = rows.join(F.broadcast(owners), "group", "left_anti").groupBy(item.alias("parcel")).agg(*sums).collect()
-    items, vectors = [], []
-    pieces = {}
+    vector = lambda r: np.array([r["bytes"], r["tokens"], r["rows"]], float)
+    items, vectors, pieces = [], [], {}
     for r in heavy:
-        v = np.array([r["bytes"], r["tokens"], r["rows"]], float)
-        over = float((v / whole).max() * shards)
-        pieces[r["group"]] = n = max(1, min(r["rows"], int(np.ceil(over * PIECES)))) if over > 1 else 1
-        for k in range(n):
-            items.append((r["group"], None, k))
-            vectors.append(v / n)
+        over = float((vector(r) / whole).max() * shards)
+        pieces[r["group"]] = max(1, min(r["rows"], int(np.ceil(over * PIECES)))) if over > 1 else 1
+        if pieces[r["group"]] == 1:
+            items.append((r["group"], None, 0))
+            vectors.append(vector(r))
+    cut = spark.createDataFrame([(g, n) for g, n in pieces.items()], "group long, pieces int")
+    piece = F.pmod(F.xxhash64(F.lit(5), "doc_id", "group"), F.col("pieces")).cast("int")
+    if any(n > 1 for n in pieces.values()):
+        # at most 3 x shards groups are over a share, of PIECES pieces a share
+        for r in rows.join(F.broadcast(cut.filter("pieces > 1")), "group").groupBy("group", piece.alias("piece")).agg(*sums).collect():
+            items.append((r["group"], None, r["piece"]))
+            vectors.append(vector(r))
     for r in parcels:
         items.append((None, r["parcel"], 0))
-        vectors.append(np.array([r["bytes"], r["tokens"], r["rows"]], float))
+        vectors.append(vector(r))
     where = place(np.array(vectors).reshape(-1, 3), shards)
-    cut = spark.createDataFrame([(g, n) for g, n in pieces.items()], "group long, pieces int")
     own = spark.createDataFrame([(g, k, int(s)) for (g, _, k), s in zip(items, where) if g is not None], "group long, piece int, own_shard int")
     shared = spark.createDataFrame([(p, int(s)) for (_, p, _), s in zip(items, where) if p is not None], "parcel long, parcel_shard int")
     placed = (
         rows.join(F.broadcast(cut), "group", "left")
-        .withColumn("piece", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("pieces")).cast("int"))
+        .withColumn("piece", piece)
         .withColumn("parcel", item)
         .join(F.broadcast(own), ["group", "piece"], "left")
         .join(F.broadcast(shared), "parcel", "left")
