@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, within: int = 4) -> DataFra
     rows = materialize(fingerprints(docs, words), "fingerprints")
     items = materialize(rows.groupBy(F.col("fp").alias("node")).agg(F.first("fp").alias("fp"), F.min("doc_id").alias("rep")), "items")
     known = classes(items, within).join(items, "node").select("node", "root", "rep")
-    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # Written first, so that a root of very many nodes is a join's key, which can be split, and no aggregate's.
+    known = materialize(known, "known")
+    least = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = known.join(least, "root").select("node", "component_id")
     whole = materialize(items.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -301,7 +303,7 @@ def first_of_each(docs: DataFrame, within: int = 10, wide: int = 28) -> DataFram
     roots = classes(items, within, ("b1", "b2"), wide)
     named = materialize(items.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("root")), "named")
     placed = materialize(rows.join(named, keys).select("_file", "_row", "doc_id", "root"), "placed")
-    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
     drops = materialize(placed.join(firsts, "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first")).select("_file", "_row"), "drops")
     drops = F.broadcast(drops) if drops.count() <= BROADCAST_DROPS else drops
     return keyed(docs).join(drops, ["_file", "_row"], "left_anti").select(*docs.columns)
