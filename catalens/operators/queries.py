@@ -61,6 +61,14 @@ def _p(rows) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rows(parts_of(facts(spark)))
 
 
+def _fp(rows) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = facts(spark)
+        return rows(f, parts_of(f))
+
+    return run
+
+
 def add(name: str, query, oracle: str | None = None) -> None:
     QUERIES[name] = query
     if oracle:
@@ -145,11 +153,10 @@ add("jn_trigger_fn", _p(lambda p: semantics.trigger_functions(p["triggers"], p["
     LEFT JOIN fns f ON f.schema = x.fs AND f.name = x.fn AND (f.identity_args = '' OR NOT EXISTS (SELECT 1 FROM fns z WHERE z.schema = f.schema AND z.name = f.name AND z.identity_args = ''))""".replace("\\\\", "\\")))
 add("jn_constraint_index", _p(lambda p: p["constraints"].filter("type IN ('p', 'u', 'x')").join(p["indexes"].select("schema", "table", "name", "tablespace"), ["schema", "table", "name"], "left").select("schema", "table", "name", "tablespace")), _cat(
     """SELECT t.schema, t.name AS "table", conname AS name, ts.spcname AS tablespace FROM pg_constraint k JOIN tabs t ON t.oid = k.conrelid LEFT JOIN pg_class c ON c.relname = k.conname AND c.relkind = 'i' LEFT JOIN pg_tablespace ts ON ts.oid = c.reltablespace WHERE contype IN ('p', 'u', 'x')"""))
-_conf = lambda f: f["confirmed"]
-add("jn_confirm_excl", lambda s, d: inference.candidates(_top(parts_of(facts(s))), _cols(parts_of(facts(s))), facts(s)["confirmed"], semantics.annotated(_cols(parts_of(facts(s))))), _cat(
+add("jn_confirm_excl", _fp(lambda f, p: inference.candidates(_top(p), _cols(p), f["confirmed"], semantics.annotated(_cols(p)))), _cat(
     """SELECT source, target, CASE WHEN min(p) = 0 THEN 'column_name' ELSE 'comment_ref' END AS signal FROM (SELECT source, target, 0 AS p FROM byname UNION ALL SELECT source, target, 1 FROM bycomment) x
     WHERE (source, target) NOT IN (SELECT (source, target) FROM confirmed) AND (source, target) NOT IN (SELECT (source, target) FROM ann) GROUP BY source, target""", "confirmed"))
-add("jn_stale_confirm", lambda s, d: inference.stale(_cols(parts_of(facts(s))), facts(s)["confirmed"]), _cat("""SELECT source, target FROM confirmed WHERE source NOT IN (SELECT schema || '.' || "table" || '.' || name FROM tcols)""", "confirmed"))
+add("jn_stale_confirm", _fp(lambda f, p: inference.stale(_cols(p), f["confirmed"])), _cat("""SELECT source, target FROM confirmed WHERE source NOT IN (SELECT schema || '.' || "table" || '.' || name FROM tcols)""", "confirmed"))
 
 # --- Aggregates ------------------------------------------------------------
 add("agg_array_ordered", QUERIES["jn_corr_nest"], ORACLES["jn_corr_nest"])
@@ -172,11 +179,11 @@ add("sem_relations", _p(lambda p: semantics.annotated(_cols(p))), _cat("SELECT s
 add("sem_enums", _p(lambda p: semantics.enums(_cols(p))), _cat(r"""SELECT DISTINCT "column", trim(split_part(e, '=', 1)) AS value, trim(split_part(e, '=', 2)) AS meaning FROM (SELECT schema || '.' || "table" || '.' || name AS "column", unnest(regexp_extract_all(comment, '-?[0-9]+\s*=\s*[^,;，；/\s)）]+')) AS e FROM tcols)"""))
 add("sem_sensitive", _p(lambda p: semantics.sensitive(_cols(p))), _cat(r"""SELECT DISTINCT schema || '.' || "table" || '.' || name AS "column", coalesce(regexp_matches(comment, '脱敏|密文|哈希|加密|hash|encrypt', 'i'), false) AS declared_safe FROM tcols WHERE regexp_matches(name, 'password|passwd|pwd|token|secret|mobile|phone|email|id_card|idcard', 'i')"""))
 add("sem_er_diagram", _p(lambda p: semantics.diagram(semantics.annotated(_cols(p))).select("line")), _cat("""SELECT '    ' || split_part(target, '.', 1) || '_' || split_part(target, '.', 2) || ' ||--o{ ' || split_part(source, '.', 1) || '_' || split_part(source, '.', 2) || ' : "' || min(split_part(source, '.', 3)) || '"' AS line FROM ann GROUP BY split_part(source, '.', 1), split_part(source, '.', 2), split_part(target, '.', 1), split_part(target, '.', 2)"""))
-add("sem_report", lambda s, d: semantics.merged_relations(semantics.annotated(_cols(parts_of(facts(s)))), facts(s)["confirmed"]), _cat("SELECT source, target FROM ann UNION SELECT source, target FROM confirmed WHERE NOT ignored", "confirmed"))
+add("sem_report", _fp(lambda f, p: semantics.merged_relations(semantics.annotated(_cols(p)), f["confirmed"])), _cat("SELECT source, target FROM ann UNION SELECT source, target FROM confirmed WHERE NOT ignored", "confirmed"))
 add("inf_column_name", QUERIES["jn_stem"], ORACLES["jn_stem"])
 add("inf_comment_ref", QUERIES["jn_bare_ref"], ORACLES["jn_bare_ref"])
 add("inf_candidates", QUERIES["jn_confirm_excl"], ORACLES["jn_confirm_excl"])
-add("inf_pending_sql", lambda s, d: inference.pending(_cols(parts_of(facts(s))), facts(s)["confirmed"]), _cat("""SELECT c.source, 'COMMENT ON COLUMN ' || c.source || ' IS ''逻辑关联 ' || c.target || ''';' AS statement FROM confirmed c JOIN tcols t ON t.schema || '.' || t."table" || '.' || t.name = c.source WHERE NOT c.ignored AND (c.source, c.target) NOT IN (SELECT (source, target) FROM ann)""", "confirmed"))
+add("inf_pending_sql", _fp(lambda f, p: inference.pending(_cols(p), f["confirmed"])), _cat("""SELECT c.source, 'COMMENT ON COLUMN ' || c.source || ' IS ''逻辑关联 ' || c.target || ''';' AS statement FROM confirmed c JOIN tcols t ON t.schema || '.' || t."table" || '.' || t.name = c.source WHERE NOT c.ignored AND (c.source, c.target) NOT IN (SELECT (source, target) FROM ann)""", "confirmed"))
 add("gap_report", _p(lambda p: semantics.gaps(p["tables"], p["columns"], p["functions"])), _cat(
     r"""SELECT 'table' AS kind, schema || '.' || name AS name FROM top WHERE trim(coalesce(comment, '')) = '' UNION SELECT 'column', schema || '.' || "table" || '.' || name FROM tcols WHERE trim(coalesce(comment, '')) = '' UNION
     SELECT 'function', schema || '.' || name || '(' || identity_args || ')' FROM fns WHERE trim(coalesce(comment, '')) = '' UNION

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 APP, EXT, SYS = 1, 2, 3
@@ -128,8 +129,16 @@ CONFIRMED = [("shop.order_items.order_id", "shop.orders.id", False), ("shop.orde
 FACTS["confirmed"] = ("source string, target string, ignored boolean", CONFIRMED)
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
 def facts(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame(rows, columns) for name, (columns, rows) in FACTS.items()}
+    """The facts as local relations, whose sizes the planner knows: their joins are broadcast joins."""
+    out = {}
+    for name, (columns, rows) in FACTS.items():
+        fields = [c.strip().split(" ") for c in columns.split(",")]
+        out[name] = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], _ARROW[k]) for i, (_, k) in enumerate(fields)], names=[f for f, _ in fields]))
+    return out
 
 
 def _literal(value: Any, kind: str) -> str:
