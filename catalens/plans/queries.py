@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.plans import check, guard, session
+from catalens.operators import candidates, collect
+from catalens.plans import check, entry, guard, session
+from catalens.sources import documents, sinks
+from catalens.sources.fixture import facts
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +134,34 @@ _fixed("chk_position", _positions, [(2, 3)], "line, col")
 QUERIES["qry_explain"] = lambda s, d: (register(s, d), session.query(s, "EXPLAIN SELECT * FROM nation").df)[1]
 QUERIES["qry_show"] = lambda s, d: (register(s, d), session.query(s, "SHOW TABLES").df.filter("isTemporary").select(F.col("tableName").alias("name")).filter(F.col("name").isin(*TABLES)))[1]
 ORACLES["qry_show"] = _sql_rows([(t,) for t in TABLES], "name")
+
+
+def _diagnosed(sql: str, *fields: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        f = facts(spark)
+        d = check.check(spark, sql, candidates.column_names(collect.columns(f)), candidates.table_names(collect.tables(f), collect.views(f)))
+        values = {**d.as_dict(), "result_types": ",".join(d.result_types) if d.result_types is not None else None, "first": d.candidates[0]["name"] if d.candidates else None, "hinted": d.suggestion is not None}
+        return spark.createDataFrame([tuple(values[x] for x in fields)], ", ".join(f"{x} {'int' if x == 'exit_code' else 'boolean' if x == 'hinted' else 'string'}" for x in fields))
+
+    return run
+
+
+_fixed("chk_prepare", _diagnosed("INSERT INTO nation SELECT * FROM nation", "exit_code", "result_types"), [(0, None)], "exit_code, result_types")
+_fixed("chk_snapshot", _diagnosed("SELECT n_name, count(*) AS n FROM nation GROUP BY n_name", "exit_code", "result_types"), [(0, "string,bigint")], "exit_code, result_types")
+_fixed("chk_sqlstate", _diagnosed("SELECT n_name FROM nation GROUP BY n_regionkey", "exit_code", "sqlstate"), [(4, "42803")], "exit_code, sqlstate")
+_fixed("chk_hint", _diagnosed("SELECT n_nam FROM nation", "sqlstate", "hinted"), [("42703", True)], "sqlstate, hinted")
+_fixed("chk_suggests_column", _diagnosed("SELECT emial FROM nation", "sqlstate", "first"), [("42703", "shop.users.email")], "sqlstate, first")
+_fixed("chk_suggests_table", _diagnosed("SELECT 1 FROM userz", "sqlstate", "first"), [("42P01", "shop.users")], "sqlstate, first")
+_fixed("chk_empty_snapshot", _diagnosed("SELECT 1", "exit_code", "sqlstate"), [(0, None)], "exit_code, sqlstate")
+_fixed("chk_version", lambda s, d: _rows(s, [(v, entry.version_ok(v)) for v in ("3.4.1", "3.5.0", "4.1.2")], "v string, ok boolean"), [("3.4.1", False), ("3.5.0", True), ("4.1.2", True)], "v, ok")
+_fixed("src_sql", lambda s, d: _rows(s, [(guard.evaluate(" SELECT 1 ; ").sql,)], "sql string"), [("SELECT 1",)], "sql")
+_fixed("src_config", lambda s, d: _rows(s, sorted(documents.settings("PGPORT=6\n# note\nPGPORT=7\nNOPE=1").items()), "k string, v string"), [("LOCAL_PORT", "15432"), ("PGPORT", "7"), ("RO_DEFAULT_LIMIT", "200"), ("SSH_PORT", "22")], "k, v")
+_fixed("src_confirmed", lambda s, d: documents.confirmed(s, "# by hand\n- source: a.b.c\n  target: d.e.f\n- source: a.b.c\n  target: d.e.f\n- source: x.y\n  target: d.e.f\n- source: g.h.i\n  target: d.e.f\n  ignore: true\n")[0], [("a.b.c", "d.e.f", False), ("g.h.i", "d.e.f", True)], "source, target, ignored")
+_fixed("src_csv_stream", lambda s, d: _rows(s, [sinks.cut_csv('a\n"x\ny"\n', 5)[1:]], "n int, truncated boolean"), [(1, False)], "n, truncated")
+_fixed("snk_csv", lambda s, d: _rows(s, [(sinks.csv_text(["a", "b"], [(1, None), (2, "")]),)], "text string"), [('a,b\n1,\n2,""\n',)], "text")
+_fixed("snk_text", lambda s, d: _rows(s, [sinks.cut_lines("plan\nmore\n", 1)], "text string, n int, truncated boolean"), [("plan\n", 1, True)], "text, n, truncated")
+_fixed("snk_preview", lambda s, d: _rows(s, [(sinks.preview("f.csv", "h\n1\n", True),)], "text string"), [("f.csv\nh\n1\n… (truncated, see .meta)\n",)], "text")
+_fixed("snk_diag", lambda s, d: _rows(s, [(entry.told(check.Diagnosis(4, "42703", "no column", position={"line": 2, "column": 3}, candidates=[{"name": "a.b", "similarity": 0.8}])),)], "text string"), [("42703: no column\nat line 2, column 3\nclose: a.b (0.8)",)], "text")
+_fixed("snk_object_file", lambda s, d: _rows(s, [(sinks.merged(sinks.merged(None, "-- h\n", {"a": "1\n"}) + "-- mine\n", "-- h\n", {"a": "2\n", "b": "3\n"}),)], "text string"), [("-- h\n" + sinks.block("a", "2\n") + "-- mine\n" + sinks.block("b", "3\n"),)], "text")
+_fixed("snk_orphan", lambda s, d: _rows(s, [(sinks.notes("-- h\n" + sinks.block("a", "1\n") + "-- mine\n", "-- h\n"), sinks.notes("-- h\n" + sinks.block("a", "1\n"), "-- h\n"))], "kept string, none string"), [("-- mine", "")], "kept, none")
