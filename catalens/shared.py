@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(written_table: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A written table of narrow rows, marked to be broadcast if it has at most ``rows`` of them.
+
+    Beyond that it is returned as it is, and a join deals both sides out.
+    """
+    return F.broadcast(written_table) if written_table.count() <= rows else written_table
+
+
 def written() -> int:
     """How many intermediate tables there are so far."""
     return len(_written)
