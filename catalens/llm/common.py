@@ -26,7 +26,19 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+#: Rows that a reader or a Python worker holds at once. Texts are long: at Spark's defaults one batch has tens of MB.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch sizes to ``BATCHES``, where they are higher."""
+    for key, most in BATCHES.items():
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

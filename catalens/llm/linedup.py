@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.common import keyed, scanned
-from catalens.shared import materialize, numbered
+from catalens.shared import materialize, numbered, small
 
 LEAST = 20
 PARTS = 16
 STRETCH = 64
-BROADCAST_LINES = 200_000
+MOST_BROADCAST = 2_000_000
 LINE = ["h1", "h2"]
 
 
@@ -95,9 +95,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     )
     keys = distinct.select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = keys.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in LINE]).filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("key")
-    some = keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct().join(distinct.select(*LINE, "first"), LINE)
+    some = materialize(keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct(), "some")
+    some = distinct.select(*LINE, "first").join(small(some), LINE)
     some = numbered(some.select(*LINE, "first", "first.*"), ["doc_id", "th", "_file", "_row", "pos"], "ord").select(*LINE, "first", "ord")
-    texts = lines.select(*LINE, "line", "len", place.alias("here")).join(small(some), LINE).filter(F.col("here") == F.col("first"))
+    texts = lines.select(*LINE, "line", "len", place.alias("here")).join(small(materialize(some, "firsts")), LINE).filter(F.col("here") == F.col("first"))
     texts = materialize(texts.select(*LINE, "line", "len", "ord"), "candidates")
     parts = texts.select("ord", F.explode(stretches()).alias("key"))
     alike = parts.groupBy("key").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low <> high").select("key")
@@ -112,18 +113,16 @@ def duplicates(docs: DataFrame) -> DataFrame:
     near = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
     near = materialize(near.select(*LINE, F.lit(True).alias("near")).distinct(), "near")
     judged = distinct.join(small(near), LINE, "left").filter("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = small(materialize(judged, "judged"))
     return lines.select("_file", "_row", "pos", *LINE, place.alias("here")).join(judged, LINE).filter("near OR here <> first").select("_file", "_row", "pos")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """``rows`` marked to be broadcast where they are few; beyond that both sides are dealt out."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else rows
-
-
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text``, and _lines and _dropped, their numbers."""
     docs = scanned(docs)
-    drops = duplicates(docs).groupBy("_file", "_row").agg(F.collect_list("pos").alias("_drop"))
+    drops = materialize(duplicates(docs).groupBy("_file", "_row").agg(F.collect_list("pos").alias("_drop")), "drops")
+    total = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
+    drops = small(drops) if total <= MOST_BROADCAST else drops
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
     text = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(_kept, i -> _parts[i]), '\n')"))

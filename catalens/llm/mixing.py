@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.common import keyed, scanned
-from catalens.shared import numbered
+from catalens.shared import materialize, numbered, small
 
 BLOCK = 8
 PERIOD = 2048
@@ -108,6 +108,6 @@ def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK
 def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
     """The rows of ``docs`` in mixture order, those of sources over their natural share more than once."""
     docs = scanned(docs)
-    uses = schedule(docs, weights, block, temper).select("_file", "_row", "position")
+    uses = small(materialize(schedule(docs, weights, block, temper).select("_file", "_row", "position"), "uses"))
     return keyed(docs).join(uses, ["_file", "_row"]).drop("_file", "_row").repartitionByRange("position").sortWithinPartitions("position").drop("position")
 

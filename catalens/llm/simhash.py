@@ -35,14 +35,12 @@ from pyspark.sql import functions as F
 
 from catalens.llm.common import keyed, scanned, ship, slices
 from catalens.llm.components import components
-from catalens.shared import materialize, numbered
+from catalens.shared import materialize, numbered, small
 
 BLOCK = 4096
 SAMPLE = 20_000
 SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.004
-HOT_BROADCAST = 50_000
-BROADCAST_DROPS = 500_000
 
 
 # --- Fingerprints ----------------------------------------------------------
@@ -217,9 +215,8 @@ def links(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int =
     longs = ", ".join(f"{c} long" for c in carried)
     dealt = items.select(*carried).mapInArrow(keys, f"mask int, value long, {longs}")
     hot = materialize(dealt.groupBy("mask", "value").count().filter(F.col("count") > BLOCK), "hot")
-    if n_hot := hot.count():
-        hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
-        dealt = dealt.join(hot, ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
+    if hot.count():
+        dealt = dealt.join(small(hot), ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
         dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("mask", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *carried)
     else:
@@ -272,9 +269,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, within: int = 4) -> DataFra
     # Written first, so that a root of very many nodes is a join's key, which can be split, and no aggregate's.
     known = materialize(known, "known")
     least = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = known.join(least, "root").select("node", "component_id")
+    named = known.join(small(least), "root").select("node", "component_id")
     whole = materialize(items.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(small(whole), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, within: int = 10, wide: int = 28) -> DataFrame:
@@ -302,11 +299,10 @@ def first_of_each(docs: DataFrame, within: int = 10, wide: int = 28) -> DataFram
     items = materialize(numbered(rows.select(*keys).distinct(), keys, "node"), "items")
     roots = classes(items, within, ("b1", "b2"), wide)
     named = materialize(items.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("root")), "named")
-    placed = materialize(rows.join(named, keys).select("_file", "_row", "doc_id", "root"), "placed")
+    placed = materialize(rows.join(small(named), keys).select("_file", "_row", "doc_id", "root"), "placed")
     firsts = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
-    drops = materialize(placed.join(firsts, "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first")).select("_file", "_row"), "drops")
-    drops = F.broadcast(drops) if drops.count() <= BROADCAST_DROPS else drops
-    return keyed(docs).join(drops, ["_file", "_row"], "left_anti").select(*docs.columns)
+    drops = materialize(placed.join(small(firsts), "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first")).select("_file", "_row"), "drops")
+    return keyed(docs).join(small(drops), ["_file", "_row"], "left_anti").select(*docs.columns)
 
 
 ship(__name__)
