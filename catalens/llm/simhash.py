@@ -38,6 +38,7 @@ from catalens.llm.components import components
 from catalens.shared import materialize, numbered, small
 
 BLOCK = 4096
+MARKS = 1 << 20
 SAMPLE = 20_000
 SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.004
@@ -274,30 +275,117 @@ def near_duplicates(docs: DataFrame, words: int = 4, within: int = 4) -> DataFra
     return rows.join(small(whole), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, within: int = 10, wide: int = 28) -> DataFrame:
+# --- One document of each group of near copies ------------------------------
+
+
+def marks(text: str | None) -> np.ndarray:
+    """The hashes of a text's distinct five-word shingles, ascending."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles(text, 5))], np.uint64))
+
+
+def similar(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Components of sets linked by an exact Jaccard similarity of ``least``, as (smallest node, other)."""
+    order = np.argsort(nodes)
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(order)), sizes)
+    ends = np.cumsum(sizes)
+    left, rest, whose = np.ones(len(order), bool), ids, owner
+    has = np.zeros(ids.max(initial=-1) + 1, bool)
+    most, out = round(least * 10**6), []
+    for root in range(len(order)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            own = ids[ends[at] - sizes[at] : ends[at]]
+            has[own] = True
+            both = np.bincount(whose[has[rest]], minlength=len(order))
+            has[own] = False
+            found = np.flatnonzero(left & (both > 0) & (both * 10**6 >= most * (sizes + sizes[at] - both)))
+            if len(found):
+                left[found] = False
+                still = left[whose]
+                rest, whose = rest[still], whose[still]
+                todo.extend(found.tolist())
+                out.extend((int(nodes[order[root]]), int(nodes[order[k]])) for k in found)
+    return out
+
+
+def verified(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links by exact similarity inside each root of ``sets`` (root, node, n, marks), a written table.
+
+    Each root's sets meet in one group; roots of over ``MARKS`` hashes are cut
+    into blocks, each pair of blocks a group of its own.
+    """
+    hot = materialize(sets.groupBy("root").agg(F.ceil(F.sum("n") / MARKS).cast("int").alias("blocks")).filter("blocks > 1"), "hot")
+    if hot.count():
+        dealt = sets.join(small(hot), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "marks")
+    else:
+        dealt = sets.select("root", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", "marks")
+    key = ["root", "x", "y"]
+
+    def search(batches):
+        nodes: list[int] = []
+        held: list[np.ndarray] = []
+        at = None
+
+        def batch():
+            out = similar(np.array(nodes), held, least) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in [*key, "node"]]
+            lists = b.column("marks")
+            for i, (*k, node) in enumerate(zip(*cols)):
+                if k != at:
+                    yield batch()
+                    nodes, held, at = [], [], k
+                nodes.append(node)
+                held.append(lists[i].values.to_numpy().copy())
+        yield batch()
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
+
+
+def first_of_each(docs: DataFrame, least: float = 0.8, within: int = 10, wide: int = 28) -> DataFrame:
     """``docs`` without the near copies of an earlier row (by id, then place in the files).
 
-    Candidates are found by a fingerprint of distinct word pairs, which moves
-    little when words are replaced; they are verified by 128 bits of SimHash over
-    distinct five-word shingles: a Jaccard similarity of 0.8 gives 19 differing bits
-    in the mean, and about one pair in fifty more than 28.
+    Two texts are linked if their sets of distinct five-word shingles have a
+    Jaccard similarity of ``least``, checked exactly on the hashes. Which texts
+    are compared is found by a fingerprint of distinct word pairs and 128 bits of
+    SimHash over the shingles. Texts of equal sets are one item.
     """
     docs = scanned(docs)
 
     def run(batches):
         for b in slices(batches):
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, ...]] = []
             for t in b.column("text").to_pylist():
-                five = set(shingles(t, 5))
-                out.append((simhash(t, 2, SEED, True), majority(five, 1), majority(five, 2)))
-            cols = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column("_file"), b.column("_row"), b.column("doc_id"), *cols], ["_file", "_row", "doc_id", "fp", "b1", "b2"])
+                five, h = set(shingles(t, 5)), marks(t).tobytes()
+                digest = np.array([xxhash.xxh64_intdigest(h, 1), xxhash.xxh64_intdigest(h, 2)], np.uint64).view(np.int64).tolist()
+                out.append((*digest, simhash(t, 2, SEED, True), majority(five, 1), majority(five, 2)))
+            cols = [pa.array([o[i] for o in out], pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column("_file"), b.column("_row"), b.column("doc_id"), *cols], ["_file", "_row", "doc_id", *keys, "fp", "b1", "b2"])
+
+    def unpack(batches):
+        for b in slices(batches):
+            sets = [marks(t).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "n", "marks"])
 
-    keys = ["fp", "b1", "b2"]
-    rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_file long, _row long, doc_id long, fp long, b1 long, b2 long")
+    keys = ["d1", "d2"]
+    rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_file long, _row long, doc_id long, d1 long, d2 long, fp long, b1 long, b2 long")
     rows = materialize(rows, "fingerprints")
-    items = materialize(numbered(rows.select(*keys).distinct(), keys, "node"), "items")
-    roots = classes(items, within, ("b1", "b2"), wide)
+    one = rows.groupBy(*keys, "fp", "b1", "b2").agg(F.min(F.struct("_file", "_row")).alias("at"))
+    items = materialize(numbered(one, keys, "node"), "items")
+    coarse = classes(items, within, ("b1", "b2"), wide)
+    chosen = materialize(items.join(coarse, "node").select("node", "root", "at._file", "at._row"), "chosen")
+    sets = keyed(docs).join(small(chosen), ["_file", "_row"]).select("root", "node", "text").mapInArrow(unpack, "root long, node long, n long, marks array<long>")
+    roots = materialize(components(verified(materialize(sets, "sets"), least)), "components")
     named = materialize(items.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("root")), "named")
     placed = materialize(rows.join(small(named), keys).select("_file", "_row", "doc_id", "root"), "placed")
     firsts = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")

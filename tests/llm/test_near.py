@@ -163,6 +163,58 @@ def test_first_of_each_keeps_clean_texts_and_drops_copies(spark, tmp_path):
     assert set(range(200)) <= kept and len([i for i in kept if i >= 1000]) <= 2
 
 
+def edited(rng, words, kind, share):
+    """``words`` with a share of them changed: one by one, or the last of them as one passage."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    n = max(1, round(share * len(words)))
+    at = rng.choice(len(words), n, replace=False) if kind == "scattered" else range(len(words) - n, len(words))
+    out = list(words)
+    for k in at:
+        out[k] = word()
+    return out
+
+
+def pairs_of(rng, kind, shares, low, high, n):
+    """(text, copy) with an exact Jaccard similarity of five-word shingles in [low, high)."""
+    out = []
+    while len(out) < n:
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(rng.integers(150, 600))]
+        copy = edited(rng, words, kind, rng.uniform(*shares))
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, copy))
+        if low <= len(a & b) / len(a | b) < high:
+            out.append((" ".join(words), " ".join(copy)))
+    return out
+
+
+def kept_ids(spark, path, pairs):
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    return {r["doc_id"] for r in simhash.first_of_each(spark.read.parquet(path)).collect()}
+
+
+def test_first_of_each_keeps_texts_below_the_similarity(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    pairs = pairs_of(rng, "scattered", (0.02, 0.1), 0.62, 0.8, 60) + pairs_of(rng, "passage", (0.1, 0.3), 0.62, 0.8, 60)
+    assert kept_ids(spark, str(tmp_path / "d.parquet"), pairs) == set(range(240))
+
+
+@pytest.mark.parametrize("marks", [1 << 20, 500])
+def test_verified_links_are_exact(spark, marks, monkeypatch):
+    """Chains, sets at 0.8 exactly and hot roots that are cut into blocks."""
+    from catalens.shared import materialize
+
+    monkeypatch.setattr(simhash, "MARKS", marks)
+    rng = np.random.default_rng(7)
+    sets = [sorted({int(x) for x in rng.choice(60, rng.integers(30, 56), replace=False)}) for _ in range(60)] + [list(range(100, 109)), list(range(100, 107)) + [109, 110]]
+    sets += [list(range(200, 208)), list(range(200, 210)), list(range(200, 206))]
+    rows = [(i % 2 if i < 60 else 2, i, len(s), s) for i, s in enumerate(sets)]
+    want = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if rows[a][0] == rows[b][0] and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})]
+    found = simhash.verified(materialize(spark.createDataFrame(rows, "root long, node long, n long, marks array<long>")), 0.8)
+    group = lambda links: dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert (62, 63) in want and (62, 64) not in want and (60, 61) not in want
+    assert group([tuple(r) for r in found.collect()]) == group(want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 50)]
