@@ -198,6 +198,12 @@ def test_first_of_each_keeps_texts_below_the_similarity(spark, tmp_path):
     assert kept_ids(spark, str(tmp_path / "d.parquet"), pairs) == set(range(240))
 
 
+@pytest.mark.parametrize("kind", ["scattered", "passage"])
+def test_first_of_each_finds_copies_at_the_similarity(spark, tmp_path, kind):
+    pairs = pairs_of(np.random.default_rng(8), kind, (0.01, 0.12), 0.8, 0.84, 120)
+    assert kept_ids(spark, str(tmp_path / "d.parquet"), pairs) == set(range(0, 240, 2))
+
+
 @pytest.mark.parametrize("marks", [1 << 20, 500])
 def test_verified_links_are_exact(spark, marks, monkeypatch):
     """Chains, sets at 0.8 exactly and hot roots that are cut into blocks."""
