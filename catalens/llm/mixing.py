@@ -4,8 +4,10 @@ Documents of a source are put in a fixed order (a hash of the id) and cut into
 blocks of ``block`` documents. With weight w, a source's block j may run from
 slot floor(j / w) and must have run by slot ceil((j + 1) / w); each slot goes to
 the released block of earliest deadline. At any slot a source has had its share
-of slots to less than one block. Weights are rounded to multiples of 1 / period,
-so one period is scheduled, whatever the table's size, and repeats.
+of slots to less than one block. Weights are exact fractions over the whole
+horizon, none is rounded. The driver runs through the slots once (about two
+microseconds a block) and keeps the sources' progress every ``SPAN`` slots;
+from there executors write the slots of each span.
 
 The mixture ends with the block by which every source has given all its
 documents. Sources over their natural share start anew until then, so every
@@ -23,16 +25,20 @@ gives an empty result; extra columns are kept by ``mixed`` and ignored by
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import keyed, scanned
+from catalens.llm.common import keyed, scanned, ship
 from catalens.shared import materialize, numbered, small
 
 BLOCK = 8
-PERIOD = 2048
+SPAN = 1 << 16
 TEMPER = 0.9
 
 
@@ -50,21 +56,52 @@ def rounded(weights: Mapping, period: int) -> dict:
     return out
 
 
-def pfair(slots: Mapping, period: int) -> list:
-    """The source of each slot of a period: earliest deadline first among released blocks."""
-    released: list[list] = [[] for _ in range(period)]
-    for k, c in slots.items():
-        for j in range(c):
-            released[j * period // c].append((-(-(j + 1) * period // c), str(k), k))
+def paced(shares: Sequence[int], start: int, done: list[int], slots: int) -> np.ndarray:
+    """The sources of ``slots`` slots from ``start``, by earliest deadline; ``done``, blocks a source, moves on."""
+    total = sum(shares)
+    waiting = [(j * total // shares[k], k) for k, j in enumerate(done)]
+    heapq.heapify(waiting)
     ready: list = []
-    out = []
-    for jobs in released:
-        for job in jobs:
-            heapq.heappush(ready, job)
-        out.append(heapq.heappop(ready)[2])
+    out = np.empty(slots, np.int32)
+    for t in range(slots):
+        while waiting and waiting[0][0] <= start + t:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // shares[k]), k))
+        k = heapq.heappop(ready)[1]
+        done[k] += 1
+        heapq.heappush(waiting, (done[k] * total // shares[k], k))
+        out[t] = k
     return out
 
 
+def pfair(slots: Mapping, period: int) -> list:
+    """The source of each slot of a period: earliest deadline first among released blocks."""
+    names = sorted(slots, key=str)
+    return [names[i] for i in paced([slots[k] for k in names], 0, [0] * len(names), period)]
+
+
+def whole(weights: Sequence) -> list[int]:
+    """Integers in exactly the proportions of ``weights``."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
+
+
+def spans(shares: Sequence[int], needs: Sequence[int]) -> tuple[list[tuple[int, int, list[int]]], list[int]]:
+    """(start, slots, blocks done before) up to the slot by which each source has given ``needs`` blocks, and the blocks done there."""
+    done, out, start = [0] * len(shares), [], 0
+    while True:
+        before = list(done)
+        order = paced(shares, start, done, SPAN)
+        if any(d < n for d, n in zip(done, needs)):
+            out.append((start, SPAN, before))
+            start += SPAN
+            continue
+        end = max(int(np.flatnonzero(order == k)[n - before[k] - 1]) + 1 for k, n in enumerate(needs) if n > before[k])
+        out.append((start, end, before))
+        return out, [b + int(c) for b, c in zip(before, np.bincount(order[:end], minlength=len(shares)))]
+
+
 def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
     """_file, _row, doc_id, source, epoch, block, position: a row for each use of a document."""
     spark = docs.sparkSession
@@ -78,29 +115,29 @@ def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK
         weights = {k: n**temper for k, n in counts.items()}
     if missing := [k for k in counts if not weights.get(k, 0) > 0]:
         raise ValueError(f"no positive weight for {missing[:5]}")
-    period = max(PERIOD, 1 << (16 * len(counts) - 1).bit_length())
-    slots = rounded({k: weights[k] for k in counts}, period)
-    order = pfair(slots, period)
-    mine: dict = {k: [] for k in counts}
-    for at, k in enumerate(order):
-        mine[k].append(at)
-    end = 0
-    for k, n in counts.items():
-        last = -(-n // block) - 1
-        end = max(end, last // slots[k] * period + mine[k][last % slots[k]] + 1)
-    room = {k: (end // period * slots[k] + sum(a < end % period for a in mine[k])) * block for k in counts}
     names = sorted(counts, key=lambda k: (k is not None, str(k)))
-    sources = spark.createDataFrame([(i, k, found[k][0], counts[k], slots[k], room[k]) for i, k in enumerate(names)], "_s int, _name string, _base long, _n long, _slots long, _room long")
-    places = spark.createDataFrame([(i, j, a) for i, k in enumerate(names) for j, a in enumerate(mine[k])], "_s int, _j long, _slot long")
+    shares = whole([weights[k] for k in names])
+    parts, done = spans(shares, [-(-counts[k] // block) for k in names])
+    sources = spark.createDataFrame([(i, k, found[k][0], counts[k], done[i] * block) for i, k in enumerate(names)], "_s int, _name string, _base long, _n long, _room long")
+
+    def place(batches):
+        for b in batches:
+            for start, slots, before in zip(*(b.column(c).to_pylist() for c in ("start", "slots", "before"))):
+                order = paced(shares, start, list(before), slots)
+                at = np.argsort(order, kind="stable")
+                n = np.bincount(order, minlength=len(shares))
+                nth = np.arange(slots) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array(before, np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(order[at]), pa.array(nth), pa.array(at + start)], ["_s", "_b", "block"])
+
+    places = spark.createDataFrame(parts, "start long, slots long, before array<long>").repartition(len(parts)).mapInArrow(place, "_s int, _b long, block long")
     used = (
         ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_rank", F.col("idx") - F.col("_base"))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_room") - 1 - F.col("_rank")) / F.col("_n")))))
         .withColumn("_at", F.col("_rank") + F.col("epoch") * F.col("_n"))
         .withColumn("_b", F.floor(F.col("_at") / F.lit(block)))
-        .withColumn("_j", F.col("_b") % F.col("_slots"))
     )
-    return used.join(F.broadcast(places), ["_s", "_j"]).withColumn("block", F.floor(F.col("_b") / F.col("_slots")) * period + F.col("_slot")).select(
+    return used.join(small(materialize(places, "places")), ["_s", "_b"]).select(
         "_file", "_row", "doc_id", "source", "epoch", "block", (F.col("block") * block + F.col("_at") % block).alias("position")
     )
 
@@ -111,3 +148,5 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, t
     uses = small(materialize(schedule(docs, weights, block, temper).select("_file", "_row", "position"), "uses"))
     return keyed(docs).join(uses, ["_file", "_row"]).drop("_file", "_row").repartitionByRange("position").sortWithinPartitions("position").drop("position")
 
+
+ship(__name__)

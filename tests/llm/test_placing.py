@@ -157,6 +157,34 @@ def test_mixture_takes_weights(spark, docs):
         mixing.schedule(docs, {"src0": 1.0})
 
 
+def worst_deviation(order, shares):
+    """The largest distance, in blocks, of any source's progress from its share of the slots so far."""
+    t = np.arange(1, len(order) + 1)
+    return max(np.abs(np.cumsum(order == k) - t * (w / sum(shares))).max() for k, w in enumerate(shares))
+
+
+def test_mixture_stays_within_a_block_of_the_targets(spark, tmp_path, monkeypatch):
+    """A hot source, ordinary ones and a tiny one, over more slots than a span."""
+    monkeypatch.setattr(mixing, "SPAN", 20_000)
+    sizes = [20_000, *[2_220] * 18, 20]
+    path = str(tmp_path / "d.parquet")
+    rows = [(i, f"s{k:02d}") for i, k in enumerate(np.repeat(range(20), sizes).tolist())]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(path)
+    got = sorted((r["position"], r["source"], r["doc_id"]) for r in mixing.schedule(spark.read.parquet(path), block=1).collect())
+    assert [p for p, *_ in got] == list(range(len(got))) and {d for *_, d in got} == {d for d, _ in rows}
+    assert worst_deviation(np.array([int(s[1:]) for _, s, _ in got]), [n**mixing.TEMPER for n in sizes]) < 1
+
+
+def test_spans_stay_within_a_block_at_many_blocks():
+    sizes = [10**7 // 3, *[10**7 * 2 // 54] * 18, 20]
+    shares = mixing.whole([n**mixing.TEMPER for n in sizes])
+    needs = [-(-n // 8) for n in sizes]
+    parts, done = mixing.spans(shares, needs)
+    order = np.concatenate([mixing.paced(shares, a, list(b), n) for a, n, b in parts])
+    assert len(order) > 10**6 and worst_deviation(order, shares) < 1
+    assert np.bincount(order).tolist() == done and all(d >= n for d, n in zip(done, needs)) and done[-1] * 8 < 10 * 20
+
+
 def test_mixture_odd(spark, odd, empty):
     rows = mixing.schedule(odd).collect()
     assert sorted(r["position"] for r in rows) == list(range(len(rows))) and len({(r["_file"], r["_row"]) for r in rows}) == odd.count()
