@@ -1,8 +1,10 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line of ``LEAST`` or more characters is a duplicate if an equal line, or one
-within edit distance 1, occurs earlier, in order of (doc_id, text hash, place,
-line number); duplicates are taken out of their documents, the earliest stays.
+A line of ``equal`` or more characters is a duplicate if an equal line occurs
+earlier, one of ``near`` or more also if a line of that length within edit
+distance 1 does, in order of (doc_id, text hash, place, line number); duplicates
+are taken out of their documents, the earliest stays. Both are ``LEAST`` unless
+given; with ``equal`` 1, as in the pipeline, no repeat of a line is left.
 
 1. Equal lines are grouped by a 128-bit hash; a row stands for each line.
 2. Two lines within one edit share a half (pigeonhole, by exact length), so only
@@ -18,7 +20,8 @@ line number); duplicates are taken out of their documents, the earliest stays.
 5. The edit distance of joined lines is verified.
 
 Defined cases: a null text stays null; an empty text stays empty; lines end at
-LF only; shorter lines are never touched; a document that loses all lines has an
+LF only; shorter lines, and blank ones of under ``near`` characters, are never
+touched; a document that loses all lines has an
 empty text and stays; rows of null ids count as earliest; fully equal rows are
 told apart by their place in the file; an empty table gives an empty result;
 extra columns are kept.
@@ -39,10 +42,11 @@ MOST_BROADCAST = 2_000_000
 LINE = ["h1", "h2"]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Every line of ``LEAST`` or more characters with its place and hashes."""
+def lines_of(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFrame:
+    """Every line of ``equal`` or more characters, blank ones of ``near`` or more, with its place and hashes."""
     rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.withColumn("len", F.length("line")).filter(F.col("len") >= LEAST).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(31), "line"))
+    judged = rows.withColumn("len", F.length("line")).filter((F.col("len") >= min(equal, near)) & ((F.col("len") >= near) | F.col("line").rlike(r"\S")))
+    return judged.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(31), "line"))
 
 
 def halves() -> Column:
@@ -84,16 +88,16 @@ def neighbourhood(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return deleted, whole
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFrame:
     """(_file, _row, pos) of every line that an equal or near-equal one precedes; ``docs`` reads files."""
     place = F.struct("doc_id", "th", "_file", "_row", "pos")
-    lines = lines_of(docs)
+    lines = lines_of(docs, equal, near)
     distinct = materialize(
-        lines.withColumn("keys", halves()).groupBy(*LINE)
+        lines.withColumn("keys", F.when(F.col("len") >= near, halves())).groupBy(*LINE)
         .agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(4)]),
         "lines",
     )
-    keys = distinct.select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    keys = distinct.select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).filter("key IS NOT NULL")
     shared = keys.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in LINE]).filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("key")
     some = materialize(keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct(), "some")
     some = distinct.select(*LINE, "first").join(small(some), LINE)
@@ -110,17 +114,20 @@ def duplicates(docs: DataFrame) -> DataFrame:
     longer = deleted.join(whole.withColumnRenamed("ord", "other").hint("merge"), "key").filter("ord <> other").select(F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b"))
     one = close.select(F.col("ord").alias("a"), F.col("line").alias("earlier"))
     two = close.select(F.col("ord").alias("b"), F.col("line").alias("later"), *LINE)
-    near = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
-    near = materialize(near.select(*LINE, F.lit(True).alias("near")).distinct(), "near")
-    judged = distinct.join(small(near), LINE, "left").filter("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    found = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
+    found = materialize(found.select(*LINE, F.lit(True).alias("near")).distinct(), "near")
+    judged = distinct.join(small(found), LINE, "left").filter("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     judged = small(materialize(judged, "judged"))
     return lines.select("_file", "_row", "pos", *LINE, place.alias("here")).join(judged, LINE).filter("near OR here <> first").select("_file", "_row", "pos")
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with duplicate lines taken out of ``text``, and _lines and _dropped, their numbers."""
+def without_duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFrame:
+    """``docs`` with duplicate lines taken out of ``text``, and _lines and _dropped, their numbers.
+
+    ``equal`` and ``near`` are the least lengths of lines that go for an equal one and for one an edit apart.
+    """
     docs = scanned(docs)
-    drops = materialize(duplicates(docs).groupBy("_file", "_row").agg(F.collect_list("pos").alias("_drop")), "drops")
+    drops = materialize(duplicates(docs, equal, near).groupBy("_file", "_row").agg(F.collect_list("pos").alias("_drop")), "drops")
     total = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
     drops = small(drops) if total <= MOST_BROADCAST else drops
     parts = F.split("text", "\n")

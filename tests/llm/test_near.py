@@ -54,6 +54,17 @@ def test_lines_against_brute_force(spark, tmp_path):
     assert got == kept_lines(rows)
 
 
+def test_short_lines_in_the_pipeline(spark, tmp_path):
+    """Repeats of short lines go, near ones and blank ones stay; long lines keep the edit step."""
+    long = "a line that is long enough for the edit step"
+    texts = ["Les.\n\nLes.\n  \n" + long, "Lez.\n  \n\nLes.\nx\n" + long + "s", "x\n\tLes.\nx", None, "x"]
+    want = ["Les.\n\n  \n" + long, "Lez.\n  \n\nx", "\tLes.", None, ""]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(path)
+    rows = corpus_pipeline.dedup_lines(spark, spark.read.parquet(path), SMALL).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(want))
+
+
 def test_lines_odd(spark, odd, empty):
     out = linedup.without_duplicates(odd)
     assert out.count() == odd.count() and out.columns == [*odd.columns, "_lines", "_dropped"]
