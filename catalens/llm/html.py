@@ -246,14 +246,14 @@ def vote(page: str | None) -> tuple[str, int] | None:
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """The text under ``path`` where the page has enough of it there, else under its own best container."""
+    """The text under all containers of ``path`` where they have enough of the page's text, else under its own best one."""
     if not page:
         return ""
     nodes, items = judged(page)
     own = best(nodes)
     if own is None:
         return ""
-    if path is not None and path != own.path:
+    if path is not None:
         found = [n for n in nodes if n.path == path and not n.skip]
         if found and 4 * sum(n.good for n in found) >= own.good:
             return text_under(items, {id(n) for n in found})

@@ -132,3 +132,9 @@ def test_pages_without_rows(spark):
 def test_all_pages(spark):
     rows = q.op8_html(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/pages.parquet").count() and all(r["text"] for r in rows)
+
+
+def test_all_containers_of_the_winning_path_are_read():
+    split = "<html><body><div class='a'><p>{}</p></div><article><p>{}</p></article><article><p>{}</p></article></body></html>".format("x " * 9, "first half of it. " * 20, "second half of it. " * 19)
+    path = html.vote(split)[0]
+    assert path.endswith("article") and [x[:6] for x in html.extract(split, path).split("\n")] == ["first ", "second"]
