@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SHARED = "/tmp/checkpoints/catalens"
-_written: list[tuple[SparkSession, str] | None] = []
+#: The most bytes that one broadcast may have.
+BROADCAST_BYTES = 64 << 20
+#: Intermediate tables by thread or task, so that two users of one driver never release each other's.
+_written: ContextVar[list[tuple[SparkSession, str] | None]] = ContextVar("written")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,36 +30,61 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
+def _tables() -> list[tuple[SparkSession, str] | None]:
+    try:
+        return _written.get()
+    except LookupError:
+        _written.set([])
+        return _written.get()
+
+
+def _path(spark: SparkSession, path: str):
+    """A path of the cluster's file system, and that file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, to be deleted when the driver ends."""
+    p, files = _path(spark, path)
+    files.deleteOnExit(p)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut lineage that lost executors can't undo."""
+    """Write ``df`` to the shared folder and read it back: a cut lineage that lost executors can't undo.
+
+    The table is there until ``release``, or until the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _tables().append((spark, passing(spark, path)))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(written_table: DataFrame, rows: int = 300_000) -> DataFrame:
+def small(written_table: DataFrame, rows: int) -> DataFrame:
     """A written table of narrow rows, marked to be broadcast if it has at most ``rows`` of them.
 
-    Beyond that it is returned as it is, and a join deals both sides out.
+    ``rows`` comes from ``BROADCAST_BYTES`` and the size of a row. Beyond that the table is
+    returned as it is, and a join deals both sides out.
     """
     return F.broadcast(written_table) if written_table.count() <= rows else written_table
 
 
 def written() -> int:
-    """How many intermediate tables there are so far."""
-    return len(_written)
+    """How many intermediate tables this thread has had so far."""
+    return len(_tables())
 
 
 def release(first: int, last: int) -> None:
-    """Delete the intermediate tables written between two counts; what reads them must have been written."""
-    for k in range(first, last):
-        if _written[k] is not None:
-            spark, path = _written[k]
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-            _written[k] = None
+    """Delete this thread's intermediate tables written between two counts; what reads them must have been written."""
+    tables = _tables()
+    for k in range(first, min(last, len(tables))):
+        if tables[k] is not None:
+            p, files = _path(*tables[k])
+            files.delete(p, True)
+            tables[k] = None
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
