@@ -8,26 +8,34 @@ with their classes, digits generalised. Votes are counted per host in Spark, and
 every page is read again with its host's winning path; a page without that path,
 or with far less text under it than in its own best container, uses its own.
 
+Host, path and place of every page are written, so that votes are counted and
+winners brought back without moving pages: winners are broadcast to the second
+scan where they have at most ``BROADCAST_BYTES``, else each page's winner goes to
+the scan of its file in blocks of bounded bytes (``common.met``).
+
 Defined cases: a null or empty page gives an empty text; a null url, or one
 without a host, belongs to the empty host; unclosed and stray tags are mended as
 browsers do, roughly; equal votes go to the path of more text, then to the path
 first in byte order; repeated rows are pages of their own; an empty table gives
-an empty result; extra columns are ignored; pages may be of any length.
+an empty result; extra columns are ignored; pages may be of any length and depth:
+a node holds a hash of its path, the path is only spelt for the container chosen.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import ship, slices
+from catalens import shared
+from catalens.llm.common import boxed, met, scanned, ship, slices
 from catalens.shared import materialize
 
-BROADCAST_HOSTS = 20_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
@@ -58,13 +66,36 @@ GOOD = frozenset("article post entry content story main articlebody body text ma
 
 
 class Node:
-    __slots__ = ("tag", "words", "path", "parent", "skip", "own", "text", "depth", "good", "link", "marked")
+    __slots__ = ("tag", "words", "step", "key", "parent", "skip", "own", "text", "depth", "good", "link", "marked")
 
-    def __init__(self, tag, words, path, parent, depth):
-        self.tag, self.words, self.path, self.parent, self.depth = tag, words, path, parent, depth
+    def __init__(self, tag, words, step, parent):
+        self.tag, self.words, self.step, self.parent = tag, words, step, parent
+        self.key = onward(parent.key, step) if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
         self.skip = self.link = self.marked = False
         self.own = self.text = self.good = 0
 
+    @property
+    def path(self) -> str:
+        """The steps from the root down, spelt out."""
+        steps, n = [], self
+        while n.parent is not None:
+            steps.append(n.step)
+            n = n.parent
+        return "".join(f">{x}" for x in reversed(steps))
+
+
+def onward(key: int, step: str) -> int:
+    """The key of a path and one more step."""
+    return xxhash.xxh64_intdigest(step.encode("utf-8", "replace"), key)
+
+
+def key_of(path: str) -> int:
+    key = 0
+    for step in path.split(">")[1:]:
+        key = onward(key, step)
+    return key
+
 
 def attributes(raw: str) -> tuple[frozenset, str, bool]:
     """Words of class, id and role; the generalised class; whether the element is hidden."""
@@ -80,14 +111,15 @@ def attributes(raw: str) -> tuple[frozenset, str, bool]:
             continue
         words.update(w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if w)
         if key == "class":
-            name = re.sub(r"\d+", "#", ".".join(sorted(value.lower().split())))
+            name = re.sub(r"\d+", "#", ".".join(sorted(value.lower().replace(">", " ").split())))
     return frozenset(words), name, hidden
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Nodes, parents first, and the page's texts and block bounds (None) in order with their nodes."""
-    root = Node("#", frozenset(), "", None, 0)
+    root = Node("#", frozenset(), "", None)
     nodes, items, top, at = [root], [], root, 0
+    open_tags: Counter = Counter()  # so that a tag that isn't open is not looked for
     lower = None
     end = len(page)
     find = TOKEN.search
@@ -96,6 +128,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if text:
             items.append((node, text))
 
+    def up_to(node):
+        """Close all open tags below ``node``."""
+        nonlocal top
+        while top is not node:
+            open_tags[top.tag] -= 1
+            top = top.parent
+
     while at < end:
         m = find(page, at)
         if m is None:
@@ -110,31 +149,32 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         closing, rest = (m.group(1), m.group(3)) if m.group(2) else (m.group(4), m.group(6))
         tag = tag.lower()
         if closing:
-            n = top
+            n = top if open_tags[tag] else root
             while n is not root and n.tag != tag:
                 n = n.parent
             if n is not root:
-                top = n.parent
+                up_to(n.parent)
                 if tag in BLOCKS:
                     items.append((top, None))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             n = top
             while n is not root and n.tag != "p" and n.tag not in ("div", "td", "th", "li", "article", "section", "body", "button"):
                 n = n.parent
             if n.tag == "p":
-                top = n.parent
-        if tag in ENDS:
+                up_to(n.parent)
+        if tag in ENDS and any(open_tags[x] for x in ENDS[tag][0]):
             closes, holders = ENDS[tag]
-            n = top
+            n = last = top
             while n is not root and n.tag not in holders:
                 if n.tag in closes:
-                    top = n.parent
+                    last = n.parent
                 n = n.parent
+            up_to(last)
         if tag in ("html", "body") and any(x.tag == tag for x in nodes[:6]):
             continue
         words, name, hidden = attributes(rest) if rest else (frozenset(), "", False)
-        node = Node(tag, words, f"{top.path}>{tag}.{name}" if name else f"{top.path}>{tag}", top, top.depth + 1)
+        node = Node(tag, words, f"{tag}.{name}" if name else tag, top)
         node.skip = hidden
         nodes.append(node)
         if tag in BLOCKS or tag in ("script", "style"):
@@ -154,6 +194,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag not in VOID and not (rest and rest.rstrip().endswith("/") and tag in ("svg", "path")):
             top = node
+            open_tags[tag] += 1
     return nodes, items
 
 
@@ -254,7 +295,8 @@ def extract(page: str | None, path: str | None) -> str:
     if own is None:
         return ""
     if path is not None:
-        found = [n for n in nodes if n.path == path and not n.skip]
+        key = key_of(path)
+        found = [n for n in nodes if n.key == key and not n.skip]
         if found and 4 * sum(n.good for n in found) >= own.good:
             return text_under(items, {id(n) for n in found})
     return text_under(items, {id(own)})
@@ -262,28 +304,34 @@ def extract(page: str | None, path: str | None) -> str:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    pages = scanned(pages)
+    host = F.lower(F.coalesce(F.regexp_extract("_doc.url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
     def votes(batches):
         for b in slices(batches):
             got = [vote(p) for p in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([g and g[0] for g in got], pa.string()), pa.array([g and g[1] for g in got], pa.int64())], ["host", "path", "good"])
-
-    counted = pages.select(host.alias("host"), "html").mapInArrow(votes, "host string, path string, good long").filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    winners = counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("good"), F.col("path"))).alias("path"))
-    winners = materialize(winners, "paths")
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
+            cols = [b.column("_file"), b.column("_row"), b.column("host"), pa.array([g and g[0] for g in got], pa.string()), pa.array([g and g[1] for g in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["_file", "_row", "host", "path", "good"])
 
     def texts(batches):
         for b in slices(batches):
             got = [extract(p, w) for p, w in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(g) for g in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")).join(winners, "host", "left")
-        .select("page_id", "url", "html", "path").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
-    )
+    def read(rows: DataFrame) -> DataFrame:
+        """The main texts of rows of pages (_doc) with their hosts' paths (_value)."""
+        rows = rows.select(F.col("_doc.page_id").cast("long").alias("page_id"), F.col("_doc.url").alias("url"), F.col("_doc.html").alias("html"), F.col("_value").alias("path"))
+        return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+
+    voted = boxed(pages).select("_file", "_row", host.alias("host"), F.col("_doc.html").alias("html")).mapInArrow(votes, "_file long, _row long, host string, path string, good long")
+    voted = materialize(voted.filter("path IS NOT NULL"), "votes")
+    counted = voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    winners = counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("good"), F.col("path"))).alias("_value"))
+    winners = materialize(winners, "paths")
+    if (winners.agg(F.sum(F.octet_length("host") + F.octet_length("_value") + 112)).first()[0] or 0) <= shared.BROADCAST_BYTES:
+        return read(boxed(pages).withColumn("host", host).join(F.broadcast(winners), "host", "left"))
+    named = voted.select("_file", "_row", "host").join(winners.hint("merge"), "host").select("_file", "_row", "_value")
+    return met(pages, named, read, F.octet_length("_value"), every=True)
 
 
 ship(__name__)

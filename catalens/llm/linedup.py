@@ -24,7 +24,9 @@ LF only; shorter lines, and blank ones of under ``near`` characters, are never
 touched; a document that loses all lines has an
 empty text and stays; rows of null ids count as earliest; fully equal rows are
 told apart by their place in the file; an empty table gives an empty result;
-extra columns are kept.
+extra columns are kept, whatever their names; texts and lines may be of any
+length. Texts are never moved: lines travel as hashes and places, and decisions
+are brought to the files in blocks of bounded bytes (``common.met``).
 """
 
 from __future__ import annotations
@@ -32,19 +34,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import keyed, scanned
-from catalens.shared import materialize, numbered, small
+from catalens.llm.common import boxed, met, scanned
+from catalens.shared import materialize, numbered
 
 LEAST = 20
 PARTS = 16
 STRETCH = 64
-MOST_BROADCAST = 2_000_000
 LINE = ["h1", "h2"]
 
 
 def lines_of(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFrame:
     """Every line of ``equal`` or more characters, blank ones of ``near`` or more, with its place and hashes."""
-    rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = boxed(docs).select("_file", "_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.xxhash64("_doc.text").alias("th"), F.posexplode(F.split("_doc.text", "\n")).alias("pos", "line"))
     judged = rows.withColumn("len", F.length("line")).filter((F.col("len") >= min(equal, near)) & ((F.col("len") >= near) | F.col("line").rlike(r"\S")))
     return judged.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(31), "line"))
 
@@ -97,17 +98,17 @@ def duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFr
         .agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(4)]),
         "lines",
     )
+    # Joins are merge joins at any size, of hashes and places only; a hot line's side is split by the adaptive planner.
     keys = distinct.select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).filter("key IS NOT NULL")
     shared = keys.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in LINE]).filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("key")
     some = materialize(keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct(), "some")
-    some = distinct.select(*LINE, "first").join(small(some), LINE)
-    some = numbered(some.select(*LINE, "first", "first.*"), ["doc_id", "th", "_file", "_row", "pos"], "ord").select(*LINE, "first", "ord")
-    texts = lines.select(*LINE, "line", "len", place.alias("here")).join(small(materialize(some, "firsts")), LINE).filter(F.col("here") == F.col("first"))
-    texts = materialize(texts.select(*LINE, "line", "len", "ord"), "candidates")
+    some = distinct.select(*LINE, "first").join(some.hint("merge"), LINE)
+    some = numbered(some.select(*LINE, "first.*"), ["doc_id", "th", "_file", "_row", "pos"], "ord")
+    texts = materialize(met(docs, some.groupBy("_file", "_row").agg(F.collect_list(F.struct("pos", "ord", *LINE)).alias("_value")), _called_lines, F.size("_value") * 40), "candidates")
     parts = texts.select("ord", F.explode(stretches()).alias("key"))
     alike = parts.groupBy("key").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low <> high").select("key")
-    close = materialize(texts.join(small(materialize(parts.join(alike.hint("merge"), "key", "left_semi").select("ord").distinct(), "alike")), "ord", "left_semi"), "close")
-    # Joins of exploded rows are merge joins: the planner takes their size for that of the few lines they come from.
+    alike = materialize(parts.join(alike.hint("merge"), "key", "left_semi").select("ord").distinct(), "alike")
+    close = materialize(texts.join(alike.hint("merge"), "ord", "left_semi"), "close")
     deleted, whole = neighbourhood(close)
     firsts = deleted.groupBy("key", "at").agg(F.min("ord").alias("a"), F.max("ord").alias("last")).filter("a <> last").select("key", "at", "a")
     swapped = deleted.join(firsts.hint("merge"), ["key", "at"]).filter("ord <> a").select("a", F.col("ord").alias("b"))
@@ -116,22 +117,34 @@ def duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFr
     two = close.select(F.col("ord").alias("b"), F.col("line").alias("later"), *LINE)
     found = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
     found = materialize(found.select(*LINE, F.lit(True).alias("near")).distinct(), "near")
-    judged = distinct.join(small(found), LINE, "left").filter("n > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    judged = small(materialize(judged, "judged"))
-    return lines.select("_file", "_row", "pos", *LINE, place.alias("here")).join(judged, LINE).filter("near OR here <> first").select("_file", "_row", "pos")
+    judged = distinct.join(found.hint("merge"), LINE, "left").filter("n > 1 OR near").select(*LINE, F.coalesce("near", F.lit(False)).alias("near"), *[F.col(f"first.{c}").alias(f"first{c}") for c in ("_file", "_row", "pos")])
+    judged = materialize(judged, "judged")
+    stays = " AND ".join(f"{c} = first{c}" for c in ("_file", "_row", "pos"))
+    return lines.select("_file", "_row", "pos", *LINE).join(judged.hint("merge"), LINE).filter(f"near OR NOT ({stays})").select("_file", "_row", "pos")
+
+
+def _called_lines(rows: DataFrame) -> DataFrame:
+    """(h1, h2, line, len, ord) of the lines that _value names."""
+    each = rows.withColumn("_parts", F.split("_doc.text", "\n")).select("_parts", F.explode("_value").alias("v"))
+    return each.select("v.h1", "v.h2", F.expr("_parts[v.pos]").alias("line"), "v.ord").withColumn("len", F.length("line"))
 
 
 def without_duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text``, and _lines and _dropped, their numbers.
 
     ``equal`` and ``near`` are the least lengths of lines that go for an equal one and for one an edit apart.
+    Where ``docs`` has a column of either name, the number's name gets a further underscore.
     """
     docs = scanned(docs)
-    drops = materialize(duplicates(docs, equal, near).groupBy("_file", "_row").agg(F.collect_list("pos").alias("_drop")), "drops")
-    total = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    drops = small(drops) if total <= MOST_BROADCAST else drops
-    parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(_kept, i -> _parts[i]), '\n')"))
-    joined = keyed(docs).join(drops, ["_file", "_row"], "left").withColumn("_parts", parts).withColumn("_kept", kept)
-    return joined.withColumn("text", text).select(*docs.columns, F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts")).alias("_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("_dropped"))
+    drops = duplicates(docs, equal, near).groupBy("_file", "_row").agg(F.collect_list("pos").alias("_value"))
+    names = [n if n not in docs.columns else f"{n}_" for n in ("_lines", "_dropped")]
+    text, kept = F.col("_doc.text"), F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_value"))
+    left = F.when(F.col("_value").isNull() | text.isNull(), text).otherwise(F.expr("array_join(transform(_kept, i -> _parts[i]), '\n')"))
+
+    def apply(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_parts", F.split(text, "\n")).withColumn("_kept", kept)
+        return rows.select(F.col("_doc").withField("text", left).alias("_doc"), F.when(text.isNull(), 0).otherwise(F.size("_parts")).alias("a"), F.coalesce(F.size("_value"), F.lit(0)).alias("b")).select(
+            "_doc.*", F.col("a").alias(names[0]), F.col("b").alias(names[1])
+        )
+
+    return met(docs, drops, apply, F.size("_value") * 4, every=True)

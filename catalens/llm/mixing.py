@@ -5,11 +5,17 @@ blocks of ``block`` documents. With weight w, a source's block j may run from
 slot floor(j / w) and must have run by slot ceil((j + 1) / w); each slot goes to
 the released block of earliest deadline. At any slot a source has had its share
 of slots to less than one block. Weights are exact fractions over the whole
-horizon, none is rounded. The driver runs through the slots once (about two
-microseconds a block) and keeps the sources' progress every ``SPAN`` slots;
-from there executors write the slots of each span.
+horizon, none is rounded.
 
-The mixture ends with the block by which every source has given all its
+The slots are cut into spans of ``SPAN``. At the bounds of a span the blocks that
+each source has given are known without running through the slots before: the
+whole part of its share, and one more for those of the largest remainders, so
+that the slots are full. Any such state leaves no stretch of slots with more due
+blocks than slots, so earliest deadline first meets every deadline inside a span
+too, and executors schedule the spans apart from each other. The driver holds one
+row a source, nothing a slot.
+
+The mixture ends with the slot by which every source has given all its
 documents. Sources over their natural share start anew until then, so every
 document occurs at least once and none is dropped. The default weights are the
 natural shares to the power ``temper``, near enough to 1 that repeats stay few
@@ -17,9 +23,10 @@ natural shares to the power ``temper``, near enough to 1 that repeats stay few
 
 Defined cases: a null source is a source of its own; given weights must name
 every source (others raise ValueError) and be positive; repeated rows are
-documents of their own; null ids and ties keep any fixed order; an empty table
-gives an empty result; extra columns are kept by ``mixed`` and ignored by
-``schedule``.
+documents of their own; null ids and ties keep any fixed order; null and empty
+texts are documents like others, and texts may be of any length, as they are
+not read; an empty table gives an empty result; extra columns are kept by
+``mixed``, whatever their names, and ignored by ``schedule``.
 """
 
 from __future__ import annotations
@@ -34,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import keyed, scanned, ship
-from catalens.shared import materialize, numbered, small
+from catalens.llm.common import boxed, met, scanned, ship
+from catalens.shared import BROADCAST_BYTES, materialize, numbered, small
 
 BLOCK = 8
 SPAN = 1 << 16
 TEMPER = 0.9
+USES = 64  # of one document that travel in one row
 
 
 def rounded(weights: Mapping, period: int) -> dict:
@@ -56,10 +64,14 @@ def rounded(weights: Mapping, period: int) -> dict:
     return out
 
 
-def paced(shares: Sequence[int], start: int, done: list[int], slots: int) -> np.ndarray:
-    """The sources of ``slots`` slots from ``start``, by earliest deadline; ``done``, blocks a source, moves on."""
+def paced(shares: Sequence[int], start: int, done: list[int], slots: int, until: Sequence[int] | None = None) -> np.ndarray:
+    """The sources of ``slots`` slots from ``start``, by earliest deadline; ``done``, blocks a source, moves on.
+
+    With ``until``, each source gives exactly so many blocks by the last slot.
+    """
     total = sum(shares)
-    waiting = [(j * total // shares[k], k) for k, j in enumerate(done)]
+    most = [1 << 62] * len(shares) if until is None else until
+    waiting = [(j * total // shares[k], k) for k, j in enumerate(done) if j < most[k]]
     heapq.heapify(waiting)
     ready: list = []
     out = np.empty(slots, np.int32)
@@ -69,11 +81,35 @@ def paced(shares: Sequence[int], start: int, done: list[int], slots: int) -> np.
             heapq.heappush(ready, (-(-(done[k] + 1) * total // shares[k]), k))
         k = heapq.heappop(ready)[1]
         done[k] += 1
-        heapq.heappush(waiting, (done[k] * total // shares[k], k))
+        if done[k] < most[k]:
+            heapq.heappush(waiting, (done[k] * total // shares[k], k))
         out[t] = k
     return out
 
 
+def reached(shares: Sequence[int], slot: int) -> list[int]:
+    """Blocks that each source has given by ``slot``: the whole part of its share, one more at the largest remainders."""
+    total = sum(shares)
+    parts = [divmod(slot * x, total) for x in shares]
+    out = [n for n, _ in parts]
+    # No more sources are rounded up than have a remainder, as the remainders add up to whole slots.
+    for k in sorted(range(len(parts)), key=lambda k: (-parts[k][1], k))[: slot - sum(out)]:
+        out[k] += 1
+    return out
+
+
+def span(shares: Sequence[int], start: int, slots: int) -> tuple[list[int], np.ndarray]:
+    """Blocks done before a span, and the sources of its slots."""
+    before, after = reached(shares, start), reached(shares, start + slots)
+    return before, paced(shares, start, list(before), slots, after)
+
+
+def horizon(shares: Sequence[int], needs: Sequence[int]) -> int:
+    """The slot by which each source has given ``needs`` blocks."""
+    total = sum(shares)
+    return max(-(-n * total // x) for n, x in zip(needs, shares))
+
+
 def pfair(slots: Mapping, period: int) -> list:
     """The source of each slot of a period: earliest deadline first among released blocks."""
     names = sorted(slots, key=str)
@@ -87,25 +123,10 @@ def whole(weights: Sequence) -> list[int]:
     return [int(x * unit) for x in exact]
 
 
-def spans(shares: Sequence[int], needs: Sequence[int]) -> tuple[list[tuple[int, int, list[int]]], list[int]]:
-    """(start, slots, blocks done before) up to the slot by which each source has given ``needs`` blocks, and the blocks done there."""
-    done, out, start = [0] * len(shares), [], 0
-    while True:
-        before = list(done)
-        order = paced(shares, start, done, SPAN)
-        if any(d < n for d, n in zip(done, needs)):
-            out.append((start, SPAN, before))
-            start += SPAN
-            continue
-        end = max(int(np.flatnonzero(order == k)[n - before[k] - 1]) + 1 for k, n in enumerate(needs) if n > before[k])
-        out.append((start, end, before))
-        return out, [b + int(c) for b, c in zip(before, np.bincount(order[:end], minlength=len(shares)))]
-
-
 def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
     """_file, _row, doc_id, source, epoch, block, position: a row for each use of a document."""
     spark = docs.sparkSession
-    rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(F.lit(29), "doc_id").alias("_h"))
+    rows = boxed(docs).select("_file", "_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.source").alias("source"), F.xxhash64(F.lit(29), "_doc.doc_id").alias("_h"))
     ranked = numbered(rows, ["source", "_h", "_file", "_row"])
     found = {r[0]: (r[1], r[2]) for r in ranked.groupBy("source").agg(F.min("idx"), F.count("*")).collect()}
     if not found:
@@ -117,36 +138,45 @@ def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK
         raise ValueError(f"no positive weight for {missing[:5]}")
     names = sorted(counts, key=lambda k: (k is not None, str(k)))
     shares = whole([weights[k] for k in names])
-    parts, done = spans(shares, [-(-counts[k] // block) for k in names])
+    end = horizon(shares, [-(-counts[k] // block) for k in names])
+    done = reached(shares, end)
     sources = spark.createDataFrame([(i, k, found[k][0], counts[k], done[i] * block) for i, k in enumerate(names)], "_s int, _name string, _base long, _n long, _room long")
+    given = spark.sparkContext.broadcast(shares)
 
     def place(batches):
         for b in batches:
-            for start, slots, before in zip(*(b.column(c).to_pylist() for c in ("start", "slots", "before"))):
-                order = paced(shares, start, list(before), slots)
+            for start in b.column("start").to_pylist():
+                before, order = span(given.value, start, min(SPAN, end - start))
                 at = np.argsort(order, kind="stable")
-                n = np.bincount(order, minlength=len(shares))
-                nth = np.arange(slots) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array(before, np.int64), n)
-                yield pa.RecordBatch.from_arrays([pa.array(order[at]), pa.array(nth), pa.array(at + start)], ["_s", "_b", "block"])
+                n = np.bincount(order, minlength=len(before))
+                used = np.flatnonzero(n)
+                first = np.repeat(np.array([before[k] for k in used], np.int64) - (np.cumsum(n[used]) - n[used]), n[used])
+                yield pa.RecordBatch.from_arrays([pa.array(order[at]), pa.array(np.arange(len(order)) + first), pa.array(at + start)], ["_s", "_b", "block"])
 
-    places = spark.createDataFrame(parts, "start long, slots long, before array<long>").repartition(len(parts)).mapInArrow(place, "_s int, _b long, block long")
+    spans = -(-end // SPAN)
+    places = spark.range(0, end, SPAN, min(spans, 10_000)).select(F.col("id").alias("start")).mapInArrow(place, "_s int, _b long, block long")
     used = (
-        ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_name")))
+        ranked.join(small(materialize(sources, "sources"), BROADCAST_BYTES // 128), F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_rank", F.col("idx") - F.col("_base"))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_room") - 1 - F.col("_rank")) / F.col("_n")))))
         .withColumn("_at", F.col("_rank") + F.col("epoch") * F.col("_n"))
         .withColumn("_b", F.floor(F.col("_at") / F.lit(block)))
     )
-    return used.join(small(materialize(places, "places")), ["_s", "_b"]).select(
+    # A merge join at any size, of places and numbers only; a key has at most ``block`` rows.
+    return used.join(materialize(places, "places").hint("merge"), ["_s", "_b"]).select(
         "_file", "_row", "doc_id", "source", "epoch", "block", (F.col("block") * block + F.col("_at") % block).alias("position")
     )
 
 
 def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
-    """The rows of ``docs`` in mixture order, those of sources over their natural share more than once."""
+    """The rows of ``docs`` in mixture order, those of sources over their natural share more than once.
+
+    Texts move once, to their place in the order.
+    """
     docs = scanned(docs)
-    uses = small(materialize(schedule(docs, weights, block, temper).select("_file", "_row", "position"), "uses"))
-    return keyed(docs).join(uses, ["_file", "_row"]).drop("_file", "_row").repartitionByRange("position").sortWithinPartitions("position").drop("position")
+    uses = schedule(docs, weights, block, temper).groupBy("_file", "_row", F.floor(F.col("epoch") / USES).alias("_layer")).agg(F.collect_list("position").alias("_value"))
+    placed = met(docs, uses, lambda r: r.select("_doc", F.explode("_value").alias("_at")), F.size("_value") * 8)
+    return placed.repartitionByRange("_at").sortWithinPartitions("_at").select("_doc.*")
 
 
 ship(__name__)

@@ -33,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import keyed, scanned, ship, slices
+from catalens.llm.common import boxed, met, scanned, ship, slices
 from catalens.llm.components import components
-from catalens.shared import materialize, numbered, small
+from catalens.shared import BROADCAST_BYTES, materialize, numbered, small
 
 BLOCK = 4096
+HOT = BROADCAST_BYTES // 64  # rows of a list of hot keys that may be broadcast
 MARKS = 1 << 20
 BANDS, ROWS = 24, 5
 SAMPLE = 20_000
@@ -219,7 +220,7 @@ def links(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int =
     dealt = items.select(*carried).mapInArrow(keys, f"mask int, value long, {longs}")
     hot = materialize(dealt.groupBy("mask", "value").count().filter(F.col("count") > BLOCK), "hot")
     if hot.count():
-        dealt = dealt.join(small(hot), ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
+        dealt = dealt.join(small(hot, HOT), ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
         dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("mask", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *carried)
     else:
@@ -272,9 +273,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, within: int = 4) -> DataFra
     # Written first, so that a root of very many nodes is a join's key, which can be split, and no aggregate's.
     known = materialize(known, "known")
     least = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = known.join(small(least), "root").select("node", "component_id")
+    named = known.join(least.hint("merge"), "root").select("node", "component_id")
     whole = materialize(items.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return rows.join(small(whole), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(whole.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- One document of each group of near copies ------------------------------
@@ -324,7 +325,7 @@ def verified(sets: DataFrame, least: float) -> DataFrame:
     """
     hot = materialize(sets.groupBy("root").agg(F.ceil(F.sum("n") / MARKS).cast("int").alias("blocks")).filter("blocks > 1"), "hot")
     if hot.count():
-        dealt = sets.join(small(hot), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = sets.join(small(hot, HOT), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "marks")
     else:
@@ -373,6 +374,12 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     ``ROWS`` of their ``BANDS`` x ``ROWS`` least permuted hashes are joined to the
     first of them. A pair agrees in none with probability (1 - J^5)^24, whatever
     the kind of edit: one in 14,000 at 0.8. Texts of equal sets are one item.
+
+    Defined cases: null texts and texts without a word have the empty set and are
+    copies of each other; a text of fewer than five words is one shingle; of
+    repeated rows the first place stays; a null id counts as the smallest; texts
+    may be of any length; an empty table gives an empty result; all columns are
+    kept, whatever their names.
     """
     docs = scanned(docs)
 
@@ -392,24 +399,26 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "n", "marks"])
 
     keys = ["d1", "d2"]
-    rows = keyed(docs).select("_file", "_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_file long, _row long, doc_id long, d1 long, d2 long, bands array<long>")
-    rows = materialize(rows, "fingerprints")
+    rows = boxed(docs).select("_file", "_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))
+    rows = materialize(rows.mapInArrow(run, "_file long, _row long, doc_id long, d1 long, d2 long, bands array<long>"), "fingerprints")
+    # Joins are merge joins at any size, of places and hashes only; a hot key's side is split by the adaptive planner.
     # Each set's first row has its bands, so that copies cost nothing.
     firsts = rows.groupBy(*keys).agg(F.min(F.struct("_file", "_row")).alias("at"))
     items = materialize(numbered(firsts.select(*keys, "at._file", "at._row"), keys, "node"), "items")
-    dealt = materialize(rows.join(small(items.select("_file", "_row", "node")), ["_file", "_row"]).select("node", F.explode("bands").alias("band")), "bands")
-    shared = materialize(dealt.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a"), "shared")
-    edges = dealt.join(small(shared), "band").filter("node <> a").select("a", F.col("node").alias("b"))
+    dealt = rows.select("_file", "_row", "bands").join(items.select("_file", "_row", "node").hint("merge"), ["_file", "_row"])
+    dealt = materialize(dealt.select("node", F.explode("bands").alias("band")), "bands")
+    shared = dealt.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a")
+    edges = dealt.join(materialize(shared, "shared").hint("merge"), "band").filter("node <> a").select("a", F.col("node").alias("b"))
     roots = materialize(components(edges), "coarse")
     coarse = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    chosen = materialize(items.join(coarse, "node").select("node", "root", "_file", "_row"), "chosen")
-    sets = keyed(docs).join(small(chosen), ["_file", "_row"]).select("root", "node", "text").mapInArrow(unpack, "root long, node long, n long, marks array<long>")
+    chosen = items.join(coarse.hint("merge"), "node").select("_file", "_row", F.struct("root", "node").alias("_value"))
+    sets = met(docs, chosen, lambda r: r.select("_value.root", "_value.node", F.col("_doc.text").alias("text")).mapInArrow(unpack, "root long, node long, n long, marks array<long>"), F.lit(16))
     roots = materialize(components(verified(materialize(sets, "sets"), least)), "components")
-    named = materialize(items.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("root")), "named")
-    placed = materialize(rows.join(small(named), keys).select("_file", "_row", "doc_id", "root"), "placed")
-    firsts = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
-    drops = materialize(placed.join(small(firsts), "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first")).select("_file", "_row"), "drops")
-    return keyed(docs).join(small(drops), ["_file", "_row"], "left_anti").select(*docs.columns)
+    named = materialize(items.join(roots.hint("merge"), "node", "left").select(*keys, F.coalesce("root", "node").alias("root")), "named")
+    placed = materialize(rows.join(named.hint("merge"), keys).select("_file", "_row", "doc_id", "root"), "placed")
+    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    drops = placed.join(materialize(firsts, "firsts").hint("merge"), "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first"))
+    return met(docs, drops.select("_file", "_row", F.lit(True).alias("_value")), lambda r: r.filter("_value IS NULL").select("_doc.*"), every=True)
 
 
 ship(__name__)

@@ -24,8 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from catalens.llm.common import fold, hashed_share, ship, slices
 
@@ -188,15 +190,16 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) ->
 
 
 def clean(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, as they are."""
+    """The rows of ``docs`` that are not predicted toxic, as they are, whatever their columns' names."""
 
     def run(batches):
         memory: dict[str, tuple[int, ...]] = {}
         for b in slices(batches):
-            keep = [machine.score(machine.terms(t, memory)) < 0.5 for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            rows = b.column("_doc")
+            keep = [machine.score(machine.terms(t, memory)) < 0.5 for t in pc.struct_field(rows, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.filter(pa.array(keep, pa.bool_()))], ["_doc"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select(F.struct("*").alias("_doc")).mapInArrow(run, StructType([StructField("_doc", docs.schema)])).select("_doc.*")
 
 
 ship(__name__)

@@ -179,8 +179,9 @@ def test_spans_stay_within_a_block_at_many_blocks():
     sizes = [10**7 // 3, *[10**7 * 2 // 54] * 18, 20]
     shares = mixing.whole([n**mixing.TEMPER for n in sizes])
     needs = [-(-n // 8) for n in sizes]
-    parts, done = mixing.spans(shares, needs)
-    order = np.concatenate([mixing.paced(shares, a, list(b), n) for a, n, b in parts])
+    end = mixing.horizon(shares, needs)
+    done = mixing.reached(shares, end)
+    order = np.concatenate([mixing.span(shares, a, min(mixing.SPAN, end - a))[1] for a in range(0, end, mixing.SPAN)])
     assert len(order) > 10**6 and worst_deviation(order, shares) < 1
     assert np.bincount(order).tolist() == done and all(d >= n for d, n in zip(done, needs)) and done[-1] * 8 < 10 * 20
 
