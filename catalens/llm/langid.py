@@ -9,7 +9,9 @@ batch is scored with two matrix products.
 The model is fitted on at most ``sample`` labelled rows (spread evenly over the
 labels, chosen by a hash of the id); prediction reads every whole text.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0;
+Defined cases: a null text, or one without a letter (of marks only, too), is ``und``
+with score 0; equal scores go to the label first in code point order; texts may be
+of any length;
 rows with a null id are scored but never learned from; repeated rows get equal
 answers; an empty table gives an empty result; with no labelled row at all
 every text is ``und``. Extra columns are ignored.
@@ -56,12 +58,9 @@ def letters_table() -> np.ndarray:
 
 def presence(text: str | None, fold_table: np.ndarray) -> np.ndarray | None:
     """Cells of the grams of a whole text; None if it has no letter."""
-    if not text:
+    if not text or not any(map(str.isalpha, text)):
         return None
     a = fold_table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    space = a == 32
-    if space.all():
-        return None
     a = np.concatenate((np.array([32], np.uint32), a, np.array([32], np.uint32)))
     space = a == 32
     a = a[~(space & np.concatenate(([False], space[:-1])))]

@@ -9,13 +9,15 @@ highest. What is packed is bounded, whatever the table's size:
   ``3 * HEAVY * shards`` of them;
 * the rest are hashed into ``PARCELS * shards`` parcels, each an item;
 * a group over one shard's share can't stay whole under any even law and is cut,
-  by a hash of the id, into pieces of about an eighth of a share.
+  by a hash of its rows' places in the written sizes, into pieces of about an
+  eighth of a share.
 
 The law is ``bytes``: shards are near equal in bytes (and tokens and rows follow).
 
 Defined cases: a null text has no bytes and counts 1, and all null texts are one
-group; a null id is allowed; repeated rows are equal texts; an empty table gives
-an empty result; extra columns are ignored.
+group; a null id is allowed; repeated rows are equal texts; ties in a shard are in
+the order of id, checksum and size; texts may be of any length; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,6 +64,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         ),
         "sizes",
     )
+    at = rows.metadataColumn("_metadata")
+    rows = rows.select("*", F.xxhash64(F.lit(5), at["file_path"], at["row_index"]).alias("spot"))
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
     whole = [max(1, total[k] or 0) for k in ("bytes", "tokens", "rows")]
@@ -80,7 +84,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
             items.append((r["group"], None, 0))
             vectors.append(vector(r))
     cut = spark.createDataFrame([(g, n) for g, n in pieces.items()], "group long, pieces int")
-    piece = F.pmod(F.xxhash64(F.lit(5), "doc_id", "group"), F.col("pieces")).cast("int")
+    piece = F.pmod("spot", F.col("pieces")).cast("int")
     if any(n > 1 for n in pieces.values()):
         # at most 3 x shards groups are over a share, of PIECES pieces a share
         for r in rows.join(F.broadcast(cut.filter("pieces > 1")), "group").groupBy("group", piece.alias("piece")).agg(*sums).collect():

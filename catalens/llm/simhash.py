@@ -152,6 +152,8 @@ def allocate(sample: np.ndarray, n: int, within: int) -> list[tuple[list[int], i
             table = new
         if total + m in table and table[total + m][0] < best[0]:
             best = (table[total + m][0], [(g, t) for g, t in zip(groups, table[total + m][1]) if t >= 0])
+    if not best[1]:
+        raise ValueError(f"no thresholds for {within} differing bits; up to 31 of 64 have some")
     return best[1]
 
 
