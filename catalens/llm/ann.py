@@ -4,9 +4,16 @@ The nearest vectors by Euclidean distance are those of largest
 ``<q, x> - |x|^2 / 2``, so the search is a maximum inner product search. Vectors
 are product-quantised, ``WIDTH`` components and 16 codewords a part (four bits);
 codebooks and codes minimise a loss that weighs the residual parallel to the
-vector ``eta`` times the rest, as it is what distorts large inner products. A
-scan adds one table entry a part for each vector, all queries of a block at
-once; the ``rerank`` best of each run of rows are ranked exactly.
+vector ``eta`` times the rest, as it is what distorts large inner products.
+
+The scan reads codes and norms only, not vectors: it adds one table entry a part
+for each vector, all queries of a block at once. A row is a candidate where its
+estimate is within the query's cutoff: the ``k``-th distance in the sample, which
+no nearest neighbour exceeds, plus the error that the codes of the sample show
+for this query (all but a thousandth of them), and, as the scan goes on, the
+``LOCAL``-th best estimate of the task. The ``rerank`` best estimates of all tasks
+are ranked exactly: the candidates' places are brought to the files of the vectors
+(``common.met``), so a query costs at most ``rerank`` exact distances.
 
 Codebooks are fitted on at most 1.5 x ``sample`` vectors, chosen by a hash of the
 id; every row is indexed. Queries are taken in blocks of at most ``QUERIES``,
@@ -16,20 +23,22 @@ Defined cases: null vectors, zero vectors, vectors with a null, NaN or infinite
 component, vectors of other than the commonest length and rows of null id take
 no part; of several rows of one id the smallest vector is the query, and none of
 them is a candidate for it; ties go to the smaller id; with fewer candidates
-than ``k`` all are returned; an empty table gives an empty result; extra columns
-are ignored.
+than ``k`` all are returned; components of any finite size are allowed (codes are
+of scaled vectors; a distance beyond a double is infinite); an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.common import hashed_share, ship
+from catalens.llm.common import boxed, hashed_share, met, ship
 from catalens.shared import materialize
 
 WIDTH = 2
@@ -39,6 +48,8 @@ SAMPLE = 8192
 QUERIES = 16_384
 AT_ONCE = 128
 RUN = 4096
+LOCAL = 128
+CLOSE = 0.999
 
 
 @dataclass
@@ -79,6 +90,10 @@ class Quantiser:
                 total = rest + along[:, p]
         return out
 
+    def decoded(self, codes: np.ndarray, d: int) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.books[np.arange(self.parts)[None, :], codes].reshape(len(codes), -1)[:, :d]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of queries with all codewords: n x parts x 16."""
         return np.einsum("npd,pwd->npw", self.split(q), self.books)
@@ -135,89 +150,147 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return rows.filter(F.size("x") == d), d
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, rerank: int = 96, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, rerank: int = 1000, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, d = usable(vectors)
     if not d:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = rows.count()
-    chosen = rows.filter(hashed_share(F.col("vec_id")) < min(1.0, sample / n)).orderBy("vec_id").limit(sample * 3 // 2).select("x").collect()
+        return nothing
+    n, largest = rows.agg(F.count("*"), F.max(F.array_max(F.transform("x", F.abs)))).first()
+    chosen = rows.filter(hashed_share(F.col("vec_id")) < min(1.0, sample / n)).orderBy("vec_id").limit(sample * 3 // 2).collect()
     if not chosen:
-        chosen = rows.select("x").limit(WORDS).collect()
-    quantiser = train(np.array([r[0] for r in chosen], np.float32))
+        chosen = rows.limit(WORDS).collect()
+    seen, seen_id = np.array([r["x"] for r in chosen], np.float64) / largest, np.array([r["vec_id"] for r in chosen])
+    quantiser = train(seen.astype(np.float32))
 
     def encode(batches):
         for b in batches:
-            x = matrix(b.column("x"), d)
-            c = quantiser.codes(x.astype(np.float32))
+            x = (matrix(b.column("x"), d) / largest).astype(np.float32)
+            c = quantiser.codes(x)
             if c.shape[1] % 2:
                 c = np.concatenate([c, np.zeros((len(c), 1), np.uint8)], axis=1)
             packed = c[:, ::2] | (c[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("x"), pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "x", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("x"), pa.array((x * x).sum(1) / 2), pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "x", "half", "codes"])
+
+    index = materialize(rows.mapInArrow(encode, "vec_id long, x array<double>, half float, codes binary"), "index")
+    learned = spark.sparkContext.broadcast((seen.astype(np.float32), seen_id, quantiser.decoded(quantiser.codes(seen.astype(np.float32)), d)))
+
+    def cutoff(batches):
+        x, ids, known = learned.value
+        half = (x * x).sum(1) / 2
+        for b in batches:
+            for s in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(s, AT_ONCE)
+                q, own = (matrix(part.column("x"), d) / largest).astype(np.float32), part.column("query_id").to_numpy(zero_copy_only=False)
+                away = half - q @ x.T
+                error = half - q @ known.T - away
+                away[own[:, None] == ids[None, :]] = np.inf
+                most = np.full(len(q), np.inf) if len(x) < k else np.partition(away, k - 1, axis=1)[:, k - 1] + np.quantile(error, CLOSE, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("x"), pa.array(most.astype(np.float64))], ["query_id", "x", "most"])
 
-    index = materialize(rows.mapInArrow(encode, "vec_id long, x array<double>, codes binary"), "index")
     queries = index.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x"))
+    queries = materialize(queries.mapInArrow(cutoff, "query_id long, x array<double>, most double"), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
-    found = None
+    found = []
     for block in range(blocks):
         asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         if not asked:
             continue
         asked.sort(key=lambda r: r["query_id"])
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked]), np.array([r["x"] for r in asked], np.float64)))
-        one = index.mapInArrow(_scan(shared, quantiser, d, k, rerank), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked]), np.array([r["x"] for r in asked], np.float64), np.array([r["most"] for r in asked], np.float32)))
+        codes = boxed(index).select("_file", "_row", "_doc.vec_id", "_doc.half", "_doc.codes")
+        near = codes.mapInArrow(_scan(shared, quantiser, largest), "query int, _file long, _row long, vec_id long, away float")
+        at = F.row_number().over(Window.partitionBy("query").orderBy("away", "vec_id", "_file", "_row"))
+        near = near.withColumn("at", at).filter(F.col("at") <= rerank).groupBy("_file", "_row").agg(F.collect_list("query").alias("_value"))
+        found.append(met(index, near, lambda r, q=shared: r.select("_doc.vec_id", "_doc.x", "_value").mapInArrow(_exact(q, d), "query_id long, vec_id long, score double"), F.size("_value") * 4))
+    if not found:
+        return nothing
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
+def _best(found: list[np.ndarray], m: int) -> list[np.ndarray]:
+    """Of (query, away, id, file, row), the ``m`` of each query of least (away, id), by query."""
+    order = np.lexsort((found[2], found[1], found[0]))
+    query = found[0][order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.concatenate((first, [len(query)]))))
+    return [c[order[rank < m]] for c in found]
 
-def _scan(shared, quantiser: Quantiser, d: int, k: int, rerank: int):
-    """A function over index rows that gives each query's k nearest of its partition."""
+
+def _scan(shared, quantiser: Quantiser, largest: float):
+    """A function over codes that gives each query's candidates of its partition, at most ``LOCAL``."""
+
+    def runs(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= RUN:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
 
     def scan(batches):
-        ids, q = shared.value
-        best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
-        best = np.full((len(ids), k), np.inf)
-        for whole in batches:
-            for s in range(0, whole.num_rows, RUN):
-                b = whole.slice(s, RUN)
-                vec = b.column("vec_id").to_numpy(zero_copy_only=False)
-                order = np.argsort(vec, kind="stable")
-                vec, x = vec[order], matrix(b.column("x"), d)[order]
-                packed = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(vec), -1)[order]
-                codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(vec), -1)[:, : quantiser.parts].T.copy()
-                norms = ((x * x).sum(1) / 2).astype(np.float32)
-                for a in range(0, len(ids), AT_ONCE):
-                    part = slice(a, min(a + AT_ONCE, len(ids)))
-                    tables = quantiser.tables(q[part].astype(np.float32))
-                    away = np.broadcast_to(norms, (len(tables), len(vec))).copy()
-                    for p in range(quantiser.parts):
-                        away -= tables[:, p].take(codes[p], axis=1)
-                    away[ids[part][:, None] == vec[None, :]] = np.inf
-                    m = min(rerank, len(vec))
-                    if m < len(vec):
-                        # the m nearest by the scan; among equals at the end, the smaller ids
-                        edge = np.partition(away, m - 1, axis=1)[:, m - 1 : m]
-                        score = np.where(away < edge, 0, np.where(away == edge, 1, 2)).astype(np.int8)
-                        top = np.argsort(score, axis=1, kind="stable")[:, :m]
-                    else:
-                        top = np.broadcast_to(np.arange(m), (len(tables), m))
-                    diff = x[top] - q[part][:, None, :]
-                    far = np.sqrt((diff * diff).sum(2))
-                    far[ids[part][:, None] == vec[top]] = np.inf
-                    both = np.concatenate([best[part], far], axis=1)
-                    both_id = np.concatenate([best_id[part], vec[top]], axis=1)
-                    first = np.lexsort((both_id, both), axis=1)[:, :k]
-                    best[part] = np.take_along_axis(both, first, 1)
-                    best_id[part] = np.take_along_axis(both_id, first, 1)
-        at, _ = np.nonzero(np.isfinite(best))
-        keep = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_id[keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
+        ids, q, most = shared.value
+        q, most = (q / largest).astype(np.float32), most.copy()
+        best: dict[int, list[np.ndarray]] = {}
+        for b in runs(batches):
+            vec, half, file, row = (b.column(c).to_numpy() for c in ("vec_id", "half", "_file", "_row"))
+            packed = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(vec), -1)
+            codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(vec), -1)[:, : quantiser.parts].T.copy()
+            for a in range(0, len(ids), AT_ONCE):
+                part = slice(a, min(a + AT_ONCE, len(ids)))
+                tables = quantiser.tables(q[part])
+                away = np.broadcast_to(half, (len(tables), len(vec))).copy()
+                for p in range(quantiser.parts):
+                    away -= tables[:, p].take(codes[p], axis=1)
+                near = (away <= most[part, None]) & (ids[part][:, None] != vec[None, :])
+                if near.sum() > LOCAL * len(tables):
+                    kept = np.where(near, away, np.inf)
+                    near &= away <= np.partition(kept, min(LOCAL, len(vec)) - 1, axis=1)[:, min(LOCAL, len(vec)) - 1 :][:, :1]
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                new = [(a + i).astype(np.int32), away[i, j], vec[j], file[j], row[j]]
+                new = _best([np.concatenate(x) for x in zip(best[a], new)] if a in best else new, LOCAL)
+                counts = np.bincount(new[0] - a, minlength=len(tables))
+                full = np.flatnonzero(counts >= LOCAL)
+                most[a + full] = np.minimum(most[a + full], new[1][np.cumsum(counts)[full] - 1])
+                best[a] = new
+        for query, away, vec, file, row in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(file), pa.array(row), pa.array(vec), pa.array(away)], ["query", "_file", "_row", "vec_id", "away"])
 
     return scan
 
 
+def _exact(shared, d: int):
+    """A function over (vec_id, x, positions of queries) that gives exact distances."""
+
+    def rank(batches):
+        ids, q, _ = shared.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 64):
+                b = whole.slice(s, 64)
+                asked = b.column("_value")
+                at, query = np.repeat(np.arange(b.num_rows), [len(v) for v in asked]), asked.flatten().to_numpy()
+                x, vec = matrix(b.column("x"), d), b.column("vec_id").to_numpy(zero_copy_only=False)
+                for k in range(0, len(at), 16_384):
+                    i, j = at[k : k + 16_384], query[k : k + 16_384]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        diff = x[i] - q[j]
+                        far = np.sqrt((diff * diff).sum(1))
+                        beyond = ~np.isfinite(far) | (far < 1e-150)
+                        if beyond.any():  # the squares left a double's range, the distance need not
+                            half = x[i[beyond]] / 2 - q[j[beyond]] / 2
+                            large = np.abs(half).max(1)
+                            part = half / np.where(large > 0, large, 1)[:, None]
+                            far[beyond] = 2 * (large * np.sqrt((part * part).sum(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(vec[i]), pa.array(far)], ["query_id", "vec_id", "score"])
+
+    return rank
+
+
 ship(__name__)
