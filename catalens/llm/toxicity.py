@@ -1,19 +1,29 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text (lower case, letters and digits) and their starts
-of 2 to 7 characters, hashed into ``DIM`` cells; a text has a cell or not. Cells
-whose rate differs between the two labels are kept, and a second-order
-factorization machine (bias, a weight and a ``RANK``-vector a cell) is fitted by
-logistic loss, so that pairs of terms count beyond their sum.
-
+of 2 to 7 characters, hashed into ``DIM`` cells, words in one half and starts in the
+other; a text has a cell or not. A second-order factorization machine (bias, a
+weight and a ``RANK``-vector a cell) is fitted by logistic loss, so that pairs of
+terms count beyond their sum. It learns from
+
+* the cells whose rate differs between the labels (seen three times, z of 3, log
+  odds ratio of 0.7), at most ``KEPT`` of the largest z;
+* words that tell in pairs only: of the ``PAIRED`` most frequent words, the pairs that
+  stand together in texts of one label beyond what both words alone tell (z of 5),
+  at most ``PAIRS`` of the largest z. A mention that is as common in clean texts,
+  and harmful with another word, is found here.
+
+Both bounds are of the model, whatever the table's size; a text has all its terms.
 The model is fitted on at most 1.3 x ``positives`` and 1.3 x ``negatives``
-labelled rows, chosen by a hash of the id; prediction reads every whole text.
+labelled rows, chosen by a hash of the id and read once; prediction reads every
+whole text.
 
 Defined cases: a null or empty text has no term and gets the bias; labels given
 twice for an id count as toxic if one is; null labels and ids are left out; with
 one label only, or none, every score is 0 for no toxic row and else the rate;
-repeated rows get equal scores; an empty table gives an empty result; extra
-columns are ignored.
+repeated rows get equal scores; cells and pairs of equal z are taken by number;
+texts may be of any length; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +40,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from catalens.llm.common import fold, hashed_share, ship, slices
+from catalens.shared import materialize
 
 DIM = 1 << 20
 RANK = 8
 KEPT = 20_000
+PAIRED, PAIRS = 1500, 1000
 WORDS = re.compile(r"[^\W_]+")
 CACHE = 200_000
 
 
 def cells(word: str) -> list[int]:
     """Cells of a word and of its starts."""
-    out = [zlib.crc32(b"w" + word.encode("utf-8", "replace")) % DIM]
+    half = DIM // 2
+    out = [zlib.crc32(b"w" + word.encode("utf-8", "replace")) % half]
     for n in range(2, min(7, len(word)) + 1):
-        out.append(zlib.crc32(b"s" + word[:n].encode("utf-8", "replace")) % DIM)
+        out.append(half + zlib.crc32(b"s" + word[:n].encode("utf-8", "replace")) % half)
     return out
 
 
@@ -50,6 +63,32 @@ def words(text: str | None) -> set[str]:
     return set(WORDS.findall(text.lower())) if text else set()
 
 
+class Terms:
+    """Positions of the kept cells of texts; remembers the words it has seen, and what those with such cells have."""
+
+    def __init__(self, index: dict[int, int]):
+        self.index, self.seen, self.hits = index, set(), {}
+
+    def of(self, text: str | None) -> list[int]:
+        found = words(text)
+        if len(self.seen) > CACHE:
+            self.seen, self.hits = set(), {}
+        for w in found - self.seen:
+            if t := [self.index[c] for c in cells(w) if c in self.index]:
+                self.hits[w] = t
+        self.seen |= found
+        return sorted(set().union(*map(self.hits.__getitem__, found & self.hits.keys())))
+
+
+def sums(a: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of rows of ``a``, given so many a group, the sums of groups."""
+    out = np.zeros((len(lengths), *a.shape[1:]))
+    full = lengths > 0
+    if len(a):
+        out[full] = np.add.reduceat(a, np.concatenate(([0], np.cumsum(lengths)[:-1]))[full], axis=0)
+    return out
+
+
 @dataclass
 class Machine:
     bias: float
@@ -58,26 +97,18 @@ class Machine:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     factors: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK)))
 
-    def terms(self, text: str | None, known: dict[str, tuple[int, ...]]) -> list[int]:
-        """Positions of a text's kept cells; ``known`` remembers words."""
-        found: set[int] = set()
-        for w in words(text):
-            t = known.get(w)
-            if t is None:
-                if len(known) > CACHE:
-                    known.clear()
-                t = known[w] = tuple(self.index[c] for c in cells(w) if c in self.index)
-            if t:
-                found.update(t)
-        return sorted(found)
+    def scores(self, rows: list[list[int]]) -> np.ndarray:
+        """Scores of texts, by the positions of their cells."""
+        lengths = np.array([len(r) for r in rows], np.int64)
+        at = np.concatenate([np.array(r, np.int64) for r in rows]) if lengths.sum() else np.zeros(0, np.int64)
+        s = np.full(len(rows), float(self.bias))
+        if len(at):
+            v = (self.factors * self.value[:, None])[at]
+            s += sums((self.weight * self.value)[at], lengths) + 0.5 * ((sums(v, lengths) ** 2).sum(1) - sums((v * v).sum(1), lengths))
+        return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
 
     def score(self, terms: list[int]) -> float:
-        s = self.bias
-        if terms:
-            x = self.value[terms]
-            v = self.factors[terms] * x[:, None]
-            s += float(self.weight[terms] @ x) + 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(s, -35, 35))))
+        return float(self.scores([terms])[0])
 
 
 def train(rows: list[list[int]], y: np.ndarray, weights: np.ndarray, value: np.ndarray, rounds: int = 250, rate: float = 0.05, penalty: float = 2e-4) -> tuple[float, np.ndarray, np.ndarray]:
@@ -88,15 +119,8 @@ def train(rows: list[list[int]], y: np.ndarray, weights: np.ndarray, value: np.n
     col = np.concatenate([np.array(r, np.int64) for r in rows]) if lengths.sum() else np.zeros(0, np.int64)
     x = value[col]
     by_col = np.argsort(col, kind="stable")
-    full, starts = lengths > 0, np.concatenate(([0], np.cumsum(lengths)[:-1]))
     used, col_starts = np.unique(col[by_col], return_index=True)
 
-    def by_row(a):
-        out = np.zeros((n, *a.shape[1:]))
-        if len(a):
-            out[full] = np.add.reduceat(a, starts[full], axis=0)
-        return out
-
     def by_cell(a):
         out = np.zeros((d, *a.shape[1:]))
         if len(a):
@@ -110,10 +134,10 @@ def train(rows: list[list[int]], y: np.ndarray, weights: np.ndarray, value: np.n
     for step in range(1, rounds + 1):
         bias, w, v = params
         vx = v[col] * x[:, None]
-        sums = by_row(vx)
-        z = bias + by_row((w[col] * x)[:, None])[:, 0] + 0.5 * ((sums**2).sum(1) - by_row((vx * vx).sum(1)[:, None])[:, 0])
+        both = sums(vx, lengths)
+        z = bias + sums(w[col] * x, lengths) + 0.5 * ((both**2).sum(1) - sums((vx * vx).sum(1), lengths))
         g = share * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        grads = [np.array([g.sum()]), by_cell((g[at] * x)[:, None])[:, 0] + penalty * w, by_cell((g[at] * x)[:, None] * (sums[at] - vx)) + penalty * v]
+        grads = [np.array([g.sum()]), by_cell((g[at] * x)[:, None])[:, 0] + penalty * w, by_cell((g[at] * x)[:, None] * (both[at] - vx)) + penalty * v]
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             s[i] = 0.999 * s[i] + 0.001 * grad * grad
@@ -130,18 +154,26 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     share = {1: min(1.0, positives / counts[1]), 0: min(1.0, negatives / counts[0])}
     at = hashed_share(F.col("doc_id"))
     chosen = known.filter(at < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
-    # chosen has at most about positives + negatives rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
-    def count(batches):
-        seen = np.zeros((2, DIM), np.int32)
+    def encode(batches):
         memory: dict[str, list[int]] = {}
         for b in slices(batches):
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+            out = []
+            for t in b.column("text").to_pylist():
                 if len(memory) > CACHE:
                     memory.clear()
-                got = {c for w in words(t) for c in (memory.get(w) or memory.setdefault(w, cells(w)))}
-                seen[y, np.fromiter(got, np.int64, len(got))] += 1
+                out.append(sorted({c for w in words(t) for c in (memory.get(w) or memory.setdefault(w, cells(w)))}))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "cells"])
+
+    # chosen has at most about positives + negatives rows
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    sample = materialize(sample.mapInArrow(encode, "doc_id long, y int, cells array<int>"), "sample")
+
+    def count(batches):
+        seen = np.zeros((2, DIM), np.int32)
+        for b in batches:
+            for found, y in zip(b.column("cells"), b.column("y").to_pylist()):
+                seen[y, found.values.to_numpy()] += 1
         at = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], ["cell", "n0", "n1"])
 
@@ -151,33 +183,70 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     n0, n1 = float(totals[0]), float(totals[1])
     p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     error = F.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
-    table = sample.mapInArrow(count, "cell long, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    table = materialize(sample.mapInArrow(count, "cell long, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "cells")
     kept = (
         table.filter(F.col("n0") + F.col("n1") >= 3).select("cell", (F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))).alias("odds"), (F.abs(p1 - p0) / error).alias("z"))
         .filter("z >= 3 AND abs(odds) >= 0.7").orderBy(F.desc("z"), "cell").limit(KEPT).collect()
     )
-    machine = Machine(0.0, {r["cell"]: i for i, r in enumerate(kept)}, np.array([min(1.0, abs(r["odds"]) / 3) for r in kept]))
+    frequent = [r["cell"] for r in table.filter((F.col("cell") < DIM // 2) & (F.col("n0") + F.col("n1") >= 20)).orderBy(F.desc(F.col("n0") + F.col("n1")), "cell").limit(PAIRED).collect()]
+    index = {r["cell"]: i for i, r in enumerate(kept)}
+    wanted = np.array(sorted({*index, *frequent}), np.int32)
 
-    def encode(batches):
-        memory: dict[str, tuple[int, ...]] = {}
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([machine.terms(t, memory) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
+    def chosen_cells(batches):
+        for b in batches:
+            out = [x[np.isin(x, wanted, assume_unique=True)] for x in (c.values.to_numpy() for c in b.column("cells"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "cells"])
 
-    rows = sorted(sample.mapInArrow(encode, "doc_id long, y int, terms array<int>").collect(), key=lambda r: (r["doc_id"], r["terms"]))
+    rows = sorted(sample.mapInArrow(chosen_cells, "doc_id long, y int, cells array<int>").collect(), key=lambda r: (r["doc_id"], r["cells"]))
     y = np.array([r["y"] for r in rows], float)
+    value = [min(1.0, abs(r["odds"]) / 3) for r in kept]
+    for cell in telling([r["cells"] for r in rows], y, frequent):
+        if cell not in index:
+            index[cell] = len(index)
+            value.append(0.5)
+    machine = Machine(0.0, index, np.array(value))
     weights = np.where(y == 1, 1 / share[1], 1 / share[0])
-    machine.bias, machine.weight, machine.factors = train([r["terms"] for r in rows], y, weights, machine.value)
+    machine.bias, machine.weight, machine.factors = train([[index[c] for c in r["cells"] if c in index] for r in rows], y, weights, machine.value)
     return machine
 
 
+def telling(rows: list[list[int]], y: np.ndarray, frequent: list[int]) -> list[int]:
+    """The cells of ``frequent`` in pairs that tell of a label beyond what both alone do, best pairs first."""
+    if not frequent:
+        return []
+    place = {c: k for k, c in enumerate(frequent)}
+    both, n = [], []
+    for label in (0, 1):
+        own = [r for r, v in zip(rows, y) if v == label]
+        together = np.zeros((len(frequent), len(frequent)), np.float32)
+        for s in range(0, len(own), 4096):
+            part = own[s : s + 4096]
+            x = np.zeros((len(part), len(frequent)), np.float32)
+            for i, r in enumerate(part):
+                x[i, [place[c] for c in r if c in place]] = 1
+            together += x.T @ x
+        both.append(together.astype(np.float64) + 0.5)
+        n.append(len(own) + 1.0)
+    alone = [np.diag(c) for c in both]
+    ratio = np.log(both[1] / n[1]) - np.log(both[0] / n[0])
+    own = np.diag(ratio)
+    error = np.sqrt(1 / both[0] + 1 / both[1] + sum(1 / a[:, None] + 1 / a[None, :] for a in alone))
+    z = np.triu(np.abs(ratio - own[:, None] - own[None, :]) / error, 1)
+    # the pair itself has to tell, too: words that only repeat each other don't
+    z[(np.abs(ratio) < 0.7) | (np.abs(ratio) < np.maximum(np.abs(own)[:, None], np.abs(own)[None, :])) | (z < 5)] = 0
+    pairs = np.argsort(-z, axis=None, kind="stable")[:PAIRS]
+    out = dict.fromkeys(frequent[k] for p in pairs if z.flat[p] > 0 for k in divmod(int(p), len(frequent)))
+    return list(out)
+
+
 def predict(docs: DataFrame, machine: Machine) -> DataFrame:
     """``doc_id``, score and predicted for every row, whatever else ``docs`` has."""
 
     def run(batches):
-        memory: dict[str, tuple[int, ...]] = {}
+        terms = Terms(machine.index)
         for b in slices(batches):
-            scores = [machine.score(machine.terms(t, memory)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
+            scores = machine.scores([terms.of(t) for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -193,11 +262,11 @@ def clean(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, as they are, whatever their columns' names."""
 
     def run(batches):
-        memory: dict[str, tuple[int, ...]] = {}
+        terms = Terms(machine.index)
         for b in slices(batches):
             rows = b.column("_doc")
-            keep = [machine.score(machine.terms(t, memory)) < 0.5 for t in pc.struct_field(rows, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.filter(pa.array(keep, pa.bool_()))], ["_doc"])
+            keep = machine.scores([terms.of(t) for t in pc.struct_field(rows, "text").to_pylist()]) < 0.5
+            yield pa.RecordBatch.from_arrays([rows.filter(pa.array(keep))], ["_doc"])
 
     return docs.select(F.struct("*").alias("_doc")).mapInArrow(run, StructType([StructField("_doc", docs.schema)])).select("_doc.*")
 

@@ -163,3 +163,93 @@ def test_deep_pages_cost_their_length():
     depth = 30_000
     page = "<html><body>" + "<div class='level'>" * depth + "the text" + "</span>" * depth
     assert html.extract(page, html.vote(page)[0]) == "the text"
+
+
+def test_a_hot_text_without_ids_is_cut_evenly(spark):
+    from catalens.llm import sharding
+
+    rows = [(None, "one text that a third of the rows have")] * 1600 + [(2000 + i, f"text {i} " * (i % 9 + 1)) for i in range(3200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    sizes, counts = [r["size"] for r in got], [r["n"] for r in got]
+    assert len(got) == 16 and max(sizes) < 1.1 * min(sizes) and max(counts) < 1.25 * min(counts)
+
+
+def test_bounds_without_thresholds_are_refused():
+    sample = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    assert sum(t + 1 for _, t in simhash.allocate(sample, 1000, 20)) == 21
+    for within in (32, 40):
+        with pytest.raises(ValueError):
+            simhash.allocate(sample, 1000, within)
+
+
+@pytest.mark.parametrize("kind", ["clustered", "even"])
+def test_recall_of_vectors_with_bounded_exact_distances(spark, monkeypatch, kind):
+    from catalens.llm import ann
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_000, 32)) if kind == "even" else rng.normal(size=(200, 32))[rng.integers(0, 200, 20_000)] + 0.4 * rng.normal(size=(20_000, 32))
+    x = x.astype(np.float32).astype(float)
+    ranked, met = [], ann.met
+
+    def counted(index, near, then, weight):
+        ranked.append(near.select(F.explode("_value").alias("q")).groupBy("q").count().agg(F.max("count")).first()[0])
+        return met(index, near, then, weight)
+
+    monkeypatch.setattr(ann, "met", counted)
+    got = {}
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i in range(0, 20_000, 100):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+    assert hits >= 0.97 * 2000 and max(ranked) <= 1000
+
+
+def test_vectors_of_any_finite_size(spark):
+    from catalens.llm import ann
+
+    rng = np.random.default_rng(2)
+    small = rng.normal(size=(300, 6))
+    for scale in (1e-200, 1e200, 1e307):
+        x = np.clip(small, -5, 5) * scale
+        rows = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+        for q in (0, 100, 200):
+            d = np.sqrt(((x / scale - x[q] / scale) ** 2).sum(1))
+            d[q] = np.inf
+            want = np.argsort(d)[:10].tolist()
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q)
+            assert len(mine) == 10 and len({v for _, v, _ in mine} & set(want)) >= 9
+            assert all(s == pytest.approx(d[v] * scale, rel=1e-9) for _, v, s in mine)
+
+
+def gold(k, rng):
+    """A page of one of four templates, and its main text."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    parts = [say(rng.integers(20, 70)) for _ in range(rng.integers(3, 8))]
+    head, side, talk = say(6), [say(3) for _ in range(12)], [say(25) for _ in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    nav = "<nav><ul>" + "".join(f"<li><a href='/{i}'>{s}</a></li>" for i, s in enumerate(side)) + "</ul></nav>"
+    said = "".join(f"<div class='comment'><p>{t}</p></div>" for t in talk)
+    page = [
+        f"<header>{nav}</header><article class='post-{k}'><h1>{head}</h1>{body}</article><aside>{say(30)}</aside><footer>{say(9)}</footer>",
+        f"<div id='top'>{nav}</div><div id='content'><div class='story'><h1>{head}</h1>{body}</div></div><div id='sidebar'>{say(40)}</div><section class='comments'>{said}</section>",
+        f"<table><tr><td class='menu'>{nav}</td><td class='x{k}'><h1>{head}</h1>{body}</td></tr></table><div class='copyright'>{say(8)}</div>",
+        f"<div class='cookie-banner'>{say(20)}</div><main><h1>{head}</h1>{body}<form>{say(5)}</form></main><div class='newsletter'>{say(12)}</div><script>var x = '{say(5)}'</script>",
+    ][k % 4]
+    return f"<!doctype html><html><head><title>{head}</title></head><body>{page}</body></html>", "\n".join([head, *parts])
+
+
+def test_main_text_of_pages_that_are_known(spark):
+    rng = np.random.default_rng(9)
+    pages = [gold(k, rng) for k in range(120)]
+    rows = [(i, f"http://h{i % 4}.example/{i}", p) for i, (p, _) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    f1 = []
+    for i, (_, want) in enumerate(pages):
+        a, b = want.split(), got[i].split()
+        both = len(set(a) & set(b))
+        f1.append(2 * both / max(1, len(set(a)) + len(set(b))))
+    assert np.mean(f1) > 0.98 and min(f1) > 0.9, (np.mean(f1), min(f1), np.argmin(f1))

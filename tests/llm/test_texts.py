@@ -1,10 +1,14 @@
 """Language, toxicity, digests and page text."""
 
 import hashlib
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from catalens.llm import fingerprint, html, langid, toxicity
 from catalens.llm import queries as q
@@ -31,7 +35,7 @@ def test_language_odd(spark, odd, empty):
 def test_kernel_is_the_share_of_common_grams():
     table = langid.letters_table()
     a, b = langid.presence("alpha beta", table), langid.presence("Alpha, BETA!", table)
-    assert (a == b).all() and langid.presence("123 ...", table) is None
+    assert (a == b).all() and langid.presence("123 ...", table) is None and langid.presence("\u0301 \u0300", table) is None
     x = np.stack([a]).astype(np.float32)
     assert langid.kernel(x, x.T, x.sum(1))[0, 0] == pytest.approx(1)
 
@@ -61,6 +65,33 @@ def test_pairs_are_learned():
     assert m.score([0, 1]) > 0.5 > max(m.score([0]), m.score([1])) and m.score([]) > 0.5
 
 
+def test_pairs_of_common_words_are_found(spark, tmp_path):
+    """Two words as common in clean texts as in toxic ones, each with decoys of its own, tell together."""
+    rng = np.random.default_rng(1)
+    fill = [f"{a}{b}{c}" for a in "bdfgkm" for b in "aeiou" for c in "lnrst"]
+    rows = []
+    for i in range(2400):
+        toxic = i % 3 == 0
+        own = (["slight", "folk"] if rng.random() < 0.5 else []) if toxic else [["slight"], ["folk"]][i % 2]
+        rows.append((i, " ".join(rng.permutation([*rng.choice(fill, 30), *own, *(["vileword"] if toxic and not own else [])])), int(toxic)))
+    spark.createDataFrame(rows, "doc_id long, text string, toxic int").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    machine = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    assert {toxicity.cells(w)[0] for w in ("slight", "folk", "vileword")} <= set(machine.index)
+    score = lambda t: machine.score(toxicity.Terms(machine.index).of(t))
+    assert score("bal del fil slight gar folk") > 0.5 > max(score("bal del fil slight gar"), score("bal del folk gar"), score("bal folk fil"))
+    assert score("bal vileword") > 0.5
+
+
+def test_scores_of_many_are_those_of_each():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(-0.3, {}, rng.random(50), rng.normal(size=50), rng.normal(size=(50, toxicity.RANK)) / 4)
+    rows = [sorted(rng.choice(50, n, replace=False).tolist()) for n in (0, 3, 0, 50, 1, 20, 0)]
+    for row, got in zip(rows, m.scores(rows)):
+        pairs = sum(m.factors[i] @ m.factors[j] * m.value[i] * m.value[j] for k, i in enumerate(row) for j in row[k + 1 :])
+        assert got == pytest.approx(1 / (1 + np.exp(-(m.bias + sum(m.weight[i] * m.value[i] for i in row) + pairs))))
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1), (8, 0), (8, None), (None, 1), (10, 0), (5, 0)], "doc_id long, toxic int")
     assert toxicity.scored(odd, labels).count() == odd.count()
@@ -69,15 +100,22 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.clean(odd, toxicity.Machine(-1.0)).count() == odd.count() and toxicity.clean(odd, toxicity.Machine(1.0)).columns == odd.columns
 
 
-def check_digests(rows, texts):
+def plain(text):
+    """The canonical form, told again: folded and with single spaces."""
+    once = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"\s+", " ", re.sub(r"[\x1c-\x1f]", " ", once)).strip()
+
+
+def check_digests(rows, texts, digest=lambda t: xxhash.xxh3_128(t.encode()).hexdigest()):
     order = sorted(texts)
     following = {i: texts[order[(k + 1) % len(order)]] or "" for k, i in enumerate(order)}
     for r in rows:
         own = texts[r["doc_id"]] or ""
-        new = fingerprint.edited(own, following[r["doc_id"]])
+        n = len(own) // 4
+        new = own[: len(own) - n] + following[r["doc_id"]][:n] if n else own
         assert (r["n_chars"], r["edited_sha256"]) == (len(own), hashlib.sha256(new.encode()).hexdigest())
-        assert r["fingerprint"] == fingerprint.digest(fingerprint.canonical(own)) and r["edited_fingerprint"] == fingerprint.digest(fingerprint.canonical(new))
-        assert r["near_edited"] == float(fingerprint.canonical(own) == fingerprint.canonical(new)) and r["near_next"] == float(fingerprint.canonical(own) == fingerprint.canonical(following[r["doc_id"]]))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (digest(plain(own)), digest(plain(new)))
+        assert r["near_edited"] == float(plain(own) == plain(new)) and r["near_next"] == float(plain(own) == plain(following[r["doc_id"]]))
 
 
 def test_digests(spark, texts):
@@ -98,13 +136,52 @@ def test_canonical_forms():
     assert fingerprint.canonical("  Straße ＡＢ\n\nC ") == fingerprint.canonical("STRASSE ab c") and fingerprint.canonical(None) == b""
 
 
-def test_unequal_texts_under_one_digest_are_told_apart(spark, monkeypatch):
+def test_unequal_texts_under_one_digest_are_told_apart(spark):
     from catalens.llm import fingerprint as f
 
     rows = spark.createDataFrame([("same", "s1"), ("same", "s2"), ("other", "s3"), ("other", "s3")], "digest string, sha string")
     assert [r[0] for r in f.differing(rows, spark.createDataFrame([("a",)], "text string")).collect()] == ["same"]
 
 
+@pytest.mark.parametrize("blind", [False, True])
+def test_bytes_are_compared_where_digests_collide(spark, tmp_path, monkeypatch, blind):
+    """A digest with many collisions, and with ``blind`` a SHA-256 that tells nothing before the comparison."""
+    texts = {i: ["", "abc", "ABC ", "abcdefgh", "abcdefgX", "abcdefgh", None, "y" * 9, "z" * 9][i % 9] + str(i // 9) if i % 9 != 6 else None for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: str(len(canon) % 3))
+    if blind:
+        compared = fingerprint.shared_digests
+        monkeypatch.setattr(fingerprint, "shared_digests", lambda rows: compared(rows.withColumn("sha", F.lit("0"))))
+    rows = fingerprint.fingerprints(docs).collect()
+    order = sorted(texts)
+    new = {i: fingerprint.edited(texts[i] or "", texts[order[(k + 1) % len(order)]] or "") for k, i in enumerate(order)}
+    names = {}
+    for r in rows:
+        names.setdefault(plain(texts[r["doc_id"]]), set()).add(r["fingerprint"])
+        names.setdefault(plain(new[r["doc_id"]]), set()).add(r["edited_fingerprint"])
+    assert len(rows) == len(texts) and all(len(v) == 1 for v in names.values())
+    assert len(set().union(*names.values())) == len(names)
+
+
+def test_edited_texts_alone_collide(spark, tmp_path, monkeypatch):
+    """Two documents of their own digests whose edited texts share one: only their bytes tell."""
+    texts = {0: "aaaaaaab", 1: "bbcccccd", 2: "eefffffg", 3: "h" * 30}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    known = {t.encode() for t in texts.values()}
+    monkeypatch.setattr(fingerprint, "digest", lambda c: c.hex() if c in known else "same")
+    compared = fingerprint.shared_digests
+    monkeypatch.setattr(fingerprint, "shared_digests", lambda rows: compared(rows.withColumn("sha", F.lit("0"))))
+    rows = fingerprint.fingerprints(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert len({r["edited_fingerprint"] for r in rows}) == 4 and all(r["edited_fingerprint"].startswith("same-") for r in rows)
+
+
+def test_equal_rows_are_ordered_by_place(spark, tmp_path):
+    spark.createDataFrame([(7, "the same text")] * 500 + [(8, "other")], "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    rows = fingerprint.fingerprints(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted(r["near_next"] for r in rows) == [0.0] * 2 + [1.0] * 499
+
+
 PAGE = """<html><body class="has-sidebar"><header><a href=/>Home</a></header><div class="cookie-notice">We use cookies</div><div class="sidebar"><p>side</p></div>
 <div class="post-content"><h1>Title &amp; more</h1><p>First   para&nbsp;with <a href=x>link</a> text that is long enough to be the main one.<p>Second<br>line<ul><li>one<li>two</ul><script>var a = "<p>no</p>";</script><form>no</form></div>
 <div class="comments"><p>reader says a lot of things about all of this and more and more and more and more</p></div><footer>foot</footer></body></html>"""
