@@ -2,38 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.text import always_quoted
+from catalens.operators.collect import not_system
 
 Facts = Mapping[str, DataFrame]
 BLOCK, REPORT = "block", "report"
 WRITES = ["INSERT", "UPDATE", "DELETE", "TRUNCATE", "REFERENCES", "TRIGGER"]
 FLAGS = ["super", "createdb", "bypassrls", "replication", "createrole"]
-DEPTH = 32
+TABLE_RIGHTS = ["SELECT", *WRITES]
 
 
 def grantees(f: Facts, role: str) -> DataFrame:
-    """The role, every role it is a member of by any path, and PUBLIC."""
-    spark = f["roles"].sparkSession
-    known = spark.createDataFrame([(role,)], "grantee string")
-    edges = f["members"].select(F.col("member").alias("grantee"), "role")
-    step = known
-    for _ in range(DEPTH):
-        step = edges.join(step, "grantee").select(F.col("role").alias("grantee")).join(known, "grantee", "left_anti").distinct()
-        if step.isEmpty():
-            break
-        known = known.unionByName(step)
-    return known.unionByName(spark.createDataFrame([("PUBLIC",)], "grantee string"))
+    """The role, every role it is a member of by any path however long, and PUBLIC.
+
+    The driver walks the memberships, a row a pair of roles, one step of the path at a time.
+    """
+    known, step = {role}, {role}
+    while step:
+        found = f["members"].filter(F.col("member").isin(*step)).select("role").distinct().collect()
+        step = {r["role"] for r in found} - known
+        known |= step
+    return f["roles"].sparkSession.createDataFrame([(x,) for x in [*sorted(known), "PUBLIC"]], "grantee string")
+
+
+def objects(f: Facts, name: str = "app") -> DataFrame:
+    """(object_kind, schema, object_id, owner, rights) of what users have made, and of the database."""
+    own = f["pg_namespace"].filter(not_system(F.col("nspname"))).select(F.col("oid").alias("relnamespace"), F.col("nspname").alias("schema"), "nspowner")
+    rights = lambda *words: F.array(*[F.lit(w) for w in words])
+    shape = lambda rows, kind, schema, what, owner, given: rows.select(F.lit(kind).alias("object_kind"), schema.cast("string").alias("schema"), what.alias("object_id"), owner.cast("string").alias("owner"), given.alias("rights"))
+    rel, none = f["pg_class"].join(own, "relnamespace"), F.lit(None)
+    col = F.col
+    functions = f["pg_proc"].withColumnRenamed("pronamespace", "relnamespace").join(own, "relnamespace").filter("prokind = 'f'").select("schema", F.concat("proname", F.lit("("), "identity_args", F.lit(")")).alias("signature"), col("proowner").alias("owner"))
+    functions = functions.unionByName(f["secdef_functions"].select("schema", "signature", "owner")).distinct()
+    return reduce(DataFrame.unionByName, [
+        shape(rel.filter("relkind IN ('r', 'p', 'f', 'v', 'm')"), "table", col("schema"), col("relname"), col("relowner"), rights(*TABLE_RIGHTS)),
+        shape(rel.filter("relkind = 'S'"), "sequence", col("schema"), col("relname"), col("relowner"), rights("USAGE", "SELECT", "UPDATE")),
+        shape(own, "schema", col("schema"), col("schema"), col("nspowner"), rights("USAGE", "CREATE")),
+        shape(functions, "function", col("schema"), col("signature"), col("owner"), rights("EXECUTE")),
+        shape(f["pg_foreign_server"], "server", none, col("srvname"), none, rights("USAGE")),
+        shape(f["roles"].sparkSession.createDataFrame([(name,)], "datname string"), "database", none, col("datname"), none, rights("CONNECT", "CREATE", "TEMP")),
+    ])
+
+
+def implied(f: Facts, role: str) -> DataFrame:
+    """Rights without a grant: an owner's, also by membership, on what it owns, and a superuser's on everything."""
+    every = objects(f)
+    owned = every.join(grantees(f, role).withColumnRenamed("grantee", "owner"), "owner").withColumn("grantee", F.col("owner"))
+    rows = owned.select("object_kind", "schema", "object_id", "grantee", "rights")
+    if not f["roles"].filter((F.col("rolname") == role) & F.col("super")).isEmpty():
+        rows = rows.unionByName(every.select("object_kind", "schema", "object_id", F.lit(role).alias("grantee"), "rights"))
+    return rows.select("object_kind", "schema", "object_id", "grantee", F.explode("rights").alias("privilege"))
 
 
 def effective(f: Facts, role: str) -> DataFrame:
-    """What the role may do by any grant, its own, inherited or PUBLIC's; one row a privilege and grantee."""
-    return f["acl"].join(grantees(f, role), "grantee")
+    """What the role may do: by any grant, its own, inherited or PUBLIC's, as an owner or as a superuser.
+
+    One row a privilege and the role, or PUBLIC, that it comes from.
+    """
+    granted = f["acl"].join(grantees(f, role), "grantee").select("object_kind", "schema", "object_id", "grantee", "privilege")
+    return granted.unionByName(implied(f, role)).distinct()
 
 
 def scoped(f: Facts, rows: DataFrame, inside: bool = True) -> DataFrame:
@@ -142,10 +175,28 @@ def audit(f: Facts, role: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [rule(f, role) for rule in RULES.values()])
 
 
-def verdict(f: Facts, role: str) -> DataFrame:
-    """One row: how many findings block, how many are only reported, and the exit code."""
+def mends(f: Facts, role: str) -> DataFrame:
+    """(fix): the statements that mend what blocks, each once."""
+    return audit(f, role).filter(F.col("severity") == BLOCK).select("fix").distinct()
+
+
+def verdict(f: Facts, role: str, probe: Callable[[], bool] | None = None) -> DataFrame:
+    """One row: how many findings block, how many are only reported, and the exit code.
+
+    2 where one blocks (a person has to mend it), else what a session of the role says: 0 if the
+    probe is answered, 1 if not. Without a probe an audit that nothing blocks is 0.
+    """
     n = audit(f, role).agg(F.count_if(F.col("severity") == BLOCK).alias("n_block"), F.count_if(F.col("severity") == REPORT).alias("n_report"))
-    return n.withColumn("exit_code", F.when(F.col("n_block") > 0, 2).otherwise(0))
+    blocked = n.first()["n_block"] > 0
+    answered = blocked or probe is None or _answers(probe)
+    return n.withColumn("exit_code", F.lit(2 if blocked else 0 if answered else 1))
+
+
+def _answers(probe: Callable[[], bool]) -> bool:
+    try:
+        return bool(probe())
+    except Exception:  # a session that can't be had is an answer, too
+        return False
 
 
 def identity(current: str, configured: str) -> int:

@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import text as T
 
 THRESHOLD, MOST = 0.6, 5
+#: Edits up to which names meet by the names that deletions leave of them.
+DELETIONS = 2
+SLACK = 1e-9
+
+
+def edits(longest: Column, threshold: float) -> Column:
+    """The most edits that two names of this longer length may be apart."""
+    return F.floor(longest * F.lit(1 - threshold) + F.lit(SLACK)).cast("int")
+
+
+def without(name: Column, deletions: int) -> Column:
+    """What is left of a name by up to so many deletions."""
+    out = F.array(name)
+    for _ in range(deletions):
+        one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda x: x != ""), one))))
+    return out
 
 
 def rank(asked: DataFrame, names: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
     """(identifier, candidate, similarity, rank): the closest of ``names`` (candidate, local) to each identifier.
 
-    The lengths of two names at most ``1 - threshold`` of the longer apart bound the
-    similarity, so each identifier meets only names of such lengths: an equi-join on
-    the length, not all pairs.
+    The similarity bounds the lengths and the edits that two names may be apart. Identifiers
+    for which that is at most ``DELETIONS`` edits meet names that share what some deletions
+    leave, an equi-join that prunes within a length; others meet the names of lengths that
+    can reach the similarity. The edit distance is only followed up to its bound.
     """
-    wanted = asked.select("identifier").distinct().withColumn("_local", T.local_name(F.col("identifier"))).withColumn("_n", F.length("_local"))
-    low, high = F.ceil(F.col("_n") * F.lit(threshold)), F.floor(F.col("_n") / F.lit(threshold))
-    wanted = wanted.withColumn("_len", F.explode(F.when(F.col("_n") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(low, high))))
-    known = names.groupBy("candidate", "local").agg(F.lit(1)).withColumn("_len", F.length("local").cast("bigint")).select("candidate", "local", "_len")
-    scored = wanted.join(known, "_len").withColumn("similarity", T.similarity(F.col("_local"), F.col("local"))).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy("identifier", "candidate").agg(F.max("similarity").alias("similarity"))
+    wanted = asked.select("identifier").distinct().withColumn("_a", F.lower(T.local_name(F.col("identifier")))).withColumn("_n", F.length("_a"))
+    wanted = wanted.withColumn("_long", F.floor(F.col("_n") / F.lit(threshold) + F.lit(SLACK)).cast("int")).withColumn("_k", edits(F.col("_long"), threshold))
+    known = names.select("candidate", F.lower("local").alias("_b")).distinct()
+    few = wanted.filter((F.col("_k") <= DELETIONS) & (F.col("_n") > 0))
+    deepest = few.agg(F.max("_k")).first()[0]
+    low = F.ceil(F.col("_n") * F.lit(threshold) - F.lit(SLACK)).cast("int")
+    many = wanted.filter((F.col("_k") > DELETIONS) | (F.col("_n") == 0)).withColumn("_len", F.explode(F.when(F.col("_n") == 0, F.array(F.lit(0))).otherwise(F.sequence(low, "_long"))))
+    met = many.join(known.withColumn("_len", F.length("_b")), "_len").select("identifier", "_a", "candidate", "_b")
+    if deepest is not None:
+        shared = few.withColumn("_key", F.explode(without(F.col("_a"), deepest))).join(known.withColumn("_key", F.explode(without(F.col("_b"), deepest))), "_key")
+        met = met.unionByName(shared.select("identifier", "_a", "candidate", "_b").distinct())
+    longest = F.greatest(F.length("_a"), F.length("_b"))
+    met = met.withColumn("_most", edits(longest, threshold))
+    apart = F.expr("levenshtein(_a, _b, _most)")
+    similar = F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - apart / longest)
+    best = met.filter(apart >= 0).withColumn("similarity", similar).filter(F.col("similarity") >= threshold).groupBy("identifier", "candidate").agg(F.max("similarity").alias("similarity"))
     at = F.row_number().over(Window.partitionBy("identifier").orderBy(F.desc("similarity"), F.asc("candidate")))
     return best.withColumn("rank", at).filter(F.col("rank") <= most).select("identifier", "candidate", F.round("similarity", 4).alias("similarity"), "rank")
 

@@ -41,7 +41,7 @@ def own(f: Facts, rows: DataFrame, kind: str) -> DataFrame:
 def schemas(f: Facts, scope: str = "") -> DataFrame:
     """User schemas in scope that hold a table, view or function of their own."""
     names = f["pg_namespace"].filter(not_system(F.col("nspname")) & in_scope(F.col("nspname"), scope))
-    held = own(f, f["pg_class"].filter(F.col("relkind").isin(*TABLE_KINDS, *VIEW_KINDS)), "pg_class").select(F.col("relnamespace").alias("oid"))
+    held = own(f, of_kinds(f, TABLE_KINDS | VIEW_KINDS), "pg_class").select(F.col("relnamespace").alias("oid"))
     held = held.unionByName(own(f, f["pg_proc"].filter("prokind = 'f'"), "pg_proc").select(F.col("pronamespace").alias("oid")))
     return names.join(held, "oid", "left_semi").select(F.col("oid").alias("schema_oid"), F.col("nspname").alias("schema"), F.col("description").alias("comment"))
 
@@ -53,8 +53,44 @@ def _mapped(column: str, kinds: Mapping[str, str]) -> Column:
     return out
 
 
+def of_kinds(f: Facts, kinds: Mapping[str, str]) -> DataFrame:
+    return f["pg_class"].filter(F.col("relkind").isin(*kinds))
+
+
+def live_columns(f: Facts) -> DataFrame:
+    """Columns that users made and didn't drop."""
+    return f["pg_attribute"].filter("attnum > 0 AND NOT attisdropped")
+
+
+def valid_indexes(f: Facts) -> DataFrame:
+    return f["pg_index"].filter("indisvalid")
+
+
+def real_constraints(f: Facts) -> DataFrame:
+    """All but NOT NULL, which a column tells itself."""
+    return f["pg_constraint"].filter("contype <> 'n'")
+
+
+def user_triggers(f: Facts) -> DataFrame:
+    return f["pg_trigger"].filter("NOT tgisinternal")
+
+
+def is_local() -> Column:
+    """Whether a constraint is the table's own."""
+    return F.col("conislocal") & (F.col("coninhcount") == 0)
+
+
+def row_estimate() -> Column:
+    """Estimated rows; never analysed is none."""
+    return F.greatest(F.col("reltuples"), F.lit(0.0)).cast("bigint")
+
+
+def zero_is_none(oid: str) -> Column:
+    return F.nullif(F.col(oid), F.lit(0))
+
+
 def _relations(f: Facts, scope: str, kinds: Mapping[str, str]) -> DataFrame:
-    rel = own(f, f["pg_class"].filter(F.col("relkind").isin(*kinds)), "pg_class")
+    rel = own(f, of_kinds(f, kinds), "pg_class")
     return rel.join(schemas(f, scope).drop("comment"), F.col("relnamespace") == F.col("schema_oid"))
 
 
@@ -83,20 +119,20 @@ def _named(f: Facts, rows: DataFrame) -> DataFrame:
     """Add access_method, tablespace and options; an oid of 0 is none."""
     am = f["pg_am"].select(F.col("oid").alias("_am"), F.col("amname").alias("access_method"))
     space = f["pg_tablespace"].select(F.col("oid").alias("_ts"), F.col("spcname").alias("tablespace"))
-    out = rows.withColumn("_am", F.nullif(F.col("relam"), F.lit(0))).withColumn("_ts", F.nullif(F.col("reltablespace"), F.lit(0)))
+    out = rows.withColumn("_am", zero_is_none("relam")).withColumn("_ts", zero_is_none("reltablespace"))
     return out.join(am, "_am", "left").join(space, "_ts", "left").join(options(f), "oid", "left").withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
 
 
 def tables(f: Facts, scope: str = "") -> DataFrame:
     rel = _named(f, _relations(f, scope, TABLE_KINDS)).join(foreign(f), "oid", "left").join(partition_of(f), "oid", "left")
     return rel.select(
-        "oid", "schema", F.col("relname").alias("name"), _mapped("relkind", TABLE_KINDS).alias("kind"), F.col("description").alias("comment"), F.greatest(F.col("reltuples"), F.lit(0.0)).cast("bigint").alias("reltuples"),
+        "oid", "schema", F.col("relname").alias("name"), _mapped("relkind", TABLE_KINDS).alias("kind"), F.col("description").alias("comment"), row_estimate().alias("reltuples"),
         "options", "access_method", "server", "foreign_options", "tablespace", F.col("partkey").alias("partition_key"), "partition_of",
     )
 
 
 def columns(f: Facts, scope: str = "", kinds: Mapping[str, str] = TABLE_KINDS) -> DataFrame:
-    live = f["pg_attribute"].filter("attnum > 0 AND NOT attisdropped")
+    live = live_columns(f)
     default = f["pg_attrdef"].select(F.col("adrelid").alias("attrelid"), F.col("adnum").alias("attnum"), F.col("expr").alias("default"))
     rel = _relations(f, scope, kinds).select(F.col("oid").alias("attrelid"), "schema", F.col("relname").alias("table"))
     number = F.row_number().over(Window.partitionBy("attrelid").orderBy("attnum"))
@@ -112,22 +148,22 @@ def indexes(f: Facts, scope: str = "", kinds: Mapping[str, str] = TABLE_KINDS) -
     index = _named(f, f["pg_class"].filter("relkind IN ('i', 'I')"))
     parent = f["pg_class"].filter("relkind IN ('i', 'I')").select(F.col("oid").alias("inhparent"), F.col("relname").alias("inherited_from"))
     inherited = f["pg_inherits"].join(parent, "inhparent").select(F.col("inhrelid").alias("oid"), "inherited_from")
-    return f["pg_index"].filter("indisvalid").join(rel, "indrelid").join(index, F.col("indexrelid") == F.col("oid")).join(inherited, "oid", "left").select(
+    return valid_indexes(f).join(rel, "indrelid").join(index, F.col("indexrelid") == F.col("oid")).join(inherited, "oid", "left").select(
         F.col("indrelid").alias("oid"), "schema", "table", F.col("relname").alias("name"), "definition", "inherited_from", "tablespace", "options"
     )
 
 
 def constraints(f: Facts, scope: str = "") -> DataFrame:
     rel = _relations(f, scope, TABLE_KINDS).select(F.col("oid").alias("conrelid"), "schema", F.col("relname").alias("table"))
-    return f["pg_constraint"].filter("contype <> 'n'").join(rel, "conrelid").select(
-        F.col("conrelid").alias("oid"), "schema", "table", F.col("conname").alias("name"), F.col("contype").alias("type"), "definition", (F.col("conislocal") & (F.col("coninhcount") == 0)).alias("is_local")
+    return real_constraints(f).join(rel, "conrelid").select(
+        F.col("conrelid").alias("oid"), "schema", "table", F.col("conname").alias("name"), F.col("contype").alias("type"), "definition", is_local().alias("is_local")
     )
 
 
 def triggers(f: Facts, scope: str = "") -> DataFrame:
     rel = _relations(f, scope, TABLE_KINDS).select(F.col("oid").alias("tgrelid"), "schema", F.col("relname").alias("table"))
     parent = f["pg_trigger"].select(F.col("oid").alias("tgparentid"), F.col("tgname").alias("inherited_from"))
-    return f["pg_trigger"].filter("NOT tgisinternal").drop("oid").join(rel, "tgrelid").join(parent, "tgparentid", "left").select(
+    return user_triggers(f).drop("oid").join(rel, "tgrelid").join(parent, "tgparentid", "left").select(
         F.col("tgrelid").alias("oid"), "schema", "table", F.col("tgname").alias("name"), "definition", F.col("tgenabled").alias("enabled"), "inherited_from"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import text as T
@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _FACTS = [n for n in fixture.FACTS if n not in ("roles", "members", "in_scope", "acl", "secdef_functions", "default_acl", "confirmed")]
-_AUDIT = ["roles", "members", "in_scope", "acl", "secdef_functions", "default_acl", "pg_class", "pg_namespace"]
+_AUDIT = ["roles", "members", "in_scope", "acl", "secdef_functions", "default_acl", "pg_class", "pg_namespace", "pg_proc", "pg_foreign_server"]
 
 _CATALOG = r"""
 ext AS (SELECT d.classid, d.objid FROM pg_depend d JOIN pg_extension e ON d.refobjid = e.oid WHERE d.refclassid = 'pg_extension' AND d.deptype = 'e'),
@@ -116,32 +116,38 @@ def _real_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("flt_system_schemas", _f(lambda f: f["pg_namespace"].filter(collect.not_system(F.col("nspname"))).select("nspname")), with_facts(r"SELECT nspname FROM pg_namespace WHERE nspname NOT IN ('pg_catalog', 'information_schema') AND nspname NOT LIKE 'pg\_%' ESCAPE '\'", "pg_namespace"))
 add("flt_scope", _f(lambda f: f["pg_namespace"].filter(collect.in_scope(F.col("nspname"), "shop, shop_ext")).select("nspname")), with_facts("SELECT nspname FROM pg_namespace WHERE nspname IN ('shop', 'shop_ext')", "pg_namespace"))
 add("flt_out_of_scope", _f(lambda f: f["pg_namespace"].filter(~collect.in_scope(F.col("nspname"), "shop")).select("nspname")), with_facts("SELECT nspname FROM pg_namespace WHERE nspname <> ALL(['shop'])", "pg_namespace"))
-add("flt_relkind", _f(lambda f: f["pg_class"].filter(F.col("relkind").isin("r", "p", "f")).select("relname", "relkind")), with_facts("SELECT relname, relkind FROM pg_class WHERE relkind IN ('r', 'p', 'f')", "pg_class"))
-add("flt_live_columns", _f(lambda f: f["pg_attribute"].filter("attnum > 0 AND NOT attisdropped").select("attrelid", "attname")), with_facts("SELECT attrelid, attname FROM pg_attribute WHERE attnum > 0 AND NOT attisdropped", "pg_attribute"))
-add("flt_valid_index", _f(lambda f: f["pg_index"].filter("indisvalid").select("indexrelid")), with_facts("SELECT indexrelid FROM pg_index WHERE indisvalid", "pg_index"))
-add("flt_constraint", _f(lambda f: f["pg_constraint"].filter("contype <> 'n'").select("conname", "conrelid")), with_facts("SELECT conname, conrelid FROM pg_constraint WHERE contype <> 'n'", "pg_constraint"))
-add("flt_trigger", _f(lambda f: f["pg_trigger"].filter("NOT tgisinternal").select("tgname")), with_facts("SELECT tgname FROM pg_trigger WHERE NOT tgisinternal", "pg_trigger"))
+add("flt_relkind", _f(lambda f: collect.of_kinds(f, collect.TABLE_KINDS).select("relname", "relkind")), with_facts("SELECT relname, relkind FROM pg_class WHERE relkind IN ('r', 'p', 'f')", "pg_class"))
+add("flt_live_columns", _f(lambda f: collect.live_columns(f).select("attrelid", "attname")), with_facts("SELECT attrelid, attname FROM pg_attribute WHERE attnum > 0 AND NOT attisdropped", "pg_attribute"))
+add("flt_valid_index", _f(lambda f: collect.valid_indexes(f).select("indexrelid")), with_facts("SELECT indexrelid FROM pg_index WHERE indisvalid", "pg_index"))
+add("flt_constraint", _f(lambda f: collect.real_constraints(f).select("conname", "conrelid")), with_facts("SELECT conname, conrelid FROM pg_constraint WHERE contype <> 'n'", "pg_constraint"))
+add("flt_trigger", _f(lambda f: collect.user_triggers(f).select("tgname")), with_facts("SELECT tgname FROM pg_trigger WHERE NOT tgisinternal", "pg_trigger"))
 add("flt_inherit_guard", _f(lambda f: collect.indexes(f).filter("inherited_from IS NOT NULL").select("name", "inherited_from")), with_facts("SELECT c.relname AS name, p.relname AS inherited_from FROM pg_inherits i JOIN pg_class c ON c.oid = i.inhrelid JOIN pg_class p ON p.oid = i.inhparent WHERE c.relkind IN ('i', 'I') AND p.relkind IN ('i', 'I')", "pg_inherits", "pg_class"))
 add("flt_top_level", _p(lambda p: _top(p).select("schema", "name")), _cat("SELECT schema, name FROM top"))
 add("prj_kind", _f(lambda f: f["pg_class"].select("relname", collect._mapped("relkind", collect.TABLE_KINDS | collect.VIEW_KINDS).alias("kind"))), with_facts("SELECT relname, CASE relkind WHEN 'r' THEN 'table' WHEN 'p' THEN 'partitioned_table' WHEN 'f' THEN 'foreign_table' WHEN 'v' THEN 'view' WHEN 'm' THEN 'materialized_view' END AS kind FROM pg_class", "pg_class"))
-add("prj_is_local", _f(lambda f: f["pg_constraint"].select("conname", "conrelid", (F.col("conislocal") & (F.col("coninhcount") == 0)).alias("is_local"))), with_facts("SELECT conname, conrelid, conislocal AND coninhcount = 0 AS is_local FROM pg_constraint", "pg_constraint"))
-add("prj_rowest", _f(lambda f: f["pg_class"].select("relname", F.greatest(F.col("reltuples"), F.lit(0.0)).cast("bigint").alias("n"))), with_facts("SELECT relname, CAST(greatest(reltuples, 0) AS BIGINT) AS n FROM pg_class", "pg_class"))
-add("prj_zero_null", _f(lambda f: f["pg_class"].select("relname", F.nullif(F.col("reltablespace"), F.lit(0)).alias("space"))), with_facts("SELECT relname, nullif(reltablespace, 0) AS space FROM pg_class", "pg_class"))
+add("prj_is_local", _f(lambda f: f["pg_constraint"].select("conname", "conrelid", collect.is_local().alias("is_local"))), with_facts("SELECT conname, conrelid, conislocal AND coninhcount = 0 AS is_local FROM pg_constraint", "pg_constraint"))
+add("prj_rowest", _f(lambda f: f["pg_class"].select("relname", collect.row_estimate().alias("n"))), with_facts("SELECT relname, CAST(greatest(reltuples, 0) AS BIGINT) AS n FROM pg_class", "pg_class"))
+add("prj_zero_null", _f(lambda f: f["pg_class"].select("relname", collect.zero_is_none("reltablespace").alias("space"))), with_facts("SELECT relname, nullif(reltablespace, 0) AS space FROM pg_class", "pg_class"))
 add("prj_strip_stats", _f(lambda f: collect.tables(f).drop("reltuples").select("schema", "name", "kind")), _cat("SELECT schema, name, kind FROM tabs"))
 
+_OPTIONS = "array_to_string(list_transform({}, lambda o: split_part(o, '=', 1) || '=' || chr(39) || split_part(o, '=', 2) || chr(39)), ', ')"
+_CONSTRAINTS = f"""SELECT t.schema, t.name AS "table", string_agg('ALTER TABLE ' || t.schema || '.' || t.name || ' ADD CONSTRAINT ' || conname || ' ' || k.definition || ';' || coalesce(chr(10) || 'ALTER INDEX ' || t.schema || '.' || conname || ' SET TABLESPACE ' || spcname || ';', '')
+  || CASE WHEN len(c.reloptions) > 0 THEN chr(10) || 'ALTER INDEX ' || t.schema || '.' || conname || ' SET (' || {_OPTIONS.format("c.reloptions")} || ');' ELSE '' END, chr(10) ORDER BY conname) AS constraints
+FROM pg_constraint k JOIN tabs t ON t.oid = k.conrelid LEFT JOIN pg_index i ON i.indrelid = t.oid AND contype IN ('p', 'u', 'x') AND i.indisvalid AND i.indexrelid IN (SELECT oid FROM pg_class WHERE relname = conname) LEFT JOIN pg_class c ON c.oid = i.indexrelid LEFT JOIN pg_tablespace ts ON ts.oid = c.reltablespace
+WHERE contype <> 'n' GROUP BY t.schema, t.name"""
+
 # --- Joins -----------------------------------------------------------------
 add("jn_ext", QUERIES["col_ext_relations"], ORACLES["col_ext_relations"])
 add("jn_not_ext", _f(lambda f: collect.own(f, f["pg_class"], "pg_class").select("relname")), with_facts("SELECT relname FROM pg_class c WHERE NOT EXISTS (SELECT 1 FROM pg_depend d JOIN pg_extension e ON e.oid = d.refobjid WHERE d.classid = 'pg_class' AND d.objid = c.oid AND d.deptype = 'e')", "pg_class", "pg_depend", "pg_extension"))
 add("jn_schema_has_obj", QUERIES["col_schemas"], ORACLES["col_schemas"])
-add("jn_index", _f(lambda f: f["pg_index"].join(f["pg_class"], F.col("indexrelid") == F.col("oid")).select("relname", "indrelid")), with_facts("SELECT relname, indrelid FROM pg_index JOIN pg_class ON indexrelid = oid", "pg_index", "pg_class"))
-add("jn_default", _f(lambda f: f["pg_attribute"].join(f["pg_attrdef"], (F.col("attrelid") == F.col("adrelid")) & (F.col("attnum") == F.col("adnum")), "left").select("attrelid", "attname", "expr")), with_facts("SELECT attrelid, attname, expr FROM pg_attribute LEFT JOIN pg_attrdef ON attrelid = adrelid AND attnum = adnum", "pg_attribute", "pg_attrdef"))
+add("jn_index", _f(lambda f: collect.indexes(f).select("table", "name")), _cat('SELECT t.name AS "table", c.relname AS name FROM pg_index i JOIN pg_class c ON c.oid = i.indexrelid JOIN tabs t ON t.oid = i.indrelid WHERE i.indisvalid'))
+add("jn_default", _f(lambda f: collect.columns(f).select("oid", "name", "default")), _cat('SELECT a.attrelid AS oid, a.attname AS name, d.expr AS "default" FROM pg_attribute a JOIN tabs t ON t.oid = a.attrelid LEFT JOIN pg_attrdef d ON d.adrelid = a.attrelid AND d.adnum = a.attnum WHERE a.attnum > 0 AND NOT a.attisdropped'))
 add("jn_fdw", _f(lambda f: collect.foreign(f).select("oid", "server")), with_facts("SELECT ftrelid AS oid, srvname AS server FROM pg_foreign_table JOIN pg_foreign_server ON ftserver = oid", "pg_foreign_table", "pg_foreign_server"))
-add("jn_lang", _f(lambda f: f["pg_proc"].join(f["pg_language"].withColumnRenamed("oid", "prolang"), "prolang").select("proname", "identity_args", "lanname")), with_facts("SELECT proname, identity_args, lanname FROM pg_proc JOIN pg_language l ON l.oid = prolang", "pg_proc", "pg_language"))
-add("jn_parent", _f(lambda f: f["pg_inherits"].join(f["pg_class"], F.col("inhparent") == F.col("oid")).select("inhrelid", "relname")), with_facts("SELECT inhrelid, relname FROM pg_inherits JOIN pg_class ON inhparent = oid", "pg_inherits", "pg_class"))
+add("jn_lang", _f(lambda f: collect.functions(f).select("schema", "name", "identity_args", "language")), _cat("SELECT schema, name, identity_args, language FROM fns"))
+add("jn_parent", _f(lambda f: collect.tables(f).filter("partition_of IS NOT NULL").select("schema", "name", "partition_of")), _cat("SELECT t.schema, t.name, p.relname AS partition_of FROM tabs t JOIN pg_inherits i ON i.inhrelid = t.oid JOIN pg_class p ON p.oid = i.inhparent"))
 add("jn_trg_parent", _f(lambda f: collect.triggers(f).select("name", "inherited_from")), _cat("SELECT g.tgname AS name, p.tgname AS inherited_from FROM pg_trigger g LEFT JOIN pg_trigger p ON p.oid = g.tgparentid WHERE NOT g.tgisinternal"))
 add("jn_toast", _f(lambda f: collect.options(f).select("oid", F.explode("options").alias("option")).filter("option LIKE 'toast.%'")), with_facts("SELECT c.oid, 'toast.' || unnest(t.reloptions) AS option FROM pg_class c JOIN pg_class t ON t.oid = c.reltoastrelid", "pg_class"))
 add("jn_corr_nest", _f(lambda f: collect._nested(collect.columns(f), ["schema", "table"], ["position"], ["name"], "c").select("schema", "table", F.array_join(F.transform("c", lambda x: x["name"]), ",").alias("columns"))), _cat("""SELECT schema, "table", string_agg(name, ',' ORDER BY position) AS columns FROM cols GROUP BY ALL"""))
-add("jn_members", _f(lambda f: f["members"].join(f["roles"].select(F.col("rolname").alias("role")), "role").join(f["roles"].select(F.col("rolname").alias("member"), "super"), "member").select("role", "member")), with_facts("SELECT role, member FROM members JOIN roles a ON a.rolname = role JOIN roles b ON b.rolname = member", "members", "roles"))
+add("jn_members", _f(lambda f: audit.grantees(f, "reader")), with_facts("WITH reach(grantee) AS (SELECT 'reader' UNION SELECT m.role FROM members m JOIN reach r ON m.member = r.grantee) SELECT grantee FROM reach UNION ALL SELECT 'PUBLIC'", "members"))
 add("jn_stem", _p(lambda p: inference.by_name(_top(p), _cols(p))), _cat("SELECT source, target FROM byname"))
 add("jn_qualified_ref", _p(lambda p: _cols(p).select(semantics.qualified().alias("source"), F.explode(T.qualified_tokens(T.without_relations(F.col("comment")))).alias("q")).select("source", F.col("q.schema").alias("schema"), F.col("q.table").alias("name")).join(_top(p).select("schema", "name"), ["schema", "name"], "left_semi")),
     _cat("SELECT s.source, t.schema, t.name FROM (SELECT source, unnest(regexp_extract_all(comment, '[a-z_][a-z0-9_]*\\.[a-z_][a-z0-9_]*')) AS q FROM said) s JOIN top t ON t.schema || '.' || t.name = s.q"))
@@ -151,8 +157,7 @@ add("jn_trigger_fn", _p(lambda p: semantics.trigger_functions(p["triggers"], p["
       SELECT schema, "table", trigger, CASE WHEN contains(raw, '.') THEN split_part(raw, '.', 1) ELSE schema END AS fs, CASE WHEN contains(raw, '.') THEN split_part(raw, '.', 2) ELSE raw END AS fn FROM (
         SELECT t.schema, t.name AS "table", g.tgname AS trigger, regexp_extract(g.definition, 'EXECUTE (?:FUNCTION|PROCEDURE) ((?:[a-z_][a-z0-9_]*\\.)?[a-z_][a-z0-9_]*)\\(', 1) AS raw FROM pg_trigger g JOIN tabs t ON t.oid = g.tgrelid WHERE NOT g.tgisinternal) WHERE raw <> '') x
     LEFT JOIN fns f ON f.schema = x.fs AND f.name = x.fn AND (f.identity_args = '' OR NOT EXISTS (SELECT 1 FROM fns z WHERE z.schema = f.schema AND z.name = f.name AND z.identity_args = ''))""".replace("\\\\", "\\")))
-add("jn_constraint_index", _p(lambda p: p["constraints"].filter("type IN ('p', 'u', 'x')").join(p["indexes"].select("schema", "table", "name", "tablespace"), ["schema", "table", "name"], "left").select("schema", "table", "name", "tablespace")), _cat(
-    """SELECT t.schema, t.name AS "table", conname AS name, ts.spcname AS tablespace FROM pg_constraint k JOIN tabs t ON t.oid = k.conrelid LEFT JOIN pg_class c ON c.relname = k.conname AND c.relkind = 'i' LEFT JOIN pg_tablespace ts ON ts.oid = c.reltablespace WHERE contype IN ('p', 'u', 'x')"""))
+add("jn_constraint_index", _p(lambda p: ddl.constraint_lines(p["constraints"], p["indexes"])), _cat(_CONSTRAINTS))
 add("jn_confirm_excl", _fp(lambda f, p: inference.candidates(_top(p), _cols(p), f["confirmed"], semantics.annotated(_cols(p)))), _cat(
     """SELECT source, target, CASE WHEN min(p) = 0 THEN 'column_name' ELSE 'comment_ref' END AS signal FROM (SELECT source, target, 0 AS p FROM byname UNION ALL SELECT source, target, 1 FROM bycomment) x
     WHERE (source, target) NOT IN (SELECT (source, target) FROM confirmed) AND (source, target) NOT IN (SELECT (source, target) FROM ann) GROUP BY source, target""", "confirmed"))
@@ -160,8 +165,8 @@ add("jn_stale_confirm", _fp(lambda f, p: inference.stale(_cols(p), f["confirmed"
 
 # --- Aggregates ------------------------------------------------------------
 add("agg_array_ordered", QUERIES["jn_corr_nest"], ORACLES["jn_corr_nest"])
-add("agg_array", _f(lambda f: f["pg_namespace"].agg(F.array_join(F.array_sort(F.array_agg("nspname")), ",").alias("names"))), with_facts("SELECT string_agg(nspname, ',' ORDER BY nspname) AS names FROM pg_namespace", "pg_namespace"))
-add("agg_distinct", _f(lambda f: f["pg_class"].select("relowner").distinct()), with_facts("SELECT DISTINCT relowner FROM pg_class", "pg_class"))
+add("agg_array", _f(lambda f: collect._nested(collect.constraints(f), ["schema", "table"], ["name"], ["name"], "c").select("schema", "table", F.array_join(F.transform("c", lambda x: x["name"]), ",").alias("names"))), _cat("""SELECT t.schema, t.name AS "table", string_agg(conname, ',' ORDER BY conname) AS names FROM pg_constraint JOIN tabs t ON t.oid = conrelid WHERE contype <> 'n' GROUP BY ALL"""))
+add("agg_distinct", _p(lambda p: validate._named(p).select("schema", "kind").distinct()), _cat("SELECT schema, 'table' AS kind FROM tabs UNION SELECT schema, 'view' FROM vws UNION SELECT schema, 'function' FROM fns"))
 add("agg_gap_counts", _p(lambda p: semantics.schema_counts(p["schemas"], p["tables"], p["views"], p["functions"])), _cat(
     "SELECT s.schema, (SELECT count(*) FROM top t WHERE t.schema = s.schema) AS n_tables, (SELECT count(*) FROM vws v WHERE v.schema = s.schema) AS n_views, (SELECT count(DISTINCT name) FROM fns f WHERE f.schema = s.schema) AS n_functions FROM (SELECT DISTINCT schema FROM tabs) s"))
 add("agg_children", _p(lambda p: semantics.children_counts(p["tables"])), _cat("SELECT t.schema, t.name, (SELECT count(*) FROM tabs c WHERE c.schema = t.schema AND c.partition_of = t.name AND t.partition_of IS NULL) AS children FROM top t"))
@@ -169,7 +174,7 @@ add("agg_min_label", _p(lambda p: semantics.diagram(semantics.annotated(_cols(p)
     "SELECT split_part(source, '.', 1) || '_' || split_part(source, '.', 2) AS from_node, split_part(target, '.', 1) || '_' || split_part(target, '.', 2) AS to_node, min(split_part(source, '.', 3)) AS label FROM ann GROUP BY 1, 2"))
 add("agg_first_wins", _p(lambda p: inference.candidates(_top(p), _cols(p), semantics.annotated(_cols(p)).limit(0), semantics.annotated(_cols(p)))), _cat(
     "SELECT source, target, CASE WHEN min(p) = 0 THEN 'column_name' ELSE 'comment_ref' END AS signal FROM (SELECT source, target, 0 AS p FROM byname UNION ALL SELECT source, target, 1 FROM bycomment) x WHERE (source, target) NOT IN (SELECT (source, target) FROM ann) GROUP BY source, target"))
-add("agg_targets", _f(lambda f: f["confirmed"].filter("NOT ignored").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))), with_facts("SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM confirmed WHERE NOT ignored GROUP BY source", "confirmed"))
+add("agg_targets", _fp(lambda f, p: semantics.merged_relations(semantics.annotated(_cols(p)), f["confirmed"]).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))), _cat("SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM (SELECT source, target FROM ann UNION ALL SELECT source, target FROM confirmed WHERE NOT ignored) GROUP BY source", "confirmed"))
 add("agg_seq_dedupe", _p(lambda p: semantics.sequences(p["columns"]).select("schema", "table", "sequence")), _cat("""SELECT * FROM (VALUES ('shop', 'users', 'shop.users_id_seq'), ('shop', 'orders', 'shop.order_seq'), ('shop', 'tuned_counters', 'shop."Odd seq"')) AS t(schema, "table", sequence)"""))
 
 # --- Semantics and inference -----------------------------------------------
@@ -200,11 +205,11 @@ add("val_rules", _p(lambda p: validate.violations(p)), _cat("SELECT NULL AS rule
 add("set_subset_check", _p(lambda p: validate.scope(p, ["shop"])), _cat("SELECT 'scope' AS rule, 'shop_ext' AS owner, 'not requested' AS detail"))
 
 # --- Set operations and order ----------------------------------------------
-add("set_union_all", _f(lambda f: f["pg_class"].select("relowner").unionByName(f["pg_proc"].select(F.col("proowner").alias("relowner")))), with_facts("SELECT relowner FROM pg_class UNION ALL SELECT proowner FROM pg_proc", "pg_class", "pg_proc"))
+add("set_union_all", _p(validate._named), _cat("SELECT 'table' AS kind, schema, name FROM tabs UNION ALL SELECT 'view', schema, name FROM vws UNION ALL SELECT 'function', schema, name FROM fns"))
 add("set_union_distinct", QUERIES["sem_report"], ORACLES["sem_report"])
-add("set_difference", _f(lambda f: f["pg_class"].select("relowner").subtract(f["members"].select(F.col("role").alias("relowner")))), with_facts("SELECT relowner FROM pg_class EXCEPT SELECT role FROM members", "pg_class", "members"))
-add("set_intersect", _f(lambda f: f["pg_class"].select("relowner").intersect(f["roles"].select("rolname").withColumnRenamed("rolname", "relowner"))), with_facts("SELECT relowner FROM pg_class INTERSECT SELECT rolname FROM roles", "pg_class", "roles"))
-add("srt_all", _f(lambda f: f["pg_namespace"].orderBy("nspname").select("nspname")), with_facts("SELECT nspname FROM pg_namespace ORDER BY nspname", "pg_namespace"))
+add("set_difference", _fp(lambda f, p: inference.stale(_cols(p), f["confirmed"]).select("source")), _cat("""SELECT source FROM confirmed EXCEPT SELECT schema || '.' || "table" || '.' || name FROM tcols""", "confirmed"))
+add("set_intersect", _f(lambda f: provision.scope_of(f, ["shop", "gone"]).intersect(collect.schemas(f).select("schema"))), _cat("SELECT schema FROM tabs INTERSECT SELECT unnest(['shop', 'gone'])"))
+add("srt_all", _p(lambda p: ddl.schema_index(p).select("schema", "kind", "name").withColumn("at", F.row_number().over(Window.orderBy("schema", "kind", "name")))), _cat("""SELECT row_number() OVER (ORDER BY schema, kind, name) AS "at", schema, kind, name FROM (SELECT schema, 'table' AS kind, name FROM top UNION ALL SELECT schema, 'view', name FROM vws UNION ALL SELECT DISTINCT schema, 'function', name FROM fns)"""))
 
 # --- Scalar functions, over a table of strings -------------------------------
 _STRINGS = ["users", "Users", "order", "a b", 'q"t', "x_id", "_id", "1st", "..", "a.b.c", "it's", "back\\slash", "a|b", "user_token", "Phone"]
@@ -242,7 +247,7 @@ _fn("fn_sha8", T.sha8, "left(sha256(s), 8)")
 _fn("fn_rel_link", lambda s: T.function_link(F.lit("users"), s, F.lit("f")), "CASE WHEN s = 'users' THEN '../functions/f.sql' ELSE '../../' || s || '/functions/f.sql' END")
 _fn("fn_format_IL", lambda s: provision.quoted_pair(s, F.lit("v")), """'"' || replace(s, '"', '""') || '" = ''v'''""")
 _fn("fn_concat", lambda s: F.concat(s, F.lit("-"), F.array_join(F.split(s, "_"), "/")), "s || '-' || array_to_string(string_split(s, '_'), '/')")
-_fn("snk_redact", lambda s: F.replace(s, F.lit("user"), F.lit("[REDACTED]")), "replace(s, 'user', '[REDACTED]')")
+add("snk_redact", lambda s, d: s.createDataFrame([(x, sinks.redact(x, ["user", "", "users"])) for x in _STRINGS], "s string, v string"), _strings_sql("replace(replace(s, 'users', '[REDACTED]'), 'user', '[REDACTED]') AS v"))
 add("fn_relation_regex", QUERIES["sem_relations"], ORACLES["sem_relations"])
 add("fn_enum_regex", QUERIES["sem_enums"], ORACLES["sem_enums"])
 add("fn_qualified_regex", QUERIES["jn_qualified_ref"], ORACLES["jn_qualified_ref"])
@@ -277,36 +282,100 @@ add("jn_fuzzy", lambda s, d: candidates.rank(s.read.parquet(f"{d}/supplier.parqu
       SELECT identifier, c_name AS candidate, 1 - levenshtein(lower(identifier), lower(c_name)) / greatest(length(identifier), length(c_name))::DOUBLE AS sim FROM (SELECT DISTINCT 'Customer#0' || right(s_name, 7) AS identifier FROM supplier), customer) WHERE sim >= 0.9) WHERE rank <= 3""")
 
 # --- Privilege audit ---------------------------------------------------------
-_REACH = """reach(grantee) AS (SELECT 'reader' UNION SELECT m.role FROM members m JOIN reach r ON m.member = r.grantee), who AS (SELECT grantee FROM reach UNION ALL SELECT 'PUBLIC'), eff AS (SELECT a.* FROM acl a JOIN who USING (grantee))"""
-
-
-def _rule(name: str, sql: str, fixed: str = "rule, severity, n") -> None:
-    rule = audit.RULES[name]
-    add(f"aud_{name}", _f(lambda f, r=rule: r(f, "reader").groupBy("rule", "severity").agg(F.count("*").alias("n"))), with_facts(f"WITH {_REACH} SELECT '{name}' AS rule, severity, count(*) AS n FROM ({sql}) GROUP BY severity", *_AUDIT))
-
-
-_rule("flags", "SELECT 'block' AS severity FROM roles, (VALUES (1), (2), (3), (4), (5)) AS k(i) WHERE rolname = 'reader' AND CASE i WHEN 1 THEN super WHEN 2 THEN createdb WHEN 3 THEN bypassrls WHEN 4 THEN replication ELSE createrole END")
-_rule("membership", "SELECT 'block' AS severity FROM members WHERE member = 'reader'")
-_rule("schema_create", "SELECT 'block' AS severity FROM eff WHERE object_kind = 'schema' AND privilege = 'CREATE'")
-_rule("database", "SELECT CASE privilege WHEN 'CREATE' THEN 'block' ELSE 'report' END AS severity FROM eff WHERE object_kind = 'database' AND object_id = 'app' AND privilege IN ('CREATE', 'TEMP')")
-_rule("table_write", "SELECT 'block' AS severity FROM eff WHERE object_kind = 'table' AND privilege IN ('INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'REFERENCES', 'TRIGGER')")
-_rule("sequence", "SELECT 'block' AS severity FROM eff WHERE object_kind = 'sequence' AND privilege IN ('USAGE', 'UPDATE')")
-_rule("out_usage", "SELECT CASE schema WHEN 'public' THEN 'report' ELSE 'block' END AS severity FROM eff WHERE object_kind = 'schema' AND privilege = 'USAGE' AND schema NOT IN (SELECT nspname FROM in_scope)")
-_rule("out_select", "SELECT 'block' AS severity FROM eff WHERE object_kind = 'table' AND privilege = 'SELECT' AND schema NOT IN (SELECT nspname FROM in_scope)")
-_rule("ownership", "SELECT 'block' AS severity FROM pg_class WHERE relowner = 'reader' UNION ALL SELECT 'block' FROM secdef_functions WHERE owner = 'reader'")
-_rule("escape", "SELECT 'block' AS severity FROM eff WHERE (object_kind = 'function' AND privilege = 'EXECUTE' AND object_id LIKE 'dblink%') OR (object_kind = 'server' AND privilege = 'USAGE')")
-_rule("secdef", "SELECT CASE WHEN e.schema IN (SELECT nspname FROM in_scope) THEN 'report' ELSE 'block' END AS severity FROM eff e JOIN secdef_functions s ON s.schema = e.schema AND s.signature = e.object_id AND s.secdef WHERE object_kind = 'function' AND privilege = 'EXECUTE'")
-_rule("default_acl", "SELECT CASE WHEN schema IN (SELECT nspname FROM in_scope) THEN 'report' ELSE 'block' END AS severity FROM default_acl WHERE grantee IN ('reader', 'PUBLIC')")
-_rule("connect", "SELECT 'report' AS severity FROM eff WHERE object_kind = 'database' AND privilege = 'CONNECT' AND object_id <> 'app'")
-_rule("owner_gap", "SELECT 'report' AS severity FROM (SELECT DISTINCT n.nspname, c.relowner FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE relkind IN ('r', 'p', 'f', 'v', 'm') AND n.nspname IN (SELECT nspname FROM in_scope)) o WHERE NOT EXISTS (SELECT 1 FROM default_acl d WHERE d.schema = o.nspname AND d.owner = o.relowner AND d.grantee = 'reader' AND d.objtype = 'r')")
-add("jn_defacl", _f(lambda f: f["default_acl"].join(f["pg_namespace"].select(F.col("nspname").alias("schema"), "oid"), "schema", "left").select("schema", "owner", "objtype", "grantee", "oid")), with_facts("SELECT d.*, n.oid FROM default_acl d LEFT JOIN pg_namespace n ON n.nspname = d.schema", "default_acl", "pg_namespace"))
+_RIGHTS = "['SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'REFERENCES', 'TRIGGER']"
+
+
+def _eff(role: str) -> str:
+    """What a role may do, for DuckDB: grants of all roles that it reaches, and what owners and superusers may without."""
+    return rf"""reach(grantee) AS (SELECT '{role}' UNION SELECT m.role FROM members m JOIN reach r ON m.member = r.grantee), who AS (SELECT grantee FROM reach UNION ALL SELECT 'PUBLIC'),
+users AS (SELECT oid, nspname, nspowner FROM pg_namespace WHERE nspname NOT IN ('pg_catalog', 'information_schema') AND nspname NOT LIKE 'pg\_%' ESCAPE '\'),
+things AS (SELECT CASE relkind WHEN 'S' THEN 'sequence' ELSE 'table' END AS object_kind, nspname AS schema, relname AS object_id, relowner AS owner, CASE relkind WHEN 'S' THEN ['USAGE', 'SELECT', 'UPDATE'] ELSE {_RIGHTS} END AS rights FROM pg_class c JOIN users n ON n.oid = c.relnamespace WHERE relkind IN ('r', 'p', 'f', 'v', 'm', 'S')
+  UNION ALL SELECT 'schema', nspname, nspname, nspowner, ['USAGE', 'CREATE'] FROM users UNION ALL SELECT 'server', NULL, srvname, NULL, ['USAGE'] FROM pg_foreign_server UNION ALL SELECT 'database', NULL, 'app', NULL, ['CONNECT', 'CREATE', 'TEMP']
+  UNION ALL SELECT 'function', schema, signature, owner, ['EXECUTE'] FROM (SELECT n.nspname AS schema, proname || '(' || identity_args || ')' AS signature, proowner AS owner FROM pg_proc p JOIN users n ON n.oid = p.pronamespace WHERE prokind = 'f' UNION SELECT schema, signature, owner FROM secdef_functions)),
+eff AS (SELECT object_kind, schema, object_id, grantee, privilege FROM acl JOIN who USING (grantee) UNION SELECT object_kind, schema, object_id, owner, unnest(rights) FROM things WHERE owner IN (SELECT grantee FROM reach)
+  UNION SELECT object_kind, schema, object_id, '{role}', unnest(rights) FROM things WHERE EXISTS (SELECT 1 FROM roles WHERE rolname = '{role}' AND super))"""
+
+
+_SAID = "SELECT severity, privilege || ' on {low} ' || CASE WHEN object_kind IN ('table', 'sequence', 'function') THEN schema || '.' ELSE '' END || object_id || ' by ' || grantee AS description, 'REVOKE ' || privilege || ' ON {kind} ' || CASE WHEN object_kind IN ('table', 'sequence', 'function') THEN '\"' || schema || '\".' ELSE '' END || CASE object_kind WHEN 'function' THEN object_id ELSE '\"' || object_id || '\"' END || ' FROM ' || CASE grantee WHEN 'PUBLIC' THEN 'PUBLIC' ELSE '\"' || grantee || '\"' END || ';' AS fix FROM ({rows})"
+_granted = lambda kind, rows: _SAID.format(low=kind.lower(), kind=kind, rows=rows)
+#: rule -> what it finds, for DuckDB; @ is the role.
+_RULES = {
+    "flags": "SELECT 'block' AS severity, 'role attribute ' || word AS description, 'ALTER ROLE \"@\" NO' || word || ';' AS fix FROM roles, (VALUES (1, 'SUPERUSER'), (2, 'CREATEDB'), (3, 'BYPASSRLS'), (4, 'REPLICATION'), (5, 'CREATEROLE')) AS k(i, word) WHERE rolname = '@' AND CASE i WHEN 1 THEN super WHEN 2 THEN createdb WHEN 3 THEN bypassrls WHEN 4 THEN replication ELSE createrole END",
+    "membership": "SELECT 'block' AS severity, 'member of ' || role AS description, 'REVOKE \"' || role || '\" FROM \"' || member || '\";' AS fix FROM members WHERE member = '@'",
+    "schema_create": _granted("SCHEMA", "SELECT *, 'block' AS severity FROM eff WHERE object_kind = 'schema' AND privilege = 'CREATE'"),
+    "database": _granted("DATABASE", "SELECT *, CASE privilege WHEN 'CREATE' THEN 'block' ELSE 'report' END AS severity FROM eff WHERE object_kind = 'database' AND object_id = 'app' AND privilege IN ('CREATE', 'TEMP')"),
+    "table_write": _granted("TABLE", "SELECT *, 'block' AS severity FROM eff WHERE object_kind = 'table' AND privilege IN ('INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'REFERENCES', 'TRIGGER')"),
+    "sequence": _granted("SEQUENCE", "SELECT *, 'block' AS severity FROM eff WHERE object_kind = 'sequence' AND privilege IN ('USAGE', 'UPDATE')"),
+    "out_usage": _granted("SCHEMA", "SELECT *, CASE schema WHEN 'public' THEN 'report' ELSE 'block' END AS severity FROM eff WHERE object_kind = 'schema' AND privilege = 'USAGE' AND schema NOT IN (SELECT nspname FROM in_scope)"),
+    "out_select": _granted("TABLE", "SELECT *, 'block' AS severity FROM eff WHERE object_kind = 'table' AND privilege = 'SELECT' AND schema NOT IN (SELECT nspname FROM in_scope)"),
+    "ownership": "SELECT 'block' AS severity, 'owns ' || what AS description, '-- give ' || what || ' another owner' AS fix FROM (SELECT nspname || '.' || relname AS what FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE relowner = '@' UNION ALL SELECT schema || '.' || signature FROM secdef_functions WHERE owner = '@')",
+    "escape": _granted("FUNCTION", "SELECT *, 'block' AS severity FROM eff WHERE object_kind = 'function' AND privilege = 'EXECUTE' AND starts_with(object_id, 'dblink')") + " UNION ALL " + _granted("FOREIGN SERVER", "SELECT *, 'block' AS severity FROM eff WHERE object_kind = 'server' AND privilege = 'USAGE'"),
+    "secdef": _granted("FUNCTION", "SELECT e.*, CASE WHEN e.schema IN (SELECT nspname FROM in_scope) THEN 'report' ELSE 'block' END AS severity FROM eff e JOIN secdef_functions s ON s.schema = e.schema AND s.signature = e.object_id AND s.secdef WHERE object_kind = 'function' AND privilege = 'EXECUTE'"),
+    "default_acl": "SELECT CASE WHEN schema IN (SELECT nspname FROM in_scope) THEN 'report' ELSE 'block' END AS severity, 'default privileges in ' || coalesce(schema, 'the database') || ' of ' || owner || ' for ' || grantee AS description, 'ALTER DEFAULT PRIVILEGES FOR ROLE \"' || owner || '\"' || coalesce(' IN SCHEMA \"' || schema || '\"', '') || ' REVOKE ALL ON ' || CASE objtype WHEN 'S' THEN 'SEQUENCES' ELSE 'TABLES' END || ' FROM ' || CASE grantee WHEN 'PUBLIC' THEN 'PUBLIC' ELSE '\"' || grantee || '\"' END || ';' AS fix FROM default_acl WHERE grantee IN ('@', 'PUBLIC')",
+    "connect": _granted("DATABASE", "SELECT *, 'report' AS severity FROM eff WHERE object_kind = 'database' AND privilege = 'CONNECT' AND object_id <> 'app'"),
+    "owner_gap": "SELECT 'report' AS severity, 'new tables of ' || relowner || ' in ' || nspname AS description, 'ALTER DEFAULT PRIVILEGES FOR ROLE \"' || relowner || '\" IN SCHEMA \"' || nspname || '\" GRANT SELECT ON TABLES TO \"@\";' AS fix FROM (SELECT DISTINCT n.nspname, c.relowner FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE relkind IN ('r', 'p', 'f', 'v', 'm') AND n.nspname IN (SELECT nspname FROM in_scope)) o WHERE NOT EXISTS (SELECT 1 FROM default_acl d WHERE d.schema = o.nspname AND d.owner = o.relowner AND d.grantee = '@' AND d.objtype = 'r')",
+}
+
+
+def _found(role: str, *rules: str) -> str:
+    each = [f"SELECT '{r}' AS rule, severity, description, fix FROM ({_RULES[r].replace('@', role)})" for r in rules or _RULES]
+    return f"WITH {_eff(role)}, found AS ({' UNION ALL '.join(each)})"
+
+
+for _name in _RULES:
+    for _role, _mark in (("reader", ""), ("root", "_root"), ("owner_a", "_owner")):
+        if not _mark or _name in ("table_write", "schema_create", "ownership", "sequence", "escape"):
+            add(f"aud_{_name}{_mark}", _f(lambda f, r=audit.RULES[_name], who=_role: r(f, who)), with_facts(_found(_role, _name) + " SELECT rule, severity, description, fix FROM found", *_AUDIT))
+add("jn_defacl", _f(lambda f: audit.default_acl(f, "reader").select("severity", "description")), with_facts(_found("reader", "default_acl") + " SELECT severity, description FROM found", *_AUDIT))
 add("jn_owner_gap", QUERIES["aud_owner_gap"], ORACLES["aud_owner_gap"])
-add("aud_effective", _f(lambda f: audit.effective(f, "reader").select("object_kind", "object_id", "grantee", "privilege")), with_facts(f"WITH {_REACH} SELECT object_kind, object_id, grantee, privilege FROM eff", *_AUDIT))
-add("aud_verdict", _f(lambda f: audit.verdict(f, "clean")), with_facts("SELECT (SELECT count(*) FROM acl WHERE grantee = 'PUBLIC' AND ((object_kind = 'schema' AND privilege = 'CREATE') OR (object_kind = 'table' AND privilege = 'INSERT') OR object_kind = 'server')) + 1 AS n_block, 5 AS n_report, 2 AS exit_code", *_AUDIT))
+for _role in ("reader", "root", "owner_a", "clean"):
+    add("aud_effective" if _role == "reader" else f"aud_effective_{_role}", _f(lambda f, who=_role: audit.effective(f, who)), with_facts(f"WITH {_eff(_role)} SELECT object_kind, schema, object_id, grantee, privilege FROM eff", *_AUDIT))
+    add("aud_verdict" if _role == "clean" else f"aud_verdict_{_role}", _f(lambda f, who=_role: audit.verdict(f, who)), with_facts(_found(_role) + " SELECT count(*) FILTER (severity = 'block') AS n_block, count(*) FILTER (severity = 'report') AS n_report, CASE WHEN bool_or(severity = 'block') THEN 2 ELSE 0 END AS exit_code FROM found", *_AUDIT))
+add("aud_fixes", _f(lambda f: audit.mends(f, "reader")), with_facts(_found("reader") + " SELECT DISTINCT fix FROM found WHERE severity = 'block'", *_AUDIT))
+
+
+def _quiet(f: dict) -> dict:
+    """The facts without what PUBLIC may do and without its default privileges: nothing blocks the role ``clean``."""
+    return f | {"acl": f["acl"].filter("grantee <> 'PUBLIC'"), "default_acl": f["default_acl"].filter("grantee <> 'PUBLIC'")}
+
+
+def _failing() -> bool:
+    raise ConnectionError("no session")
+
+
+def _probed(f: dict) -> DataFrame:
+    cases = [("blocked", f, lambda: True), ("answered", _quiet(f), lambda: True), ("refused", _quiet(f), lambda: False), ("unreachable", _quiet(f), _failing)]
+    out = [audit.verdict(g, "clean", probe).select(F.lit(name).alias("probe"), (F.col("n_block") > 0).alias("blocked"), "exit_code") for name, g, probe in cases]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def _chained(f: dict) -> DataFrame:
+    """Who a role is by a chain of fifty memberships."""
+    chain = f["members"].sparkSession.createDataFrame([(f"r{i + 1}", f"r{i}") for i in range(50)], "role string, member string")
+    return audit.grantees(f | {"members": chain}, "r0")
+
+
+add("aud_verdict_probe", _f(_probed), with_facts(_found("clean") + " SELECT 'blocked' AS probe, bool_or(severity = 'block') AS blocked, CASE WHEN bool_or(severity = 'block') THEN 2 ELSE 0 END AS exit_code FROM found UNION ALL VALUES ('answered', false, 0), ('refused', false, 1), ('unreachable', false, 1)", *_AUDIT))
+add("aud_deep_membership", _f(_chained), "SELECT 'r' || i AS grantee FROM range(51) AS t(i) UNION ALL SELECT 'PUBLIC'")
 add("aud_identity", lambda s, d: s.createDataFrame([("reader", audit.identity("reader", "reader")), ("root", audit.identity("root", "reader"))], "who string, code int"), "SELECT * FROM (VALUES ('reader', 0), ('root', 2)) AS t(who, code)")
-add("gen_setup_sql", _f(lambda f: provision.schema_statements(collect.schemas(f), f["default_acl"].select("schema", "owner").distinct(), ["shop"], "reader").select("schema", "statement")), with_facts(
-    """SELECT * FROM (VALUES ('shop', 'GRANT USAGE ON SCHEMA "shop" TO "reader";'), ('shop', 'GRANT SELECT ON ALL TABLES IN SCHEMA "shop" TO "reader";'), ('shop', 'ALTER DEFAULT PRIVILEGES FOR ROLE "owner_a" IN SCHEMA "shop" GRANT SELECT ON TABLES TO "reader";'),
-    ('shop_ext', 'REVOKE ALL ON ALL TABLES IN SCHEMA "shop_ext" FROM "reader";'), ('shop_ext', 'REVOKE ALL ON SCHEMA "shop_ext" FROM "reader";')) AS t(schema, statement)""", "pg_namespace"))
+_STEPS = """SELECT 'role' AS part, CAST(NULL AS VARCHAR) AS schema, i AS step, statement FROM (VALUES (0, 'ALTER ROLE "{0}" LOGIN NOCREATEROLE NOINHERIT CONNECTION LIMIT 5;'), (1, 'ALTER ROLE "{0}" SET statement_timeout = ''15s'';'), (2, 'ALTER ROLE "{0}" SET idle_in_transaction_session_timeout = ''30s'';'), (3, 'GRANT SET ON PARAMETER lc_messages TO "{0}";')) AS r(i, statement)
+UNION ALL SELECT 'schema', schema, k, replace(CASE k WHEN 0 THEN 'GRANT USAGE ON SCHEMA @ TO "{0}";' WHEN 1 THEN 'GRANT SELECT ON ALL TABLES IN SCHEMA @ TO "{0}";' ELSE 'ALTER DEFAULT PRIVILEGES FOR ROLE CURRENT_USER IN SCHEMA @ GRANT SELECT ON TABLES TO "{0}";' END, '@', '"' || schema || '"') FROM ({1}), range(3) AS x(k)
+UNION ALL SELECT 'schema', schema, k, replace(CASE k WHEN 0 THEN 'REVOKE SELECT ON ALL TABLES IN SCHEMA @ FROM "{0}";' WHEN 1 THEN 'REVOKE USAGE ON SCHEMA @ FROM "{0}";' ELSE 'ALTER DEFAULT PRIVILEGES FOR ROLE CURRENT_USER IN SCHEMA @ REVOKE SELECT ON TABLES FROM "{0}";' END, '@', '"' || schema || '"')
+FROM (SELECT DISTINCT schema FROM eff WHERE object_kind = 'schema' AND privilege = 'USAGE' AND schema NOT IN ({1})), range(3) AS x(k)"""
+_HELD = "SELECT DISTINCT schema FROM (SELECT schema FROM tabs UNION SELECT schema FROM vws UNION SELECT schema FROM fns)"
+_PLANNED = ["acl", "members", "roles", "in_scope", "secdef_functions", "default_acl"]
+
+
+def _planned(role: str, scope: str, before: str = "") -> str:
+    eff = _eff(role).replace("FROM acl JOIN", "FROM (SELECT * FROM acl WHERE grantee <> 'PUBLIC') JOIN")
+    return _cat(f", {eff} {before} {_STEPS.format(role, scope)}", *_PLANNED)
+
+
+add("gen_setup_sql", _f(lambda f: provision.plan(_quiet(f), "newcomer")), _planned("newcomer", _HELD, "SELECT 'create' AS part, NULL AS schema, 0 AS step, 'CREATE ROLE \"newcomer\" LOGIN PASSWORD :secret;' AS statement UNION ALL"))
+add("gen_setup_scope", _f(lambda f: provision.plan(_quiet(f), "clean", ["shop_ext"])), _planned("clean", "SELECT 'shop_ext' AS schema"))
+add("gen_setup_abort", _f(lambda f: provision.plan(f, "reader").select("part", "statement")), with_facts(f"WITH {_eff('reader')} SELECT 'abort' AS part, '-- ' || what AS statement FROM (SELECT 'attribute ' || word AS what FROM roles, (VALUES (1, 'super'), (2, 'createdb'), (3, 'bypassrls'), (4, 'replication')) AS k(i, word) WHERE rolname = 'reader' AND CASE i WHEN 1 THEN super WHEN 2 THEN createdb WHEN 3 THEN bypassrls ELSE replication END UNION SELECT 'member of ' || role FROM members WHERE member = 'reader' UNION SELECT CASE grantee WHEN 'PUBLIC' THEN 'PUBLIC ' ELSE '' END || 'may write ' || schema || '.' || object_id FROM eff WHERE object_kind = 'table' AND privilege <> 'SELECT')", *_AUDIT))
+_SCRIPTED = ["BEGIN;", "COMMIT;", "ON COMMIT DROP", "RAISE EXCEPTION", "WHERE NOT EXISTS (SELECT FROM there)", "NOINHERIT", "GRANT SET ON PARAMETER lc_messages", "REVOKE SELECT ON TABLES FROM", "'it''s'", "NOSUPERUSER"]
+add("gen_script", lambda s, d: s.createDataFrame([(w, w in provision.script("reader", "it's")) for w in _SCRIPTED], "part string, there boolean"), "SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(w.replace("'", "''"), w != "NOSUPERUSER") for w in _SCRIPTED) + ") AS t(part, there)")
 add("pre_stage", lambda s, d: provision.stage(s.createDataFrame([("smoke", "fail"), ("deps", "pass"), ("config", "fail"), ("gitignore", "pass")], "id string, status string")), "SELECT 'config' AS stage")
 
 # --- Results as text ----------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalens.functions import text as T
 
-MARKER = r"(?m)^-- catalens:.+:(start|end)$"
+MARKER = r"(?m)^--[{}] catalens "
 Parts = Mapping[str, DataFrame]
 
 

@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from catalens.plans import guard
 
 DEFAULT_LIMIT, NO_LIMIT, TIMEOUT_S = 200, 2147483647, 30
-#: Functions that reach beyond data: they call any code of the JVM.
-DENIED_FUNCTIONS = frozenset({"java_method", "reflect", "try_reflect"})
+#: Functions that reach beyond data: they call any code of the JVM, or name a relation or function by a string.
+DENIED_FUNCTIONS = frozenset({"java_method", "reflect", "try_reflect", "identifier"})
+#: What may be shown: names and columns.
+SHOWN = frozenset({"ShowTables", "ShowViews", "ShowNamespaces", "ShowColumns", "ShowFunctions", "ShowCurrentNamespaceCommand"})
+#: Nodes of a parsed plan that read, or show, a relation by its name.
+READING = frozenset({"UnresolvedRelation", "UnresolvedTable", "UnresolvedTableOrView", "UnresolvedView"})
 
 
 class Refused(ValueError):
@@ -39,16 +43,32 @@ def parsed(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
-def nodes(plan) -> Iterable:
-    """Every node of a JVM plan, subqueries and the plans of CTEs included."""
-    todo = [plan]
+def items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def nodes(plan, ctes: frozenset[str] = frozenset()) -> Iterable[tuple]:
+    """Every node of a parsed plan with the names of the common tables that it sees.
+
+    A WITH is seen by its own query and by its later tables (a recursive one by itself,
+    too), not by what stands outside of it.
+    """
+    todo = [(plan, ctes)]
     while todo:
-        node = todo.pop()
-        yield node
-        for kids in (node.children(), node.innerChildren()):
-            todo += [kids.apply(i) for i in range(kids.size()) if _is_plan(kids.apply(i))]
-        subqueries = node.subqueries()
-        todo += [subqueries.apply(i) for i in range(subqueries.size())]
+        node, seen = todo.pop()
+        yield node, seen
+        own = []
+        if _kind(node) == "UnresolvedWith":
+            inside = seen
+            for cte in items(node.cteRelations()):
+                name = cte._1().lower()
+                todo.append((cte._2(), inside | {name} if node.allowRecursion() else inside))
+                inside = inside | {name}
+            own = [(node.child(), inside)]
+        else:
+            own = [(x, seen) for kids in (node.children(), node.innerChildren()) for x in items(kids) if _is_plan(x)]
+        todo += own
+        todo += [(x, seen) for x in items(node.subqueries())]
 
 
 def _is_plan(x) -> bool:
@@ -63,29 +83,31 @@ def allowed(spark: SparkSession, sql: str, relations: Iterable[str] | None = Non
     """Raise unless the parsed plan only reads.
 
     Spark runs commands, and inserts below a WITH, as soon as they are given to
-    ``spark.sql``, so this looks at the parsed plan. ``relations`` limits what may be read.
+    ``spark.sql``, so this looks at the parsed plan. ``relations`` limits what may be read, also
+    by what is explained or shown.
     """
+    text = guard.mask(sql, True).lower()
+    for name in DENIED_FUNCTIONS:
+        if re.search(rf"\b{name}\b`?\s*\(", text):
+            raise Refused("function-not-allowed", name)
     plan = parsed(spark, sql)
-    top = _kind(plan)
-    if top == "ExplainCommand":
-        return
-    if top.startswith("Show"):
-        return
+    if _kind(plan) == "ExplainCommand":
+        plan = plan.logicalPlan()
+    shown = _kind(plan).startswith("Show")
+    if shown and _kind(plan) not in SHOWN:
+        raise Refused("not-read-only", _kind(plan))
     names = {r.lower() for r in relations} if relations is not None else None
-    ctes = {c.lower() for c in re.findall(r"(?i)(?:with|,)\s*(?:recursive\s+)?`?(\w+)`?\s*(?:\([^)]*\)\s*)?as\s*\(", guard.mask(sql, True))}
     command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
     parse_insert = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
-    for node in nodes(plan):
-        if command.isInstance(node) or parse_insert.isInstance(node):
+    for node, ctes in nodes(plan):
+        if not shown and (command.isInstance(node) or parse_insert.isInstance(node)):
             raise Refused("not-read-only", _kind(node))
-        if _kind(node) == "UnresolvedRelation":
-            name = node.tableName().replace("`", "").lower()
-            if names is not None and name not in names and name not in ctes:
+        if _kind(node) == "PlanWithUnresolvedIdentifier":
+            raise Refused("relation-not-allowed", "a relation named by an expression")
+        if _kind(node) in READING and names is not None:
+            name = ".".join(items(node.multipartIdentifier())).lower()
+            if name not in names and not (_kind(node) == "UnresolvedRelation" and name in ctes):
                 raise Refused("relation-not-allowed", name)
-    text = guard.mask(sql, True).lower()
-    for name in DENIED_FUNCTIONS:
-        if re.search(rf"\b{name}\b`?\s*\(", text):
-            raise Refused("function-not-allowed", name)
 
 
 def query(spark: SparkSession, sql: str, limit: int | str | None = DEFAULT_LIMIT, no_limit: bool = False, relations: Iterable[str] | None = None) -> Result:

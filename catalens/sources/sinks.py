@@ -8,7 +8,6 @@ from __future__ import annotations
 import csv
 import io
 import os
-import re
 import tempfile
 from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime
@@ -17,26 +16,25 @@ from pathlib import Path
 from catalens.plans.guard import sha8
 
 PREVIEW = 20
-START, END = "-- catalens:{}:start\n", "-- catalens:{}:end\n"
-BLOCK = re.compile(r"^-- catalens:(?P<name>[^\n]+):start\n(?P<body>.*?)^-- catalens:(?P=name):end\n?", re.S | re.M)
+# What stands before a name on the lines around a managed block.
+OPENS, CLOSES = "--{ catalens ", "--} catalens "
 GONE = "-- The object of this file is no longer in the database; its text below was written by hand.\n"
 
 
 # --- Query results ---------------------------------------------------------
 
 
+def csv_cell(value) -> str:
+    """A cell: null is empty, an empty string is quoted, and so is what has a comma, a quote or a line end."""
+    if value is None:
+        return ""
+    text = str(value)
+    return '"' + text.replace('"', '""') + '"' if not text or any(c in text for c in ',"\n\r') else text
+
+
 def csv_text(columns: list[str], rows: Iterable[Iterable]) -> str:
-    """CSV with a header; null is empty and an empty string is quoted."""
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_NOTNULL if hasattr(csv, "QUOTE_NOTNULL") else csv.QUOTE_MINIMAL)
-    plain = csv.writer(out, lineterminator="\n")
-    plain.writerow(columns)
-    for row in rows:
-        if any(v == "" for v in row):
-            writer.writerow([None if v is None else str(v) for v in row])
-        else:
-            plain.writerow(["" if v is None else v for v in row])
-    return out.getvalue()
+    """CSV with a header."""
+    return "".join(",".join(map(csv_cell, row)) + "\n" for row in (columns, *rows))
 
 
 def cut_csv(text: str, limit: int) -> tuple[str, int, bool]:
@@ -109,7 +107,31 @@ def header(kind: str, schema: str, name: str) -> str:
 
 
 def block(name: str, body: str) -> str:
-    return START.format(name) + body + END.format(name)
+    return f"{OPENS}{name}\n{body}{CLOSES}{name}\n"
+
+
+def sections(text: str) -> list[tuple[str | None, str]]:
+    """A file as what people wrote (None, text) and its managed blocks (name, whole text), in order.
+
+    Read line by line: a block that is opened and not closed under the same name is people's text.
+    """
+    out: list[tuple[str | None, str]] = []
+    free: list[str] = []
+    held: list[str] = []
+    name = None
+    for line in io.StringIO(text):
+        bare = line.removesuffix("\n")
+        if bare.startswith(OPENS):
+            free, held, name = free + held, [], bare[len(OPENS):]
+        (free if name is None else held).append(line)
+        if name is not None and bare == CLOSES + name:
+            out += [(None, "".join(free)), (name, "".join(held))]
+            free, held, name = [], [], None
+    return [*out, (None, "".join(free + held))]
+
+
+def written_by_hand(text: str) -> str:
+    return "".join(x for name, x in sections(text) if name is None)
 
 
 def merged(old: str | None, head: str, blocks: Mapping[str, str]) -> str:
@@ -118,36 +140,26 @@ def merged(old: str | None, head: str, blocks: Mapping[str, str]) -> str:
     Blocks that are not given go; new ones stand before the next given block that
     the file has, or at its end.
     """
-    if old is None:
-        return head + "".join(block(k, v) for k, v in blocks.items())
-    pieces: list[tuple[str | None, str]] = []
-    at = 0
-    for m in BLOCK.finditer(old):
-        pieces += [(None, old[at : m.start()]), (m["name"], "")]
-        at = m.end()
-    pieces.append((None, old[at:]))
-    have = {k for k, _ in pieces if k in blocks}
-    waiting: list[str] = []
-    before: dict[str, list[str]] = {}
-    for k in blocks:
-        if k in have:
-            before[k], waiting = waiting, []
-        else:
-            waiting.append(k)
-    out = ""
-    for k, text in pieces:
-        if k is None:
-            out += text
-        elif k in blocks:
-            out += "".join(block(x, blocks[x]) for x in [*before.pop(k, []), k])
-    if waiting and out and not out.endswith("\n"):
-        out += "\n"
-    return out + "".join(block(k, blocks[k]) for k in waiting)
+    parts = [(None, head)] if old is None else sections(old)
+    left = list(blocks)
+    out: list[str] = []
+    for name, text in parts:
+        if name is None:
+            out.append(text)
+        elif name in left:
+            at = left.index(name) + 1
+            have = {k for k, _ in parts}
+            out += [block(k, blocks[k]) for k in left[:at] if k == name or k not in have]
+            left = [k for k in left[:at - 1] if k in have] + left[at:]
+    tail = [block(k, blocks[k]) for k in left]
+    if tail and out and (so_far := "".join(out)) and not so_far.endswith("\n"):
+        out.append("\n")
+    return "".join(out + tail)
 
 
 def notes(text: str, head: str) -> str:
     """What people wrote in a file."""
-    return BLOCK.sub("", text).removeprefix(head).replace(GONE, "", 1).strip()
+    return written_by_hand(text).removeprefix(head).replace(GONE, "", 1).strip()
 
 
 def retire(path: Path, head: str) -> bool:
@@ -156,13 +168,19 @@ def retire(path: Path, head: str) -> bool:
     if not notes(text, head):
         path.unlink()
         return True
-    rest = BLOCK.sub("", text)
+    rest = written_by_hand(text)
     if GONE not in rest:
         rest = head + GONE + rest.removeprefix(head) if rest.startswith(head) else GONE + rest
         replace_file(path, rest)
     return False
 
 
+def document(path: str | os.PathLike, text: str) -> int:
+    """Write a collected document whole or not at all, with one line end; its bytes."""
+    replace_file(path, text.rstrip("\n") + "\n")
+    return Path(path).stat().st_size
+
+
 def sync_folder(root: str | os.PathLike, schema: str, kind: str, objects: Mapping[str, Mapping[str, str]]) -> dict[str, list[str]]:
     """Make a schema's folder of one kind hold ``objects`` (name to blocks): written, deleted and unchanged files."""
     folder = Path(root) / schema / f"{kind}s"

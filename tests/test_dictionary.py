@@ -76,7 +76,7 @@ def test_documents_fail_loudly(spark, text):
             documents.parse(spark, bad)
     doc = json.loads(text)
     doc["schemas"][0]["tables"][0]["name"] = ".."
-    doc["schemas"][0]["tables"][1]["comment"] = "x\n-- catalens:table:a:end\ny"
+    doc["schemas"][0]["tables"][1]["comment"] = "x\n--} catalens table:a\ny"
     doc["schemas"][0]["tables"].append({**doc["schemas"][0]["tables"][2], "name": doc["schemas"][0]["tables"][2]["name"].upper(), "options": ["a)b=1"], "tablespace": "", "access_method": "", "kind": "foreign_table"})
     doc["schemas"][0]["functions"][0]["definition"] = ""
     p = documents.parts(documents.parse(spark, json.dumps(doc)))
@@ -107,7 +107,7 @@ def test_sources(spark, tmp_path):
 def test_blocks_keep_their_order():
     old = sinks.merged(None, "-- head\n", {"a": "1\n", "c": "3\n"}) + "-- mine\n"
     new = sinks.merged(old, "-- head\n", {"a": "1\n", "b": "2\n", "c": "4\n", "d": "5\n"})
-    assert [new.index(f"catalens:{k}:start") for k in "abcd"] == sorted(new.index(f"catalens:{k}:start") for k in "abcd")
+    assert [new.index(f"--{{ catalens {k}\n") for k in "abcd"] == sorted(new.index(f"--{{ catalens {k}\n") for k in "abcd")
     assert "-- mine\n" in new and "3\n" not in new
 
 

@@ -23,14 +23,26 @@ def test_limit_and_truncation(tables):
 
 @pytest.mark.parametrize("sql, reason", [
     ("WITH a AS (SELECT 1 AS i) INSERT INTO sink SELECT i FROM a", "not-read-only"), ("SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "function-not-allowed"), ("SELECT reflect('java.lang.Math', 'abs', -1)", "function-not-allowed"),
+    ("SELECT * FROM region r WHERE EXISTS (WITH region AS (SELECT 1 AS x) SELECT * FROM region)", "relation-not-allowed"), ("WITH nation AS (SELECT 1 AS x), b AS (SELECT * FROM region) SELECT * FROM b", "relation-not-allowed"),
+    ("SELECT * FROM (WITH region AS (SELECT 1 AS x) SELECT * FROM region) a JOIN region b ON true", "relation-not-allowed"), ("WITH region AS (SELECT * FROM region) SELECT * FROM region", "relation-not-allowed"),
+    ("EXPLAIN SELECT * FROM region", "relation-not-allowed"), ("EXPLAIN SELECT reflect('java.lang.Math', 'abs', -1)", "function-not-allowed"), ("EXPLAIN INSERT INTO sink VALUES (1)", "not-read-only"),
+    ("SHOW COLUMNS IN region", "relation-not-allowed"), ("SHOW CREATE TABLE nation", "not-read-only"), ("SHOW TBLPROPERTIES nation", "not-read-only"), ("SELECT * FROM IDENTIFIER('reg' || 'ion')", "function-not-allowed"),
     ("SELECT * FROM secret_table", "relation-not-allowed"), ("SELECT * FROM nation WHERE n_nationkey IN (SELECT x FROM other)", "relation-not-allowed"), ("SELECT 1; SELECT 2", "multi-statement"),
 ])
 def test_refused(tables, sql, reason):
     with pytest.raises(session.Refused) as e:
-        session.query(tables, sql, relations=TABLES)
+        session.query(tables, sql, relations=[t for t in TABLES if t != "region"])
     assert e.value.reason == reason
 
 
+@pytest.mark.parametrize("sql", [
+    "WITH region AS (SELECT 1 AS x) SELECT * FROM region", "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT * FROM b JOIN nation ON true", "SELECT * FROM (WITH a AS (SELECT 1 AS x) SELECT x FROM a WHERE EXISTS (SELECT * FROM a)) q",
+    "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 4) SELECT * FROM n", "EXPLAIN SELECT * FROM nation", "SHOW TABLES", "SHOW COLUMNS IN nation",
+])
+def test_taken(tables, sql):
+    assert session.query(tables, sql, relations=["nation"]).df.count() >= 1
+
+
 def test_files_are_not_tables(tables):
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|relation-not-allowed"):
         session.query(tables, "SELECT * FROM text.`/etc/hostname`")
