@@ -196,11 +196,7 @@ add("gap_report", _p(lambda p: semantics.gaps(p["tables"], p["columns"], p["func
 add("idx_trigger_refs", _p(lambda p: semantics.trigger_functions(p["triggers"], p["functions"]).filter("identity_args IS NOT NULL").groupBy("function_schema", "function", "identity_args").agg(F.countDistinct("definition").alias("n"))), _cat("SELECT * FROM (VALUES ('shop', 'noop_trigger', '', 3), ('shop', 'fmt', 'x integer', 1), ('shop', 'fmt', 'x text', 1)) AS t(function_schema, function, identity_args, n)"))
 add("idx_schema_readme", _p(lambda p: ddl.schema_index(p).select("schema", "kind", "name", "file")), _cat("SELECT schema, 'table' AS kind, name, 'tables/' || name || '.sql' AS file FROM top UNION ALL SELECT schema, 'view', name, 'views/' || name || '.sql' FROM vws UNION ALL SELECT DISTINCT schema, 'function', name, 'functions/' || name || '.sql' FROM fns"))
 add("idx_root_readme", QUERIES["agg_gap_counts"], ORACLES["agg_gap_counts"])
-add("ddl_table", _p(ddl.table_ddl))
-add("ddl_view", _p(lambda p: ddl.view_ddl(p["views"], p["view_columns"], p["view_indexes"])))
-add("ddl_function", _p(lambda p: ddl.function_ddl(p["functions"], p["triggers"])))
 add("ddl_column_line", _p(lambda p: p["columns"].filter("schema = 'shop_ext'").select("table", "name", ddl.column_line().alias("line"))), _cat("""SELECT "table", name, '  ' || name || ' ' || type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END AS line FROM cols WHERE schema = 'shop_ext'"""))
-add("ddl_trigger_state", _p(lambda p: ddl.trigger_lines(p["triggers"], p["functions"])))
 add("val_rules", _p(lambda p: validate.violations(p)), _cat("SELECT NULL AS rule, NULL AS owner, NULL AS detail WHERE false"))
 add("set_subset_check", _p(lambda p: validate.scope(p, ["shop"])), _cat("SELECT 'scope' AS rule, 'shop_ext' AS owner, 'not requested' AS detail"))
 
@@ -380,6 +376,5 @@ add("pre_stage", lambda s, d: provision.stage(s.createDataFrame([("smoke", "fail
 
 # --- Results as text ----------------------------------------------------------
 add("snk_meta", lambda s, d: s.createDataFrame([tuple(x.split(": ", 1)) for x in sinks.meta("SELECT 1\n-- x\\y", 3, False, 200, 12, "csv").splitlines()], "k string, v string"), r"SELECT * FROM (VALUES ('sql', 'SELECT 1\n-- x\\y'), ('rows', '3'), ('truncated', 'false'), ('limit', '200'), ('elapsed_ms', '12'), ('format', 'csv')) AS t(k, v)")
-add("snk_result_name", lambda s, d: s.sql("SELECT substr(sha2('SELECT 1', 256), 1, 8) AS name"), "SELECT left(sha256('SELECT 1'), 8) AS name")
 add("lim_truncate_csv", lambda s, d: s.createDataFrame([sinks.cut_csv('a,b\n1,"x\ny"\n2,z\n3,w\n', 2)], "text string, n int, truncated boolean"), """SELECT 'a,b' || chr(10) || '1,"x' || chr(10) || 'y"' || chr(10) || '2,z' || chr(10) AS text, 2 AS n, true AS truncated""")
 add("lim_truncate_text", lambda s, d: s.createDataFrame([sinks.cut_lines("a\nb\nc\n", 2)], "text string, n int, truncated boolean"), "SELECT 'a' || chr(10) || 'b' || chr(10) AS text, 2 AS n, true AS truncated")

@@ -131,7 +131,6 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _fixed("chk_position", _positions, [(2, 3)], "line, col")
-QUERIES["qry_explain"] = lambda s, d: (register(s, d), session.query(s, "EXPLAIN SELECT * FROM nation").df)[1]
 QUERIES["qry_show"] = lambda s, d: (register(s, d), session.query(s, "SHOW TABLES").df.filter("isTemporary").select(F.col("tableName").alias("name")).filter(F.col("name").isin(*TABLES)))[1]
 ORACLES["qry_show"] = _sql_rows([(t,) for t in TABLES], "name")
 
