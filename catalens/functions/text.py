@@ -121,9 +121,15 @@ def sequence_of(default: Column, schema: Column) -> Column:
 
 
 def trigger_function(definition: Column) -> Column:
-    """The function that a trigger calls, as its definition names it, or null."""
-    found = F.regexp_extract(definition, r"EXECUTE (?:FUNCTION|PROCEDURE) ((?:[a-z_][a-z0-9_]*\.)?[a-z_][a-z0-9_]*)\(", 1)
-    return F.when(found != "", found)
+    """The function that a trigger calls, as its definition names it, or null.
+
+    The server ends a trigger's definition with the call, so what is called stands between
+    the last EXECUTE and the first parenthesis after it; names in quotes are left out.
+    """
+    call = F.substring_index(F.substring_index(definition, " EXECUTE ", -1), "(", 1)
+    name = F.substring_index(call, " ", -1)
+    plain = F.forall(F.split(name, "\\."), lambda x: x.rlike(f"^{TOKEN}$")) & (F.size(F.split(name, "\\.")) <= 2)
+    return F.when(F.contains(definition, F.lit(" EXECUTE ")) & F.substring_index(call, " ", 1).isin("FUNCTION", "PROCEDURE") & plain, name)
 
 
 def identifier_ok(name: Column) -> Column:

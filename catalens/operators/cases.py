@@ -227,14 +227,14 @@ def broken_document(spark: SparkSession) -> str:
     table["payments"]["tablespace"], table["order_items"]["access_method"], table["products"]["kind"] = "", "", "foreign_table"
     remote = next(t for t in shop["tables"] if t["name"] == "remote_items")
     remote["foreign"]["options"] = ["novalue"]
-    table["audit_logs"]["columns"][0]["type"] = ""
+    table["change_notes"]["columns"][0]["type"] = ""
     next(x for x in shop["functions"] if x["name"] == "plain_fn")["definition"] = "  "
     return json.dumps(doc)
 
 
 add("val_cases", lambda s, d: validate.violations(documents.parts(documents.parse(s, broken_document(s))), ["shop"]), _values(
     "rule, owner, detail", ("identifier", "shop...", "table"), ("case", "shop.metrics", "METRICS, metrics"), ("definition", "shop.plain_fn", "x integer"), ("marker", "shop.categories", "comment"), ("option", "shop.METRICS", "a)b=1"), ("wrapper_option", "shop.remote_items", "novalue"),
-    ("access_method", "shop.order_items", "empty"), ("tablespace", "shop.payments", "empty"), ("foreign", "shop.products", "foreign_table"), ("named", "shop.audit_logs", "1"), ("scope", "shop_ext", "not requested"),
+    ("access_method", "shop.order_items", "empty"), ("tablespace", "shop.payments", "empty"), ("foreign", "shop.products", "foreign_table"), ("named", "shop.change_notes", "1"), ("scope", "shop_ext", "not requested"),
 ))
 
 

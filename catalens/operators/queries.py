@@ -104,12 +104,15 @@ add("col_document", _f(lambda f: collect.document(f).select("collect_version", "
 add("src_document", lambda spark, d: documents.parts(documents.parse(spark, collect.document(facts(spark)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]))["columns"].select("schema", "table", "position", "name", "type", "nullable"),
     _cat('SELECT schema, "table", position, name, type, nullable FROM cols'))
 add("snk_slice", lambda spark, d: documents.slices(collect.document(facts(spark))).select("schema", F.contains("json", F.lit("reltuples")).alias("has_rows")), _cat("SELECT DISTINCT schema, false AS has_rows FROM tabs"))
-add("src_catalog", lambda spark, d: _real_columns(spark, d), """SELECT table_name AS "table", ordinal_position AS position, column_name AS name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')""")
+def _catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the business tables as Spark's own catalog tells them."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    for n in names:
+        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+    return documents.spark_catalog(spark)["columns"].filter(F.col("table").isin(*names)).select("table", "position", "name")
 
 
-def _real_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, i + 1, c) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") for i, c in enumerate(spark.read.parquet(f"{sf_dir}/{n}.parquet").columns)]
-    return spark.createDataFrame(rows, "table string, position int, name string")
+add("src_catalog", _catalogued, """SELECT table_name AS "table", ordinal_position AS position, column_name AS name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')""")
 
 
 # --- Predicates and projections --------------------------------------------
@@ -175,7 +178,7 @@ add("agg_min_label", _p(lambda p: semantics.diagram(semantics.annotated(_cols(p)
 add("agg_first_wins", _p(lambda p: inference.candidates(_top(p), _cols(p), semantics.annotated(_cols(p)).limit(0), semantics.annotated(_cols(p)))), _cat(
     "SELECT source, target, CASE WHEN min(p) = 0 THEN 'column_name' ELSE 'comment_ref' END AS signal FROM (SELECT source, target, 0 AS p FROM byname UNION ALL SELECT source, target, 1 FROM bycomment) x WHERE (source, target) NOT IN (SELECT (source, target) FROM ann) GROUP BY source, target"))
 add("agg_targets", _fp(lambda f, p: semantics.merged_relations(semantics.annotated(_cols(p)), f["confirmed"]).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))), _cat("SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM (SELECT source, target FROM ann UNION ALL SELECT source, target FROM confirmed WHERE NOT ignored) GROUP BY source", "confirmed"))
-add("agg_seq_dedupe", _p(lambda p: semantics.sequences(p["columns"]).select("schema", "table", "sequence")), _cat("""SELECT * FROM (VALUES ('shop', 'users', 'shop.users_id_seq'), ('shop', 'orders', 'shop.order_seq'), ('shop', 'tuned_counters', 'shop."Odd seq"')) AS t(schema, "table", sequence)"""))
+add("agg_seq_dedupe", _p(lambda p: semantics.sequences(p["columns"]).select("schema", "table", "sequence")), _cat("""SELECT * FROM (VALUES ('shop', 'users', 'shop.users_id_seq'), ('shop', 'orders', 'shop.order_seq'), ('shop', 'dialled_meters', 'shop."Odd seq"')) AS t(schema, "table", sequence)"""))
 
 # --- Semantics and inference -----------------------------------------------
 add("rel_partition_fold", _p(lambda p: semantics.folded(p["tables"]).select("schema", "name", "folded", "note_parent")), _cat("SELECT t.schema, t.name, x.name IS NULL AS folded, CASE WHEN x.name IS NOT NULL THEN t.partition_of END AS note_parent FROM tabs t LEFT JOIN top x ON x.schema = t.schema AND x.name = t.name"))

@@ -45,11 +45,19 @@ add("del_join_left", "SELECT n_name, count(s_suppkey) AS n FROM nation LEFT JOIN
 add("del_join_full", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(DISTINCT c_custkey) AS c, count(DISTINCT s_suppkey) AS s FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey GROUP BY coalesce(c_nationkey, s_nationkey)")
 add("del_join_semi", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 add("del_join_anti", "SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
+add("del_join_right", "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON n_nationkey = s_nationkey AND s_acctbal > 9000 GROUP BY n_name")
+add("del_join_natural", "SELECT r_name, count(*) AS n FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) x NATURAL JOIN region GROUP BY r_name")
 add("del_join_cross", "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b")
 add("del_join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 add("del_join_using", "SELECT l_orderkey, count(*) AS n FROM lineitem JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') x USING (l_orderkey) GROUP BY l_orderkey")
 add("del_lateral", "SELECT n_name, t.top FROM nation, LATERAL (SELECT max(c_acctbal) AS top FROM customer WHERE c_nationkey = n_nationkey) t")
-add("del_asof", "SELECT user_id, event_id, prev_id FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events) x")
+add("del_lag", "SELECT user_id, event_id, prev_id FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events) x")
+# The last purchase of the user at or before each view: both inputs go through one window, so no pair is made but the wanted one.
+add("del_asof", """SELECT event_id, bought, value FROM (
+  SELECT event_id, event_type, last_value(IF(event_type = 'purchase', event_id, NULL)) IGNORE NULLS OVER w AS bought, last_value(IF(event_type = 'purchase', value, NULL)) IGNORE NULLS OVER w AS value
+  FROM (SELECT min(event_id) AS event_id, user_id, ts, event_type, max_by(value, -event_id) AS value FROM events GROUP BY user_id, ts, event_type) e WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x WHERE event_type = 'view'""",
+    """WITH e AS (SELECT min(event_id) AS event_id, user_id, ts, event_type, arg_min(value, event_id) AS value FROM events GROUP BY user_id, ts, event_type)
+SELECT v.event_id, p.event_id AS bought, p.value FROM (SELECT * FROM e WHERE event_type = 'view') v ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND v.ts >= p.ts""")
 add("del_interval_join", "SELECT a.event_id AS a, count(b.event_id) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '1' HOUR GROUP BY a.event_id")
 add("del_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 add("del_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -60,19 +68,25 @@ add("del_statistics", "SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS
 add("del_percentile", "SELECT l_returnflag, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity), 4) AS med FROM lineitem GROUP BY l_returnflag")
 add("del_string_agg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 add("del_array_agg", "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey")
-add("del_window_rank", "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS d, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS q, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier")
+add("del_window_rank", "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS d, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS q, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rn FROM supplier")
 add("del_window_offset", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev, lead(o_totalprice, 1, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first FROM orders")
 add("del_window_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM events")
+add("del_window_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS n, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders")
 add("del_topk_group", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) x WHERE rn <= 3")
 add("del_nulls_order", "SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier ORDER BY nullif(s_nationkey, 3) ASC NULLS LAST, s_suppkey LIMIT 20 OFFSET 5")
 add("del_distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) x WHERE rn = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
 add("del_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 add("del_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+add("del_union_all", "SELECT c_nationkey AS k, 'c' AS of FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier")
+add("del_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
 add("del_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 add("del_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
 add("del_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > 500000) SELECT count(*) AS n, round(avg(total), 2) AS mean FROM top")
 add("del_values", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) AS t(i, s)")
 add("del_predicates", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) AND p_type LIKE '%BRASS%' AND p_brand IS DISTINCT FROM 'Brand#13' AND p_retailprice BETWEEN 900 AND 1500 AND lower(p_name) ILIKE '%A%'")
+add("del_patterns", "SELECT p_partkey FROM part WHERE p_name RLIKE '^[a-m].* (blue|red|green)' OR p_type LIKE ANY ('%BRASS', '%TIN') OR p_name LIKE ALL ('%a%', '%e%', '%i%', '%o%')", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m].* (blue|red|green)') OR p_type LIKE '%BRASS' OR p_type LIKE '%TIN' OR (p_name LIKE '%a%' AND p_name LIKE '%e%' AND p_name LIKE '%i%' AND p_name LIKE '%o%')")
+add("del_quantified", "SELECT c_custkey FROM customer c WHERE c_acctbal >= (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = c_nationkey) OR c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9900)",
+    "SELECT c_custkey FROM customer c WHERE c_acctbal >= ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey = c_nationkey) AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey) OR c_nationkey = ANY (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9900)")
 add("del_strings", "SELECT c_custkey, upper(substring(c_name, 1, 4)) AS a, length(c_name) AS n, replace(c_name, '#', '-') AS b, trim(concat('  ', c_mktsegment, ' ')) AS c, lpad(CAST(c_nationkey AS STRING), 3, '0') AS d, position('#' IN c_name) AS p, regexp_replace(c_name, '[0-9]+', 'N') AS e FROM customer",
     "SELECT c_custkey, upper(substring(c_name, 1, 4)) AS a, length(c_name) AS n, replace(c_name, '#', '-') AS b, trim(concat('  ', c_mktsegment, ' ')) AS c, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS d, position('#' IN c_name) AS p, regexp_replace(c_name, '[0-9]+', 'N') AS e FROM customer")
 add("del_dates", "SELECT extract(YEAR FROM o_orderdate) AS y, extract(MONTH FROM o_orderdate) AS m, date_trunc('quarter', o_orderdate) AS q, count(*) AS n FROM orders GROUP BY 1, 2, 3", "SELECT extract(YEAR FROM o_orderdate) AS y, extract(MONTH FROM o_orderdate) AS m, CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS q, count(*) AS n FROM orders GROUP BY 1, 2, 3")

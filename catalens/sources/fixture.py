@@ -31,18 +31,18 @@ FACTS: dict[str, tuple[str, list[tuple[Any, ...]]]] = {
         (104, "orders", APP, "r", 3000000.0, None, 2, 0, 0, False, None, "owner_a", "Orders", None, True),
         (105, "order_items", APP, "r", 90000000.0, None, 3, 0, 0, False, None, "owner_a", None, None, True),
         (106, "payments", APP, "r", -1.0, None, 2, 9001, 0, False, None, "owner_a", None, None, True),
-        (107, "audit_logs", APP, "r", 2000000000.0, None, 2, 0, 0, False, None, "owner_a", None, None, True),
+        (107, "change_notes", APP, "r", 2000000000.0, None, 2, 0, 0, False, None, "owner_a", None, None, True),
         (108, "events", APP, "p", 0.0, None, 0, 0, 0, False, "RANGE (occurred_at)", "owner_a", None, None, True),
         (109, "events_2026_08", APP, "r", 500.0, ["fillfactor=60"], 2, 0, 0, True, None, "owner_a", None, None, True),
         (110, "metrics", APP, "r", 10.0, None, 2, 0, 0, False, None, "owner_a", None, None, True),
-        (111, "tuned_counters", APP, "r", 10.0, ["fillfactor=70", "autovacuum_enabled=false"], 2, 0, 0, False, None, "owner_a", None, None, True),
-        (112, "toasted_notes", APP, "r", 10.0, None, 2, 0, 190, False, None, "owner_a", None, None, True),
+        (111, "dialled_meters", APP, "r", 10.0, ["fillfactor=70", "autovacuum_enabled=false"], 2, 0, 0, False, None, "owner_a", None, None, True),
+        (112, "long_letters", APP, "r", 10.0, None, 2, 0, 190, False, None, "owner_a", None, None, True),
         (113, "events_2026_08_a", APP, "r", 5.0, None, 2, 0, 0, True, None, "owner_a", None, None, True),
         (114, "remote_items", APP, "f", 0.0, None, 0, 0, 0, False, None, "owner_a", "Items kept elsewhere", None, True),
         (120, "active_users", APP, "v", 0.0, None, 0, 0, 0, False, None, "owner_a", "Users that are active", " SELECT id FROM shop.users;", True),
-        (121, "guarded_users", APP, "v", 0.0, ["security_barrier=true"], 0, 0, 0, False, None, "owner_a", None, " SELECT id FROM shop.users;", True),
-        (122, "recent_orders", APP, "m", 12.0, None, 2, 9001, 191, False, None, "owner_a", None, " SELECT id FROM shop.orders;", True),
-        (123, "stale_orders", APP, "m", 0.0, None, 2, 0, 0, False, None, "owner_a", None, " SELECT id FROM shop.orders;", False),
+        (121, "fenced_members", APP, "v", 0.0, ["security_barrier=true"], 0, 0, 0, False, None, "owner_a", None, " SELECT id FROM shop.users;", True),
+        (122, "late_sales", APP, "m", 12.0, None, 2, 9001, 191, False, None, "owner_a", None, " SELECT id FROM shop.orders;", True),
+        (123, "unfilled_sales", APP, "m", 0.0, None, 2, 0, 0, False, None, "owner_a", None, " SELECT id FROM shop.orders;", False),
         (130, "widgets", EXT, "r", 7.0, None, 2, 0, 0, False, None, "owner_b", None, None, True),
         (150, "geo_points", EXT, "r", 7.0, None, 2, 0, 0, False, None, "owner_b", None, None, True),
         (160, "pg_class", SYS, "r", 7.0, None, 2, 0, 0, False, None, "postgres", None, None, True),
@@ -55,8 +55,8 @@ FACTS: dict[str, tuple[str, list[tuple[Any, ...]]]] = {
         (204, "metrics_broken_idx", APP, "i", 0.0, None, 403, 0, 0, False, None, "owner_a", None, None, True),
         (205, "events_at_idx", APP, "I", 0.0, None, 403, 0, 0, False, None, "owner_a", None, None, True),
         (206, "events_2026_08_at_idx", APP, "i", 0.0, None, 403, 0, 0, True, None, "owner_a", None, None, True),
-        (207, "tuned_counters_pkey", APP, "i", 0.0, ["fillfactor=80"], 403, 9001, 0, False, None, "owner_a", None, None, True),
-        (208, "stale_orders_id_key", APP, "i", 0.0, None, 403, 0, 0, False, None, "owner_a", None, None, True),
+        (207, "dialled_meters_pkey", APP, "i", 0.0, ["fillfactor=80"], 403, 9001, 0, False, None, "owner_a", None, None, True),
+        (208, "unfilled_sales_id_key", APP, "i", 0.0, None, 403, 0, 0, False, None, "owner_a", None, None, True),
     ]),
     "pg_attribute": ("attrelid bigint, attnum int, attname string, atttype string, attnotnull boolean, attisdropped boolean, attfdwoptions array<string>, description string", [
         (101, 1, "id", "bigint", True, False, None, None), (101, 2, "email", "text", False, False, None, "登录邮箱，已脱敏展示"), (101, 3, "created_at", "timestamptz", False, False, None, None), (101, 4, "old", "text", False, True, None, None), (101, -1, "ctid", "tid", True, False, None, None),
@@ -85,13 +85,13 @@ FACTS: dict[str, tuple[str, list[tuple[Any, ...]]]] = {
         (201, 101, True, "CREATE UNIQUE INDEX users_pkey ON shop.users USING btree (id)"), (202, 110, True, "CREATE UNIQUE INDEX metrics_name_key ON shop.metrics USING btree (name)"),
         (203, 110, True, "CREATE INDEX metrics_value_idx ON shop.metrics USING btree (value) WHERE (value > 0)"), (204, 110, False, "CREATE INDEX metrics_broken_idx ON shop.metrics USING btree (value)"),
         (205, 108, True, "CREATE INDEX events_at_idx ON ONLY shop.events USING btree (occurred_at)"), (206, 109, True, "CREATE INDEX events_2026_08_at_idx ON shop.events_2026_08 USING btree (occurred_at)"),
-        (207, 111, True, "CREATE UNIQUE INDEX tuned_counters_pkey ON shop.tuned_counters USING btree (id)"), (208, 123, True, "CREATE UNIQUE INDEX stale_orders_id_key ON shop.stale_orders USING btree (id)"),
+        (207, 111, True, "CREATE UNIQUE INDEX dialled_meters_pkey ON shop.dialled_meters USING btree (id)"), (208, 123, True, "CREATE UNIQUE INDEX unfilled_sales_id_key ON shop.unfilled_sales USING btree (id)"),
     ]),
     "pg_inherits": ("inhrelid bigint, inhparent bigint", [(109, 108), (206, 205), (113, 109)]),
     "pg_constraint": ("conrelid bigint, conname string, contype string, definition string, conislocal boolean, coninhcount int", [
         (101, "users_pkey", "p", "PRIMARY KEY (id)", True, 0), (101, "users_id_not_null", "n", "NOT NULL id", True, 0), (104, "orders_user_fk", "f", "FOREIGN KEY (user_id) REFERENCES shop.users(id)", True, 0),
         (109, "events_check", "c", "CHECK ((id > 0))", False, 1), (108, "events_check", "c", "CHECK ((id > 0))", True, 0), (109, "events_local_check", "c", "CHECK ((payload IS NOT NULL))", True, 0),
-        (110, "metrics_name_key", "u", "UNIQUE (name)", True, 0), (110, "metrics_value_check", "c", "CHECK ((value >= (0)::numeric))", True, 0), (111, "tuned_counters_pkey", "p", "PRIMARY KEY (id)", True, 0),
+        (110, "metrics_name_key", "u", "UNIQUE (name)", True, 0), (110, "metrics_value_check", "c", "CHECK ((value >= (0)::numeric))", True, 0), (111, "dialled_meters_pkey", "p", "PRIMARY KEY (id)", True, 0),
     ]),
     "pg_trigger": ("oid bigint, tgrelid bigint, tgname string, definition string, tgenabled string, tgisinternal boolean, tgparentid bigint", [
         (401, 110, "metrics_touch", "CREATE TRIGGER metrics_touch BEFORE UPDATE ON shop.metrics FOR EACH ROW EXECUTE FUNCTION shop.noop_trigger()", "D", False, 0),

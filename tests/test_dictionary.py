@@ -56,16 +56,16 @@ def test_notes_survive_and_what_is_gone_goes(spark, text, tmp_path):
 def test_ddl_text(spark):
     p = dictionary.parts_of(facts(spark))
     table = {r["name"]: r["ddl"] for r in ddl.table_ddl(p).collect()}
-    assert 'CREATE SEQUENCE IF NOT EXISTS shop."Odd seq";' in table["tuned_counters"]
-    assert "WITH (autovacuum_enabled='false', fillfactor='70')" in table["tuned_counters"] and "ALTER INDEX shop.tuned_counters_pkey SET TABLESPACE fast_disk;\nALTER INDEX shop.tuned_counters_pkey SET (fillfactor='80');" in table["tuned_counters"]
+    assert 'CREATE SEQUENCE IF NOT EXISTS shop."Odd seq";' in table["dialled_meters"]
+    assert "WITH (autovacuum_enabled='false', fillfactor='70')" in table["dialled_meters"] and "ALTER INDEX shop.dialled_meters_pkey SET TABLESPACE fast_disk;\nALTER INDEX shop.dialled_meters_pkey SET (fillfactor='80');" in table["dialled_meters"]
     assert "USING columnar" in table["order_items"] and "TABLESPACE fast_disk" in table["payments"]
     assert "PARTITION BY RANGE (occurred_at)" in table["events"] and "-- partitions (1): events_2026_08" in table["events"] and "--   constraint events_local_check" in table["events"]
     assert "ALTER TABLE shop.metrics DISABLE TRIGGER metrics_touch;" in table["metrics"] and "metrics_name_key ON" not in table["metrics"] and "metrics_broken_idx" not in table["metrics"]
     assert "CREATE FOREIGN TABLE shop.remote_items" in table["remote_items"] and "OPTIONS (column_name 'tok')" in table["remote_items"] and "SERVER warehouse OPTIONS (table_name 'items', note 'it''s')" in table["remote_items"]
     assert "IS 'product''s name';" in table["products"]
     view = {r["name"]: r["ddl"] for r in ddl.view_ddl(p["views"], p["view_columns"], p["view_indexes"]).collect()}
-    assert view["guarded_users"].startswith("CREATE VIEW shop.guarded_users WITH (security_barrier='true') AS\n")
-    assert "WITH NO DATA;\nCREATE UNIQUE INDEX stale_orders_id_key" in view["stale_orders"] and "TABLESPACE fast_disk" in view["recent_orders"]
+    assert view["fenced_members"].startswith("CREATE VIEW shop.fenced_members WITH (security_barrier='true') AS\n")
+    assert "WITH NO DATA;\nCREATE UNIQUE INDEX unfilled_sales_id_key" in view["unfilled_sales"] and "TABLESPACE fast_disk" in view["late_sales"]
     fn = {(r["name"], r["identity_args"]): r["ddl"] for r in ddl.function_ddl(p["functions"], p["triggers"]).collect()}
     assert "COMMENT ON FUNCTION shop.noop_trigger() IS 'Does nothing';" in fn["noop_trigger", ""] and fn["plain_fn", "x integer"].endswith("-- (none)\n")
 
