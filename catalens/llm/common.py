@@ -73,7 +73,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 #: Rows of a file that share a row of what is broadcast, and how many such chunks are kept together when blocks are made.
-CHUNK, TOGETHER = 256, (1024, 64, 4, 1)
+CHUNK, TOGETHER = 64, (4096, 256, 16, 1)
 
 
 def met(docs: DataFrame, rows: DataFrame, then: Callable[[DataFrame], DataFrame], weight: Column | None = None, every: bool = False, most: int | None = None) -> DataFrame:
@@ -93,8 +93,9 @@ def met(docs: DataFrame, rows: DataFrame, then: Callable[[DataFrame], DataFrame]
     layer = ["_layer"] if "_layer" in rows.columns else []
     entry = F.struct((F.col("_row") % CHUNK).cast("int").alias("k"), F.col("_value").alias("v"))
     size = (F.lit(112) + F.sum(F.lit(32) + (F.lit(0) if weight is None else weight))).cast("long")
-    chunks = materialize(rows.groupBy("_file", F.expr(f"_row div {CHUNK}").alias("_chunk"), *layer).agg(F.collect_list(entry).alias("_entries"), size.alias("_bytes")), "chunks")
-    found = F.expr(f"try_element_at(_entries.v, nullif(cast(array_position(_entries.k, cast(_row % {CHUNK} AS int)) AS int), 0))")
+    chunks = rows.groupBy("_file", F.expr(f"_row div {CHUNK}").alias("_chunk"), *layer).agg(F.collect_list(entry).alias("_entries"), size.alias("_bytes"))
+    chunks = materialize(chunks.select("_file", "_chunk", F.col("_entries.k").alias("_k"), F.col("_entries.v").alias("_v"), "_bytes"), "chunks")
+    found = F.expr(f"try_element_at(_v, nullif(cast(array_position(_k, cast(_row % {CHUNK} AS int)) AS int), 0))")
 
     def join(left: DataFrame, right: DataFrame) -> DataFrame:
         left = left.withColumn("_chunk", F.expr(f"_row div {CHUNK}"))

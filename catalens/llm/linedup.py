@@ -4,7 +4,7 @@ A line of ``equal`` or more characters is a duplicate if an equal line occurs
 earlier, one of ``near`` or more also if a line of that length within edit
 distance 1 does, in order of (doc_id, text hash, place, line number); duplicates
 are taken out of their documents, the earliest stays. Both are ``LEAST`` unless
-given; with ``equal`` 1, as in the pipeline, no repeat of a line is left.
+given; with ``equal`` 1, as in the query and the pipeline, no repeat of a line is left.
 
 1. Equal lines are grouped by a 128-bit hash; a row stands for each line.
 2. Two lines within one edit share a half (pigeonhole, by exact length), so only

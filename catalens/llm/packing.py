@@ -40,6 +40,7 @@ SMALLEST = 256
 STEP_WINDOWS = 8
 END_ID = 1
 CACHE_WORDS = 600_000
+PROBES = ["One two, Three  four's it's we'll 12 345 a1b2", "  leading and\n\ttrailing \r\n", "naïve Ünïcode ÉTÉ straße “quoted” – dash… 10€", "a.b;c!?(d)[e]{f}<g>@#$%^&*_+=~`|\\/", "snake_case CamelCase x==y 3.14 don't I'd you've they're I'm", ""]
 
 
 # --- Token ids -------------------------------------------------------------
@@ -63,7 +64,8 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes; words are looked up in a bounded cache.
 
     Texts with characters outside ``plain_characters``, or with the string of an added
-    token, are given to the tokenizer whole.
+    token, are given to the tokenizer whole; so are all texts of a tokenizer that cuts
+    words otherwise, or doesn't fold case, which ``PROBES`` tell.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -85,6 +87,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.by_words = True
+        self.by_words = self.encode(PROBES) == [raw + self.end for raw in self.whole(PROBES)]
+        self.cache.clear()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -106,7 +111,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, then the end id."""
-        cut = [None if t and (self.odd(t) or any(s in t for s in self.added)) else self.words(t.lower()) if t else [] for t in texts]
+        cut = [None if t and (not self.by_words or self.odd(t) or any(s in t for s in self.added)) else self.words(t.lower()) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache

@@ -44,7 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linedup.without_duplicates(table(spark, sf_dir, "documents"))
+    found = linedup.without_duplicates(table(spark, sf_dir, "documents"), equal=1)
     return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
@@ -65,16 +65,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-# Lines of 20 or more characters; one edit apart means equal but for one character put in, left out or changed.
-OP7_SQL = """
+# Repeats of lines that are not blank, and lines of 20 or more characters one edit apart: equal but for one character put in, left out or changed.
+OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, string_split(text, chr(10))[pos] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL)
 ), firsts AS (
-  SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM lines WHERE length(line) >= 20 GROUP BY line
+  SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM lines WHERE length(line) >= 20 OR regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY line
 ), near AS (
   SELECT DISTINCT b.line
-  FROM firsts a JOIN firsts b ON a.first < b.first AND abs(a.n - b.n) <= 1
+  FROM firsts a JOIN firsts b ON a.first < b.first AND abs(a.n - b.n) <= 1 AND a.n >= 20 AND b.n >= 20
   WHERE levenshtein(a.line, b.line) <= 4 AND (
     (a.n = b.n AND len(list_filter(range(1, a.n + 1), lambda i: substring(a.line, i, 1) <> substring(b.line, i, 1))) = 1)
     OR (a.n + 1 = b.n AND len(list_filter(range(1, b.n + 1), lambda i: substring(b.line, 1, i - 1) || substring(b.line, i + 1) = a.line)) > 0)

@@ -23,18 +23,19 @@ def one_edit(a, b):
     return len(b) - len(a) <= 1 and (a[p + 1 :] == b[p + 1 :] if len(a) == len(b) else a[p:] == b[p + 1 :])
 
 
-def kept_lines(rows):
+def kept_lines(rows, equal=linedup.LEAST):
     """Brute force over (doc_id, text), ids ascending."""
     first = {}
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            if len(x) >= linedup.LEAST:
+            if len(x) >= linedup.LEAST or (len(x) >= equal and x.strip(" \t\n\x0b\f\r")):
                 first.setdefault(x, (i, k))
-    gone = {b for b in first for a in first if first[a] < first[b] and one_edit(a, b)}
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < linedup.LEAST or (first[x] == (i, k) and x not in gone)) for i, t in rows}
+    gone = {b for b in first for a in first if first[a] < first[b] and min(len(a), len(b)) >= linedup.LEAST and one_edit(a, b)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if x not in first or (first[x] == (i, k) and x not in gone)) for i, t in rows}
 
 
-def test_lines_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("equal", [linedup.LEAST, 1])
+def test_lines_against_brute_force(spark, tmp_path, equal):
     rng = np.random.default_rng(5)
     base = ["".join(rng.choice(list("abcé "), n)) for n in (20, 21, 40, 63, 64, 65, 128, 200, 500)]
     rows = []
@@ -46,12 +47,12 @@ def test_lines_against_brute_force(spark, tmp_path):
                 k = rng.integers(len(x))
                 x = [x[:k] + x[k + 1 :], x[:k] + "z" + x[k:], x[:k] + "y" + x[k + 1 :]][rng.integers(3)]
             lines.append(x)
-        rows.append((i, "\n".join([*lines, "short"])))
+        rows.append((i, "\n".join([*lines, "short", ["Les.", "\x0b", " \t", "ab"][i % 4]])))
     rows += [(90, None), (91, ""), (92, "\n\n")]
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
-    got = {r["doc_id"]: r["text"] for r in linedup.without_duplicates(spark.read.parquet(path)).collect()}
-    assert got == kept_lines(rows)
+    got = {r["doc_id"]: r["text"] for r in linedup.without_duplicates(spark.read.parquet(path), equal).collect()}
+    assert got == kept_lines(rows, equal)
 
 
 def test_short_lines_in_the_pipeline(spark, tmp_path):

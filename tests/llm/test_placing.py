@@ -120,6 +120,15 @@ def test_ids_are_the_tokenizers(found):
     assert e.encode(["a <|endoftext|> b"]) == [np.array([*e.tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids, 1], "<u2").tobytes()]
 
 
+def test_ids_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    found = ["Two Words, and\n some  more", "", "Ünïcode 123", "it's"]
+    want = [np.array([*x.ids, 1], "<u2").tobytes() for x in Tokenizer.from_file(path).encode_batch(found, add_special_tokens=False)]
+    assert packing.Encoder(path).encode(found) == want and packing.encoder(VOCABULARY).by_words and not packing.Encoder(path).by_words
+
+
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.01, 100), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_pfair_stays_within_a_block(weights):
