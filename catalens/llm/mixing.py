@@ -171,12 +171,12 @@ def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK
 def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
     """The rows of ``docs`` in mixture order, those of sources over their natural share more than once.
 
-    Texts are read once and move once, to their place in the order: as many parts as the
-    scan has, each an equal range of positions.
+    Texts are read once and move once, to their place in the order: twice as many parts as the
+    scan has, as rows are larger on their way than in files, each an equal range of positions.
     """
     docs = scanned(docs)
     uses = materialize(schedule(docs, weights, block, temper).select("_file", "_row", "epoch", "position"), "uses")
-    total, parts = uses.count(), max(1, docs.rdd.getNumPartitions())
+    total, parts = uses.count(), 2 * max(1, docs.rdd.getNumPartitions())
     values = uses.groupBy("_file", "_row", F.floor(F.col("epoch") / USES).alias("_layer")).agg(F.collect_list("position").alias("_value"))
     placed = met(docs, values, lambda r: r.select("_doc", F.explode("_value").alias("_at")), F.size("_value") * 8)
     part = F.expr(f"cast(_at * {parts} div {max(1, total)} AS int)")
