@@ -101,13 +101,13 @@ def duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFr
     # Joins are merge joins at any size, of hashes and places only; a hot line's side is split by the adaptive planner.
     keys = distinct.select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).filter("key IS NOT NULL")
     shared = keys.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in LINE]).filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("key")
-    some = materialize(keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct(), "some")
+    some = keys.join(shared.hint("merge"), "key", "left_semi").select(*LINE).distinct()
     some = distinct.select(*LINE, "first").join(some.hint("merge"), LINE)
     some = numbered(some.select(*LINE, "first.*"), ["doc_id", "th", "_file", "_row", "pos"], "ord")
     texts = materialize(met(docs, some.groupBy("_file", "_row").agg(F.collect_list(F.struct("pos", "ord", *LINE)).alias("_value")), _called_lines, F.size("_value") * 40), "candidates")
     parts = texts.select("ord", F.explode(stretches()).alias("key"))
     alike = parts.groupBy("key").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low <> high").select("key")
-    alike = materialize(parts.join(alike.hint("merge"), "key", "left_semi").select("ord").distinct(), "alike")
+    alike = parts.join(alike.hint("merge"), "key", "left_semi").select("ord").distinct()
     close = materialize(texts.join(alike.hint("merge"), "ord", "left_semi"), "close")
     deleted, whole = neighbourhood(close)
     firsts = deleted.groupBy("key", "at").agg(F.min("ord").alias("a"), F.max("ord").alias("last")).filter("a <> last").select("key", "at", "a")
@@ -116,9 +116,8 @@ def duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFr
     one = close.select(F.col("ord").alias("a"), F.col("line").alias("earlier"))
     two = close.select(F.col("ord").alias("b"), F.col("line").alias("later"), *LINE)
     found = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
-    found = materialize(found.select(*LINE, F.lit(True).alias("near")).distinct(), "near")
+    found = found.select(*LINE, F.lit(True).alias("near")).distinct()
     judged = distinct.join(found.hint("merge"), LINE, "left").filter("n > 1 OR near").select(*LINE, F.coalesce("near", F.lit(False)).alias("near"), *[F.col(f"first.{c}").alias(f"first{c}") for c in ("_file", "_row", "pos")])
-    judged = materialize(judged, "judged")
     stays = " AND ".join(f"{c} = first{c}" for c in ("_file", "_row", "pos"))
     return lines.select("_file", "_row", "pos", *LINE).join(judged.hint("merge"), LINE).filter(f"near OR NOT ({stays})").select("_file", "_row", "pos")
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.common import boxed, met, scanned, ship
-from catalens.shared import BROADCAST_BYTES, materialize, numbered, small
+from catalens.shared import BROADCAST_BYTES, materialize, numbered
 
 BLOCK = 8
 SPAN = 1 << 16
@@ -156,7 +156,7 @@ def schedule(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK
     spans = -(-end // SPAN)
     places = spark.range(0, end, SPAN, min(spans, 10_000)).select(F.col("id").alias("start")).mapInArrow(place, "_s int, _b long, block long")
     used = (
-        ranked.join(small(materialize(sources, "sources"), BROADCAST_BYTES // 128), F.col("source").eqNullSafe(F.col("_name")))
+        ranked.join(F.broadcast(sources) if len(names) <= BROADCAST_BYTES // 128 else sources, F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_rank", F.col("idx") - F.col("_base"))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_room") - 1 - F.col("_rank")) / F.col("_n")))))
         .withColumn("_at", F.col("_rank") + F.col("epoch") * F.col("_n"))
