@@ -118,6 +118,7 @@ def duplicates(docs: DataFrame, equal: int = LEAST, near: int = LEAST) -> DataFr
     found = swapped.unionByName(longer).distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("levenshtein(earlier, later, 1) BETWEEN 0 AND 1")
     found = found.select(*LINE, F.lit(True).alias("near")).distinct()
     judged = distinct.join(found.hint("merge"), LINE, "left").filter("n > 1 OR near").select(*LINE, F.coalesce("near", F.lit(False)).alias("near"), *[F.col(f"first.{c}").alias(f"first{c}") for c in ("_file", "_row", "pos")])
+    judged = materialize(judged, "judged")  # written, so that a hot line is a join's key, which can be split
     stays = " AND ".join(f"{c} = first{c}" for c in ("_file", "_row", "pos"))
     return lines.select("_file", "_row", "pos", *LINE).join(judged.hint("merge"), LINE).filter(f"near OR NOT ({stays})").select("_file", "_row", "pos")
 

@@ -274,9 +274,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, within: int = 4) -> DataFra
     known = classes(items, within).join(items, "node").select("node", "root", "rep")
     # Written first, so that a root of very many nodes is a join's key, which can be split, and no aggregate's.
     known = materialize(known, "known")
-    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = known.join(least.hint("merge"), "root").select("node", "component_id")
-    whole = items.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    whole = materialize(items.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
     return rows.join(whole.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -410,7 +410,8 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     dealt = rows.select("_file", "_row", "bands").join(items.select("_file", "_row", "node").hint("merge"), ["_file", "_row"])
     dealt = materialize(dealt.select("node", F.explode("bands").alias("band")), "bands")
     shared = dealt.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a")
-    edges = dealt.join(shared.hint("merge"), "band").filter("node <> a").select("a", F.col("node").alias("b"))
+    # Written, here and below, so that a hot band or root is a join's key, which can be split, and no aggregate's.
+    edges = dealt.join(materialize(shared, "shared").hint("merge"), "band").filter("node <> a").select("a", F.col("node").alias("b"))
     roots = materialize(components(edges), "coarse")
     coarse = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     chosen = items.join(coarse.hint("merge"), "node").select("_file", "_row", F.struct("root", "node").alias("_value"))
@@ -419,7 +420,7 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     named = items.join(roots.hint("merge"), "node", "left").select(*keys, F.coalesce("root", "node").alias("root"))
     placed = materialize(rows.join(named.hint("merge"), keys).select("_file", "_row", "doc_id", "root"), "placed")
     firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    drops = placed.join(firsts.hint("merge"), "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first"))
+    drops = placed.join(materialize(firsts, "firsts").hint("merge"), "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first"))
     return met(docs, drops.select("_file", "_row", F.lit(True).alias("_value")), lambda r: r.filter("_value IS NULL").select("_doc.*"), every=True)
 
 
