@@ -43,8 +43,12 @@ HELD, REMEMBERED, RUN = 400_000, 200_000, 1 << 16
 
 def runs(text: str | None) -> Iterator[list[bytes]]:
     """The words of a whole text in lists of bounded length; each but the first begins with the last word before."""
-    found = (m[0] for m in WORD.finditer(text.encode("utf-8", "replace").lower())) if text else iter(())
-    last: list[bytes] = []
+    raw = text.encode("utf-8", "replace").lower() if text else b""
+    if len(raw) <= 16 * RUN:
+        if words := WORD.findall(raw):
+            yield words
+        return
+    found, last = (m[0] for m in WORD.finditer(raw)), []
     while part := list(islice(found, RUN)):
         yield last + part
         last = part[-1:]
@@ -57,10 +61,10 @@ def dictionary(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def passed():
-            names = list(held)
-            for s in range(0, len(names), 1 << 16):
-                part = names[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([held[x] for x in part], pa.int64())], ["feature", "n"])
+            names, ns = list(held), list(held.values())
+            for s in range(0, len(names), 1 << 14):
+                e = s + (1 << 14)
+                yield pa.RecordBatch.from_arrays([pa.array(names[s:e], pa.binary()).cast(pa.string()), pa.array(ns[s:e], pa.int64())], ["feature", "n"])
             held.clear()
 
         for b in slices(batches):
