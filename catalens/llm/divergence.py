@@ -43,7 +43,9 @@ from catalens.shared import materialize, numbered
 SCALE = 1_000_000_000
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Dictionary entries that a task holds before it passes them on, sources a row of a term, and pairs that are tallied at once.
-HELD, TILE, TALLY = 200_000, 64, 1 << 20
+HELD, TILE, TALLY = 500_000, 64, 1 << 20
+#: One document beside its occurrences in a dictionary's value.
+DOCUMENT = 1 << 40
 #: Characters from which a text's terms are taken one by one.
 LONG = 1 << 20
 
@@ -53,12 +55,12 @@ def terms(text: str) -> Iterable[bytes]:
     return TERM.findall(raw) if len(raw) < LONG else (m[0] for m in TERM.finditer(raw))
 
 
-def _counted(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (n, docs) in held.items():
-        names = list(n)
-        for s in range(0, len(names), 1 << 16):
-            part = names[s : s + (1 << 16)]
-            columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())]
+def _counted(held: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), own in held.items():
+        names, packed = list(own), list(own.values())
+        for s in range(0, len(names), 1 << 14):
+            part, both = names[s : s + (1 << 14)], packed[s : s + (1 << 14)]
+            columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([x % DOCUMENT for x in both], pa.int64()), pa.array([x // DOCUMENT for x in both], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
 
@@ -66,16 +68,16 @@ def counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term in every group."""
 
     def count(batches):
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
         entries = 0
         for b in slices(batches):
             for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                found = Counter(terms(text))
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                entries -= len(n)
-                n.update(found)
-                docs.update(found.keys())
-                entries += len(n)
+                own = held.setdefault((lang, source), {})
+                entries -= len(own)
+                seen = own.get
+                for term, n in Counter(terms(text)).items():
+                    own[term] = seen(term, 0) + n + DOCUMENT
+                entries += len(own)
                 if entries > HELD:
                     yield from _counted(held)
                     held, entries = {}, 0
@@ -105,14 +107,23 @@ def joint(tiles: DataFrame) -> DataFrame:
     def tally(batches):
         held, size = [], 0
         for b in batches:
-            for sa, na, sb, nb in zip(*(b.column(c) for c in ("sa", "na", "sb", "nb"))):
-                i, j = (x.values.to_numpy() for x in (sa, sb))
-                at, to = np.nonzero(i[:, None] < j[None, :])
-                held.append(np.stack((i[at], j[to], na.values.to_numpy()[at], nb.values.to_numpy()[to])))
-                size += len(at)
-                if size > TALLY:
-                    yield _tallied(held)
-                    held, size = [], 0
+            columns = [b.column(c) for c in ("sa", "na", "sb", "nb")]
+            width = [np.diff(c.offsets.to_numpy()) for c in columns]
+            start = [c.offsets.to_numpy()[:-1] for c in columns]
+            values = [c.values.to_numpy() for c in columns]
+            shape = width[0] * (TILE + 1) + width[2]
+            for k in np.unique(shape):  # rows of equal widths at once
+                rows = np.flatnonzero(shape == k)
+                wide = (width[0][rows[0]], width[2][rows[0]])
+                sa, na, sb, nb = (v[s[rows][:, None] + np.arange(wide[i // 2])] for i, (v, s) in enumerate(zip(values, start)))
+                for r in range(0, len(rows), max(1, TALLY // (wide[0] * wide[1]))):
+                    part = slice(r, r + max(1, TALLY // (wide[0] * wide[1])))
+                    at, i, j = np.nonzero(sa[part, :, None] < sb[part, None, :])
+                    held.append(np.stack((sa[part][at, i], sb[part][at, j], na[part][at, i], nb[part][at, j])))
+                    size += len(at)
+                    if size > TALLY:
+                        yield _tallied(held)
+                        held, size = [], 0
         if size:
             yield _tallied(held)
 
