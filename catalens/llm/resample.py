@@ -37,6 +37,8 @@ from catalens.shared import materialize, numbered
 
 BUCKETS, LEAST_WORDS, SEED = 10_000, 20, 7
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Rows that a dictionary is passed on in.
+PARTS = 4096
 #: Dictionary entries that a task holds before it passes them on, words it remembers, and words of a text it takes at once.
 HELD, REMEMBERED, RUN = 400_000, 200_000, 1 << 16
 
@@ -55,16 +57,24 @@ def runs(text: str | None) -> Iterator[list[bytes]]:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(feature, n): every distinct string of the table with its occurrences."""
+    """(feature, n): every distinct string of the table with its occurrences.
+
+    A task passes strings on in ``PARTS`` rows of a text each: far fewer bytes and rows to shuffle
+    than a row a string. Parts are of equal size, however frequent a word is, and no string is in two.
+    """
 
     def count(batches):
         held: Counter = Counter()
 
         def passed():
-            names, ns = list(held), list(held.values())
-            for s in range(0, len(names), 1 << 14):
-                e = s + (1 << 14)
-                yield pa.RecordBatch.from_arrays([pa.array(names[s:e], pa.binary()).cast(pa.string()), pa.array(ns[s:e], pa.int64())], ["feature", "n"])
+            parts: list[list[bytes]] = [[] for _ in range(PARTS)]
+            for feature in held:
+                parts[zlib.crc32(feature) % PARTS].append(feature)
+            filled = [k for k in range(PARTS) if parts[k]]
+            for s in range(0, len(filled), 256):
+                some = filled[s : s + 256]
+                joined, ns = [b"\n".join(parts[k]).decode() for k in some], [[held[f] for f in parts[k]] for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(joined), pa.array(ns, pa.list_(pa.int64()))], ["part", "features", "ns"])
             held.clear()
 
         for b in slices(batches):
@@ -76,7 +86,9 @@ def dictionary(docs: DataFrame) -> DataFrame:
                         yield from passed()
         yield from passed()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "part int, features string, ns array<long>").repartition("part")
+    each = rows.select("part", "ns", F.posexplode_outer(F.split("features", "\n")).alias("pos", "feature")).select("part", "feature", F.expr("ns[pos]").alias("n"))
+    return each.groupBy("part", "feature").agg(F.sum("n").alias("n")).select("feature", "n")
 
 
 def buckets(docs: DataFrame) -> dict[int, int]:
