@@ -13,7 +13,7 @@ from pyspark.sql import types as t
 
 from catalens.operators.candidates import rank
 from catalens.plans import guard
-from catalens.plans.session import parsed
+from catalens.plans.session import Refused, named, parsed
 
 PASS, HARD, HUMAN, GUARD, INVALID = 0, 1, 2, 3, 4
 WRITES = ("InsertIntoStatement", "UpdateTable", "DeleteFromTable", "MergeIntoTable")
@@ -90,9 +90,12 @@ def check(spark: SparkSession, sql: str, columns: DataFrame | None = None, table
         writes = kind in WRITES or any(k in WRITES for k in inner)
         if kind == "CompoundBody" or (command.isInstance(plan) and not writes):
             return Diagnosis(INVALID, "42601", f"{kind} is no statement that can be prepared")
+        named(spark, plan)
         skip = spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
         done = spark._jsparkSession.sessionState().executePlan(plan, skip)
         done.assertAnalyzed()
+    except Refused as e:
+        return Diagnosis(GUARD, message=str(e))
     except (PySparkException, Py4JJavaError) as raw:
         e = _problem(raw)
         if e is None:

@@ -138,6 +138,32 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _fixed("chk_triage", _checked, [(0, 0, None, "bigint,string"), (1, 4, "42703", None), (2, 4, "42P01", None), (3, 4, "42601", None), (4, 4, "42601", None), (5, 4, "42883", None), (6, 3, None, None), (7, 4, "21S01", None)], "i, code, state, types")
 
 
+#: Statements that reach beyond reading the given tables, and what the read path says of each.
+HOSTILE = [
+    ("SELECT TRANSFORM(n_name) USING 'cat' AS (b STRING) FROM nation", "not-listed"), ("SELECT * FROM (SELECT TRANSFORM(n_name) USING 'sh -c id' AS (b STRING) FROM nation) x", "not-listed"),
+    ("WITH a AS (SELECT TRANSFORM(n_name) USING 'cat' AS (b STRING) FROM nation) SELECT * FROM a", "not-listed"), ("SELECT * FROM region WHERE r_name IN (SELECT TRANSFORM(n_name) USING 'cat' AS (b STRING) FROM nation)", "not-listed"),
+    ("SELECT (SELECT max(b) FROM (SELECT TRANSFORM(n_name) USING 'cat' AS (b STRING) FROM nation) y) AS m FROM region", "not-listed"), ("SELECT * FROM (MAP n_name USING 'cat' AS b FROM nation) x", "not-listed"),
+    ("SELECT * FROM (REDUCE n_name USING 'cat' AS b FROM nation) x", "not-listed"), ("SELECT n_name FROM nation UNION ALL SELECT TRANSFORM(r_name) USING 'cat' AS (b STRING) FROM region", "not-listed"),
+    ("EXPLAIN SELECT TRANSFORM(n_name) USING 'cat' AS (b STRING) FROM nation", "not-listed"), ("SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM nation", "function-not-allowed"),
+    ("SELECT n_name FROM nation ORDER BY java_method('java.lang.Math', 'abs', -1)", "function-not-allowed"), ("SELECT `try_reflect`('java.lang.Math', 'abs', -1) FROM nation", "function-not-allowed"),
+    ("SELECT input_file_name() FROM nation", "not-listed"), ("SELECT n_name FROM nation WHERE current_user() <> ''", "not-listed"), ("SELECT raise_error('x') FROM nation", "not-listed"), ("SELECT version() FROM nation", "not-listed"),
+    ("SELECT aes_decrypt(n_name, n_name) FROM nation", "not-listed"), ("SELECT xpath('<a/>', 'a') FROM nation", "not-listed"), ("SELECT unknown_udf(n_name) FROM nation", "not-listed"), ("SELECT * FROM unknown_tables(1)", "not-listed"),
+    ("SELECT * FROM parquet.`/etc`", "relation-not-allowed"), ("SELECT * FROM nation n JOIN text.`/etc/hostname` h ON true", "relation-not-allowed"), ("SELECT * FROM secrets", "relation-not-allowed"), ("SELECT * FROM IDENTIFIER('nat' || 'ion')", "function-not-allowed"),
+    ("WITH a AS (SELECT 1 AS i) INSERT INTO nation SELECT i FROM a", "not-read-only"), ("SELECT * FROM nation; DROP TABLE nation", "multi-statement"), ("SET spark.sql.ansi.enabled = false", "not-whitelisted"), ("ADD JAR 'x.jar'", "not-whitelisted"),
+]
+
+
+def refusal(spark: SparkSession, sql: str) -> str | None:
+    try:
+        session.query(spark, sql, no_limit=True, relations=TABLES)
+    except session.Refused as e:
+        return e.reason
+    return None
+
+
+_fixed("qry_refused", lambda s, d: (register(s, d), _rows(s, [(i, refusal(s, q)) for i, (q, _) in enumerate(HOSTILE)], "i int, reason string"))[1], [(i, r) for i, (_, r) in enumerate(HOSTILE)], "i, reason")
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir)
     found = [check.check(spark, x).position for x in ("SELECT c_custkey,\n  nope FROM customer", "SELECT FROM WHERE")]

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.plans import guard
+from catalens.plans import allowlist, guard
+from catalens.plans.allowlist import items
 
 DEFAULT_LIMIT, NO_LIMIT, TIMEOUT_S = 200, 2147483647, 30
 #: Functions that reach beyond data: they call any code of the JVM, or name a relation or function by a string.
@@ -43,10 +44,6 @@ def parsed(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
-def items(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
-
-
 def nodes(plan, ctes: frozenset[str] = frozenset()) -> Iterable[tuple]:
     """Every node of a parsed plan with the names of the common tables that it sees.
 
@@ -79,12 +76,26 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
 
+def named(spark: SparkSession, plan, relations: Iterable[str] | None = None) -> None:
+    """Raise where a parsed plan reads a relation that is not one of ``relations``, or may be a file."""
+    names = {r.lower() for r in relations} if relations is not None else None
+    for node, ctes in nodes(plan):
+        if _kind(node) == "PlanWithUnresolvedIdentifier":
+            raise Refused("relation-not-allowed", "a relation named by an expression")
+        if _kind(node) in READING:
+            parts = items(node.multipartIdentifier())
+            name = ".".join(parts).lower()
+            own = _kind(node) == "UnresolvedRelation" and name in ctes
+            if not own and (name not in names if names is not None else allowlist.names_a_file(spark, parts)):
+                raise Refused("relation-not-allowed", name)
+
+
 def allowed(spark: SparkSession, sql: str, relations: Iterable[str] | None = None) -> None:
-    """Raise unless the parsed plan only reads.
+    """Raise unless the statement only reads, by what ``allowlist`` lists, what it may read.
 
     Spark runs commands, and inserts below a WITH, as soon as they are given to
-    ``spark.sql``, so this looks at the parsed plan. ``relations`` limits what may be read, also
-    by what is explained or shown.
+    ``spark.sql``, so this looks at the parsed plan first and then at the analysed one.
+    ``relations`` limits what may be read, also by what is explained or shown.
     """
     text = guard.mask(sql, True).lower()
     for name in DENIED_FUNCTIONS:
@@ -93,40 +104,37 @@ def allowed(spark: SparkSession, sql: str, relations: Iterable[str] | None = Non
     plan = parsed(spark, sql)
     if _kind(plan) == "ExplainCommand":
         plan = plan.logicalPlan()
-    shown = _kind(plan).startswith("Show")
-    if shown and _kind(plan) not in SHOWN:
-        raise Refused("not-read-only", _kind(plan))
-    names = {r.lower() for r in relations} if relations is not None else None
+    if _kind(plan).startswith("Show"):
+        if _kind(plan) not in SHOWN:
+            raise Refused("not-read-only", _kind(plan))
+        return named(spark, plan, relations)
     command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
     parse_insert = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
-    for node, ctes in nodes(plan):
-        if not shown and (command.isInstance(node) or parse_insert.isInstance(node)):
+    for node, _ in nodes(plan):
+        if command.isInstance(node) or parse_insert.isInstance(node):
             raise Refused("not-read-only", _kind(node))
-        if _kind(node) == "PlanWithUnresolvedIdentifier":
-            raise Refused("relation-not-allowed", "a relation named by an expression")
-        if _kind(node) in READING and names is not None:
-            name = ".".join(items(node.multipartIdentifier())).lower()
-            if name not in names and not (_kind(node) == "UnresolvedRelation" and name in ctes):
-                raise Refused("relation-not-allowed", name)
+    named(spark, plan, relations)
+    if found := allowlist.refused(spark, (node for node, _ in nodes(plan))):
+        raise Refused("not-listed", found)
+    skip = spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
+    analysed = spark._jsparkSession.sessionState().executePlan(plan, skip).analyzed()
+    if found := allowlist.refused(spark, allowlist.inside(analysed)):
+        raise Refused("not-listed", found)
 
 
 def query(spark: SparkSession, sql: str, limit: int | str | None = DEFAULT_LIMIT, no_limit: bool = False, relations: Iterable[str] | None = None) -> Result:
     """Judge and analyse one statement; its rows are read when the result is used.
 
     A result has one row over the limit where there are more, to tell that it was cut.
+    The session's settings are left as they are, so threads can share it.
     """
     most = guard.positive(limit)
     no_limit = no_limit or (most is not None and most >= NO_LIMIT)  # Spark's own bound of a limit
     verdict = guard.evaluate(sql, limit, no_limit)
     if not verdict.ok:
         raise Refused(verdict.reason)
-    before = spark.conf.get("spark.sql.runSQLOnFiles")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        allowed(spark, verdict.sql, relations)
-        df = spark.sql(verdict.wrapped)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    allowed(spark, verdict.sql, relations)
+    df = spark.sql(verdict.wrapped)
     n = most if verdict.kind in ("select", "with") and not no_limit else None
     return Result(df, verdict.kind, verdict.sql, verdict.sha8, n)
 

@@ -1,7 +1,9 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from catalens.plans import check, session
-from catalens.plans.queries import TABLES, register
+from catalens.plans.queries import HOSTILE, TABLES, refusal, register
 from catalens.operators import collect, candidates
 from catalens.sources.fixture import facts
 
@@ -49,6 +51,48 @@ def test_files_are_not_tables(tables):
     assert tables.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
+@pytest.mark.parametrize("sql, reason", HOSTILE)
+def test_hostile(tables, sql, reason):
+    assert refusal(tables, sql) == reason
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT left(n_name, 2), url_encode(n_name), date_add(current_date(), 1), try_divide(1, 0), any_value(n_name), percentile_approx(n_nationkey, 0.5) FROM nation GROUP BY ALL", "SELECT * FROM nation LATERAL VIEW explode(array(1, 2)) t AS x",
+    "SELECT transform(array(1, 2), x -> x + 1), named_struct('a', 1).a, map('a', 1)['a'] FROM nation", "SELECT * FROM (SELECT n_name, n_regionkey FROM nation) PIVOT (count(n_name) FOR n_regionkey IN (1, 2))", "SELECT * EXCEPT (n_name) FROM nation",
+    "SELECT /*+ BROADCAST(b) */ * FROM nation a JOIN nation b USING (n_nationkey)", "SELECT * FROM nation UNPIVOT (v FOR k IN (n_nationkey, n_regionkey))", "SELECT n_name COLLATE UTF8_BINARY, trim(BOTH 'A' FROM n_name), extract(year FROM date'2020-01-01') FROM nation", "SELECT * FROM range(5)",
+])
+def test_reading_is_listed(tables, sql):
+    assert session.query(tables, sql, relations=["nation"]).df.columns
+
+
+def test_views_are_their_makers_word(tables):
+    """What a view holds may be what a statement may not."""
+    tables.sql("CREATE OR REPLACE TEMPORARY VIEW by_script AS SELECT version() AS v FROM nation")
+    try:
+        assert session.query(tables, "SELECT v FROM by_script", relations=["by_script"]).df.count() == 25
+    finally:
+        tables.catalog.dropTempView("by_script")
+
+
+def test_two_threads_leave_settings(tables):
+    """No thread sees files as tables, or leaves the session's setting changed, whatever the other does."""
+    def work(k):
+        for _ in range(6):
+            if k % 2:
+                assert session.query(tables, "SELECT * FROM nation").df.columns
+            else:
+                with pytest.raises(session.Refused, match="relation-not-allowed"):
+                    session.query(tables, "SELECT * FROM text.`/etc/hostname`")
+            assert tables.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+
+
+def test_check_reads_no_file(tables):
+    assert check.check(tables, "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`").exit_code == check.GUARD
+
+
 def test_insert_below_with_writes_nothing(tables, tmp_path):
     tables.sql(f"CREATE TABLE IF NOT EXISTS sink (i INT) USING parquet LOCATION '{tmp_path}/sink'")
     try:
