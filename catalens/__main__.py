@@ -1,4 +1,4 @@
-"""Command line: ``python -m catalens query|check|dictionary|guard|preflight``."""
+"""Command line: ``python -m catalens query|check|dictionary|guard``."""
 
 from __future__ import annotations
 
@@ -62,7 +62,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "query":
         out = entry.run_query(spark, statement(), a.dictionary, a.out, a.limit, a.no_limit, a.format, names)
     else:
-        out = entry.run_check(spark, statement(), a.out)
+        from catalens.operators.candidates import names_of_views
+
+        out = entry.run_check(spark, statement(), a.out, *names_of_views(spark, names))
     print(out.text)
     return out.exit_code
 

@@ -2,57 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import text as T
+from catalens.shared import materialize
 
 THRESHOLD, MOST = 0.6, 5
-#: Edits up to which names meet by the names that deletions leave of them.
-DELETIONS = 2
+#: Edits of the rounds before the last, and identifiers up to which one round is enough.
+ROUNDS, FEW = (1, 3), 32
 SLACK = 1e-9
 
 
-def edits(longest: Column, threshold: float) -> Column:
+def edits(longest: Column | str, threshold: float) -> Column:
     """The most edits that two names of this longer length may be apart."""
-    return F.floor(longest * F.lit(1 - threshold) + F.lit(SLACK)).cast("int")
+    return F.floor((F.expr(longest) if isinstance(longest, str) else longest) * F.lit(1 - threshold) + F.lit(SLACK)).cast("int")
+
+
+def _cut(names: DataFrame, within: int, threshold: float) -> DataFrame:
+    """Of a length _len: _e, the most edits of names of that length in a round, and _m, the number of their pieces.
+
+    Pieces have about two characters, and there is at least one more than edits; _m is 0 where
+    a name is too short for that.
+    """
+    cut = names.withColumn("_e", F.least(F.lit(within), edits(f"_len + {within}", threshold)))
+    return cut.withColumn("_m", F.when(F.col("_len") <= F.col("_e"), 0).otherwise(F.greatest(F.col("_e") + 1, F.ceil(F.col("_len") / 2).cast("int"))))
+
 
+_BEGIN, _WIDTH = "cast(floor(_i * _len / _m) AS int)", "cast(floor((_i + 1) * _len / _m) - floor(_i * _len / _m) AS int)"
+_PIECES = "explode(IF(_m = 0, array(-1), sequence(0, _m - 1)))"
 
-def without(name: Column, deletions: int) -> Column:
-    """What is left of a name by up to so many deletions."""
-    out = F.array(name)
-    for _ in range(deletions):
-        one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda x: x != ""), one))))
-    return out
+
+def segments(known: DataFrame, within: int, threshold: float) -> DataFrame:
+    """(_len, _i, _piece, _b): of every name its rarest pieces, one more than edits that it may have.
+
+    So many edits leave at least one of any so many pieces as it is; the rarest prune most.
+    """
+    cut = _cut(known.select("_b", F.length("_b").alias("_len")), within, threshold).withColumn("_i", F.expr(_PIECES))
+    pieces = cut.select("_b", "_len", "_e", "_i", F.expr(f"IF(_i < 0, '', substring(_b, {_BEGIN} + 1, {_WIDTH}))").alias("_piece"))
+    often = pieces.groupBy("_len", "_i", "_piece").agg(F.count("*").alias("_n"))
+    ordered = pieces.join(often, ["_len", "_i", "_piece"]).groupBy("_b", "_len", "_e").agg(F.array_sort(F.collect_list(F.struct("_n", "_i", "_piece"))).alias("_all"))
+    return ordered.select("_b", "_len", F.explode(F.expr("slice(_all, 1, _e + 1)")).alias("_x")).select("_len", "_x._i", "_x._piece", "_b")
+
+
+def probes(wanted: DataFrame, within: int, threshold: float) -> DataFrame:
+    """(_a, _len, _i, _piece): what of a name may be a piece of a name of each length, at the places that the edits allow.
+
+    A piece that is moved by s has at least |s| edits before it, and as many behind it
+    as the rest of the difference of lengths.
+    """
+    least, most = f"greatest(_n - {within}, cast(ceil(_n * {threshold} - {SLACK}) AS int))", f"least(_n + {within}, cast(floor(_n / {threshold} + {SLACK}) AS int))"
+    lengths = wanted.select("_a", "_n").distinct().withColumn("_len", F.explode(F.expr(f"IF(_n = 0, array(0), sequence({least}, {most}))")))
+    cut = _cut(lengths, within, threshold).withColumn("_own", F.least(F.lit(within), edits(F.greatest("_n", "_len"), threshold))).withColumn("_i", F.expr(_PIECES))
+    moved = cut.withColumn("_s", F.explode(F.expr("IF(_i < 0, array(0), filter(sequence(-_own, _own), s -> abs(s) + abs(_n - _len - s) <= _own))")))
+    placed = moved.filter(f"_i < 0 OR ({_BEGIN} + _s >= 0 AND {_BEGIN} + _s + {_WIDTH} <= _n)")
+    return placed.select("_a", "_len", "_i", F.expr(f"IF(_i < 0, '', substring(_a, {_BEGIN} + _s + 1, {_WIDTH}))").alias("_piece"))
+
+
+def _round(wanted: DataFrame, known: DataFrame, within: int, threshold: float, most: int) -> DataFrame:
+    """The closest names of ``wanted`` (identifier, _a, _n, _k), all those within so many edits considered, and whether _more could come."""
+    met = probes(wanted, within, threshold).join(segments(known.select("_b").distinct(), within, threshold), ["_len", "_i", "_piece"]).select("_a", "_b").distinct()
+    longest = F.greatest(F.length("_a"), F.length("_b"))
+    met = met.withColumn("_most", F.least(F.lit(within), edits(longest, threshold))).withColumn("_apart", F.expr("levenshtein(_a, _b, _most)")).filter("_apart >= 0")
+    met = met.withColumn("similarity", F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("_apart") / longest)).filter(F.col("similarity") >= threshold)
+    best = wanted.join(met, "_a").join(known, "_b").groupBy("identifier", "_n", "_k", "candidate").agg(F.max("similarity").alias("similarity"))
+    at = F.row_number().over(Window.partitionBy("identifier").orderBy(F.desc("similarity"), F.asc("candidate")))
+    best = best.withColumn("rank", at).filter(F.col("rank") <= most)
+    # A name of one more edit is at best that much longer.
+    reach = F.lit(1.0) - F.lit(within + 1) / (F.col("_n") + F.lit(within + 1))
+    return best.withColumn("_done", (F.col("rank") == most) & (F.col("similarity") > reach + SLACK))
 
 
 def rank(asked: DataFrame, names: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
     """(identifier, candidate, similarity, rank): the closest of ``names`` (candidate, local) to each identifier.
 
-    The similarity bounds the lengths and the edits that two names may be apart. Identifiers
-    for which that is at most ``DELETIONS`` edits meet names that share what some deletions
-    leave, an equi-join that prunes within a length; others meet the names of lengths that
-    can reach the similarity. The edit distance is only followed up to its bound.
+    Names meet by a segment index: a name is cut into pieces, of which some are left whole and
+    nearly in place by a bounded number of edits. What the threshold allows is many edits for long
+    names, so the first rounds look for few; an identifier whose last place is closer than any name
+    of more edits can be is done. The last round takes the edits that the threshold allows.
     """
     wanted = asked.select("identifier").distinct().withColumn("_a", F.lower(T.local_name(F.col("identifier")))).withColumn("_n", F.length("_a"))
-    wanted = wanted.withColumn("_long", F.floor(F.col("_n") / F.lit(threshold) + F.lit(SLACK)).cast("int")).withColumn("_k", edits(F.col("_long"), threshold))
-    known = names.select("candidate", F.lower("local").alias("_b")).distinct()
-    few = wanted.filter((F.col("_k") <= DELETIONS) & (F.col("_n") > 0))
-    deepest = few.agg(F.max("_k")).first()[0]
-    low = F.ceil(F.col("_n") * F.lit(threshold) - F.lit(SLACK)).cast("int")
-    many = wanted.filter((F.col("_k") > DELETIONS) | (F.col("_n") == 0)).withColumn("_len", F.explode(F.when(F.col("_n") == 0, F.array(F.lit(0))).otherwise(F.sequence(low, "_long"))))
-    met = many.join(known.withColumn("_len", F.length("_b")), "_len").select("identifier", "_a", "candidate", "_b")
-    if deepest is not None:
-        shared = few.withColumn("_key", F.explode(without(F.col("_a"), deepest))).join(known.withColumn("_key", F.explode(without(F.col("_b"), deepest))), "_key")
-        met = met.unionByName(shared.select("identifier", "_a", "candidate", "_b").distinct())
-    longest = F.greatest(F.length("_a"), F.length("_b"))
-    met = met.withColumn("_most", edits(longest, threshold))
-    apart = F.expr("levenshtein(_a, _b, _most)")
-    similar = F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - apart / longest)
-    best = met.filter(apart >= 0).withColumn("similarity", similar).filter(F.col("similarity") >= threshold).groupBy("identifier", "candidate").agg(F.max("similarity").alias("similarity"))
-    at = F.row_number().over(Window.partitionBy("identifier").orderBy(F.desc("similarity"), F.asc("candidate")))
-    return best.withColumn("rank", at).filter(F.col("rank") <= most).select("identifier", "candidate", F.round("similarity", 4).alias("similarity"), "rank")
+    wanted = wanted.withColumn("_k", edits(F.floor(F.col("_n") / F.lit(threshold) + F.lit(SLACK)), threshold)).filter("_a IS NOT NULL")
+    known = names.select("candidate", F.lower("local").alias("_b")).filter("_b IS NOT NULL").distinct()
+    first = F.row_number().over(Window.partitionBy("_b").orderBy("candidate"))
+    known = known.withColumn("_at", first).filter(F.col("_at") <= most).drop("_at")  # names alike are as close: the first ones go before
+    n, deepest = wanted.agg(F.count("*"), F.max("_k")).first()
+    rounds = [*(r for r in ROUNDS if n > FEW and 2 * r < deepest), deepest or 0]
+    done = []
+    for within in rounds[:-1]:
+        found = materialize(_round(wanted, known, within, threshold, most), "close")
+        ready = found.filter("_done").select("identifier")
+        done.append(found.join(ready, "identifier", "left_semi"))
+        wanted = materialize(wanted.join(ready, "identifier", "left_anti"), "wanted")
+        if wanted.isEmpty():
+            break
+    else:
+        done.append(_round(wanted, known, rounds[-1], threshold, most))
+    return reduce(DataFrame.unionByName, done).select("identifier", "candidate", F.round("similarity", 4).alias("similarity"), "rank")
 
 
 def column_names(columns: DataFrame) -> DataFrame:
@@ -64,3 +112,10 @@ def table_names(tables: DataFrame, views: DataFrame) -> DataFrame:
     both = tables.select("schema", "name").unionByName(views.select("schema", "name"))
     named = both.select(F.concat_ws(".", "schema", "name").alias("candidate"), F.col("name").alias("local"))
     return named.unionByName(both.select(F.col("schema").alias("candidate"), F.col("schema").alias("local")).distinct())
+
+
+def names_of_views(spark: SparkSession, views: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(columns, tables) to suggest from, of the views of a session."""
+    columns = [(f"{v}.{c}", c) for v in views for c in spark.table(v).columns]
+    schema = "candidate string, local string"
+    return spark.createDataFrame(columns, schema), spark.createDataFrame([(v, v) for v in views], schema)

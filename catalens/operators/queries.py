@@ -276,9 +276,11 @@ add("chk_candidates_column", lambda s, d: candidates.rank(_asked(s), candidates.
 add("chk_candidates_table", lambda s, d: candidates.rank(_asked(s), candidates.table_names(collect.tables(facts(s)), collect.views(facts(s)))), _cat(_rank_sql("SELECT schema || '.' || name AS candidate, name AS loc FROM (SELECT schema, name FROM tabs UNION ALL SELECT schema, name FROM vws) UNION ALL SELECT DISTINCT schema, schema FROM tabs")))
 add("topk_candidates", QUERIES["chk_candidates_column"], ORACLES["chk_candidates_column"])
 add("agg_max_per_key", QUERIES["chk_candidates_table"], ORACLES["chk_candidates_table"])
+_fuzzy = lambda least, most: f"""SELECT identifier, candidate, round(sim, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY sim DESC, candidate) AS rank FROM (
+  SELECT identifier, c_name AS candidate, 1 - levenshtein(lower(identifier), lower(c_name)) / greatest(length(identifier), length(c_name))::DOUBLE AS sim FROM (SELECT DISTINCT 'Customer#0' || right(s_name, 7) AS identifier FROM supplier), customer) WHERE sim >= {least}) WHERE rank <= {most}"""
 add("jn_fuzzy", lambda s, d: candidates.rank(s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Customer#0"), F.substring("s_name", -7, 7)).alias("identifier")), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("candidate"), F.col("c_name").alias("local")), 0.9, 3),
-    """SELECT identifier, candidate, round(sim, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY sim DESC, candidate) AS rank FROM (
-      SELECT identifier, c_name AS candidate, 1 - levenshtein(lower(identifier), lower(c_name)) / greatest(length(identifier), length(c_name))::DOUBLE AS sim FROM (SELECT DISTINCT 'Customer#0' || right(s_name, 7) AS identifier FROM supplier), customer) WHERE sim >= 0.9) WHERE rank <= 3""")
+    _fuzzy(0.9, 3))
+add("jn_fuzzy_default", lambda s, d: candidates.rank(s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Customer#0"), F.substring("s_name", -7, 7)).alias("identifier")), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("candidate"), F.col("c_name").alias("local"))), _fuzzy(0.6, 5))
 
 # --- Privilege audit ---------------------------------------------------------
 _RIGHTS = "['SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'REFERENCES', 'TRIGGER']"
