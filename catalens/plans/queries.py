@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.operators import candidates, collect
+from catalens.operators import candidates, collect, ordered
 from catalens.plans import check, entry, guard, session
 from catalens.sources import documents, sinks
 from catalens.sources.fixture import facts
@@ -204,3 +204,38 @@ _fixed("snk_preview", lambda s, d: _rows(s, [(sinks.preview("f.csv", "h\n1\n", T
 _fixed("snk_diag", lambda s, d: _rows(s, [(entry.told(check.Diagnosis(4, "42703", "no column", position={"line": 2, "column": 3}, candidates=[{"name": "a.b", "similarity": 0.8}])),)], "text string"), [("42703: no column\nat line 2, column 3\nclose: a.b (0.8)",)], "text")
 _fixed("snk_object_file", lambda s, d: _rows(s, [(sinks.merged(sinks.merged(None, "-- h\n", {"a": "1\n"}) + "-- mine\n", "-- h\n", {"a": "2\n", "b": "3\n"}),)], "text string"), [("-- h\n" + sinks.block("a", "2\n") + "-- mine\n" + sinks.block("b", "3\n"),)], "text")
 _fixed("snk_orphan", lambda s, d: _rows(s, [(sinks.notes("-- h\n" + sinks.block("a", "1\n") + "-- mine\n", "-- h\n"), sinks.notes("-- h\n" + sinks.block("a", "1\n"), "-- h\n"))], "kept string, none string"), [("-- mine", "")], "kept, none")
+
+
+# --- Orders and intervals over events of which one user has a third, and over all orders ---------------------------
+HOUR = 3_600_000_000
+_events = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("user_id", F.expr("IF(event_id % 3 = 0, 1, user_id)"))
+_EVENTS = "WITH e AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id) FROM events) "
+
+
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    later = events.select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("then"))
+    return ordered.within(events.select("user_id", "event_id", "ts"), later, ["user_id"], "ts", "then", HOUR, hot=1000).groupBy(F.col("event_id").alias("a")).agg(F.count("b").alias("n"))
+
+
+def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    bought = events.filter("event_type = 'purchase'").select("user_id", "event_id", "ts", "value")
+    found = ordered.as_of(events.filter("event_type = 'view'").select("user_id", "event_id", "ts"), bought, ["user_id"], "ts", "ts", "event_id", parts=16)
+    return found.select("event_id", F.col("_met.event_id").alias("bought"), F.col("_met.value").alias("value"))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return ordered.running(orders, ["o_orderdate", "o_orderkey"], {"so_far": "cents"}, tiles=7).select("o_orderkey", "row_number", "so_far", "ntile")
+
+
+QUERIES["del_interval_hot"] = _interval
+ORACLES["del_interval_hot"] = _EVENTS + "SELECT a.event_id AS a, count(b.event_id) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '1' HOUR GROUP BY a.event_id"
+QUERIES["del_asof_hot"] = _as_of
+ORACLES["del_asof_hot"] = _EVENTS + """, p AS (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM e WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT v.event_id, p.event_id AS bought, p.value FROM (SELECT * FROM e WHERE event_type = 'view') v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.ts >= p.ts"""
+QUERIES["del_window_whole"] = _whole
+ORACLES["del_window_whole"] = "SELECT o_orderkey, row_number() OVER w AS row_number, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS so_far, ntile(7) OVER w AS ntile FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)"
+QUERIES["del_rank_whole"] = lambda s, d: ordered.running(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), ["o_custkey"]).select("o_orderkey", "rank", "dense_rank")
+ORACLES["del_rank_whole"] = "SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) AS rank, dense_rank() OVER (ORDER BY o_custkey) AS dense_rank FROM orders"
