@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from catalens.plans import check, session
-from catalens.sources import sinks
+from catalens.sources import results, sinks
 
 OK, FAILED, HUMAN, REFUSED = 0, 1, 2, 3
 LEAST_VERSION = (3, 5)
@@ -44,32 +45,46 @@ def run_query(
     """Run one statement and write its rows and what they are; codes 0 done, 1 failed, 2 needs a person, 3 refused.
 
     A query author has to have read the dictionary, so without one nothing is run.
-    EXPLAIN and SHOW give text whatever was asked for.
+    EXPLAIN and SHOW give text whatever was asked for. CSV with a limit is streamed to one
+    file; without one, executors write a folder of parts. Text is streamed to one file in any case.
     """
     if not has_dictionary(dictionary):
         return Outcome(HUMAN, f"there is no dictionary in {dictionary}; make it first")
+    path = None
     try:
         result = session.query(spark, sql, limit, no_limit, relations)
-        rows, cut, elapsed = session.fetch(result, timeout_s)
+        reads = result.kind in ("select", "with")
+        note = "" if reads or form != "csv" else "rows of EXPLAIN and SHOW are text\n"
+        form = form if reads else "text"
+        began = time.monotonic()
+        with session.timed(spark, timeout_s):
+            if form == "csv" and result.limit is None:
+                path = results.claim(spark, str(Path(folder).absolute()) if "://" not in folder else folder, result.sql)
+                done = results.write_parts(result.df, path, secrets)
+            else:
+                Path(folder).mkdir(parents=True, exist_ok=True)
+                path = sinks.claim(folder, result.sql, "csv" if form == "csv" else "txt")
+                done = results.stream(result.df, path, result.limit, secrets, form)
+        elapsed = int((time.monotonic() - began) * 1000)
     except session.Refused as e:
         return Outcome(REFUSED, str(e))
-    except PySparkException as e:
-        return Outcome(FAILED, sinks.redact(str(e).split("\n")[0], secrets))
     except Exception as e:  # a cancelled or failed job comes from the JVM
+        if path:
+            _give_back(spark, str(path))
         return Outcome(FAILED, sinks.redact(str(e).split("\n")[0], secrets))
-    note = ""
-    if result.kind in ("explain", "show") and form == "csv":
-        form, note = "text", "rows of EXPLAIN and SHOW are text\n"
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    path = sinks.claim(folder, result.sql, "csv" if form == "csv" else "txt")
-    text = sinks.csv_text(result.df.columns, rows) if form == "csv" else "".join("\t".join("" if v is None else str(v) for v in r) + "\n" for r in rows)
-    sinks.replace_file(path, sinks.redact(text, secrets))
-    facts = sinks.meta(result.sql, len(rows), cut, result.limit, elapsed, form)
-    sinks.replace_file(f"{path}.meta", facts)
-    shown = sinks.preview(str(path), text, cut) if form == "csv" else f"{path}\n" + sinks.cut_lines(text, sinks.PREVIEW - 1)[0]
+    facts = sinks.meta(sinks.redact(result.sql, secrets), done.rows, done.truncated, result.limit, elapsed, form)
+    results.put(spark, f"{Path(path).absolute() if '://' not in str(path) else path}.meta", facts)
+    shown = f"{path}\n" + "".join(f"{x}\n" for x in done.first) + ("… (truncated, see .meta)\n" if done.truncated and form == "csv" else "")
     return Outcome(OK, note + shown, str(path), facts)
 
 
+def _give_back(spark: SparkSession, path: str) -> None:
+    """Delete what a failed run had claimed."""
+    for name in (path, f"{path}.meta"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run_check(spark: SparkSession, sql: str, folder: str, columns: DataFrame | None = None, tables: DataFrame | None = None, parameter_types: list[str] | None = None) -> Outcome:
     """Validate a statement, write the diagnosis and tell it in a few lines; nothing is executed."""
     if not version_ok(spark.version):

@@ -6,7 +6,8 @@ import re
 import threading
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,18 +140,25 @@ def query(spark: SparkSession, sql: str, limit: int | str | None = DEFAULT_LIMIT
     return Result(df, verdict.kind, verdict.sql, verdict.sha8, n)
 
 
-def fetch(result: Result, timeout_s: float = TIMEOUT_S) -> tuple[list, bool, int]:
-    """(rows, truncated, elapsed ms); the statement's jobs are cancelled when the time is over."""
-    sc = result.df.sparkSession.sparkContext
+@contextmanager
+def timed(spark: SparkSession, timeout_s: float = TIMEOUT_S) -> Iterator[None]:
+    """Jobs of this thread are cancelled when the time is over."""
+    sc = spark.sparkContext
     tag = f"catalens-{uuid.uuid4().hex}"
     sc.addJobTag(tag)
     timer = threading.Timer(timeout_s, sc.cancelJobsWithTag, [tag])
-    began = time.monotonic()
     timer.start()
     try:
-        rows = result.df.collect()
+        yield
     finally:
         timer.cancel()
         sc.removeJobTag(tag)
+
+
+def fetch(result: Result, timeout_s: float = TIMEOUT_S) -> tuple[list, bool, int]:
+    """(rows, truncated, elapsed ms) of a result that fits the driver; others go to files by ``sources.results``."""
+    began = time.monotonic()
+    with timed(result.df.sparkSession, timeout_s):
+        rows = result.df.collect()
     cut = result.limit is not None and len(rows) > result.limit
     return rows[: result.limit] if cut else rows, cut, int((time.monotonic() - began) * 1000)
