@@ -45,7 +45,7 @@ def _said(kind: str, target: str, comment: str) -> str:
 
 
 _TRIGGERS = r"""
-trg AS (SELECT t.schema, t.name AS "table", g.tgname AS name, g.definition, g.tgenabled AS enabled, regexp_extract(g.definition, 'EXECUTE (?:FUNCTION|PROCEDURE) ((?:[a-z_][a-z0-9_]*\.)?[a-z_][a-z0-9_]*)\(', 1) AS raw FROM pg_trigger g JOIN tabs t ON t.oid = g.tgrelid WHERE NOT tgisinternal),
+trg AS (SELECT t.schema, t.name AS "table", g.tgname AS name, g.definition, g.tgenabled AS enabled, split_part(split_part(split_part(g.definition, ' EXECUTE ', 2), '(', 1), ' ', 2) AS raw FROM pg_trigger g JOIN tabs t ON t.oid = g.tgrelid WHERE NOT tgisinternal),
 called AS (SELECT *, CASE WHEN contains(raw, '.') THEN split_part(raw, '.', 1) ELSE schema END AS fs, split_part(raw, '.', -1) AS fn FROM trg),
 trl AS (SELECT schema, "table", string_agg('-- calls ' || CASE WHEN (fs, fn) NOT IN (SELECT (schema, name) FROM fns) THEN raw WHEN fs = schema THEN '../functions/' || fn || '.sql' ELSE '../../' || fs || '/functions/' || fn || '.sql' END || chr(10) || definition || ';'
   || CASE enabled WHEN 'D' THEN chr(10) || 'ALTER TABLE ' || schema || '.' || "table" || ' DISABLE TRIGGER ' || name || ';' WHEN 'A' THEN chr(10) || 'ALTER TABLE ' || schema || '.' || "table" || ' ENABLE ALWAYS TRIGGER ' || name || ';'

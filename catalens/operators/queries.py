@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import text as T
-from catalens.operators import audit, candidates, collect, ddl, inference, provision, semantics, validate
+from catalens.operators import audit, candidates, collect, ddl, inference, provision, reach, semantics, validate
 from catalens.operators.dictionary import parts_of
 from catalens.sources import documents, fixture, sinks
 from catalens.sources.fixture import facts, with_facts
@@ -158,7 +158,7 @@ add("jn_bare_ref", _p(lambda p: inference.by_comment(_top(p), _cols(p))), _cat("
 add("jn_trigger_fn", _p(lambda p: semantics.trigger_functions(p["triggers"], p["functions"]).select("schema", "table", "trigger", "function_schema", "function", "identity_args")), _cat(
     """SELECT x.schema, x."table", x.trigger, x.fs AS function_schema, x.fn AS function, f.identity_args FROM (
       SELECT schema, "table", trigger, CASE WHEN contains(raw, '.') THEN split_part(raw, '.', 1) ELSE schema END AS fs, CASE WHEN contains(raw, '.') THEN split_part(raw, '.', 2) ELSE raw END AS fn FROM (
-        SELECT t.schema, t.name AS "table", g.tgname AS trigger, regexp_extract(g.definition, 'EXECUTE (?:FUNCTION|PROCEDURE) ((?:[a-z_][a-z0-9_]*\\.)?[a-z_][a-z0-9_]*)\\(', 1) AS raw FROM pg_trigger g JOIN tabs t ON t.oid = g.tgrelid WHERE NOT g.tgisinternal) WHERE raw <> '') x
+        SELECT t.schema, t.name AS "table", g.tgname AS trigger, split_part(split_part(split_part(g.definition, ' EXECUTE ', 2), '(', 1), ' ', 2) AS raw FROM pg_trigger g JOIN tabs t ON t.oid = g.tgrelid WHERE NOT g.tgisinternal) WHERE raw <> '') x
     LEFT JOIN fns f ON f.schema = x.fs AND f.name = x.fn AND (f.identity_args = '' OR NOT EXISTS (SELECT 1 FROM fns z WHERE z.schema = f.schema AND z.name = f.name AND z.identity_args = ''))""".replace("\\\\", "\\")))
 add("jn_constraint_index", _p(lambda p: ddl.constraint_lines(p["constraints"], p["indexes"])), _cat(_CONSTRAINTS))
 add("jn_confirm_excl", _fp(lambda f, p: inference.candidates(_top(p), _cols(p), f["confirmed"], semantics.annotated(_cols(p)))), _cat(
@@ -252,7 +252,7 @@ add("fn_enum_regex", QUERIES["sem_enums"], ORACLES["sem_enums"])
 add("fn_qualified_regex", QUERIES["jn_qualified_ref"], ORACLES["jn_qualified_ref"])
 add("fn_relation_strip", _p(lambda p: _cols(p).filter("comment IS NOT NULL").select(semantics.qualified().alias("source"), T.without_relations(F.col("comment")).alias("comment"))), _cat("SELECT source, comment FROM said"))
 add("fn_nextval", QUERIES["agg_seq_dedupe"], ORACLES["agg_seq_dedupe"])
-add("fn_trigger_fn", _f(lambda f: f["pg_trigger"].select("tgname", T.trigger_function(F.col("definition")).alias("fn"))), with_facts(r"SELECT tgname, nullif(regexp_extract(definition, 'EXECUTE (?:FUNCTION|PROCEDURE) ((?:[a-z_][a-z0-9_]*\.)?[a-z_][a-z0-9_]*)\(', 1), '') AS fn FROM pg_trigger", "pg_trigger"))
+add("fn_trigger_fn", _f(lambda f: f["pg_trigger"].select("tgname", T.trigger_function(F.col("definition")).alias("fn"))), with_facts(r"SELECT tgname, nullif(split_part(split_part(split_part(definition, ' EXECUTE ', 2), '(', 1), ' ', 2), '') AS fn FROM pg_trigger", "pg_trigger"))
 add("fn_option_kv", _f(lambda f: f["pg_class"].filter("reloptions IS NOT NULL").select("relname", T.storage_options(F.col("reloptions")).alias("v"))), with_facts("SELECT relname, array_to_string(list_transform(reloptions, lambda o: split_part(o, '=', 1) || '=''' || split_part(o, '=', 2) || ''''), ', ') AS v FROM pg_class WHERE reloptions IS NOT NULL", "pg_class"))
 _labels = " ".join(f"WHEN n < {m} THEN '{x}'" for m, x in T.ROW_LABELS)
 add("fn_row_bucket", _f(lambda f: f["pg_class"].select("relname", T.row_label(F.col("reltuples")).alias("rows"))), with_facts(f"SELECT relname, CASE {_labels} ELSE '{T.ROW_LABEL_ABOVE}' END AS rows FROM (SELECT relname, greatest(reltuples, 0) AS n FROM pg_class)", "pg_class"))
@@ -357,6 +357,26 @@ def _chained(f: dict) -> DataFrame:
 
 
 add("aud_verdict_probe", _f(_probed), with_facts(_found("clean") + " SELECT 'blocked' AS probe, bool_or(severity = 'block') AS blocked, CASE WHEN bool_or(severity = 'block') THEN 2 ELSE 0 END AS exit_code FROM found UNION ALL VALUES ('answered', false, 0), ('refused', false, 1), ('unreachable', false, 1)", *_AUDIT))
+# Parts as a tree of roles, customers as their members, and a third of all suppliers in one role; every part's role may read its brand.
+_MEMBERS_SQL = """members AS (SELECT 'p' || p_partkey AS member, 'p' || (p_partkey // 2) AS role FROM part WHERE p_partkey > 1 UNION ALL SELECT 'c' || c_custkey, 'p' || (c_custkey % 97 + 1) FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 'p' || CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE s_suppkey END FROM supplier UNION ALL SELECT 'p1', 'p7'),
+reach AS (SELECT member, role FROM members UNION SELECT r.member, m.role FROM reach r JOIN members m ON m.member = r.role)"""
+
+
+def _members(spark, sf_dir):
+    part, customer, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "customer", "supplier"))
+    rows = part.filter("p_partkey > 1").selectExpr("concat('p', p_partkey) AS member", "concat('p', p_partkey div 2) AS role").unionByName(customer.selectExpr("concat('c', c_custkey) AS member", "concat('p', c_custkey % 97 + 1) AS role"))
+    return rows.unionByName(supplier.selectExpr("concat('s', s_suppkey) AS member", "concat('p', IF(s_suppkey % 3 = 0, 5, s_suppkey)) AS role")).unionByName(spark.createDataFrame([("p1", "p7")], "member string, role string"))
+
+
+def _brands(spark, sf_dir):
+    acl = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat('p', p_partkey) AS grantee", "p_brand AS object_id", "'SELECT' AS privilege")
+    roles = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('c', c_custkey) AS rolname")
+    return reach.effective(acl, _members(spark, sf_dir), roles).groupBy("role").agg(F.count_distinct("object_id").alias("brands"), F.count("*").alias("grants"))
+
+
+add("aud_reach", lambda s, d: reach.closure(_members(s, d)), f"WITH RECURSIVE {_MEMBERS_SQL} SELECT DISTINCT member, role FROM reach WHERE member <> role")
+add("aud_effective_all", _brands, f"WITH RECURSIVE {_MEMBERS_SQL} SELECT r.member AS role, count(DISTINCT p_brand) AS brands, count(*) AS grants FROM (SELECT DISTINCT member, role FROM reach WHERE member LIKE 'c%') r JOIN part ON r.role = 'p' || p_partkey GROUP BY r.member")
 add("aud_deep_membership", _f(_chained), "SELECT 'r' || i AS grantee FROM range(51) AS t(i) UNION ALL SELECT 'PUBLIC'")
 add("aud_identity", lambda s, d: s.createDataFrame([("reader", audit.identity("reader", "reader")), ("root", audit.identity("root", "reader"))], "who string, code int"), "SELECT * FROM (VALUES ('reader', 0), ('root', 2)) AS t(who, code)")
 _STEPS = """SELECT 'role' AS part, CAST(NULL AS VARCHAR) AS schema, i AS step, statement FROM (VALUES (0, 'ALTER ROLE "{0}" LOGIN NOCREATEROLE NOINHERIT CONNECTION LIMIT 5;'), (1, 'ALTER ROLE "{0}" SET statement_timeout = ''15s'';'), (2, 'ALTER ROLE "{0}" SET idle_in_transaction_session_timeout = ''30s'';'), (3, 'GRANT SET ON PARAMETER lc_messages TO "{0}";')) AS r(i, statement)
