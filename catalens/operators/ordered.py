@@ -131,3 +131,29 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str] |
         tile = F.when(k < large, F.floor(k / (size + 1))).otherwise(more + F.floor((k - large) / max(size, 1)))
         out.append((tile + 1).cast("long").alias("ntile"))
     return both.select(*out)
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], parts: int | None = None) -> DataFrame:
+    """(keys, p0, p1, ..): exact percentiles with linear interpolation of the numbers of each group.
+
+    No group's values are held: rows are sorted once by group and value, and each share's two
+    neighbours are found by their number, which is what stands before their partition and their place in it.
+    Null values don't count; a group without others has nulls; a null key is a group of its own.
+    """
+    key = F.struct(*[F.col(k) for k in keys])
+    rows = df.select(key.alias("_key"), F.col(value).cast("double").alias("_v"))
+    groups = rows.groupBy("_key").agg(F.count("_v").alias("_n"))
+    placed = _placed(rows.filter("_v IS NOT NULL"), ["_key", "_v"], parts)
+    # A row a group and partition: a hot group has as many as there are partitions.
+    own = placed.groupBy("_key", "_part").agg(F.count("*").alias("_here"), F.min("_place").alias("_first"))
+    before = F.sum("_here").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_before", F.coalesce(before, F.lit(0))).join(groups, "_key")
+    wanted = own.select("_key", "_part", "_first", "_before", "_here", F.posexplode(F.array(*[F.lit(float(s)) * (F.col("_n") - 1) for s in shares])).alias("_p", "_at"))
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_number")).filter("_number >= _before AND _number < _before + _here")
+    wanted = wanted.select("_part", (F.col("_first") + F.col("_number") - F.col("_before")).alias("_place"), "_p", "_at", "_number")
+    found = placed.join(wanted, ["_part", "_place"])
+    near = found.groupBy("_key", "_p").agg(F.min_by("_v", "_number").alias("_low"), F.max_by("_v", "_number").alias("_high"), F.first(F.col("_at") - F.floor("_at")).alias("_rest"))
+    told = near.withColumn("_x", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_rest"))
+    told = told.groupBy("_key").agg(*[F.max(F.when(F.col("_p") == i, F.col("_x"))).alias(f"p{i}") for i in range(len(shares))])
+    match = F.col("a._key").eqNullSafe(F.col("b._key"))
+    return groups.alias("a").join(told.alias("b"), match, "left").select("a._key.*", *[f"p{i}" for i in range(len(shares))])

@@ -242,3 +242,6 @@ ORACLES["del_rank_whole"] = "SELECT o_orderkey, rank() OVER (ORDER BY o_custkey)
 
 QUERIES["snk_csv_records"] = lambda s, d: results.records(s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "concat(c_name, ',', c_mktsegment) AS named", "nullif(c_mktsegment, 'BUILDING') AS segment", "IF(c_nationkey < 9, '', concat('a \"', c_nationkey, '\"')) AS nation"))
 ORACLES["snk_csv_records"] = """SELECT c_custkey || ',"' || c_name || ',' || c_mktsegment || '",' || coalesce(nullif(c_mktsegment, 'BUILDING'), '') || ',' || CASE WHEN c_nationkey < 9 THEN '""' ELSE '"a ""' || c_nationkey || '""' || '"' END AS record FROM customer"""
+# A return flag that a third more of the lines have.
+QUERIES["del_percentile_hot"] = lambda s, d: ordered.percentiles(s.read.parquet(f"{d}/lineitem.parquet").selectExpr("IF(l_orderkey % 3 = 0, 'N', l_returnflag) AS flag", "l_extendedprice"), ["flag"], "l_extendedprice", [0.1, 0.5, 0.99], parts=32).selectExpr("flag", *[f"round(p{i}, 4) AS p{i}" for i in range(3)])
+ORACLES["del_percentile_hot"] = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'N' ELSE l_returnflag END AS flag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 4) AS p0, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS p1, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.99), 4) AS p2 FROM lineitem GROUP BY 1"

@@ -53,3 +53,16 @@ def test_running_values(spark, rows, parts):
     windows = spark.sql("SELECT a, rank() OVER (ORDER BY k) AS rank, dense_rank() OVER (ORDER BY k) AS dense_rank FROM for_running")
     assert sorted(map(tuple, tied.collect())) == sorted(map(tuple, windows.collect()))
     assert ordered.running(df.limit(0), ["a"], {"total": "v"}, tiles=3).count() == 0
+
+
+@pytest.mark.parametrize("parts", [None, 1, 25])
+def test_percentiles(spark, parts):
+    draw = random.Random(8)
+    rows = [(draw.choice(["hot", "hot", "a", "b", None]), draw.choice([None, 1.0, 2.5, *[draw.uniform(-9, 9) for _ in range(20)]])) for _ in range(500)] + [("none", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    df.createOrReplaceTempView("for_percentiles")
+    found = ordered.percentiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.99, 1.0], parts)
+    wanted = spark.sql("SELECT k, percentile(v, 0.0) AS p0, percentile(v, 0.25) AS p1, percentile(v, 0.5) AS p2, percentile(v, 0.99) AS p3, percentile(v, 1.0) AS p4 FROM for_percentiles GROUP BY k")
+    told = lambda df: sorted((tuple(None if x is None else x if isinstance(x, str) else round(x, 9) for x in r) for r in df.collect()), key=str)
+    assert told(found) == told(wanted)
+    assert ordered.percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
