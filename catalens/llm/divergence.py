@@ -83,7 +83,8 @@ def counts(docs: DataFrame) -> DataFrame:
                     held, entries = {}, 0
         yield from _counted(held)
 
-    rows = _plain(docs, "lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    # By term and language, so that what a language has of a term needs no further shuffle; dictionaries are added up before.
+    rows = _plain(docs, "lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -147,13 +148,11 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
     Part ``pair`` has the group's divergence from each other source, over all kept terms; part
     ``term`` the terms that the group has more often than its language, by their own divergence.
     """
-    every = materialize(counts(docs), "counts")
-    kept = every.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "term", "total")
-    kept = materialize(kept, "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
     groups = materialize(numbered(_plain(docs, "lang", "source").distinct(), ["lang", "source"], "g"), "groups")
-    # Written tables on both sides, so that a source with most of the terms is split.
-    own = materialize(every.select("lang", "source", "term", "n").join(kept, ["lang", "term"]).join(groups, ["lang", "source"]).select("g", "lang", "term", "n", "total"), "own")
+    of_term = Window.partitionBy("lang", "term")
+    kept = counts(docs).select("*", F.sum("docs").over(of_term).alias("held"), F.sum("n").over(of_term).alias("total"), F.row_number().over(of_term.orderBy("source")).alias("nth"))
+    own = materialize(kept.filter(F.col("held") >= least).join(groups, ["lang", "source"]).select("g", "lang", "term", "n", "total", (F.col("nth") == 1).cast("long").alias("once")), "own")
+    langs = own.groupBy("lang").agg(F.sum("once").alias("v"), F.sum("n").alias("all"))
     sums = own.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("terms"))
     groups = groups.join(langs, "lang", "left").join(sums, "g", "left")
     groups = materialize(groups.select("g", "lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("v", "all", "n", "terms")]), "groups")
