@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as t
 
 from catalens.operators.candidates import rank
-from catalens.plans import guard
+from catalens.plans import guard, parameters
 from catalens.plans.session import Refused, named, parsed
 
 PASS, HARD, HUMAN, GUARD, INVALID = 0, 1, 2, 3, 4
@@ -75,13 +75,24 @@ def _position(sql: str, e: PySparkException) -> dict | None:
     return {"line": int(m[1]), "column": int(m[2]) + 1} if m else None
 
 
-def check(spark: SparkSession, sql: str, columns: DataFrame | None = None, tables: DataFrame | None = None, parameter_types: list[str] | None = None) -> Diagnosis:
-    """Judge a statement; ``columns`` and ``tables`` (candidate, local) are the names to suggest from."""
+def check(spark: SparkSession, sql: str, columns: DataFrame | None = None, tables: DataFrame | None = None, parameter_types: list[str] | None = None, infer: bool = False) -> Diagnosis:
+    """Judge a statement; ``columns`` and ``tables`` (candidate, local) are the names to suggest from.
+
+    With ``infer`` the statement may have parameters, whose types are told from their places.
+    """
     verdict = guard.evaluate(sql, no_limit=True, mode="prepare")
     if not verdict.ok:
         return Diagnosis(GUARD, message=verdict.reason)
     if not verdict.sql:
         return Diagnosis(INVALID, "42601", "empty statement")
+    if infer and parameters.places(verdict.sql):
+        given = parameters.infer(spark, verdict.sql)
+        typed = parameters.bound(verdict.sql, given)
+        out = check(spark, typed, columns, tables, [x or "unknown" for x in given.values()])
+        untold = [name for name, kind in given.items() if kind is None]
+        if out.exit_code == PASS and untold:
+            return Diagnosis(HARD, "42P18", f"nothing tells the type of parameter {', '.join(untold)}", parameter_types=out.parameter_types)
+        return out
     try:
         plan = parsed(spark, verdict.sql)
         command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")

@@ -90,7 +90,7 @@ def run_check(spark: SparkSession, sql: str, folder: str, columns: DataFrame | N
     if not version_ok(spark.version):
         return Outcome(FAILED, f"version {spark.version} is too old")
     try:
-        found = check.check(spark, sql, columns, tables, parameter_types)
+        found = check.check(spark, sql, columns, tables, parameter_types, infer=True)
     except AnalysisException as e:  # a failure of the check itself
         return Outcome(FAILED, str(e).split("\n")[0])
     Path(folder).mkdir(parents=True, exist_ok=True)

@@ -245,3 +245,20 @@ ORACLES["snk_csv_records"] = """SELECT c_custkey || ',"' || c_name || ',' || c_m
 # A return flag that a third more of the lines have.
 QUERIES["del_percentile_hot"] = lambda s, d: ordered.percentiles(s.read.parquet(f"{d}/lineitem.parquet").selectExpr("IF(l_orderkey % 3 = 0, 'N', l_returnflag) AS flag", "l_extendedprice"), ["flag"], "l_extendedprice", [0.1, 0.5, 0.99], parts=32).selectExpr("flag", *[f"round(p{i}, 4) AS p{i}" for i in range(3)])
 ORACLES["del_percentile_hot"] = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'N' ELSE l_returnflag END AS flag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 4) AS p0, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS p1, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.99), 4) AS p2 FROM lineitem GROUP BY 1"
+
+#: Statements with parameters over the given tables, the exit code of their check, and the parameters' types.
+PARAMETERS = [
+    ("SELECT * FROM nation WHERE n_nationkey = ?", 0, "int"), ("SELECT * FROM nation WHERE n_name = :name", 0, "string"), ("SELECT * FROM orders WHERE o_orderdate >= :since", 0, "timestamp_ntz"), ("SELECT * FROM customer WHERE c_acctbal BETWEEN ? AND ?", 0, "double,double"),
+    ("SELECT * FROM nation WHERE n_nationkey IN (?, 3, :k)", 0, "int,int"), ("SELECT substring(n_name, ?, ?) AS s FROM nation", 0, "int,int"), ("SELECT upper(:t) AS u FROM region", 0, "string"), ("SELECT n_name FROM nation WHERE n_name LIKE ? LIMIT ?", 0, "string,int"),
+    ("SELECT c_acctbal * :rate AS x FROM customer", 0, "double"), ("SELECT * FROM nation WHERE n_nationkey = :a AND :a = :b", 0, "int,int"), ("SELECT CASE WHEN ? THEN 1 ELSE 2 END AS c FROM region", 0, "boolean"), ("SELECT n_name AS x FROM nation WHERE n_name = '?' -- :no", 0, None),
+    ("SELECT ? AS x FROM region", 1, "unknown"), ("SELECT * FROM region WHERE ? IS NULL", 1, "unknown"), ("SELECT * FROM region WHERE :a = :b", 1, "unknown,unknown"), ("SELECT nope FROM nation WHERE n_nationkey = ?", 4, None), ("SELECT * FROM orders JOIN customer ON o_custkey = c_custkey WHERE coalesce(c_mktsegment, ?) = :s", 0, "string,string"),
+]
+
+
+def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    found = [check.check(spark, sql, infer=True) for sql, *_ in PARAMETERS]
+    return _rows(spark, [(i, d.exit_code, ",".join(d.parameter_types) if d.parameter_types and d.exit_code != check.INVALID else None) for i, d in enumerate(found)], "i int, code int, types string")
+
+
+_fixed("chk_parameters", _parameters, [(i, code, types) for i, (_, code, types) in enumerate(PARAMETERS)], "i, code, types")
