@@ -5,8 +5,10 @@ adverts, forms, scripts and reader comments are left out by their tags and by
 the words of their class, id and role. Containers are scored by the text that
 remains (outside links): the page votes for the path of its best container, tags
 with their classes, digits generalised. Votes are counted per host in Spark, and
-every page is read again with its host's winning path; a page without that path,
-or with far less text under it than in its own best container, uses its own.
+every page is read again with its host's paths. A path that a tenth of a host's pages,
+and at least two, vote for is a template of the host: pages that vote for it keep it.
+Other pages take the winning path, but their own best container where the winning
+path has less than two fifths of its text.
 
 Host, path and place of every page are written, so that votes are counted and
 winners brought back without moving pages: winners are broadcast to the second
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +39,8 @@ from catalens import shared
 from catalens.llm.common import boxed, met, scanned, ship, slices
 from catalens.shared import materialize
 
+#: A path is a template of its host where one in so many of the pages, and at least so many pages, vote for it.
+TEMPLATES, TEMPLATE_PAGES = 10, 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
@@ -286,8 +291,12 @@ def vote(page: str | None) -> tuple[str, int] | None:
     return (chosen.path, chosen.good) if chosen is not None else None
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The text under all containers of ``path`` where they have enough of the page's text, else under its own best one."""
+def extract(page: str | None, path: str | None, templates: Iterable[str] = ()) -> str:
+    """The text under all containers of one path of the host, else under the page's own best one.
+
+    The path is the own best one's if it is one of the host's ``templates``; else ``path``, the host's
+    winner, where its containers have at least two fifths of the own best one's text.
+    """
     if not page:
         return ""
     nodes, items = judged(page)
@@ -295,9 +304,9 @@ def extract(page: str | None, path: str | None) -> str:
     if own is None:
         return ""
     if path is not None:
-        key = key_of(path)
+        key = own.key if own.key in {key_of(t) for t in templates} else key_of(path)
         found = [n for n in nodes if n.key == key and not n.skip]
-        if found and 4 * sum(n.good for n in found) >= own.good:
+        if found and 5 * sum(n.good for n in found) >= 2 * own.good:
             return text_under(items, {id(n) for n in found})
     return text_under(items, {id(own)})
 
@@ -315,23 +324,27 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def texts(batches):
         for b in slices(batches):
-            got = [extract(p, w) for p, w in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
+            got = [extract(p, w and w[0], w or ()) for p, w in zip(b.column("html").to_pylist(), b.column("paths").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(g) for g in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     def read(rows: DataFrame) -> DataFrame:
         """The main texts of rows of pages (_doc) with their hosts' paths (_value)."""
-        rows = rows.select(F.col("_doc.page_id").cast("long").alias("page_id"), F.col("_doc.url").alias("url"), F.col("_doc.html").alias("html"), F.col("_value").alias("path"))
+        rows = rows.select(F.col("_doc.page_id").cast("long").alias("page_id"), F.col("_doc.url").alias("url"), F.col("_doc.html").alias("html"), F.col("_value").alias("paths"))
         return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
     voted = boxed(pages).select("_file", "_row", host.alias("host"), F.col("_doc.html").alias("html")).mapInArrow(votes, "_file long, _row long, host string, path string, good long")
     voted = materialize(voted.filter("path IS NOT NULL"), "votes")
     counted = voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    winners = counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("good"), F.col("path"))).alias("_value"))
-    winners = materialize(winners, "paths")
-    if (winners.agg(F.sum(F.octet_length("host") + F.octet_length("_value") + 112)).first()[0] or 0) <= shared.BROADCAST_BYTES:
+    first = counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("good"), F.col("path"))).alias("winner"), F.sum("n").alias("pages"))
+    # the winner, then the host's other templates: a tenth of its pages and at least two, so ten at most
+    backed = F.when((F.col("path") != F.col("winner")) & (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") * TEMPLATES >= F.col("pages")), F.col("path"))
+    winners = counted.join(first, "host").groupBy("host", "winner").agg(F.array_sort(F.collect_list(backed)).alias("others"))
+    winners = materialize(winners.select("host", F.concat(F.array("winner"), "others").alias("_value")), "paths")
+    width = F.octet_length(F.array_join("_value", " ")) + 16 * F.size("_value")
+    if (winners.agg(F.sum(F.octet_length("host") + width + 112)).first()[0] or 0) <= shared.BROADCAST_BYTES:
         return read(boxed(pages).withColumn("host", host).join(F.broadcast(winners), "host", "left"))
     named = voted.select("_file", "_row", "host").join(winners.hint("merge"), "host").select("_file", "_row", "_value")
-    return met(pages, named, read, F.octet_length("_value"), every=True)
+    return met(pages, named, read, width, every=True)
 
 
 ship(__name__)

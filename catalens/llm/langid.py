@@ -6,14 +6,17 @@ the geometric mean of their own numbers. A Nystroem map over ``landmarks``
 texts and one-versus-rest kernel ridge regression give a linear scorer, so a
 batch is scored with two matrix products.
 
-The model is fitted on at most ``sample`` labelled rows (spread evenly over the
-labels, chosen by a hash of the id); prediction reads every whole text.
+The model is fitted on at most 1.5 x ``sample`` labelled rows, spread evenly over the
+labels and chosen by a hash of id and text, whatever ids and texts repeat. With more than
+``sample // LEAST`` languages the most frequent ones are learned. There are
+``landmarks`` of them, or one a label if that is more. Prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter (of marks only, too), is ``und``
 with score 0; equal scores go to the label first in code point order; texts may be
 of any length;
 rows with a null id are scored but never learned from; repeated rows get equal
-answers; an empty table gives an empty result; with no labelled row at all
+answers and are learned from once; of equally frequent languages the first in code point
+order is learned; an empty table gives an empty result; with no labelled row at all
 every text is ``und``. Extra columns are ignored.
 """
 
@@ -24,15 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.common import fold, hashed_share, ship, slices
+from catalens.llm.common import fold, ship, slices
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
 ORDERS = 4
 UNKNOWN = "und"
+#: The least rows of a label to learn from.
+LEAST = 8
 
 
 @dataclass
@@ -103,31 +108,41 @@ def ridge(x: np.ndarray, y: np.ndarray, labels: list[str], landmarks: int, penal
 def fit(docs: DataFrame, sample: int = 2400, landmarks: int = 96, penalty: float = 0.05) -> LanguageModel | None:
     """Fit on at most 1.5 x ``sample`` rows of ``docs`` (text, lang; labelled rows only, known to the caller)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample // LEAST)).collect()}
     if not counts:
         return None
     labels = sorted(counts)
-    per = max(8, sample // len(labels))
+    per = max(1, sample // len(labels))
     shares = {k: min(1.0, 1.25 * per / n) for k, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for k in labels for x in (k, shares[k])])
     table = letters_table()
 
     def encode(batches):
+        # rows that are equal in all that is learned from come once a task
+        seen = set()
         for b in slices(batches):
-            cells = [presence(t, table) for t in b.column("text").to_pylist()]
-            bits = [None if c is None else np.packbits(c).tobytes() for c in cells]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("at"), pa.array(bits, pa.binary())], ["lang", "at", "bits"])
-
+            texts, langs, keys, bits = b.column("text").to_pylist(), [], [], []
+            for lang, key, t in zip(b.column("lang").to_pylist(), b.column("at").to_pylist(), texts):
+                if (lang, key) not in seen:
+                    seen.add((lang, key))
+                    if (c := presence(t, table)) is not None:
+                        langs.append(lang)
+                        keys.append(key)
+                        bits.append(np.packbits(c).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["lang", "at", "bits"])
+
+    # one hash tells equal rows and orders the others; few rows of a label are below its limit
+    at = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 52))
+    most = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
     rows = (
-        known.withColumn("at", hashed_share(F.col("doc_id"))).filter(F.col("at") < limit[F.col("lang")])
-        .select("text", "lang", "at").mapInArrow(encode, "lang string, at double, bits binary").filter("bits IS NOT NULL").collect()
+        known.withColumn("at", at).filter(F.col("at") < limit[F.col("lang")] * F.lit(float(1 << 52)))
+        .select("text", "lang", "at").mapInArrow(encode, "lang string, at long, bits binary").dropDuplicates(["lang", "at"])
+        .withColumn("n", most).filter(F.col("n") <= int(1.5 * per)).collect()
     )
-    rows.sort(key=lambda r: (r["at"], r["lang"], bytes(r["bits"])))
-    kept, taken = [], dict.fromkeys(labels, 0)
-    for r in rows:
-        if taken[r["lang"]] < 1.5 * per:
-            taken[r["lang"]] += 1
-            kept.append(r)
+    kept = sorted(rows, key=lambda r: (r["at"], r["lang"]))
+    taken = dict.fromkeys(labels, 0)
+    for r in kept:
+        taken[r["lang"]] += 1
     labels = [k for k in labels if taken[k]]
     if not labels:
         return None

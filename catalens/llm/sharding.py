@@ -9,8 +9,8 @@ highest. What is packed is bounded, whatever the table's size:
   ``3 * HEAVY * shards`` of them;
 * the rest are hashed into ``PARCELS * shards`` parcels, each an item;
 * a group over one shard's share can't stay whole under any even law and is cut,
-  by a hash of its rows' places in the written sizes, into pieces of about an
-  eighth of a share.
+  by its rows' numbers in the order of their ids, into pieces of about an
+  eighth of a share. Two runs over the same rows give the same shards.
 
 The law is ``bytes``: shards are near equal in bytes (and tokens and rows follow).
 
@@ -71,10 +71,10 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     whole = [max(1, total[k] or 0) for k in ("bytes", "tokens", "rows")]
     groups = rows.groupBy("group").agg(*sums)
     share = F.greatest(*[F.col(k) / F.lit(float(w)) for k, w in zip(("bytes", "tokens", "rows"), whole)]) * shards
-    heavy = groups.filter(share > 1 / HEAVY).collect()
+    heavy = sorted(groups.filter(share > 1 / HEAVY).collect(), key=lambda r: r["group"])
     item = F.pmod(F.xxhash64(F.lit(3), "group"), F.lit(PARCELS * shards))
     owners = spark.createDataFrame([(r["group"],) for r in heavy], "group long")
-    parcels = rows.join(F.broadcast(owners), "group", "left_anti").groupBy(item.alias("parcel")).agg(*sums).collect()
+    parcels = rows.join(F.broadcast(owners), "group", "left_anti").groupBy(item.alias("parcel")).agg(*sums).orderBy("parcel").collect()
     vector = lambda r: np.array([r["bytes"], r["tokens"], r["rows"]], float)
     items, vectors, pieces = [], [], {}
     for r in heavy:
@@ -84,10 +84,13 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
             items.append((r["group"], None, 0))
             vectors.append(vector(r))
     cut = spark.createDataFrame([(g, n) for g, n in pieces.items()], "group long, pieces int")
-    piece = F.pmod("spot", F.col("pieces")).cast("int")
+    rows = rows.join(F.broadcast(cut), "group", "left").withColumn("piece", F.lit(0))
     if any(n > 1 for n in pieces.values()):
+        # spot parts rows that are equal in all that is returned, so that none of them is a hot key
+        over = numbered(rows.filter("pieces > 1"), ["group", "doc_id", "spot"]).withColumn("piece", F.pmod("idx", "pieces").cast("int")).drop("idx")
+        rows = rows.filter("pieces IS NULL OR pieces = 1").unionByName(over)
         # at most 3 x shards groups are over a share, of PIECES pieces a share
-        for r in rows.join(F.broadcast(cut.filter("pieces > 1")), "group").groupBy("group", piece.alias("piece")).agg(*sums).collect():
+        for r in over.groupBy("group", "piece").agg(*sums).orderBy("group", "piece").collect():
             items.append((r["group"], None, r["piece"]))
             vectors.append(vector(r))
     for r in parcels:
@@ -97,9 +100,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     own = spark.createDataFrame([(g, k, int(s)) for (g, _, k), s in zip(items, where) if g is not None], "group long, piece int, own_shard int")
     shared = spark.createDataFrame([(p, int(s)) for (_, p, _), s in zip(items, where) if p is not None], "parcel long, parcel_shard int")
     placed = (
-        rows.join(F.broadcast(cut), "group", "left")
-        .withColumn("piece", piece)
-        .withColumn("parcel", item)
+        rows.withColumn("parcel", item)
         .join(F.broadcast(own), ["group", "piece"], "left")
         .join(F.broadcast(shared), "parcel", "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "parcel_shard").alias("shard"))

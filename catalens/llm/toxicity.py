@@ -14,8 +14,8 @@ terms count beyond their sum. It learns from
   and harmful with another word, is found here.
 
 Both bounds are of the model, whatever the table's size; a text has all its terms.
-The model is fitted on at most 1.3 x ``positives`` and 1.3 x ``negatives``
-labelled rows, chosen by a hash of the id and read once; prediction reads every
+The model is fitted on one text each of at most ``positives`` and ``negatives``
+labelled ids, chosen by a hash of the id and read once; prediction reads every
 whole text.
 
 Defined cases: a null or empty text has no term and gets the bias; labels given
@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,28 +147,40 @@ def train(rows: list[list[int]], y: np.ndarray, weights: np.ndarray, value: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 8000) -> Machine:
-    """Fit on a bounded sample of ``labels`` (doc_id, toxic), all of which may be learned from."""
+    """Fit on at most ``positives`` and ``negatives`` ids of ``labels`` (doc_id, toxic), all of which may be learned from.
+
+    Of several texts of one id the one of the least hash is learned from.
+    """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Machine(-35.0 if not counts.get(1) else 35.0)
     share = {1: min(1.0, positives / counts[1]), 0: min(1.0, negatives / counts[0])}
     at = hashed_share(F.col("doc_id"))
-    chosen = known.filter(at < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    # a fifth more than asked for, then the least hashes: whatever ids there are, no more than the parameters
+    most = {1: positives, 0: negatives}
+    chosen = reduce(DataFrame.unionByName, [known.filter((F.col("y") == y) & (at < 1.2 * share[y])).orderBy(at, "doc_id").limit(most[y]) for y in (0, 1)])
 
     def encode(batches):
         memory: dict[str, list[int]] = {}
+        least: dict[int, tuple[int, int, np.ndarray]] = {}
         for b in slices(batches):
-            out = []
-            for t in b.column("text").to_pylist():
+            texts = b.column("text")
+            for i, (d, key, y) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("y").to_pylist())):
+                if d in least and least[d][0] <= key:
+                    continue
                 if len(memory) > CACHE:
                     memory.clear()
-                out.append(sorted({c for w in words(t) for c in (memory.get(w) or memory.setdefault(w, cells(w)))}))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "cells"])
+                least[d] = (key, y, np.array(sorted({c for w in words(texts[i].as_py()) for c in (memory.get(w) or memory.setdefault(w, cells(w)))}), np.int32))
+        held = list(least.items())
+        for s in range(0, len(held), 256):
+            ids, keys, ys, found = zip(*((d, *x) for d, x in held[s : s + 256]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "key", "y", "cells"])
 
-    # chosen has at most about positives + negatives rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    sample = materialize(sample.mapInArrow(encode, "doc_id long, y int, cells array<int>"), "sample")
+    # chosen has at most positives + negatives ids; a task gives a row an id
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "key", "y")
+    sample = sample.mapInArrow(encode, "doc_id long, key long, y int, cells array<int>").groupBy("doc_id", "y").agg(F.min_by("cells", "key").alias("cells"))
+    sample = materialize(sample, "sample")
 
     def count(batches):
         seen = np.zeros((2, DIM), np.int32)
@@ -197,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
             out = [x[np.isin(x, wanted, assume_unique=True)] for x in (c.values.to_numpy() for c in b.column("cells"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "cells"])
 
-    rows = sorted(sample.mapInArrow(chosen_cells, "doc_id long, y int, cells array<int>").collect(), key=lambda r: (r["doc_id"], r["cells"]))
+    rows = sorted(sample.mapInArrow(chosen_cells, "doc_id long, y int, cells array<int>").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], float)
     value = [min(1.0, abs(r["odds"]) / 3) for r in kept]
     for cell in telling([r["cells"] for r in rows], y, frequent):

@@ -39,6 +39,13 @@ def test_hot_group_is_cut(spark):
     assert len(got) == 16 and max(sizes) < 1.1 * min(sizes) and max(counts) < 1.25 * min(counts)
 
 
+def test_two_runs_place_alike(spark):
+    rows = [(i if i % 2 else 7, "one text that a third of the rows have") for i in range(1500)] + [(2000 + i, f"text {i} " * (i % 9 + 1)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted(map(tuple, sharding.shard(docs.repartition(n), 16).select("doc_id", "size", "text_crc32", "shard", "slot").collect())) for n in (3, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+
+
 def test_shards_odd(spark, odd, empty):
     got = sharding.shard(odd).collect()
     assert len(got) == odd.count() and all(0 <= r["shard"] < 16 for r in got)

@@ -32,6 +32,20 @@ def test_language_odd(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", odd.lang.substr(9, 1)).filter("false").unionByName(odd.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "source", "n_chars", "score", "shard", "idx"))).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, tmp_path, monkeypatch):
+    """Many texts and copies of one id, and many languages: no more rows and labels than documented."""
+    seen = []
+    monkeypatch.setattr(langid, "ridge", lambda x, y, labels, *rest: seen.append((len(x), len(labels))))
+    at = F.col("id")
+    one = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(at % 2 == 0, "a text with very many copies").otherwise(F.concat(F.lit("text "), F.format_string("%d of it", at))).alias("text"), F.lit("en").alias("lang"))
+    many = spark.range(12_000).select((at + 100).alias("doc_id"), F.concat(F.lit("words "), F.hex(at)).alias("text"), F.format_string("l%04d", at % 3000).alias("lang"))
+    one.unionByName(many).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    langid.fit(docs, 2400)
+    langid.fit(docs.filter("doc_id = 7"), 400)
+    assert 0 < seen[0][0] <= 3600 and seen[0][1] <= 300 and 0 < seen[1][0] <= 600
+
+
 def test_kernel_is_the_share_of_common_grams():
     table = langid.letters_table()
     a, b = langid.presence("alpha beta", table), langid.presence("Alpha, BETA!", table)
@@ -83,6 +97,21 @@ def test_pairs_of_common_words_are_found(spark, tmp_path):
     assert score("bal vileword") > 0.5
 
 
+def test_toxicity_sample_is_bounded(spark, tmp_path, monkeypatch):
+    """Very many rows of one labelled id count once; ids are no more than the parameters."""
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, y, *rest: (seen.append((len(rows), int(y.sum()))), train(rows, y, *rest, rounds=2))[1])
+    at = F.col("id")
+    docs = spark.range(30_000).select(F.when(at < 20_000, 7).otherwise(at).alias("doc_id"), F.concat(F.lit("some words "), F.hex(at % 40)).alias("text"))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 3).cast("int").alias("toxic"))
+    toxicity.fit(docs, labels, 300, 600)
+    toxicity.fit(docs, labels.filter("doc_id = 7 OR doc_id < 20100"), 300, 600)
+    assert seen[0] == (900, 300) and seen[1] == (101, 26)
+
+
 def test_scores_of_many_are_those_of_each():
     rng = np.random.default_rng(2)
     m = toxicity.Machine(-0.3, {}, rng.random(50), rng.normal(size=50), rng.normal(size=(50, toxicity.RANK)) / 4)
@@ -202,6 +231,18 @@ def test_hosts_vote(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_hosts_of_mixed_templates(spark):
+    """A story beside an intro of the winning class stays whole, alone or as a template of its own."""
+    plain = "<html><body><div class='intro'><p>{}</p></div></body></html>"
+    mixed = "<html><body><div class='intro'><p>{}</p></div><div class='{}'><p>{}</p></div></body></html>"
+    intro, story = "an intro of few words only, told in a line. ", "a story of its own, at some length. "
+    rows = [(i, "http://m.example/a", plain.format(intro * 8)) for i in range(8)]
+    rows += [(20 + i, "http://m.example/b", mixed.format(intro * 4, "story", story * 8)) for i in range(3)]
+    rows += [(30, "http://m.example/c", mixed.format(intro * 2, "single", story * 8))]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (intro * 8).strip() for i in range(8)) and all(got[i].endswith((story * 8).strip()) for i in (20, 21, 22, 30))
+
+
 def test_pages_without_rows(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
