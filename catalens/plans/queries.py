@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from catalens.operators import candidates, collect, ordered
 from catalens.plans import check, entry, guard, session
-from catalens.sources import documents, results, sinks
+from catalens.shared import passing, shared_folder
+from catalens.sources import documents, objects, results, sinks
 from catalens.sources.fixture import facts
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -246,6 +248,31 @@ ORACLES["snk_csv_records"] = """SELECT c_custkey || ',"' || c_name || ',' || c_m
 QUERIES["del_percentile_hot"] = lambda s, d: ordered.percentiles(s.read.parquet(f"{d}/lineitem.parquet").selectExpr("IF(l_orderkey % 3 = 0, 'N', l_returnflag) AS flag", "l_extendedprice"), ["flag"], "l_extendedprice", [0.1, 0.5, 0.99], parts=32).selectExpr("flag", *[f"round(p{i}, 4) AS p{i}" for i in range(3)])
 ORACLES["del_percentile_hot"] = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'N' ELSE l_returnflag END AS flag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 4) AS p0, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS p1, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.99), 4) AS p2 FROM lineitem GROUP BY 1"
 
+
+
+def _generations(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """An object for each order, twice: later some are gone, some are new and some have another body."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    made = lambda body: [F.col("o_orderpriority").alias("schema"), F.lit("order").alias("kind"), F.concat(F.lit("o"), "o_orderkey").alias("name"), F.expr(body).alias("body")]
+    body = "concat('customer ', o_custkey, ' status ', o_orderstatus)"
+    return [orders.filter("o_orderkey % 10 <> 0").select(*made(body)), orders.filter("o_orderkey % 7 <> 0").select(*made(f"concat({body}, IF(o_orderkey % 5 = 0, ' paid', ''))"))]
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    root = passing(spark, f"{shared_folder(spark)}/dictionary-{uuid.uuid4().hex}")
+    first, second = _generations(spark, sf_dir)
+    objects.sync(first, root)
+    return root, objects.sync(second, root)
+
+
+_GENERATIONS = """WITH made AS (SELECT o_orderkey AS k, o_orderpriority AS schema, 'o' || o_orderkey AS name, 'customer ' || o_custkey || ' status ' || o_orderstatus AS body FROM orders),
+a AS (SELECT schema, name, body FROM made WHERE k % 10 <> 0), b AS (SELECT schema, name, body || CASE WHEN k % 5 = 0 THEN ' paid' ELSE '' END AS body FROM made WHERE k % 7 <> 0) """
+QUERIES["snk_object_sync"] = lambda s, d: _synced(s, d)[1].drop("kind")
+ORACLES["snk_object_sync"] = _GENERATIONS + """SELECT schema, name, sha256(coalesce(b.body, a.body)) AS sha256, CASE WHEN b.body IS NOT NULL AND a.body = b.body THEN 1 ELSE 2 END AS held_by,
+CASE WHEN b.name IS NULL THEN 'deleted' WHEN a.name IS NULL THEN 'new' WHEN a.body <> b.body THEN 'changed' ELSE 'unchanged' END AS action FROM a FULL JOIN b USING (schema, name)"""
+QUERIES["snk_object_read"] = lambda s, d: objects.read(s, _synced(s, d)[0]).drop("kind")
+ORACLES["snk_object_read"] = _GENERATIONS + "SELECT * FROM b"
+
 #: Statements with parameters over the given tables, the exit code of their check, and the parameters' types.
 PARAMETERS = [
     ("SELECT * FROM nation WHERE n_nationkey = ?", 0, "int"), ("SELECT * FROM nation WHERE n_name = :name", 0, "string"), ("SELECT * FROM orders WHERE o_orderdate >= :since", 0, "timestamp_ntz"), ("SELECT * FROM customer WHERE c_acctbal BETWEEN ? AND ?", 0, "double,double"),
