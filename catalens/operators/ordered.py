@@ -133,6 +133,36 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str] |
     return both.select(*out)
 
 
+def peer_frames(df: DataFrame, order: Sequence[str], preceding: int, following: int, sums: dict[str, str], count: str = "n", parts: int | None = None) -> DataFrame:
+    """``df`` with ``count`` and ``sums`` (name to number's column) over GROUPS BETWEEN preceding AND following, without PARTITION BY.
+
+    Rows of equal order columns are one group, made before anything is dealt out; groups are numbered over range partitions, and a frame is
+    the difference of two running sums, so its width costs nothing. Negative bounds are allowed (``preceding=3, following=-1``: up to the group
+    before). Sums of whole numbers and decimals are exact. Rows of a null in the order are a group; a frame
+    without rows has count 0, one without numbers a null sum. Groups of ``HOT`` rows or more meet their frame by broadcast, so no group is one task's.
+    """
+    if preceding + following < 0:
+        raise ValueError("the frame ends before it starts")
+    keyed = df.select(F.struct("*").alias("_row"), F.struct(*[F.col(o) for o in order]).alias("_key"))
+    own = {"_c": F.count("*")}
+    for i, c in enumerate(sums.values()):
+        own |= {f"_s{i}": F.sum(f"_row.{c}"), f"_k{i}": F.count(f"_row.{c}")}
+    peers = keyed.groupBy("_key").agg(*[v.alias(f"{k}_own") for k, v in own.items()])
+    ran = running(peers, ["_key"], {k: f"{k}_own" for k in own}, parts=parts)
+    ran = materialize(ran.select("_key", F.col("_c_own").alias("_rows"), F.col("row_number").alias("_n"), F.struct(*own).alias("_upto")), "peers")
+    last = F.lit(ran.agg(F.max("_n")).first()[0] or 0)
+    ends = ran.select("_key", "_rows", F.least(F.col("_n") + following, last).alias("_high"), F.least(F.col("_n") - preceding - 1, last).alias("_low"))
+    ends = ends.join(ran.select(F.col("_n").alias("_high"), F.col("_upto").alias("_to")), "_high", "left").join(ran.select(F.col("_n").alias("_low"), F.col("_upto").alias("_from")), "_low", "left")
+    between = {k: F.coalesce(f"_to.{k}", F.lit(0)) - F.coalesce(f"_from.{k}", F.lit(0)) for k in own}
+    values = [between["_c"].alias(count), *[F.when(between[f"_k{i}"] > 0, between[f"_s{i}"]).alias(name) for i, name in enumerate(sums)]]
+    frames = materialize(ends.select("_key", "_rows", F.struct(*values).alias("_frame")), "frames")
+    match = F.col("a._key").eqNullSafe(F.col("b._key"))
+    hot = small(materialize(frames.filter(F.col("_rows") >= HOT), "hot"), shared.BROADCAST_BYTES // HOT_BYTES)
+    few = keyed.alias("a").join(hot.alias("b"), match, "left_anti").alias("a").join(frames.filter(F.col("_rows") < HOT).alias("b"), match)
+    many = keyed.alias("a").join(hot.alias("b"), match)
+    return few.select("_row.*", "_frame.*").unionByName(many.select("_row.*", "_frame.*"))
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], parts: int | None = None) -> DataFrame:
     """(keys, p0, p1, ..): exact percentiles with linear interpolation of the numbers of each group.
 

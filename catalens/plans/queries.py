@@ -241,6 +241,8 @@ QUERIES["del_window_whole"] = _whole
 ORACLES["del_window_whole"] = "SELECT o_orderkey, row_number() OVER w AS row_number, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS so_far, ntile(7) OVER w AS ntile FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)"
 QUERIES["del_rank_whole"] = lambda s, d: ordered.running(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), ["o_custkey"]).select("o_orderkey", "rank", "dense_rank")
 ORACLES["del_rank_whole"] = "SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) AS rank, dense_rank() OVER (ORDER BY o_custkey) AS dense_rank FROM orders"
+QUERIES["del_groups_frame"] = lambda s, d: ordered.peer_frames(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), ["o_orderdate"], 30, 2, {"total": "cents"}).select("o_orderkey", "n", "total")
+ORACLES["del_groups_frame"] = "SELECT o_orderkey, count(*) OVER w AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS total FROM orders WINDOW w AS (ORDER BY o_orderdate GROUPS BETWEEN 30 PRECEDING AND 2 FOLLOWING)"
 
 QUERIES["snk_csv_records"] = lambda s, d: results.records(s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "concat(c_name, ',', c_mktsegment) AS named", "nullif(c_mktsegment, 'BUILDING') AS segment", "IF(c_nationkey < 9, '', concat('a \"', c_nationkey, '\"')) AS nation"))
 ORACLES["snk_csv_records"] = """SELECT c_custkey || ',"' || c_name || ',' || c_mktsegment || '",' || coalesce(nullif(c_mktsegment, 'BUILDING'), '') || ',' || CASE WHEN c_nationkey < 9 THEN '""' ELSE '"a ""' || c_nationkey || '""' || '"' END AS record FROM customer"""

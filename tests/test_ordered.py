@@ -66,3 +66,27 @@ def test_percentiles(spark, parts):
     told = lambda df: sorted((tuple(None if x is None else x if isinstance(x, str) else round(x, 9) for x in r) for r in df.collect()), key=str)
     assert told(found) == told(wanted)
     assert ordered.percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("before, after, hot", [(2, 1, 10_000), (0, 0, 20), (3, -1, 1), (-1, 4, 20), (500, 500, 10_000)])
+def test_group_frames(spark, rows, monkeypatch, before, after, hot):
+    """Frames of whole peer groups against brute force, with ties over partitions, nulls and a hot group."""
+    monkeypatch.setattr(ordered, "HOT", hot)
+    given = [(i, at, None if i % 11 == 0 else i) for i, _, at in rows]
+    df = spark.createDataFrame(given, "id long, at timestamp_ntz, v long")
+    groups = sorted({at for _, at, _ in given}, key=lambda x: (x is not None, x or DAY))
+    want = []
+    for i, at, v in given:
+        k = groups.index(at)
+        frame = set(groups[max(k - before, 0) : max(k + after + 1, 0)])
+        found = [x for _, g, x in given if g in frame]
+        numbers = [x for x in found if x is not None]
+        want.append((i, at, v, len(found), sum(numbers) if numbers else None))
+    got = ordered.peer_frames(df, ["at"], before, after, {"total": "v"}, parts=5)
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
+    assert ordered.peer_frames(df.filter("false"), ["at"], before, after, {"total": "v"}).count() == 0
+
+
+def test_group_frames_refuse(spark):
+    with pytest.raises(ValueError):
+        ordered.peer_frames(spark.range(3), ["id"], 1, -2, {})
