@@ -24,6 +24,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 from math import comb
 
@@ -40,11 +41,13 @@ from catalens.shared import BROADCAST_BYTES, materialize, numbered, small
 BLOCK = 4096
 HOT = BROADCAST_BYTES // 64  # rows of a list of hot keys that may be broadcast
 MARKS = 1 << 20
-BANDS, ROWS = 24, 5
+COUNTED = 1 << 15  # rows of a task whose buckets are counted at once
 SAMPLE = 20_000
 SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.004
-FACTORS, TERMS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
+#: Fingerprints of a text for near copies, how many are compared where two texts meet, and the bits that may differ: in one of them for sure, and in those compared.
+WORDS, COMPARED, NEAR, WIDE = 8, 3, 6, 52
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, np.uint64)
 
 
 # --- Fingerprints ----------------------------------------------------------
@@ -160,26 +163,22 @@ def allocate(sample: np.ndarray, n: int, within: int) -> list[tuple[list[int], i
 # --- Probing ---------------------------------------------------------------
 
 
-def stars(nodes: np.ndarray, bits: np.ndarray, limits: list[tuple[slice, int]]) -> list[tuple[int, int]]:
+def stars(nodes: np.ndarray, bits: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Components of a bucket as (smallest node, other).
 
-    ``bits`` has a row of 64-bit numbers a node; two nodes are linked if for each
-    (columns, most) of ``limits`` at most ``most`` bits of those columns differ.
-    The first limit is of one column and is tried on all pairs, 256 rows at a
-    time; the others are tried on what it leaves.
+    ``bits`` has a row of 64-bit numbers a node; two nodes are linked if at most
+    ``most`` bits of all their numbers differ. All pairs are tried, 256 rows at a time.
     """
     order = np.argsort(nodes)
-    nodes, bits = nodes[order], bits[order]
-    first, n = np.ascontiguousarray(bits[:, 0]), len(nodes)
+    nodes, n = nodes[order], len(nodes)
+    columns = [np.ascontiguousarray(c) for c in bits[order].T]
     linked = np.zeros((n, n), bool)
     for s in range(0, n, 256):
-        near = np.bitwise_count(first[s : s + 256, None] ^ first[None, :]) <= limits[0][1]
+        apart = np.bitwise_count(columns[0][s : s + 256, None] ^ columns[0][None, :]).astype(np.uint8 if len(columns) < 4 else np.uint16)
+        for c in columns[1:]:
+            apart += np.bitwise_count(c[s : s + 256, None] ^ c[None, :])
+        near = apart <= most
         near[np.arange(len(near)), s + np.arange(len(near))] = False
-        if len(limits) > 1 and near.any():
-            i, j = np.nonzero(near)
-            for cols, most in limits[1:]:
-                far = np.bitwise_count(bits[s + i][:, cols] ^ bits[j][:, cols]).sum(1, dtype=np.int16) > most
-                near[i[far], j[far]] = False
         linked[s : s + 256] = near
     out = []
     left = linked.any(1)
@@ -195,32 +194,58 @@ def stars(nodes: np.ndarray, bits: np.ndarray, limits: list[tuple[slice, int]])
     return out
 
 
-def links(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int = 0) -> DataFrame:
-    """(a, b): enough verified connections of ``items`` (node, fp, ``also``) to give their components.
+def links(items: DataFrame, within: int, turns: Sequence[Sequence[str]] = (("fp",),), wide: int | None = None) -> DataFrame:
+    """(a, b): enough verified connections of ``items`` (node, fingerprints) to give their components.
 
-    Linked items differ in at most ``within`` bits of fp, and in at most ``wide``
-    of the columns ``also`` together, if there are any.
+    Each of ``turns`` searches its first fingerprint: items that differ in at most ``within``
+    bits of it meet, and so do others that agree in a partition. Those that meet are linked if
+    all fingerprints of the turn together differ in at most ``wide`` bits (``within`` unless given).
+    Turns have equally many fingerprints, hashed alike, so they share partitions.
     """
     n = items.count()
     share = min(1.0, SAMPLE / max(1, n))
-    chosen = items.filter(F.pmod(F.xxhash64(F.lit(17), "node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").limit(2 * SAMPLE).collect()
+    chosen = items.filter(F.pmod(F.xxhash64(F.lit(17), "node"), F.lit(1 << 30)) < int(share * (1 << 30))).select(turns[0][0]).limit(2 * SAMPLE).collect()
     sample = np.array(sorted(r[0] for r in chosen), np.int64).view(np.uint64)
     plan = allocate(sample, n, within) if n > 1 and len(sample) > 1 else [([*range(64)], 0)] if within == 0 else [(g, 0) for g in np.array_split(range(64), within + 1)]
     keeps = np.array([m for g, t in plan for m in masks_of([int(x) for x in g], t)], np.uint64)
-    carried = ["node", "fp", *also]
-    limits = [(slice(0, 1), within)] + ([(slice(1, 1 + len(also)), wide)] if also else [])
+    carried = [f"f{i}" for i in range(len(turns[0]))]
+    most = within if wide is None else wide
+
+    def keyed(batch):
+        """(mask's number, masked values) for each turn and mask, with the turn."""
+        for t, turn in enumerate(turns):
+            fp = batch.column(turn[0]).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for k, m in enumerate(keeps):
+                yield t * len(keeps) + k, (fp & m).view(np.int64), turn
 
     def keys(batches):
         for b in slices(batches, 4096):
-            cols = [b.column(c) for c in carried]
-            fp = cols[1].to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, m in enumerate(keeps):
-                value = (fp.view(np.uint64) & m).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(value), *cols], ["mask", "value", *carried])
+            for k, value, turn in keyed(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value), b.column("node"), *[b.column(c) for c in turn]], ["mask", "value", "node", *carried])
+
+    def sizes(batches):
+        held: list[pa.RecordBatch] = []
 
-    longs = ", ".join(f"{c} long" for c in carried)
-    dealt = items.select(*carried).mapInArrow(keys, f"mask int, value long, {longs}")
-    hot = materialize(dealt.groupBy("mask", "value").count().filter(F.col("count") > BLOCK), "hot")
+        def flush():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            for b in whole:
+                for k, value, _ in keyed(b):
+                    own, c = np.unique(value, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array(c)], ["mask", "value", "n"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= COUNTED:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    longs = ", ".join(f"{c} long" for c in ["node", *carried])
+    dealt = items.select("node", *dict.fromkeys(c for t in turns for c in t)).mapInArrow(keys, f"mask int, value long, {longs}")
+    carried = ["node", *carried]
+    full = items.select(*dict.fromkeys(t[0] for t in turns)).mapInArrow(sizes, "mask int, value long, n long").groupBy("mask", "value").agg(F.sum("n").alias("count"))
+    hot = materialize(full.filter(F.col("count") > BLOCK), "hot")
     if hot.count():
         dealt = dealt.join(small(hot, HOT), ["mask", "value"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("int"))
         dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(23), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -237,7 +262,7 @@ def links(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int =
             if sum(map(len, held)) < 2:
                 return []
             all_ = np.concatenate(held)
-            return stars(all_[:, 0], all_[:, 1:].view(np.uint64), limits)
+            return stars(all_[:, 0], all_[:, 1:].view(np.uint64), most)
 
         def batch(out):
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
@@ -261,9 +286,9 @@ def links(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int =
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
 
 
-def classes(items: DataFrame, within: int, also: tuple[str, ...] = (), wide: int = 0) -> DataFrame:
+def classes(items: DataFrame, within: int, turns: Sequence[Sequence[str]] = (("fp",),), wide: int | None = None) -> DataFrame:
     """(node, root) for every item of a component of two or more; ``items`` is a written table."""
-    roots = materialize(components(links(items, within, also, wide)), "components")
+    roots = materialize(components(links(items, within, turns, wide)), "components")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -357,14 +382,18 @@ def verified(sets: DataFrame, least: float) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
 
 
-def bands(h: np.ndarray) -> list[int]:
-    """A key for each band of least values of the hashes under ``BANDS`` x ``ROWS`` permutations; none of an empty set."""
+def words_of(h: np.ndarray) -> list[int]:
+    """``WORDS`` SimHash fingerprints (signed) of a set of hashes, each by a hash function of its own; none of an empty set."""
     if not len(h):
         return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 1024):
-        low = np.minimum(low, (h[i : i + 1024, None] * FACTORS + TERMS).min(0))
-    return np.array([xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+    counts = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(h), 255):
+        z = h[i : i + 255, None] ^ SALTS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)  # 255 at most
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.int64).tolist()
 
 
 def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -372,10 +401,14 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     Two texts are linked if their sets of distinct five-word shingles have a
     Jaccard similarity of ``least``, checked exactly on the hashes. Compared are
-    the texts of components of a coarser graph: texts that agree in a band of
-    ``ROWS`` of their ``BANDS`` x ``ROWS`` least permuted hashes are joined to the
-    first of them. A pair agrees in none with probability (1 - J^5)^24, whatever
-    the kind of edit: one in 14,000 at 0.8. Texts of equal sets are one item.
+    the texts of components of a coarser graph, found by SimHash and the general
+    pigeonhole principle: a text has ``WORDS`` fingerprints, texts that differ in
+    at most ``NEAR`` bits of one of them meet for sure, others where they agree in
+    a partition apart from its threshold, and those that meet are joined if that
+    fingerprint and the next ones, ``COMPARED`` in all, differ in at most ``WIDE``
+    bits. At 0.8 a bit differs with a probability of 0.15, so the larger part of
+    the meetings are of the second kind; what is found of all pairs is in README.
+    Texts of equal sets are one item.
 
     Defined cases: null texts and texts without a word have the empty set and are
     copies of each other; a text of fewer than five words is one shingle; of
@@ -391,9 +424,9 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
             for t in b.column("text").to_pylist():
                 h = marks(t)
                 digests.append([xxhash.xxh64_intdigest(h.tobytes(), seed) for seed in (1, 2)])
-                found.append(bands(h))
+                found.append(words_of(h))
             cols = [pa.array(c) for c in np.array(digests, np.uint64).reshape(-1, 2).view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([b.column("_file"), b.column("_row"), b.column("doc_id"), *cols, pa.array(found, pa.list_(pa.int64()))], ["_file", "_row", "doc_id", *keys, "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("_file"), b.column("_row"), b.column("doc_id"), *cols, pa.array(found, pa.list_(pa.int64()))], ["_file", "_row", "doc_id", *keys, "words"])
 
     def unpack(batches):
         for b in slices(batches):
@@ -402,22 +435,20 @@ def first_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     keys = ["d1", "d2"]
     rows = boxed(docs).select("_file", "_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))
-    rows = materialize(rows.mapInArrow(run, "_file long, _row long, doc_id long, d1 long, d2 long, bands array<long>"), "fingerprints")
+    rows = materialize(rows.mapInArrow(run, "_file long, _row long, doc_id long, d1 long, d2 long, words array<long>"), "fingerprints")
     # Joins are merge joins at any size, of places and hashes only; a hot key's side is split by the adaptive planner.
-    # Each set's first row has its bands, so that copies cost nothing.
+    # Each set's first row has its fingerprints, so that copies cost nothing.
     firsts = rows.groupBy(*keys).agg(F.min(F.struct("_file", "_row")).alias("at"))
     items = numbered(firsts.select(*keys, "at._file", "at._row"), keys, "node")
-    dealt = rows.select("_file", "_row", "bands").join(items.select("_file", "_row", "node").hint("merge"), ["_file", "_row"])
-    dealt = materialize(dealt.select("node", F.explode("bands").alias("band")), "bands")
-    shared = dealt.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a")
-    # Written, here and below, so that a hot band or root is a join's key, which can be split, and no aggregate's.
-    edges = dealt.join(materialize(shared, "shared").hint("merge"), "band").filter("node <> a").select("a", F.col("node").alias("b"))
-    roots = materialize(components(edges), "coarse")
-    coarse = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    names = [f"w{k}" for k in range(WORDS)]
+    told = rows.filter(F.size("words") > 0).select("_file", "_row", *[F.col("words")[k].alias(w) for k, w in enumerate(names)])
+    told = materialize(told.join(items.select("_file", "_row", "node").hint("merge"), ["_file", "_row"]).select("node", *names), "items")
+    coarse = classes(told, NEAR, [[names[(k + i) % WORDS] for i in range(COMPARED)] for k in range(WORDS)], WIDE)
     chosen = items.join(coarse.hint("merge"), "node").select("_file", "_row", F.struct("root", "node").alias("_value"))
     sets = met(docs, chosen, lambda r: r.select("_value.root", "_value.node", F.col("_doc.text").alias("text")).mapInArrow(unpack, "root long, node long, n long, marks array<long>"), F.lit(16))
     roots = materialize(components(verified(materialize(sets, "sets"), least)), "components")
     named = items.join(roots.hint("merge"), "node", "left").select(*keys, F.coalesce("root", "node").alias("root"))
+    # Written, here and below, so that a hot root is a join's key, which can be split, and no aggregate's.
     placed = materialize(rows.join(named.hint("merge"), keys).select("_file", "_row", "doc_id", "root"), "placed")
     firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_file", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     drops = placed.join(materialize(firsts, "firsts").hint("merge"), "root").filter(F.struct("doc_id", "_file", "_row") != F.col("first"))

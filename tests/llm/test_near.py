@@ -216,6 +216,36 @@ def test_first_of_each_finds_copies_at_the_similarity(spark, tmp_path, kind):
     assert kept_ids(spark, str(tmp_path / "d.parquet"), pairs) == set(range(0, 240, 2))
 
 
+@pytest.mark.parametrize("partitions", [4, 7])
+def test_fingerprints_of_near_copies_meet(partitions):
+    """Of pairs of sets at 0.8 nearly all meet by a pigeonhole of a fingerprint, whatever thresholds were chosen; no others do."""
+    rng = np.random.default_rng(9)
+    total = simhash.NEAR - partitions + 1
+    parts = [[int(x) for x in p] for p in np.array_split(np.arange(64), partitions)]
+    keeps = np.array([m for i, p in enumerate(parts) for m in simhash.masks_of(p, total // partitions + (i < total % partitions))], np.uint64)
+    fresh = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+
+    def meet(a, b):
+        a, b = (np.array(simhash.words_of(x), np.int64).view(np.uint64) for x in (a, b))
+        apart = np.bitwise_count(a ^ b).astype(int)
+        return any(sum(np.roll(apart, -k)[: simhash.COMPARED]) <= simhash.WIDE and ((a[k] ^ b[k]) & keeps == 0).any() for k in range(simhash.WORDS))
+
+    shared = [fresh(160) for _ in range(500)]
+    assert sum(meet(np.concatenate([s, fresh(20)]), np.concatenate([s, fresh(20)])) for s in shared) >= 498
+    assert not any(meet(np.concatenate([s[:40], fresh(140)]), np.concatenate([s[:40], fresh(140)])) for s in shared)
+    assert simhash.words_of(fresh(0)) == [] and simhash.words_of(shared[0]) == simhash.words_of(shared[0][::-1])
+
+
+def test_first_of_each_takes_candidates_from_the_pigeonhole(spark, tmp_path, monkeypatch):
+    """Without links of fingerprints no near copy is found: there is no other path to one."""
+    searched = []
+    none = lambda items, within, turns, wide: searched.append((within, len(turns))) or spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "links", none)
+    pairs = pairs_of(np.random.default_rng(8), "scattered", (0.01, 0.03), 0.8, 0.99, 10)
+    assert kept_ids(spark, str(tmp_path / "d.parquet"), [*pairs, (pairs[0][0], pairs[0][0])]) == set(range(21)) - {20}
+    assert searched == [(simhash.NEAR, simhash.WORDS)]
+
+
 @pytest.mark.parametrize("marks", [1 << 20, 500])
 def test_verified_links_are_exact(spark, marks, monkeypatch):
     """Chains, sets at 0.8 exactly and hot roots that are cut into blocks."""
