@@ -238,17 +238,23 @@ def telling(rows: list[list[int]], y: np.ndarray, frequent: list[int]) -> list[i
             for i, r in enumerate(part):
                 x[i, [place[c] for c in r if c in place]] = 1
             together += x.T @ x
-        both.append(together.astype(np.float64) + 0.5)
+        both.append(together)
         n.append(len(own) + 1.0)
-    alone = [np.diag(c) for c in both]
-    ratio = np.log(both[1] / n[1]) - np.log(both[0] / n[0])
-    own = np.diag(ratio)
-    error = np.sqrt(1 / both[0] + 1 / both[1] + sum(1 / a[:, None] + 1 / a[None, :] for a in alone))
-    z = np.triu(np.abs(ratio - own[:, None] - own[None, :]) / error, 1)
-    # the pair itself has to tell, too: words that only repeat each other don't
-    z[(np.abs(ratio) < 0.7) | (np.abs(ratio) < np.maximum(np.abs(own)[:, None], np.abs(own)[None, :])) | (z < 5)] = 0
-    pairs = np.argsort(-z, axis=None, kind="stable")[:PAIRS]
-    out = dict.fromkeys(frequent[k] for p in pairs if z.flat[p] > 0 for k in divmod(int(p), len(frequent)))
+    alone = [np.diag(c).astype(np.float64) + 0.5 for c in both]
+    own = np.log(alone[1] / n[1]) - np.log(alone[0] / n[0])
+    at, found = [], []
+    for s in range(0, len(frequent), 128):  # a few rows at once: the driver has little memory
+        b0, b1 = (c[s : s + 128].astype(np.float64) + 0.5 for c in both)
+        ratio = np.log(b1 / n[1]) - np.log(b0 / n[0])
+        error = np.sqrt(1 / b0 + 1 / b1 + sum(1 / a[s : s + 128, None] + 1 / a[None, :] for a in alone))
+        z = np.triu(np.abs(ratio - own[s : s + 128, None] - own[None, :]) / error, 1 + s)
+        # the pair itself has to tell, too: words that only repeat each other don't
+        z[(np.abs(ratio) < 0.7) | (np.abs(ratio) < np.maximum(np.abs(own)[s : s + 128, None], np.abs(own)[None, :])) | (z < 5)] = 0
+        some = np.flatnonzero(z)
+        at.append(some + s * len(frequent))
+        found.append(z.ravel()[some])
+    pairs = np.concatenate(at)[np.argsort(-np.concatenate(found), kind="stable")[:PAIRS]]
+    out = dict.fromkeys(frequent[k] for p in pairs for k in divmod(int(p), len(frequent)))
     return list(out)
 
 
