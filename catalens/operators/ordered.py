@@ -1,7 +1,7 @@
 """Joins and running values in an order, without bringing a key or the whole table to one task.
 
 ``within`` joins rows whose times are at most an interval apart by buckets as wide as
-the interval. The others sort rows once into written range partitions, which split a hot key
+the interval; where pairs are only counted, ``counts_within`` makes none. The others sort rows once into written range partitions, which split a hot key
 like any other, and carry what stands before a partition to it: one row a partition.
 
 Defined cases: rows of a null key or time meet nothing and are met by nothing; of equal times
@@ -56,6 +56,37 @@ def within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     return met.drop("_bucket", "_salt", "_from", "_to")
 
 
+def counts_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, width: int, by: Sequence[str], counted: str, count: str = "n", parts: int | None = None) -> DataFrame:
+    """(by, count): of the pairs of ``within``, how many with a ``counted`` value of the right side the left rows of equal ``by`` have, without making a pair.
+
+    Left rows of no pair are left out; those of pairs without a value have 0.
+
+    What stands in an interval is the right rows up to its end less those before its start. Both
+    ends and the right rows' times are sorted once, and counted over range partitions, so that
+    rows of a hot key cost no more than others. The driver holds a row a partition.
+    """
+    if width < 0:
+        raise ValueError("the interval ends before it starts")
+    known = lambda df, at: df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, at]))
+    key, group = F.struct(*[F.col(k) for k in keys]).alias("_key"), F.struct(*[F.col(c) for c in by])
+    start = micros(left, left_at)
+    # In a tie, an interval's start comes before the rows of its time, its end behind them.
+    edges = F.array(F.struct(start.alias("_at"), F.lit(0).alias("_side"), F.lit(-1).alias("_sign")), F.struct((start + width).alias("_at"), F.lit(2).alias("_side"), F.lit(1).alias("_sign")))
+    ours = known(left, left_at).select(key, group.alias("_by"), F.explode(edges).alias("_edge")).select("_key", "_edge._at", "_edge._side", "_edge._sign", "_by", F.expr("named_struct('met', 0L, 'told', 0L)").alias("_here"))
+    theirs = known(right, right_at).select(key, micros(right, right_at).alias("_at"), F.col(counted).alias("_counted")).groupBy("_key", "_at").agg(F.struct(F.count("*").alias("met"), F.count("_counted").alias("told")).alias("_here"))
+    theirs = theirs.select("_key", "_at", F.lit(1).alias("_side"), F.lit(0).alias("_sign"), F.lit(None).cast(ours.schema["_by"].dataType).alias("_by"), "_here")
+    placed = _placed(ours.unionByName(theirs), ["_key", "_at", "_side"], parts)
+    carried, met, told = [], 0, 0
+    for part, m, n in sorted(map(tuple, placed.groupBy("_part").agg(F.sum("_here.met"), F.sum("_here.told")).collect())):  # one row a partition
+        carried.append((part, met, told))
+        met, told = met + m, told + n
+    table = left.sparkSession.createDataFrame(carried, "_part int, _met long, _told long")
+    upto = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.select("_part", "_sign", "_by", F.sum("_here.met").over(upto).alias("_m"), F.sum("_here.told").over(upto).alias("_n")).filter("_sign <> 0").join(F.broadcast(table), "_part")
+    sums = [F.sum(F.col("_sign") * (F.col(a) + F.col(b))).alias(b) for a, b in (("_met", "_m"), ("_told", "_n"))]
+    return ends.groupBy("_by").agg(*sums).filter("_m > 0").select("_by.*", F.col("_n").alias(count))
+
+
 def _placed(df: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
     """``df`` sorted into written range partitions, with _part, their number in that order, and _place in it.
 

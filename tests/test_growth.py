@@ -2,12 +2,16 @@
 
 import random
 import threading
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 
+from catalens.operators import ordered
 from catalens.plans import queries
 
+DAY = datetime(2024, 3, 31)
+
 
 @pytest.fixture
 def limited(spark):
@@ -53,3 +57,27 @@ def test_full_join_of_one_nation(spark, business, limited):
     assert [tuple(r) for r in queries.QUERIES["del_join_full"](spark, d).select("k", "c", "s").collect()] == [(1, 60_000, 60_000)]
 
 
+@pytest.mark.parametrize("parts, width", [(None, 20), (1, 20), (7, 20), (60, 0)])
+def test_counts_of_interval_pairs(spark, parts, width):
+    draw = random.Random(3)
+    rows = [(draw.choice([None, *range(150)]), draw.choice([1, 1, 1, 2, None]), draw.choice([None, *[DAY + timedelta(minutes=draw.randint(0, 300)) for _ in range(9)]])) for _ in range(400)]
+    rows += [(900 + i, 1, DAY) for i in range(60)] + [(None, 7, DAY)]
+    left = spark.createDataFrame(rows, "a long, k long, at timestamp")
+    right = left.filter("a IS NULL OR a % 3 > 0").selectExpr("a AS b", "k", "at AS then")
+    found = ordered.counts_within(left, right, ["k"], "at", "then", width * 60_000_000, ["a"], "b", parts=parts)
+    want = {}
+    for a, k, s in rows:
+        for b, m, u in rows:
+            if (b is None or b % 3) and k is not None and k == m and s and u and s <= u <= s + timedelta(minutes=width):
+                want[a] = want.get(a, 0) + (b is not None)
+    assert {r["a"]: r["n"] for r in found.collect()} == want and found.count() == len(want)
+    assert ordered.counts_within(left, right.limit(0), ["k"], "at", "then", 5, ["a"], "b", parts=parts).count() == 0
+
+
+def test_interval_counts_of_one_user(spark, tmp_path, limited):
+    """All events of an hour: 1,600,000,000 pairs."""
+    spark.range(0, 120_000, 3).selectExpr("id AS event_id", "1L AS user_id", f"timestamp_seconds(1700000000 + id % 600) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    found = queries.QUERIES["del_interval_hot"](spark, str(tmp_path))
+    assert found.selectExpr("count(*)", "min(n)", "max(n)").first()[:] == (40_000, 200, 40_000)
+
+
