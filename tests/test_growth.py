@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
-from catalens.operators import ordered
+from catalens.operators import candidates, ordered
 from catalens.plans import queries
+from tests.test_candidates import distance
 
 DAY = datetime(2024, 3, 31)
 
@@ -81,3 +82,12 @@ def test_interval_counts_of_one_user(spark, tmp_path, limited):
     assert found.selectExpr("count(*)", "min(n)", "max(n)").first()[:] == (40_000, 200, 40_000)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_names_of_one_edit(spark, letters):
+    """Exactly the pairs of one edit meet: what only shares pieces does not."""
+    draw = random.Random(2)
+    name = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(0, 6)))
+    wanted, known = ({name() for _ in range(n)} for n in (60, 90))
+    frame = lambda names, c: spark.createDataFrame([(x,) for x in sorted(names)], f"{c} string")
+    found = candidates.one_edit(frame(wanted, "_a"), frame(known, "_b")).collect()
+    assert sorted(map(tuple, found)) == sorted((a, b) for a in wanted for b in known if distance(a, b) <= 1)
