@@ -20,15 +20,19 @@ ignored; a text of any length is cut as often as needed.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,14 @@ SMALLEST = 256
 STEP_WINDOWS = 8
 END_ID = 1
 CACHE_WORDS = 600_000
+NEW = object()
+#: Bytes of texts that are encoded at once, or one text.
+TEXT_BYTES = 4 << 20
 PROBES = ["One two, Three  four's it's we'll 12 345 a1b2", "  leading and\n\ttrailing \r\n", "naïve Ünïcode ÉTÉ straße “quoted” – dash… 10€", "a.b;c!?(d)[e]{f}<g>@#$%^&*_+=~`|\\/", "snake_case CamelCase x==y 3.14 don't I'd you've they're I'm", ""]
+#: Steps whose outcome for a plain lower-case word is known: the word, by the characters of its bytes.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_CUT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 # --- Token ids -------------------------------------------------------------
@@ -50,6 +61,7 @@ def plain_characters() -> tuple[frozenset[int], str]:
     """Code points that NFC and lower-casing treat one by one, and a pattern that cuts text of them into words."""
     ok = [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x2122, 0xFFFD]
     ok = [c for c in ok if unicodedata.normalize("NFC", chr(c)) == chr(c) and c != 0x130]
+    ok = [c for c in ok if ord(chr(c).lower()) in ok]  # the pattern has no letter beyond
     space = {*range(9, 14), 0x20, 0x85, 0xA0}
     letters = "".join(map(chr, (c for c in ok if unicodedata.category(chr(c))[0] == "L")))
     digits = "".join(map(chr, (c for c in ok if unicodedata.category(chr(c))[0] == "N")))
@@ -61,11 +73,15 @@ def plain_characters() -> tuple[frozenset[int], str]:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes; words are looked up in a bounded cache.
+    """Token ids of whole texts as little-endian bytes; runs between blanks, and their words, are looked up in bounded caches.
+
+    Arrow cuts texts into runs and numbers the distinct ones, so that Python sees a run
+    once for all texts of a call. Words never cross a blank.
 
     Texts with characters outside ``plain_characters``, or with the string of an added
     token, are given to the tokenizer whole; so are all texts of a tokenizer that cuts
-    words otherwise, or doesn't fold case, which ``PROBES`` tell.
+    words otherwise, or doesn't fold case, which ``PROBES`` tell, or has an added token
+    with a blank.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -73,31 +89,48 @@ class Encoder:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
         plain, pattern = plain_characters()
         self.words = re.compile(pattern).findall
-        self.odd = re.compile("[^" + "".join(f"\\u{c:04x}" for c in sorted(plain)) + "]").search
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[^" + "".join(f"\\u{c:04x}" for c in sorted(plain)) + "]", *map(re.escape, added)])).search
+        # The bytes' characters, where all steps before the model but that one leave a plain lower-case word as it is.
+        spec = json.loads(self.tokenizer.to_str())
+        known = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+        moved = sorted({*range(256)} - {*map(ord, alphabet)})
+        self.units = dict(zip(moved, alphabet[-len(moved) :])) if known else None
         self.end = np.array([end_id], self.kind).tobytes()
         self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes | None] = {}  # None: not plain
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_words = True
-        self.by_words = self.encode(PROBES) == [raw + self.end for raw in self.whole(PROBES)]
+        self.by_words = not any(len(t.split()) > 1 for t in added) and self.encode(PROBES) == [raw + self.end for raw in self.whole(PROBES)]
         self.cache.clear()
+        self.runs.clear()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
     def each(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: many words are encoded as one text and cut where words end."""
+        """Ids of each word, by the model alone where it can be; else many words are encoded as one text and cut where words end."""
         out: list[bytes] = []
+        if self.units:
+            tokens, units = self.tokenizer.model.tokenize, self.units
+            ids: list[int] = []
+            ends = []
+            for w in words:
+                ids += [t.id for t in tokens(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(units))]
+                ends.append(len(ids) * self.width)
+            raw = np.array(ids, self.kind).tobytes()
+            return [raw[a:b] for a, b in zip([0, *ends], ends)]
         groups = [words[i : i + 512] for i in range(0, len(words), 512)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
@@ -109,18 +142,52 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, then the end id."""
-        cut = [None if t and (not self.by_words or self.odd(t) or any(s in t for s in self.added)) else self.words(t.lower()) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = list(set().union(*filter(None, cut)) - cache.keys())
-        cache.update(zip(new, self.each(new)))
-        odd = [i for i, words in enumerate(cut) if words is None]
-        rest = dict(zip(odd, self.whole([texts[i].encode("utf-8", "replace").decode() for i in odd])))
+    def of_runs(self, runs: list[str]) -> list[bytes | None]:
+        """Ids of each of the distinct ``runs``, None of one that is not plain."""
+        known, cache = self.runs, self.cache
+        for kept in (known, cache):
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
+        found = list(map(known.get, runs, repeat(NEW)))
+        at = [i for i, ids in enumerate(found) if ids is NEW]
+        new = [runs[i] for i in at]
+        cut = [r.lower() if self.units and r.isascii() and r.isalpha() else None if self.odd(r) else self.words(r.lower()) for r in new]
+        words: set[str] = set()
+        for w in cut:
+            if w:
+                words.add(w) if isinstance(w, str) else words.update(w)
+        unknown = [w for w in words if w not in cache]
+        cache.update(zip(unknown, self.each(unknown)))
         get = cache.__getitem__
-        return [(rest[i] if words is None else b"".join(map(get, words))) + self.end for i, words in enumerate(cut)]
+        for i, run, w in zip(at, new, cut):
+            found[i] = known[run] = None if w is None else get(w) if isinstance(w, str) else b"".join(map(get, w))
+        return found
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text, then the end id."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t and t.encode("utf-8", "replace").decode() for t in texts], pa.large_string())
+        if not self.by_words:
+            return [raw + self.end for raw in self.whole([t or "" for t in texts.to_pylist()])]
+        lists = pc.ascii_split_whitespace(texts)
+        runs = lists.flatten().dictionary_encode()
+        of = runs.indices.to_numpy()
+        found = self.of_runs(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
+        last = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        whole: dict[int, bytes] = {}
+        if None in found:
+            odd = np.flatnonzero(np.array([f is None for f in found])[of])
+            rows = np.unique(np.searchsorted(last, odd, "right")).tolist()
+            whole = dict(zip(rows, self.whole([texts[i].as_py() for i in rows])))
+            found = [f or b"" for f in found]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        n = sizes[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], n)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(found), self.kind)[at].tobytes()
+        cuts = (ends[np.concatenate([[0], last])] * self.width).tolist()
+        return [(whole[i] if i in whole else raw[a:b]) + self.end for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def encoder(path: str) -> Encoder:
@@ -233,14 +300,25 @@ class Plan:
 # --- The operator ----------------------------------------------------------
 
 
+def portions(batches: Iterable[pa.RecordBatch], most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each part have at most ``most`` bytes, or are one."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right"))
+            yield b.slice(at, max(end - at, 1))
+            at = max(end, at + 1)
+
+
 def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """row, doc_id, doc_tokens, the checksums of full windows and of the rest, and the rest's ids."""
 
     def encode(batches):
         enc = encoder(path)
-        for b in slices(batches):
+        for b in portions(batches):
             rests, sums, ends, counts = [], [], [], []
-            for raw in enc.encode(b.column("text").to_pylist()):
+            for raw in enc.encode(b.column("text")):
                 ids = np.frombuffer(raw, enc.kind)
                 cut = len(ids) // window * window
                 wide = ids.astype("<u4").tobytes()

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -136,6 +137,42 @@ def test_ids_of_another_tokenizer():
     assert packing.Encoder(path).encode(found) == want and packing.encoder(VOCABULARY).by_words and not packing.Encoder(path).by_words
 
 
+def test_a_repeated_run_is_cut_once():
+    e, seen = packing.Encoder(VOCABULARY), []
+    words = e.words
+    e.words = lambda text: seen.append(text) or words(text)
+    texts = ["Once, upon a time-table, it's 1999; " * 200] * 40
+    assert e.encode(texts) == [raw + e.end for raw in e.whole(texts)] and sum(map(len, seen)) < 100
+
+
+def test_a_call_does_not_walk_the_kept_words():
+    class Kept(dict):
+        def __iter__(self):
+            raise AssertionError("walks all kept words")
+
+        keys = __iter__
+
+    e = packing.Encoder(VOCABULARY)
+    e.cache = Kept({f"w{i}": b"" for i in range(9)})
+    assert e.encode(["two words"]) == [e.whole(["two words"])[0] + e.end]
+
+
+def test_every_character_beside_others():
+    e = packing.Encoder(VOCABULARY)
+    found = [f"{a}{chr(c)}{b}" for c in sorted({*range(0x250), *packing.plain_characters()[0]}) for a, b in [("", ""), ("a", "B"), (" '", "s"), ("1", "'LL"), ("'S", "' "), (chr(c), "\u2003.")]]
+    assert e.by_words and e.encode(found) == [raw + e.end for raw in e.whole(found)]
+
+
+def test_ids_of_cut_columns():
+    e = packing.Encoder(VOCABULARY)
+    found = [None, "", " \n", "One\xa0two\x85three\x1cfour\u3000five", "x<|endoftext|>y z", "'stuff ''s it'sn't", None, "e\u0301 \u0301 \u03a3\u03a3", "\u00c9T\u00c9, 12a"]
+    want = [raw + e.end for raw in e.whole([t or "" for t in found])]
+    column = pa.array(["cut off", *found, "too"])
+    assert e.encode(column.slice(1, len(found))) == want and e.encode(found) == want and e.encode(pa.array([], pa.string())) == []
+    parts = [b.column("text").to_pylist() for b in packing.portions([pa.RecordBatch.from_pydict({"text": column.slice(1, len(found))})], 12)]
+    assert sum(parts, []) == found and len(parts) > 3 and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 12 for p in parts)
+
+
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.01, 100), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_pfair_stays_within_a_block(weights):
