@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -49,6 +50,8 @@ KEPT = 20_000
 PAIRED, PAIRS = 1500, 1000
 WORDS = re.compile(r"[^\W_]+")
 CACHE = 200_000
+#: Cells of texts that the fit has factors for at once: the driver has little memory.
+AT_ONCE = 1 << 14
 
 
 def cells(word: str) -> list[int]:
@@ -90,6 +93,22 @@ def sums(a: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Cut groups of so many cells into runs of at most ``AT_ONCE`` cells, or one group: its groups' and its cells' bounds."""
+    ends = np.cumsum(lengths)
+    first = at = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, at + AT_ONCE, "right")))
+        yield first, last, at, int(ends[last - 1])
+        first, at = last, int(ends[last - 1])
+
+
+def places(row: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Positions in ``keys`` of those cells of ``row`` that stand there, in the row's order; ``order`` sorts ``keys``."""
+    at = order[np.minimum(np.searchsorted(keys, row, sorter=order), len(keys) - 1)]
+    return at[keys[at] == row].astype(np.int32)
+
+
 @dataclass
 class Machine:
     bias: float
@@ -112,33 +131,36 @@ class Machine:
         return float(self.scores([terms])[0])
 
 
-def train(rows: list[list[int]], y: np.ndarray, weights: np.ndarray, value: np.ndarray, rounds: int = 250, rate: float = 0.05, penalty: float = 2e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam on the whole (bounded) sample."""
+def train(rows: Sequence[Sequence[int]], y: np.ndarray, weights: np.ndarray, value: np.ndarray, rounds: int = 250, rate: float = 0.05, penalty: float = 2e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam on the whole (bounded) sample, a run of texts or cells at a time."""
     n, d = len(rows), len(value)
     lengths = np.array([len(r) for r in rows])
-    at = np.repeat(np.arange(n), lengths)
-    col = np.concatenate([np.array(r, np.int64) for r in rows]) if lengths.sum() else np.zeros(0, np.int64)
-    x = value[col]
-    by_col = np.argsort(col, kind="stable")
-    used, col_starts = np.unique(col[by_col], return_index=True)
-
-    def by_cell(a):
-        out = np.zeros((d, *a.shape[1:]))
-        if len(a):
-            out[used] = np.add.reduceat(a[by_col], col_starts, axis=0)
-        return out
+    col = np.concatenate([np.asarray(r, np.int32) for r in rows]) if lengths.sum() else np.zeros(0, np.int32)
+    at = np.repeat(np.arange(n, dtype=np.int32), lengths)[np.argsort(col, kind="stable")]  # by cell
+    used, times = np.unique(col, return_counts=True)
+    by_text, by_cell = list(runs(lengths)), list(runs(times))
 
     rng = np.random.default_rng(7)
     params = [np.array([np.log(max((weights * y).sum(), 1e-9) / max((weights * (1 - y)).sum(), 1e-9))]), np.zeros(d), rng.normal(0, 0.02, (d, RANK))]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = weights / weights.sum()
+    both, z = np.zeros((n, RANK)), np.zeros(n)
     for step in range(1, rounds + 1):
         bias, w, v = params
-        vx = v[col] * x[:, None]
-        both = sums(vx, lengths)
-        z = bias + sums(w[col] * x, lengths) + 0.5 * ((both**2).sum(1) - sums((vx * vx).sum(1), lengths))
+        for first, last, start, end in by_text:
+            c, own = col[start:end], lengths[first:last]
+            x = value[c]
+            vx = v[c] * x[:, None]
+            both[first:last] = sums(vx, own)
+            z[first:last] = bias + sums(w[c] * x, own) + 0.5 * ((both[first:last] ** 2).sum(1) - sums((vx * vx).sum(1), own))
         g = share * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        grads = [np.array([g.sum()]), by_cell((g[at] * x)[:, None])[:, 0] + penalty * w, by_cell((g[at] * x)[:, None] * (both[at] - vx)) + penalty * v]
+        grads = [np.array([g.sum()]), penalty * w, penalty * v]
+        for first, last, start, end in by_cell:
+            c, own, t = used[first:last], times[first:last], at[start:end]
+            x = np.repeat(value[c], own)
+            gx = (g[t] * x)[:, None]
+            grads[1][c] += sums(gx, own)[:, 0]
+            grads[2][c] += sums(gx * (both[t] - np.repeat(v[c], own, axis=0) * x[:, None]), own)
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             s[i] = 0.999 * s[i] + 0.001 * grad * grad
@@ -210,33 +232,40 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
             out = [x[np.isin(x, wanted, assume_unique=True)] for x in (c.values.to_numpy() for c in b.column("cells"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "cells"])
 
-    rows = sorted(sample.mapInArrow(chosen_cells, "doc_id long, y int, cells array<int>").collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in rows], float)
+    # As Arrow: Python's or Java's own integers of these cells would take some ten times their bytes on the driver.
+    found = sample.mapInArrow(chosen_cells, "doc_id long, y int, cells array<int>").toArrow().combine_chunks()
+    lists, by_id = found["cells"].combine_chunks(), np.argsort(found["doc_id"].to_numpy())
+    ends, all_cells = lists.offsets.to_numpy(), lists.values.to_numpy()
+    rows = [all_cells[ends[i] : ends[i + 1]] for i in by_id]
+    y = found["y"].to_numpy()[by_id].astype(float)
     value = [min(1.0, abs(r["odds"]) / 3) for r in kept]
-    for cell in telling([r["cells"] for r in rows], y, frequent):
+    for cell in telling(rows, y, frequent):
         if cell not in index:
             index[cell] = len(index)
             value.append(0.5)
     machine = Machine(0.0, index, np.array(value))
     weights = np.where(y == 1, 1 / share[1], 1 / share[0])
-    machine.bias, machine.weight, machine.factors = train([[index[c] for c in r["cells"] if c in index] for r in rows], y, weights, machine.value)
+    keys = np.array(list(index), np.int32)
+    order = np.argsort(keys)
+    machine.bias, machine.weight, machine.factors = train([places(r, keys, order) if len(keys) else () for r in rows], y, weights, machine.value)
     return machine
 
 
-def telling(rows: list[list[int]], y: np.ndarray, frequent: list[int]) -> list[int]:
+def telling(rows: Sequence[np.ndarray], y: np.ndarray, frequent: list[int]) -> list[int]:
     """The cells of ``frequent`` in pairs that tell of a label beyond what both alone do, best pairs first."""
     if not frequent:
         return []
-    place = {c: k for k, c in enumerate(frequent)}
+    keys = np.array(frequent)
+    order = np.argsort(keys)
     both, n = [], []
     for label in (0, 1):
         own = [r for r, v in zip(rows, y) if v == label]
         together = np.zeros((len(frequent), len(frequent)), np.float32)
-        for s in range(0, len(own), 4096):
-            part = own[s : s + 4096]
+        for s in range(0, len(own), 1024):
+            part = own[s : s + 1024]
             x = np.zeros((len(part), len(frequent)), np.float32)
             for i, r in enumerate(part):
-                x[i, [place[c] for c in r if c in place]] = 1
+                x[i, places(r, keys, order)] = 1
             together += x.T @ x
         both.append(together)
         n.append(len(own) + 1.0)

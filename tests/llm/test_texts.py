@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -112,6 +113,24 @@ def test_toxicity_sample_is_bounded(spark, tmp_path, monkeypatch):
     assert seen[0] == (900, 300) and seen[1] == (101, 26)
 
 
+def test_fit_takes_little_memory(monkeypatch):
+    """Factors of a few cells at a time, with the bits of all at once, whatever the runs."""
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(3000, n, replace=False)).astype(np.int32) for n in rng.integers(0, 500, 2000)]
+    y = rng.integers(0, 2, len(rows)).astype(float)
+    tracemalloc.start()
+    whole = toxicity.train(rows, y, np.ones(len(y)), rng.random(3000), rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(whole[2]).all() and peak < 30 << 20  # with all factors at once over 100 MB
+    some = [r.tolist() for r in rows[:60]] + [[]]
+    outs = []
+    for most in (1, 70, 1 << 30):
+        monkeypatch.setattr(toxicity, "AT_ONCE", most)
+        outs.append(toxicity.train(some, np.arange(61) % 2.0, np.ones(61), np.linspace(0.1, 1, 3000), rounds=5))
+    assert all(np.array_equal(a, b) for o in outs[1:] for a, b in zip(o, outs[0]))
+
+
 def test_scores_of_many_are_those_of_each():
     rng = np.random.default_rng(2)
     m = toxicity.Machine(-0.3, {}, rng.random(50), rng.normal(size=50), rng.normal(size=(50, toxicity.RANK)) / 4)
