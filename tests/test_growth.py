@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from catalens import registry
 from catalens.operators import candidates, ordered
 from catalens.plans import queries
 from tests.test_candidates import distance
@@ -91,3 +92,11 @@ def test_names_of_one_edit(spark, letters):
     frame = lambda names, c: spark.createDataFrame([(x,) for x in sorted(names)], f"{c} string")
     found = candidates.one_edit(frame(wanted, "_a"), frame(known, "_b")).collect()
     assert sorted(map(tuple, found)) == sorted((a, b) for a in wanted for b in known if distance(a, b) <= 1)
+
+
+def test_links_of_one_start(spark, tmp_path, limited):
+    """40,000 identifiers and 400,000 names, all close: 16,000,000,000 pairs."""
+    spark.range(400_000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(40_000).selectExpr("concat('Supplier#', lpad(id, 9, '0')) AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = registry.QUERIES["jn_fuzzy"](spark, str(tmp_path))
+    assert found.selectExpr("count(*)", "min(names)", "sum(names)").first()[:] == (40_000, 400_000, 16_000_000_000)
